@@ -143,10 +143,66 @@ BITMAP_BITS = 32768
 
 def bit_of(hashed: Column, probe: int, log2_bits: int) -> Column:
     """Bit position in a filter of 2**log2_bits bits: 1-based, as bitmap_bucket_number expects."""
-    spread = F.xxhash64(hashed, F.lit(probe))
+    spread = F.xxhash64(hashed, F.lit(probe).cast("long"))
     return (F.shiftrightunsigned(spread, 64 - log2_bits) + 1).cast("long")
 
 
 def bitmaps(bits: DataFrame, bit: str) -> DataFrame:
     """(bucket, bitmap) of distributed bit positions: at most 2**log2_bits / 8 bytes over all rows."""
     return bits.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(bit))).alias("bitmap"))
+
+
+def spark_xxhash64(values: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
+    """What xxhash64() of Spark SQL gives for a bigint column, vectorised; chain seeds for more columns."""
+    p1, p2, p3, p4, p5 = (U(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(x: np.ndarray, k: int) -> np.ndarray:
+        return (x << U(k)) | (x >> U(64 - k))
+
+    h = np.asarray(seed).astype(U) + p5 + U(8)
+    h = turn(h ^ (turn(values.astype(U) * p2, 31) * p1), 27) * p1 + p4
+    h = (h ^ (h >> U(33))) * p2
+    h = (h ^ (h >> U(29))) * p3
+    return h ^ (h >> U(32))
+
+
+class BitFilter:
+    """A Bloom filter of at most 2**28 bits (32 MB), built from bitmaps; tests (x, y) pairs of bigints in numpy."""
+
+    def __init__(self, log2_bits: int, rows: list[tuple[int, bytes]], probes: int = 2):
+        self.log2_bits, self.probes = log2_bits, probes
+        self.bytes = np.zeros(max(1 << log2_bits, BITMAP_BITS) // 8, np.uint8)
+        for bucket, bitmap in rows:
+            at = (bucket - 1) * BITMAP_BITS // 8
+            self.bytes[at : at + len(bitmap)] = np.frombuffer(bitmap, np.uint8)
+
+    @staticmethod
+    def build(pairs: DataFrame, x: str, y: str, max_log2_bits: int = 28, probes: int = 2) -> "BitFilter":
+        """The bitmaps that reach the driver are bounded by the filter's size, whatever ``pairs`` holds."""
+        bits = max(15, min(max_log2_bits, int(16 * pairs.count()).bit_length()))
+        hashed = F.xxhash64(x, y)
+        rows = bitmaps(pairs.select(F.explode(F.array(*[bit_of(hashed, k, bits) for k in range(probes)])).alias("bit")), "bit").collect()
+        return BitFilter(bits, [(r["bucket"], bytes(r["bitmap"])) for r in rows], probes)
+
+    def test(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        hashed = spark_xxhash64(y, spark_xxhash64(x))
+        found = np.ones(len(x), bool)
+        for k in range(self.probes):
+            bit = probe_hash(hashed, k) >> U(64 - self.log2_bits)
+            found &= (self.bytes[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8)) & 1 > 0
+        return found
+
+
+def probe_hash(hashed: np.ndarray, probe: int) -> np.ndarray:
+    """xxhash64(hashed, probe) as bit_of computes it: the probe is a bigint."""
+    return spark_xxhash64(np.full(len(hashed), probe, np.int64), spark_xxhash64(hashed))
+
+
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    """Bytes of all texts: decides how many buckets a job deals out."""
+    return int(docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)
+
+
+def bucket_count(total_bytes: int, each: int = SLICE_BYTES, least: int = 1024) -> int:
+    """Buckets grow with the input, so that one bucket's share stays the same."""
+    return max(least, -(-total_bytes // each))

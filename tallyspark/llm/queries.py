@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, exact_dedup, quality
+from tallyspark.llm import bpe, exact_dedup, jaccard, quality
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,6 +18,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -26,7 +30,7 @@ def op10_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_exact_dedup, op10_quality_gbdt)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_ngram_jaccard, op5_exact_dedup, op10_quality_gbdt)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES = {
