@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, exact_dedup, jaccard, quality
+from tallyspark.llm import bpe, exact_dedup, jaccard, quality, secret_scan, transport
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,11 +26,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op7_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_ngram_jaccard, op5_exact_dedup, op10_quality_gbdt)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_ngram_jaccard, op5_exact_dedup, op6_secret_scan, op7_media_ts, op10_quality_gbdt)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES = {
