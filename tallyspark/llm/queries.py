@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, exact_dedup, jaccard, quality, secret_scan, transport
+from tallyspark.llm import bpe, exact_dedup, jaccard, quality, secret_scan, transport, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -34,11 +34,15 @@ def op7_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_ngram_jaccard, op5_exact_dedup, op6_secret_scan, op7_media_ts, op10_quality_gbdt)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_ngram_jaccard, op5_exact_dedup, op6_secret_scan, op7_media_ts, op8_warc, op10_quality_gbdt)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES = {
