@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, exact_dedup, jaccard, quality, secret_scan, transport, warc
+from tallyspark.llm import bpe, exact_dedup, jaccard, mixing, quality, secret_scan, substring_dedup, transport, url_filter, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,10 +18,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -38,14 +46,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages.withColumn("fetched", url_filter.fetched_on("page_id")), url_filter.changes_from(pages), "page_id", "url", "fetched")
+
+
 def op10_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_ngram_jaccard, op5_exact_dedup, op6_secret_scan, op7_media_ts, op8_warc, op10_quality_gbdt)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_ngram_jaccard, op4_source_mixing, op5_exact_dedup, op6_secret_scan, op7_media_ts, op8_warc, op9_url_filter, op10_quality_gbdt)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES = {
+    "op4_source_mixing": mixing.oracle(),
+    "op9_url_filter": url_filter.ORACLE,
     "op5_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
