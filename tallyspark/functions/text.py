@@ -48,19 +48,29 @@ def fold_title(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if not c.isspace() and c not in TITLE_PUNCTUATION)
 
 
-def _vectorised(fold, name: str):
-    @F.pandas_udf("string")
+def _folded(fold, col: Column | str) -> Column:
+    """``fold`` over Arrow batches, once for each different text of a batch.  Made on use: workers import this module too."""
+
     def key(texts: pd.Series) -> pd.Series:
         known: dict[str, str] = {}
         return texts.map(lambda t: None if t is None else known[t] if t in known else known.setdefault(t, fold(t)))
 
-    key.__doc__ = name
-    return key
+    return F.pandas_udf(key, "string")(col)
+
+
+def match_key(col: Column | str) -> Column:
+    """Strict key: compatibility form, quotes, dashes and ellipses unified, case folded, no spaces."""
+    return _folded(fold_strict, col)
+
 
+def alias_key(col: Column | str) -> Column:
+    """Loose key: marks dropped and look-alike letters mapped before the strict key."""
+    return _folded(fold_loose, col)
 
-match_key = _vectorised(fold_strict, "Strict key: compatibility form, quotes, dashes and ellipses unified, case folded, no spaces.")
-alias_key = _vectorised(fold_loose, "Loose key: marks dropped and look-alike letters mapped before the strict key.")
-title_key = _vectorised(fold_title, "Title key: compatibility form, case folded, no spaces or punctuation.")
+
+def title_key(col: Column | str) -> Column:
+    """Title key: compatibility form, case folded, no spaces or punctuation."""
+    return _folded(fold_title, col)
 
 
 def ascii_title_key(col: Column) -> Column:
@@ -68,16 +78,20 @@ def ascii_title_key(col: Column) -> Column:
     return F.regexp_replace(F.lower(col), r"[\s\p{Punct}]+", "")
 
 
-@F.pandas_udf("double")
-def title_similarity(seen: pd.Series, known: pd.Series) -> pd.Series:
+def similarity(seen: str | None, known: str | None) -> float:
     """Ratcliff/Obershelp ratio; 1 where ``known`` (five letters or more) lies inside ``seen``; 0 where either is blank."""
+    if not seen or not known:
+        return 0.0
+    return 1.0 if len(known) >= CONTAINED_FROM and known in seen else SequenceMatcher(None, seen, known).ratio()
+
+
+def title_similarity(seen: Column, known: Column) -> Column:
+    """``similarity`` over Arrow batches."""
 
-    def one(a: str | None, b: str | None) -> float:
-        if not a or not b:
-            return 0.0
-        return 1.0 if len(b) >= CONTAINED_FROM and b in a else SequenceMatcher(None, a, b).ratio()
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype=float)
 
-    return pd.Series([one(a, b) for a, b in zip(seen, known)])
+    return F.pandas_udf(score, "double")(seen, known)
 
 
 def map_values(col: Column, mapping: dict[str, str], squeeze: str = r"[\s_]+") -> Column:

@@ -20,7 +20,9 @@ def with_order(df: DataFrame, time: str, *ids: str) -> DataFrame:
     """Adds instant_ms, _time and _id.  Times compare by instant; text without offset is UTC; junk gives a null instant."""
     text = F.col(time).cast("string")
     ident = F.col(ids[0]) if len(ids) == 1 else F.struct(*ids)
-    return df.withColumns({"instant_ms": F.unix_millis(F.try_to_timestamp(text)), "_time": text, "_id": ident})
+    bare = text.rlike(r"\d:\d+[0-9:.]*$") & ~text.rlike(r"[+-]\d{2}:?\d{2}$")
+    instant = F.unix_millis(F.try_to_timestamp(F.when(bare, F.concat(text, F.lit("Z"))).otherwise(text)))
+    return df.withColumns({"instant_ms": instant, "_time": text, "_id": ident})
 
 
 def drop_order(df: DataFrame) -> DataFrame:

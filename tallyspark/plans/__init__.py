@@ -6,7 +6,7 @@ import importlib
 
 from tallyspark.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("history",)
+MODULES = ("history", "event_queries", "resolve_queries")
 
 
 def queries() -> dict[str, Query]:
