@@ -63,7 +63,7 @@ def match_confidence(distance: Column, margin: Column, max_distance: float, delt
     """0.98 and up to 0.02 more by the weaker of distance and margin strength; no rival counts as full margin."""
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     far = clamp((F.lit(max_distance) - distance) / max_distance)
-    apart = F.coalesce(clamp(margin / delta), F.lit(1.0))
+    apart = F.when(margin.isNotNull(), clamp(margin / delta)).otherwise(1.0)  # least and greatest pass nulls over
     return F.least(F.lit(1.0), F.lit(0.98) + F.lit(0.02) * F.least(far, apart))
 
 
