@@ -39,9 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def spill(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+def spill(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    A ``narrow`` table (a few numbers a row) is written by an eighth of the shuffle's tasks.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

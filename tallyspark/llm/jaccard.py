@@ -12,8 +12,9 @@ have too many of them.
 Keys travel in packed blocks to buckets, whose number grows with the input.  A key of up
 to ``FEW`` sets gives all its pairs; a longer one links its members to one hub, and what
 such a key may still hide is settled afterwards: of the keys whose members aren't in one
-component, all pairs across components are checked.  Pairs are verified on the exact
-sets.  Documents with equal sets are one node throughout.
+component, first neighbours in a salted order are tried, then all pairs across
+components.  Pairs are dropped where a sketch of 512 bits proves them too far apart, and
+verified on the exact sets.  Documents with equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import BitFilter, GAMMA, U, Words, bucket_count, buffer_of, mix, slices, spill, text_bytes
@@ -31,6 +32,7 @@ from tallyspark.llm.components import components
 GROWTH = 1.6
 FEW, FEW_HERE = 8, 4
 POSITIONS = U((1 << 20) - 1)
+SKETCH_BITS, SKETCH_WORDS = 512, 8
 KEYS, HUBS, PAIRS, REST, FACTS = range(5)
 
 
@@ -64,6 +66,11 @@ class Shingles:
             else:
                 self.sets.append(rolled[:0])
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.sketches = np.zeros((len(self.sets), SKETCH_WORDS), np.int64)
+        for i, tokens in enumerate(self.sets):
+            place = ((tokens >> U(44)) & U(SKETCH_BITS - 1)).astype(np.int64)
+            odd = (np.bincount(place, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+            self.sketches[i] = np.packbits(odd, bitorder="little").view(np.int64)
         self.ids = np.array([(mix(s + U(len(s))).sum(dtype=U) if len(s) else 0) for s in self.sets], U).view(np.int64)
 
 
@@ -124,12 +131,13 @@ def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-BLOCK = "bucket long, kind int, x binary, y binary, z binary"
+BLOCK = "bucket long, kind int, x binary, y binary, z binary, s binary"
+FOUND = "kind int, a long, b long, c long, s array<bigint>"
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "kind", "x", "y", "z"])
+    cols = list(zip(*[(*r, b"") if len(r) == 5 else r for r in rows])) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "kind", "x", "y", "z", "s"])
 
 
 def _blocks(width: int, low: int, buckets: int):
@@ -143,7 +151,7 @@ def _blocks(width: int, low: int, buckets: int):
                 null = np.asarray(id_col.is_null())
                 docs = np.asarray(id_col.fill_null(0)).astype(np.int64)
                 side = -1 - int(mix(np.array([s.ids.view(U).sum(dtype=U) + U(len(docs))], U))[0] % U(buckets))
-                rows = [(side, FACTS, _blob(docs), _blob(s.ids), _blob(s.sizes * 2 + null))]
+                rows = [(side, FACTS, _blob(docs), _blob(s.ids), _blob(s.sizes * 2 + null), _blob(s.sketches))]
                 _, once = np.unique(s.ids, return_index=True)
                 once = once[s.sizes[once] > 0]
                 keys, ids, start, count = _runs(*sketch_keys([s.sets[i] for i in once], s.ids[once], low))
@@ -165,37 +173,45 @@ def _blocks(width: int, low: int, buckets: int):
     return run
 
 
+def _found(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray | None = None, sketches: np.ndarray | None = None) -> pa.Table:
+    n = len(a)
+    none = pa.nulls(n, pa.list_(pa.int64()))
+    lists = none if sketches is None else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SKETCH_WORDS), pa.array(sketches))
+    return pa.table({"kind": pa.array(np.full(n, kind, np.int32)), "a": pa.array(a), "b": pa.array(b), "c": pa.array(np.zeros(n, np.int64) if c is None else c), "s": lists})
+
+
 def _match(table: pa.Table) -> pa.Table:
     """One bucket: entries by key -> candidate pairs and the members of long keys; other rows pass."""
-    out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     kinds = np.asarray(table.column("kind"))
-    x, y, z = (table.column(c).combine_chunks() for c in "xyz")
-    entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    x, y, z, s = (table.column(c).combine_chunks() for c in "xyzs")
+    long_of = lambda col, i: np.frombuffer(col[i].as_buffer(), np.int64)
+    out, entries = [_found(PAIRS, *[np.zeros(0, np.int64)] * 2)], []
     for i, kind in enumerate(kinds):
-        a, b = np.frombuffer(x[i].as_buffer(), np.int64), np.frombuffer(y[i].as_buffer(), np.int64)
+        a, b = long_of(x, i), long_of(y, i)
         if kind in (KEYS, HUBS):
             entries.append((a.view(U), b, np.full(len(a), kind == HUBS)))
+        elif kind == FACTS:
+            out.append(_found(kind, a, b, long_of(z, i), long_of(s, i)))
         else:
-            c = np.frombuffer(z[i].as_buffer(), np.int64) if kind == FACTS else np.zeros(len(a), np.int64)
-            out.append((kind, a, b, c))
+            out.append(_found(kind, a, b))
     if entries:
         keys, ids, start, count, hub = _runs(*(np.concatenate(e) for e in zip(*entries)))
         long = count > FEW
         if hub.any():
-            long |= np.repeat(np.logical_or.reduceat(hub, np.unique(start)), count[np.unique(start)])
+            first = np.flatnonzero(start == np.arange(len(keys)))
+            long |= np.repeat(np.logical_or.reduceat(hub, first), count[first])
         here = np.arange(len(keys))
-        pairs = [(ids[start[i]], ids[i]) for i in [np.flatnonzero(long & (start != here))]]
+        star = np.flatnonzero(long & (start != here))
+        pairs = [(ids[start[star]], ids[star])]
         for k in range(1, FEW):
             i = np.flatnonzero(~long & (here - start >= k))
             pairs.append((ids[i - k], ids[i]))
         a, b = (np.concatenate(p) for p in zip(*pairs))
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        out.append((PAIRS, pair[:, 0], pair[:, 1], np.zeros(len(pair), np.int64)))
+        out.append(_found(PAIRS, pair[:, 0].copy(), pair[:, 1].copy()))
         i = np.flatnonzero(long)
-        out.append((REST, keys[i].view(np.int64), ids[i], np.zeros(len(i), np.int64)))
-    if not out:
-        out = [(PAIRS, *[np.zeros(0, np.int64)] * 3)]
-    return pa.table({"kind": pa.array(np.concatenate([np.full(len(o[1]), o[0], np.int32) for o in out])), **{c: pa.array(np.concatenate([o[j] for o in out])) for j, c in ((1, "a"), (2, "b"), (3, "c"))}})
+        out.append(_found(REST, keys[i].view(np.int64), ids[i]))
+    return pa.concat_tables(out)
 
 
 def _sets_of(docs: DataFrame, wanted: BitFilter, width: int) -> DataFrame:
@@ -214,11 +230,27 @@ def _sets_of(docs: DataFrame, wanted: BitFilter, width: int) -> DataFrame:
     return docs.mapInArrow(run, "set_id long, tokens binary")
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, facts: DataFrame, width: int, low: int) -> DataFrame:
+SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
+
+
+def _near(low: int) -> F.Column:
+    """Sizes and sketches of x and y allow a link."""
+    apart = sum(F.bit_count(F.col(f"{s}_x").bitwiseXOR(F.col(f"{s}_y"))) for s in SKETCH)
+    sizes = 100 * F.least("n_x", "n_y") >= low * F.greatest("n_x", "n_y")
+    return sizes & ((100 + low) * apart <= (100 - low) * (F.col("n_x") + F.col("n_y")))
+
+
+def _side(nodes: DataFrame, x: str, key: str) -> DataFrame:
+    return nodes.select(F.col("set_id").alias(key), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *SKETCH)])
+
+
+def _verify(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, low: int) -> DataFrame:
     """Those of (a, b) whose exact sets link."""
+    pairs = pairs.join(_side(nodes, "x", "a"), "a").join(_side(nodes, "y", "b"), "b").filter(_near(low)).select("a", "b")
+    pairs = spill(pairs, "near", narrow=True)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    stands = spill(facts.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.coalesce(F.min("id"), F.lit(0)).alias("id")), "stands")
-    sets = _sets_of(texts, BitFilter.build(stands, "set_id", "id"), width)
+    stands = spill(nodes.join(ends, "set_id", "left_semi").select("set_id", "id"), "stands", narrow=True)
+    sets = spill(_sets_of(texts, BitFilter.build(stands, "set_id", "id"), width), "tokens")  # read twice below
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,6 +267,40 @@ def _verify(texts: DataFrame, pairs: DataFrame, facts: DataFrame, width: int, lo
     return spill(full.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "verified")
 
 
+#: Members of an unsettled key that are ordered together, about, and how many neighbours each tries.
+GROUP, NEIGHBOURS = 1000, 3
+
+
+def _unsettled(rest: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Members (key, main, members, set_id, component, n, sketch) of keys whose members are in different components."""
+    placed = rest.join(named, rest["set_id"] == named["node"], "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
+    placed = spill(placed, "rest", narrow=True)
+    counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    open_keys = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    open_keys = spill(open_keys.select(F.col("key").alias("open"), "main", "members"), "open", narrow=True)
+    if not open_keys.limit(1).count():
+        return None
+    joined = placed.join(open_keys, F.col("key") == F.col("open")).drop("open")
+    return spill(joined.join(nodes.select("set_id", "n", *SKETCH), "set_id"), "unsettled", narrow=True)
+
+
+def _neighbours(rest: DataFrame) -> DataFrame:
+    """Pairs of members that stand next to each other by size, in groups that don't grow with the key."""
+    salt = F.pmod(F.xxhash64("set_id"), F.expr(f"members div {GROUP} + 1"))
+    order = Window.partitionBy("key", "_salt").orderBy("n", "set_id")
+    out = rest.withColumn("_salt", salt)  # a window can't stand inside a generator
+    after = F.array(*[F.struct(*[F.lead(c, k).over(order).alias(c) for c in ("set_id", "component", "n", *SKETCH)]) for k in range(1, NEIGHBOURS + 1)])
+    both = ("set_id", "component", "n", *SKETCH)
+    out = out.withColumn("after", after).select(*[F.col(c).alias(f"{c}_x") for c in both], F.explode("after").alias("y"))
+    return out.select("*", *[F.col(f"y.{c}").alias(f"{c}_y") for c in both]).drop("y").filter("set_id_y IS NOT NULL AND component_x != component_y")
+
+
+def _across(rest: DataFrame) -> DataFrame:
+    """All pairs of members in different components: those outside a key's main one with all others."""
+    x, y = (rest.select("key", "main", *[F.col(c).alias(f"{c}_{side}") for c in ("set_id", "component", "n", *SKETCH)]) for side in "xy")
+    return x.filter("component_x != main").drop("main").join(y.drop("main"), "key").filter(F.col("component_x") != F.col("component_y"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, low: int = 85) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links).
 
@@ -244,30 +310,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = bucket_count(text_bytes(docs, text_col))
-    dealt = texts.mapInArrow(_blocks(width, low, buckets), BLOCK).groupBy("bucket").applyInArrow(lambda t: _match(t), "kind int, a long, b long, c long")
+    dealt = texts.mapInArrow(_blocks(width, low, buckets), BLOCK).groupBy("bucket").applyInArrow(lambda t: _match(t), FOUND)
     found = spill(dealt, "matched")
-    facts = spill(found.filter(F.col("kind") == FACTS).select(F.expr("if(c % 2 = 1, null, a)").alias("id"), F.col("b").alias("set_id"), F.expr("c div 2").alias("n")), "sets")
-    pairs = spill(found.filter(F.col("kind") == PAIRS).select("a", "b").distinct(), "pairs")
-    links = _verify(texts, pairs, facts, width, low)
-    named = spill(components(links), "components")
-
-    # Long keys whose members ended in different components: all pairs across those that sizes allow.
+    facts = found.filter(F.col("kind") == FACTS).select(F.expr("if(c % 2 = 1, null, a)").alias("id"), F.col("b").alias("set_id"), F.expr("c div 2").alias("n"), "s")
+    # A node stands for all documents with its set; what stands for it is the smallest id (0 for null).
+    nodes = spill(facts.groupBy("set_id").agg(F.coalesce(F.min("id"), F.lit(0)).alias("id"), F.min("n").alias("n"), *[F.min(F.get("s", k)).alias(s) for k, s in enumerate(SKETCH)]), "nodes", narrow=True)
+    tried = spill(found.filter(F.col("kind") == PAIRS).select("a", "b").distinct(), "pairs", narrow=True)
+    links = _verify(texts, tried, nodes, width, low)
+    named = spill(components(links), "components", narrow=True)
     rest = found.filter(F.col("kind") == REST).select(F.col("a").alias("key"), F.col("b").alias("set_id")).distinct()
-    rest = spill(rest.join(named, rest["set_id"] == named["node"], "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component")), "rest")
-    open_keys = spill(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("key").alias("open")), "open")
-    if open_keys.limit(1).count():
-        sizes = facts.select("set_id", "n").distinct()
-        rest = spill(rest.join(open_keys, F.col("key") == F.col("open"), "left_semi").join(sizes, "set_id"), "unsettled")
-        x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("set_id", "component", "n")]) for s in "xy")
-        near = (F.col("component_x") < F.col("component_y")) & (100 * F.least("n_x", "n_y") >= low * F.greatest("n_x", "n_y"))
-        more = x.join(y, "key").filter(near).select(F.least("set_id_x", "set_id_y").alias("a"), F.greatest("set_id_x", "set_id_y").alias("b")).distinct()
-        more = spill(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(_verify(texts, more, facts, width, low))
-        named = spill(components(links), "components")
+    for candidates in (_neighbours, _across):
+        if (members := _unsettled(rest, named, nodes)) is None:
+            break
+        more = candidates(members).filter(_near(low)).select(F.least("set_id_x", "set_id_y").alias("a"), F.greatest("set_id_x", "set_id_y").alias("b")).distinct()
+        more = spill(more.join(tried, ["a", "b"], "left_anti"), "pairs", narrow=True)
+        tried = tried.unionByName(more)
+        links = links.unionByName(_verify(texts, more, nodes, width, low))
+        named = spill(components(links), "components", narrow=True)
 
     placed = facts.join(named, facts["set_id"] == named["node"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "set_id")).alias("component"))
-    placed = spill(placed, "placed")
-    lowest = spill(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("component").alias("name"), "first"), "lowest")
+    placed = spill(placed, "placed", narrow=True)
+    lowest = spill(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("component").alias("name"), "first"), "lowest", narrow=True)
     joined = placed.join(lowest, F.col("component") == F.col("name"), "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
 
@@ -275,5 +338,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, low: int = 80) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; columns as given."""
     found = jaccard_components(docs, id_col, text_col, width, low)
-    gone = spill(found.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near")
+    gone = spill(found.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near", narrow=True)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
