@@ -100,7 +100,7 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, ridge: float = 1.0, least: float = 5.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, ridge: float = 1.0, least: float = 1.0) -> Trees:
     """Logistic boosting on quantile bins.  Without rows or with one class: a constant score."""
     inner, features = 2**depth - 1, x.shape[1]
     share = (y.sum() + 0.5) / (len(y) + 1.0)
