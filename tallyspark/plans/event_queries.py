@@ -28,7 +28,7 @@ def confirmed(t: Tables, timed: bool = True) -> DataFrame:
     return E.confirm_events(rows, "stream", "timestamp_ms" if timed else None, "event_id", F.col("kind").isin(*CANDIDATE), F.col("kind") == "error", F.concat_ws(":", F.lit("kind"), "kind"), MIN_MS, 2, WINDOW_MS, 9)
 
 
-FRAMES = "f AS (SELECT event_id, user_id::VARCHAR AS stream, epoch_us(ts) // 1000 AS timestamp_ms, event_type AS kind FROM events)"
+FRAMES = "f AS (SELECT event_id, user_id::VARCHAR AS stream, (epoch_us(ts) // 1000) AS timestamp_ms, event_type AS kind FROM events)"
 
 
 def _confirm_sql(timed: bool) -> str:
@@ -76,7 +76,7 @@ def t4_dup_key(t: Tables) -> DataFrame:
     return t.events.select("event_id", E.dup_key(F.concat("event_type", "event_id", F.lit(".png"))).alias("duplicate_key"))
 
 
-@query("""WITH x AS (SELECT event_id, user_id, CASE WHEN event_id % 50 = 0 THEN '' WHEN event_id % 50 = 1 THEN 'x1' WHEN event_id % 50 = 2 THEN '-5' ELSE epoch_us(ts) // 1000::VARCHAR END AS raw FROM events),
+@query("""WITH x AS (SELECT event_id, user_id, CASE WHEN event_id % 50 = 0 THEN '' WHEN event_id % 50 = 1 THEN 'x1' WHEN event_id % 50 = 2 THEN '-5' ELSE (epoch_us(ts) // 1000)::VARCHAR END AS raw FROM events),
     y AS (SELECT *, CASE WHEN regexp_full_match(raw, '-?[0-9]+') THEN raw::BIGINT END AS v FROM x),
     z AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM y)
     SELECT event_id, CASE WHEN raw = '' THEN 'empty' WHEN v IS NULL THEN 'not_integer' WHEN v < 0 THEN 'negative' WHEN v <= p THEN 'not_increasing' END AS ts_error FROM z""")
@@ -97,7 +97,7 @@ def s10_assign_interval(t: Tables) -> DataFrame:
     return E.assign_interval(t.events, "user_id", "event_id", 500, 250).select("event_id", "timestamp_ms")
 
 
-@query("""WITH RECURSIVE x AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+@query("""WITH RECURSIVE x AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     r AS (SELECT event_id, user_id, t, i, t AS last, true AS accepted FROM x WHERE i = 1
           UNION ALL SELECT x.event_id, x.user_id, x.t, x.i, CASE WHEN x.t - r.last >= 86400000 THEN x.t ELSE r.last END, x.t - r.last >= 86400000 FROM r JOIN x ON x.user_id = r.user_id AND x.i = r.i + 1)
     SELECT event_id, accepted FROM r""")

@@ -60,7 +60,7 @@ def f6_promote(t: Tables) -> DataFrame:
 
 @query("""WITH f AS (SELECT c_custkey, c_name AS score, CASE WHEN c_custkey % 4 = 0 THEN 'guess' ELSE 'ocr' END AS score_source, 0.98 + (c_custkey % 3) * 0.01 AS score_confidence, c_custkey % 5 = 0 AS failed, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '7' END AS ok, CASE WHEN c_custkey % 7 = 0 THEN 0.5 ELSE 0.99 END AS calories_confidence FROM customer),
     g AS (SELECT *, concat_ws(',', CASE WHEN score_source <> 'ocr' THEN 'score_source' END, CASE WHEN NOT failed AND ok = '' THEN 'ok_missing' END) AS reasons FROM f)
-    SELECT c_custkey, reasons, CASE WHEN calories_confidence >= 0.98 THEN 'kcal' END AS calories, round(CASE WHEN reasons = '' THEN least(score_confidence, CASE WHEN NOT failed THEN 0.985 END, CASE WHEN calories_confidence >= 0.98 THEN calories_confidence END) END, 4) AS row_confidence FROM g""")
+    SELECT c_custkey, reasons, CASE WHEN calories_confidence >= 0.98 THEN 'kcal' END AS calories, round(CASE WHEN reasons = '' THEN least(score_confidence, CASE WHEN NOT failed THEN 0.985 END, CASE WHEN calories_confidence >= 0.98 THEN calories_confidence END) END, 4)::DOUBLE AS row_confidence FROM g""")
 def f10_promote_final(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     d = t.customer.select("c_custkey", F.col("c_name").alias("score"), F.when(k % 4 == 0, "guess").otherwise("ocr").alias("score_source"), (0.98 + (k % 3) * 0.01).alias("score_confidence"), (k % 5 == 0).alias("failed"), F.when(k % 3 == 0, "").otherwise("7").alias("ok"), F.lit("ocr").alias("ok_source"), F.lit(0.985).alias("ok_confidence"), F.lit("kcal").alias("calories"), F.lit("ocr").alias("calories_source"), F.when(k % 7 == 0, 0.5).otherwise(0.99).alias("calories_confidence"))
@@ -266,7 +266,7 @@ def p26_field_status(t: Tables) -> DataFrame:
 
 @query("""WITH g AS (SELECT vec_id, embedding AS e, list_transform(range(1, 57), lambda k: (e[((k - 1) // 7) * 8 + (k - 1) % 7 + 2] > e[((k - 1) // 7) * 8 + (k - 1) % 7 + 1])::INT) AS bits FROM embeddings)
     SELECT vec_id, array_to_string(bits, '') AS bits, array_to_string(list_transform(range(0, 14), lambda n: lower(printf('%x', bits[n * 4 + 1] * 8 + bits[n * 4 + 2] * 4 + bits[n * 4 + 3] * 2 + bits[n * 4 + 4]))), '') AS hex,
-    list_sum(list_transform(e, lambda v: least(255, greatest(0, round_even(v::DOUBLE * 255, 0)::INT)))) AS packed FROM g""")
+    list_sum(list_transform(e, lambda v: least(255, greatest(0, round_even(v::DOUBLE * 255, 0)::INT))))::BIGINT AS packed FROM g""")
 def v1_v8_hashes(t: Tables) -> DataFrame:
     bits = V.dhash_bits(F.col("embedding"), 7, 8)
     return t.embeddings.select("vec_id", F.array_join(bits.cast("array<string>"), "").alias("bits"), V.bits_to_hex(bits).alias("hex"), F.aggregate(V.pack_u8(F.col("embedding")), F.lit(0).cast("long"), lambda a, v: a + v).alias("packed"))

@@ -117,7 +117,7 @@ def w9_numbered(t: Tables) -> DataFrame:
     return A.numbered(plays(t), [F.col(c) for c in A.ORDER], ["l_partkey"]).select(*IDS, "rank")
 
 
-@query(f"""WITH {PLAYS_SQL} SELECT (played_at::TIMESTAMP - INTERVAL 7 HOURS)::DATE AS day, count(*) AS plays, sum(extra + extra % 4 + extra % 3 + extra % 2) AS steps,
+@query(f"""WITH {PLAYS_SQL} SELECT (played_at::TIMESTAMP - INTERVAL 7 HOURS)::DATE AS day, count(*) AS plays, sum(extra + extra % 4 + extra % 3 + extra % 2)::BIGINT AS steps,
     round(sum(CASE WHEN l_discount > 0 THEN l_discount END), 4) AS calories FROM plays GROUP BY 1""")
 def a2_f4_day_summary(t: Tables) -> DataFrame:
     q = F.col("extra")
