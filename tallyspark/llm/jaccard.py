@@ -214,8 +214,27 @@ def _match(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def wide_sketch(tokens: np.ndarray) -> bytes:
+    bits = max(SKETCH_BITS, 1 << (4 * len(tokens) - 1).bit_length())
+    place = ((tokens >> U(20)) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two wide sketches; the longer is folded, which never adds to it."""
+    u, v = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(u) != len(v):
+        if len(u) < len(v):
+            u, v = v, u
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
 def _sets_of(docs: DataFrame, wanted: BitFilter, width: int) -> DataFrame:
-    """(set_id, tokens) of the documents that stand for a wanted set; the filter is bounded in size."""
+    """(set_id, n, wide, tokens) of the documents that stand for a wanted set; the filter is bounded in size.
+
+    ``wide`` is a parity sketch of four bits or more a token: a sixteenth of the set's size.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +244,9 @@ def _sets_of(docs: DataFrame, wanted: BitFilter, width: int) -> DataFrame:
                 docs = np.asarray(part.column("id").fill_null(0)).astype(np.int64)
                 use = np.flatnonzero(shared.value.test(s.ids, docs) & (s.sizes > 0))
                 use = use[np.unique(np.stack([s.ids[use], docs[use]], 1), axis=0, return_index=True)[1]] if len(use) else use
-                yield pa.RecordBatch.from_arrays([pa.array(s.ids[use]), pa.array([_blob(s.sets[i]) for i in use], pa.binary())], names=["set_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.ids[use]), pa.array(s.sizes[use]), pa.array([wide_sketch(s.sets[i]) for i in use], pa.binary()), pa.array([_blob(s.sets[i]) for i in use], pa.binary())], names=["set_id", "n", "wide", "tokens"])
 
-    return docs.mapInArrow(run, "set_id long, tokens binary")
+    return docs.mapInArrow(run, "set_id long, n long, wide binary, tokens binary")
 
 
 SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
@@ -262,6 +281,13 @@ def _verify(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, lo
                 ok.append(100 * common >= low * (len(u) + len(v) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [(100 + low) * sketch_distance(u, v) <= (100 - low) * n for u, v, n in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "n")))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    thin = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("n").alias("p"), F.col("wide").alias("u")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("n").alias("q"), F.col("wide").alias("v")), "b")
+    pairs = spill(thin.select("a", "b", "u", "v", (F.col("p") + F.col("q")).alias("n")).mapInArrow(close, "a long, b long"), "close")
     left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("s")), "a")
     full = left.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("t")), "b")
     return spill(full.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "verified")
