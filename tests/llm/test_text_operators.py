@@ -69,14 +69,6 @@ def test_bpe_small_chunks_and_odd_rows(spark, ranks, library):
     assert bpe.encode(odd(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
 
 
-def test_merges_agree(ranks):
-    table = bpe.parse_ranks(ranks)
-    rnd = random.Random(1)
-    pieces = [bytes(rnd.choice(b"aeth \xc3\xa9\x00") for _ in range(rnd.randint(2, 24))) for _ in range(2000)]
-    pieces = [p for p in pieces if p not in table]
-    assert bpe.merge_rows(pieces, bpe.PairTable(table)) == [bpe.merge_long(p, table) for p in pieces]
-
-
 def test_stitch_without_shared_boundary():
     pattern = regex.compile(public_tokenizers.PATTERN)
     text = "x" * 1000 + " y"
