@@ -161,8 +161,9 @@ SORTS = {
 
 
 def sort_bests(bests: DataFrame, mode: str, key: str, goal: int | None = None) -> DataFrame:
-    """Six orders, and "goal" by distance to a target; ties by title in any case, then key; a null level is last."""
+    """Six orders, and "goal" by distance to a target (played and below it); ties by title in any case, then key; a null level is last."""
     if mode == "goal":
+        bests = browse(bests, "goal", goal)
         first = [(F.lit(goal) - F.col("best_score")).asc_nulls_last()]
     else:
         spec = SORTS[mode]
@@ -170,6 +171,21 @@ def sort_bests(bests: DataFrame, mode: str, key: str, goal: int | None = None) -
     return bests.orderBy(*first, F.lower("title").asc_nulls_last(), key)
 
 
+def places(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """The 1-based place of every row of a sorted table.
+
+    Rows are counted within each range of the sort, and the counts before a range are added,
+    so no task holds more than its range; the sort is kept, as both steps read it.
+    """
+    kept = ordered.withColumn("_at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_at", 33)
+    ahead = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ahead.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    rows = kept.withColumn("_part", part).join(F.broadcast(ahead), "_part")
+    return rows.withColumn(name, F.col("_ahead") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_ahead")
+
+
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """A page of rows in a total order; a negative offset or a limit below 1 is refused."""
     if offset < 0 or limit < 1:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scores import clear_class, goal_score, grade, ordinal, CLEAR_ORDER, GRADE_ORDER
@@ -203,14 +203,11 @@ _SORT_SQL = {"title": "", "level_asc": "level ASC NULLS LAST,", "level_desc": "l
 
 @query(BOTH + " " + " UNION ALL ".join(f"SELECT '{m}' AS mode, l_partkey, row_number() OVER (ORDER BY {o} lower(title), l_partkey) AS place FROM enriched QUALIFY place <= 100" for m, o in _SORT_SQL.items()))
 def l3_sort_modes(t: Tables) -> DataFrame:
-    """The first hundred of each order."""
-    out = None
+    """The place of every row in each order."""
+    out, rows = None, enriched(t).select("l_partkey", "title", "level", "best_score", "plays", "last_time").persist()
     for mode in _SORT_SQL:
-        top = A.sort_bests(enriched(t), mode, "l_partkey", 990_000).limit(100)
-        spec = A.SORTS.get(mode)
-        keys = [(F.lit(990_000) - F.col("best_score")).asc_nulls_last()] if mode == "goal" else [spec[0](spec[1])] if spec else []
-        top = top.select(F.lit(mode).alias("mode"), "l_partkey", F.row_number().over(Window.partitionBy(F.lit(mode)).orderBy(*keys, F.lower("title"), "l_partkey")).alias("place"))
-        out = top if out is None else out.unionByName(top)
+        placed = A.places(A.sort_bests(rows, mode, "l_partkey", 990_000).select("l_partkey")).select(F.lit(mode).alias("mode"), "l_partkey", "place")
+        out = placed if out is None else out.unionByName(placed)
     return out
 
 
