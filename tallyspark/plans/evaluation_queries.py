@@ -202,13 +202,13 @@ def songs(t: Tables) -> DataFrame:
 def refs(t: Tables) -> DataFrame:
     k = F.col("l_suppkey") % 4
     status = F.when(k == 0, "auto_confirmed").when(k == 1, "manual_confirmed").when(k == 2, "needs_review").otherwise("unresolved")
-    return t.lineitem.filter("l_partkey % 3 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), F.col("l_partkey").alias("song"), status.alias("status"), F.col("l_returnflag").alias("reason"), F.concat(F.lit("v"), F.col("l_suppkey") % 3).alias("extractor"), F.col("l_suppkey").alias("sk"))
+    return t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), F.col("l_partkey").alias("song"), status.alias("status"), F.col("l_returnflag").alias("reason"), F.concat(F.lit("v"), F.col("l_suppkey") % 3).alias("extractor"), F.col("l_suppkey").alias("sk"))
 
 
 @query(f"""WITH {REFS}, t AS (SELECT rf.*, CASE WHEN rf.song % 5 = 0 THEN 'other' ELSE s.title END AS seen, s.title AS now, coalesce(s.available, false) AS available FROM rf LEFT JOIN (SELECT * FROM s WHERE song % 7 <> 0) s USING (song))
     SELECT ref, song, sk, CASE WHEN NOT available THEN 'orphaned' WHEN extractor <> 'v1' THEN 'stale_extractor' WHEN seen <> now THEN 'identity_drift' ELSE status END AS state FROM t""")
 def j23_f7_reference_state(t: Tables) -> DataFrame:
-    named = refs(t).join(songs(t).select("song", F.col("title").alias("_t")), "song").withColumn("title", F.when(F.col("song") % 5 == 0, "other").otherwise(F.col("_t"))).drop("_t")
+    named = refs(t).join(songs(t).select("song", F.col("title").alias("_t")), "song", "left").withColumn("title", F.when(F.col("song") % 5 == 0, "other").otherwise(F.col("_t"))).drop("_t")
     return V.reference_state(named, songs(t).filter("song % 7 != 0"), "song", F.lit("v1")).select("ref", "song", "sk", "state")
 
 

@@ -1,7 +1,10 @@
 """Queries that once left rows out, against plain Python over whole tables."""
 
+from collections import Counter
+
 from tallyspark import plans
 from tallyspark.operators import analytics as A
+from tallyspark.operators import evaluate as V
 from tests.conftest import SF
 
 
@@ -27,3 +30,32 @@ def test_goal_order_leaves_out_what_is_above(spark):
     rows = spark.createDataFrame([(1, "a", 995_000, 1), (2, "b", 980_000, 1), (3, "c", 900_000, 2), (4, "d", 990_000, 1)], "k int, title string, best_score int, plays int")
     placed = A.places(A.sort_bests(rows.repartition(4), "goal", "k", 990_000)).select("k", "place")
     assert sorted(tuple(r) for r in placed.collect()) == [(2, 1), (3, 2)]
+
+
+def test_references_are_all_lines(spark):
+    queries = plans.queries()
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").collect()
+    status = {0: "auto_confirmed", 1: "manual_confirmed", 2: "needs_review", 3: "unresolved"}
+    seen = Counter(status[r["l_suppkey"] % 4] for r in lines)
+    total = queries["a24_coverage_summary"](spark, SF).first()
+    assert (total["rows"], total["auto"], total["confirmed"]) == (len(lines), seen["auto_confirmed"], seen["auto_confirmed"] + seen["manual_confirmed"])
+    counts = {(r["field"], r["value"]): r["n"] for r in queries["a26_unresolved_summary"](spark, SF).collect()}
+    assert {k: counts["status", k] for k in seen} == seen
+    assert {v: n for (f, v), n in counts.items() if f == "reason"} == Counter(r["l_returnflag"] for r in lines)
+    states = queries["j23_f7_reference_state"](spark, SF).select("ref", "sk").collect()
+    assert Counter(map(tuple, states)) == Counter((r["l_orderkey"] * 10 + r["l_linenumber"], r["l_suppkey"]) for r in lines)
+    played = {r["l_partkey"] for r in lines}
+    covered = queries["j24_coverage"](spark, SF).collect()
+    assert {r["song"]: r["rows"] for r in covered if r["rows"]} == Counter(r["l_partkey"] for r in lines)
+    assert {r["song"] for r in queries["j26_presence"](spark, SF).filter("presence = 'present'").collect()} == played
+
+
+def test_songs_without_references(spark):
+    songs = spark.createDataFrame([(1, "x", True), (2, "x", True), (3, "y", False)], "song int, style string, available boolean")
+    refs = spark.createDataFrame([(1, "auto_confirmed", "R", 1)], "song int, status string, reason string, ref int")
+    found = V.coverage(songs.select("song"), refs, refs.filter("false"), "song", "ref").collect()
+    assert {r["song"]: (r["coverage"], r["rows"]) for r in found} == {1: ("referenced", 1), 2: ("uncollected", 0), 3: ("uncollected", 0)}
+    assert {r["song"]: r["presence"] for r in V.presence(songs, refs, "song", "available").collect()} == {1: "present", 2: "available_only", 3: "absent"}
+    seen = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "obs int, style string")
+    status = {r["obs"]: r["row_status"] for r in V.candidate_coverage(seen, songs, refs, "obs", "song", ["style"]).collect()}
+    assert status == {1: "partial", 2: "none", 3: "no_candidates"}
