@@ -99,7 +99,7 @@ def f5_best_updates(t: Tables) -> DataFrame:
 @query(f"""WITH {PLAYS_SQL}, {PREVIOUS}, r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY {CHRONO_DESC}) AS rn FROM prev)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, played_at, score FROM r WHERE rn <= 20 AND (previous_score IS NULL OR score > previous_score)""")
 def w3_best_points(t: Tables) -> DataFrame:
-    return A.best_points(plays(t), ["l_partkey"], "score", 20).select(*IDS, "played_at", "score")
+    return A.best_points(plays(t), ["l_partkey"], "score").select(*IDS, "played_at", "score")
 
 
 @query(f"""WITH {PLAYS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, extra DESC, {CHRONO_DESC}) AS a,

@@ -59,3 +59,29 @@ def test_songs_without_references(spark):
     seen = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "obs int, style string")
     status = {r["obs"]: r["row_status"] for r in V.candidate_coverage(seen, songs, refs, "obs", "song", ["style"]).collect()}
     assert status == {1: "partial", 2: "none", 3: "no_candidates"}
+
+
+def _points(plays, newest):
+    """Keys of first plays and new bests among the newest, of one part's (order..., score) in order of time."""
+    out, best = [], None
+    for k, play in enumerate(plays):
+        if k >= len(plays) - newest and (best is None or play[-1] > best):
+            out.append(play[:-1])
+        best = play[-1] if best is None else max(best, play[-1])
+    return out
+
+
+def test_best_points_look_at_the_newest_hundred(spark):
+    parts = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect():
+        parts.setdefault(r["l_partkey"], []).append((r["l_shipdate"], r["l_orderkey"], r["l_linenumber"], r["l_suppkey"], int(r["l_extendedprice"]) * 10))
+    wanted = Counter((p[1], p[2], part, p[3]) for part, plays in parts.items() for p in _points(sorted(plays), 100))
+    assert wanted != Counter((p[1], p[2], part, p[3]) for part, plays in parts.items() for p in _points(sorted(plays), 20))
+    found = plans.queries()["w3_best_points"](spark, SF).collect()
+    assert Counter((r["l_orderkey"], r["l_linenumber"], r["l_partkey"], r["l_suppkey"]) for r in found) == wanted
+
+
+def test_best_points_window_bites(spark):
+    data = [(k, f"2024-01-01 {k // 60:02d}:{k % 60:02d}:00", k) for k in range(120)]
+    df = A.with_order(spark.createDataFrame(data, "id int, at string, score int").withColumn("e", F.lit(1)), "at", "id")
+    assert sorted(r["id"] for r in A.best_points(df, ["e"], "score").collect()) == list(range(20, 120))
