@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import BitFilter, GAMMA, U, Words, bucket_count, buffer_of, mix, slices, spill, text_bytes
+from tallyspark.llm.common import BitFilter, GAMMA, U, Words, bucket_count, buffer_of, mix, row_key, slices, spill, text_bytes
 from tallyspark.llm.components import components
 
 GROWTH = 1.6
@@ -362,7 +362,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, low: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; columns as given."""
-    found = jaccard_components(docs, id_col, text_col, width, low)
-    gone = spill(found.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near", narrow=True)
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """``docs`` with one document of each component, that of the smallest id; columns as given.
+
+    Rows are told apart by id and text, so an id with two texts is two documents.  A null
+    id loses every tie; of rows that repeat id and text one stays; texts without words all stay.
+    """
+    keyed = docs.withColumn("_key", row_key(id_col, text_col))
+    found = jaccard_components(keyed, "_key", text_col, width, low).filter("n_shingles > 0")
+    found = found.groupBy(F.col("_key").alias("_of"), "component_id").agg(F.count(F.lit(1)).alias("_n"))
+    ids = keyed.groupBy("_key").agg(F.min(id_col).alias("_id"))
+    placed = spill(found.join(ids, F.col("_of") == F.col("_key")).drop("_key"), "near-placed", narrow=True)
+    order = F.struct(F.col("_id").isNull(), "_id", "_of")
+    stays = placed.groupBy(F.col("component_id").alias("_name")).agg(F.min_by("_of", order).alias("_stays"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    stays = spill(stays.select("_name", "_stays"), "near-stays", narrow=True)
+    gone = placed.join(stays, F.col("component_id") == F.col("_name")).filter("_of != _stays").select(F.col("_of").alias("_gone"))
+    gone = spill(gone, "near", narrow=True)
+    left = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    again = spill(placed.filter("_n > 1").select(F.col("_of").alias("_again")), "near-again", narrow=True)
+    if again.limit(1).count():
+        same = F.col("_key") == F.col("_again")
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["_key"]))
+    return left.select(*docs.columns)
