@@ -155,20 +155,24 @@ def browse(bests: DataFrame, mode: str, value: object, style: str | None = None,
 
 
 SORTS = {
-    "title": [], "level_asc": [F.asc_nulls_last, "level"], "level_desc": [F.desc_nulls_last, "level"],
+    "title": [], "level_asc": [F.asc_nulls_last, "level"], "level_desc": [F.desc_nulls_last, "level"], "score_asc": [F.asc_nulls_last, "best_score"],
     "score_desc": [F.desc_nulls_last, "best_score"], "plays_desc": [F.desc_nulls_last, "plays"], "recent": [F.desc_nulls_last, "last_time"],
 }
 
 
 def sort_bests(bests: DataFrame, mode: str, key: str, goal: int | None = None) -> DataFrame:
-    """Six orders, and "goal" by distance to a target (played and below it); ties by title in any case, then key; a null level is last."""
+    """Seven orders, and "goal" by distance to a target (played and below it); ties by title in any case, then key; a null level is last.
+
+    Rows of one title are ordered by level before key in the title order.
+    """
     if mode == "goal":
         bests = browse(bests, "goal", goal)
         first = [(F.lit(goal) - F.col("best_score")).asc_nulls_last()]
     else:
         spec = SORTS[mode]
         first = [spec[0](spec[1])] if spec else []
-    return bests.orderBy(*first, F.lower("title").asc_nulls_last(), key)
+    tie = [F.asc_nulls_last("level")] if mode == "title" else []
+    return bests.orderBy(*first, F.lower("title").asc_nulls_last(), *tie, key)
 
 
 def places(ordered: DataFrame, name: str = "place") -> DataFrame:

@@ -17,7 +17,7 @@ def test_sort_modes_place_every_row(spark):
         found.setdefault(r["mode"], []).append((r["place"], r["l_partkey"]))
     tie = lambda r: (r["title"].lower(), r["l_partkey"])
     orders = {
-        "title": tie, "score_desc": lambda r: (-r["best_score"], *tie(r)), "plays_desc": lambda r: (-r["plays"], *tie(r)), "goal": lambda r: (990_000 - r["best_score"], *tie(r)),
+        "title": lambda r: (r["title"].lower(), r["level"] is None, r["level"] or 0, r["l_partkey"]), "score_asc": lambda r: (r["best_score"], *tie(r)), "score_desc": lambda r: (-r["best_score"], *tie(r)), "plays_desc": lambda r: (-r["plays"], *tie(r)), "goal": lambda r: (990_000 - r["best_score"], *tie(r)),
         "level_asc": lambda r: (r["level"] is None, r["level"] or 0, *tie(r)), "level_desc": lambda r: (r["level"] is None, -(r["level"] or 0), *tie(r)),
     }
     assert len(rows) > 100 and set(orders) | {"recent"} == set(found)
@@ -33,6 +33,12 @@ def test_goal_order_leaves_out_what_is_above(spark):
     assert sorted(tuple(r) for r in placed.collect()) == [(2, 1), (3, 2)]
 
 
+def test_title_ties_go_by_level(spark):
+    rows = spark.createDataFrame([(1, "a", 9, 30), (2, "A", None, 20), (3, "a", 4, 10)], "k int, title string, level int, best_score int")
+    assert [r["k"] for r in A.sort_bests(rows, "title", "k").collect()] == [3, 1, 2]
+    assert [r["k"] for r in A.sort_bests(rows, "score_asc", "k").collect()] == [3, 2, 1]
+
+
 def test_references_are_all_lines(spark):
     queries = plans.queries()
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").collect()
