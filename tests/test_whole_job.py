@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tallyspark import plans
 from tallyspark.llm import jaccard
 from tallyspark.operators import analytics as A
@@ -100,3 +102,12 @@ def test_keep_one_tells_rows_apart_by_id_and_text(spark):
     kept = jaccard.keep_one(spark.createDataFrame(data, "doc_id long, text string, n int")).collect()
     marks = sorted(r["n"] for r in kept)
     assert [m for m in marks if m not in (3, 4)] == [0, 2, 6, 7, 8, 9] and len({3, 4} & set(marks)) == 1
+
+
+def test_progress_counts_every_played_part(spark):
+    queries = plans.queries()
+    played = {r["l_partkey"] for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect()}
+    parts = {r["p_partkey"] for r in spark.read.parquet(f"{SF}/part.parquet").collect() if r["p_partkey"] % 10}
+    assert {r["l_partkey"] for r in queries["j4_overlay"](spark, SF).filter("plays > 0").collect()} == played
+    total = queries["a5_progress"](spark, SF).agg(F.sum("recorded"), F.sum("unrecorded")).first()
+    assert tuple(total) == (len(played), len(parts - played))
