@@ -7,9 +7,10 @@ Arrow column; a document is a slice ``[off[i], off[i+1])`` of that buffer.
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,21 @@ U = np.uint64
 MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U)
 GAMMA = U(0x9E3779B97F4A7C15)
 #: Texts are worked on in slices of about this many bytes, which bounds a worker's memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Bytes of one bucket of dealt rows, about.
+BUCKET_BYTES = 8 << 20
+#: Runs longer than this are hashed by BLAKE2 as a whole.
+LONG_RUN = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where unset (tests)."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as the session's spark.checkpoint.dir names it.
+
+    It is an error to leave it unset: a folder of one machine would lose rows on a cluster.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -87,6 +93,49 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def release() -> None:
+    """Give freed memory back to the system: idle workers would hold it while other stages run."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its memory back when the task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Indices start[i] .. start[i] + length[i] - 1 of all i, one after the other."""
+    end = np.cumsum(length)
+    return np.repeat(start - (end - length), length) + np.arange(end[-1] if len(end) else 0)
+
+
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end]; ``data`` has 8 bytes more than the last run."""
+    length = end - start
+    loads = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    out = length.astype(U) * GAMMA
+    out = mix(out ^ (loads[start] & MASKS[np.minimum(length, 8)]))
+    for i in np.flatnonzero(length > LONG_RUN):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    live, at = np.flatnonzero((length > 8) & (length <= LONG_RUN)), 8
+    while len(live):
+        out[live] = mix((out[live] + GAMMA) ^ (loads[start[live] + at] & MASKS[np.minimum(length[live] - at, 8)]))
+        at += 8
+        live = live[length[live] > at]
+    return out
+
+
 class Words:
     """Words of a slice of documents: byte bounds, 64-bit hashes, and the first word of each document."""
 
@@ -115,16 +164,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            length = self.end - self.start
-            loads = np.ndarray((self.size + 8,), "<u8", self.data, 0, (1,))
-            out = length.astype(U) * GAMMA
-            out = mix(out ^ (loads[self.start] & MASKS[np.minimum(length, 8)]))
-            live, at = np.flatnonzero(length > 8), 8
-            while len(live):
-                out[live] = mix((out[live] + GAMMA) ^ (loads[self.start[live] + at] & MASKS[np.minimum(length[live] - at, 8)]))
-                at += 8
-                live = live[length[live] > at]
-            self._hash = out
+            self._hash = hash_runs(self.data, self.start, self.end)
         return self._hash
 
 
@@ -137,6 +177,14 @@ def powers(n: int, base: int = 0x5851F42D4C957F2D) -> tuple[np.ndarray, np.ndarr
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def row_key(*cols: str) -> Column:
     """64-bit key of a row's content: equal rows share it, other rows don't."""
     return F.xxhash64(*[F.col(c) for c in cols])
@@ -208,6 +256,6 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)
 
 
-def bucket_count(total_bytes: int, each: int = SLICE_BYTES, least: int = 1024) -> int:
+def bucket_count(total_bytes: int, each: int = BUCKET_BYTES, least: int = 1024) -> int:
     """Buckets grow with the input, so that one bucket's share stays the same."""
     return max(least, -(-total_bytes // each))
