@@ -1,79 +1,130 @@
 """Exact de-duplication with a two-pass Bloom filter, in DataFrame functions only.
 
-Pass 1 reads each text once and keeps (id, length, digest) as a narrow table; from it
-a filter of *repeated* bits is built: every digest sets ``PROBES`` bits, and only bits
-hit by two or more rows stay.  Pass 2 probes it: a row whose bits are all repeated may
-have a partner and is shuffled by digest; every other row passes straight through.
-The filter has at most 2**max_log2_bits bits (32 MB at 28), so it may be broadcast; a
-larger corpus only lets more rows through to the exact step, never fewer.
+Pass 1 reads each text once and keeps (id, size, digest) as a narrow table.  From it a
+filter of *repeated* bits is built: a digest chooses one block of the filter and sets
+``PROBES`` bits in it, and only bits that two or more rows hit stay.  Pass 2 probes it: a
+row whose bits are all repeated may have a partner and is shuffled by digest; every other
+row passes straight through.
+
+The filter has ``BITS_PER_ROW`` bits a row, however many rows there are, in blocks of
+``BITMAP_BITS`` bits.  Its size is known before it is built: up to ``broadcast_bytes`` its
+blocks are broadcast, beyond that they are joined by block, which moves narrow rows only.
+What travels to build it are block and bit numbers, added up before they are shuffled.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import BITMAP_BITS, bit_of, bitmaps, spill
+from tallyspark.llm.common import BITMAP_BITS, spill, unused
 
-PROBES = 2
+PROBES, BITS_PER_ROW = 2, 16
+#: A filter of up to so many bytes is broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Up to so many dropped rows (about 100 bytes each) are broadcast.
+BROADCAST_ROWS = 100_000
 #: Fixed value: characters that don't count when texts are compared.
 IGNORED = " \t\n\x0b\x0c\r"
 
 
 def digest(text: str) -> F.Column:
     """SHA-256 (hex) of the text without white space; null counts as empty."""
-    return F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), IGNORED, ""), 256)
+    return F.sha2(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), IGNORED, ""), 256)
+
+
+def size_of(text: str) -> F.Column:
+    """Code points of the text as it is; null counts as empty."""
+    return F.char_length(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+class RepeatFilter:
+    """Bits that two or more rows of ``facts`` hit by their ``key``, as one bitmap for each block."""
+
+    def __init__(self, facts: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES):
+        self.blocks = max(1, -(-BITS_PER_ROW * facts.count() // BITMAP_BITS))
+        self.small = self.blocks * BITMAP_BITS // 8 <= broadcast_bytes
+        hits = facts.select(self._block(key).alias("block"), F.explode(F.array(*[self._bit(key, k) for k in range(PROBES)])).alias("bit"))
+        again = hits.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        self.table = spill(again.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")), "bloom")
+
+    def _block(self, key: str) -> F.Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.blocks))
+
+    @staticmethod
+    def _bit(key: str, probe: int) -> F.Column:
+        return F.shiftrightunsigned(F.xxhash64(key, F.lit(probe)), 64 - 15)  # BITMAP_BITS is 2 ** 15
+
+    def probe(self, rows: DataFrame, key: str) -> DataFrame:
+        """``rows`` with a boolean ``_maybe``: false only where no other row of the facts has the same key."""
+        side = self.table.select(F.col("block").alias("_block"), F.col("bitmap").alias("_bitmap"))
+        found = rows.join(F.broadcast(side) if self.small else side.hint("merge"), self._block(key) == F.col("_block"), "left")
+        maybe = F.lit(True)
+        for k in range(PROBES):
+            maybe = maybe & _is_set(F.col("_bitmap"), self._bit(key, k).cast("int"))
+        return found.select(*[rows[f"`{c}`"] for c in rows.columns], maybe.alias("_maybe"))
 
 
 def _is_set(bitmap: F.Column, bit: F.Column) -> F.Column:
-    at = F.bitmap_bit_position(bit).cast("int")
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at % 8)) != 0, F.lit(False))
-
-
-def possibly_repeated(facts: DataFrame, key: str, max_log2_bits: int = 28) -> DataFrame:
-    """``facts`` with a boolean ``maybe``: false only where no other row has the same ``key``."""
-    bits = max(int(math.log2(BITMAP_BITS)), min(max_log2_bits, math.ceil(math.log2(max(1, 16 * facts.count())))))
-    hashed = F.xxhash64(key)
-    probes = facts.select(F.explode(F.array(*[bit_of(hashed, k, bits) for k in range(PROBES)])).alias("bit"))
-    again = probes.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    table = spill(bitmaps(again, "bit"), "bloom")
-    out = facts
-    for k in range(PROBES):
-        side = F.broadcast(table.select(F.col("bucket").alias(f"_b{k}"), F.col("bitmap").alias(f"_m{k}")))
-        out = out.withColumn(f"_p{k}", bit_of(hashed, k, bits))
-        out = out.join(side, F.bitmap_bucket_number(f"_p{k}") == F.col(f"_b{k}"), "left")
-    maybe = F.lit(True)
-    for k in range(PROBES):
-        maybe = maybe & _is_set(F.col(f"_m{k}"), F.col(f"_p{k}"))
-    return out.select(*facts.columns, maybe.alias("maybe"))
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_log2_bits: int = 28) -> DataFrame:
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit % 8)) != 0, F.lit(False))
+
+
+def _judge(docs: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> tuple[DataFrame, RepeatFilter]:
+    """Facts (id, size, sha) with ``keep`` and ``most`` (id and size of the row that stays) and ``n`` (rows of the group)."""
+    facts = spill(docs.select(F.col(f"`{id_col}`").alias("id"), size_of(text_col).alias("size"), digest(text_col).alias("sha")), "facts")
+    repeats = RepeatFilter(facts, "sha", broadcast_bytes)
+    probed = repeats.probe(facts, "sha")
+    order = F.struct("size", F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("low"))
+    groups = probed.filter("_maybe").groupBy("sha").agg(F.max_by("id", order).alias("keep"), F.max("size").alias("most"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written out so that both sides of the join below are plain exchanges, which Spark splits where one digest is hot.
+    groups = spill(groups.select(F.col("sha").alias("gsha"), "keep", "most", "n"), "groups")
+    shared = probed.filter("_maybe").join(groups, F.col("sha") == F.col("gsha"), "left")
+    shared = shared.select("id", "size", "sha", F.when(F.col("n") > 1, F.col("keep")).otherwise(F.col("id")).alias("keep"), F.coalesce("most", "size").alias("most"), F.coalesce("n", F.lit(1)).alias("n"))
+    alone = probed.filter("NOT _maybe").select("id", "size", "sha", F.col("id").alias("keep"), F.col("size").alias("most"), F.lit(1).cast("long").alias("n"))
+    return alone.unionByName(shared), repeats
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts (white space apart) the longest original stays, then the smallest id.
     A null text is empty; a null id loses every tie; rows that repeat id and text all
-    count as the one that stays; an empty table gives no rows; other columns are ignored.
+    count as the one that stays; very long texts are read whole and never moved; an empty
+    table gives no rows; other columns are ignored whatever their names.
     """
-    facts = spill(docs.select(F.col(id_col).alias("id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("size"), digest(text_col).alias("sha")), "facts")
-    probed = possibly_repeated(facts, "sha", max_log2_bits)
-    order = F.struct("size", F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("low"))
-    groups = probed.filter("maybe").groupBy("sha").agg(F.max_by("id", order).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Written out so that both sides of the join below are plain exchanges, which Spark splits where one digest is hot.
-    groups = spill(groups.select(F.col("sha").alias("gsha"), "keep", "n"), "groups")
-    rest = probed.filter("maybe").join(groups, F.col("sha") == F.col("gsha"), "left")
-    alone = probed.filter("NOT maybe").withColumns({"gsha": F.lit(None).cast("string"), "keep": F.col("id"), "n": F.lit(1).cast("long")})
-    every = alone.unionByName(rest)
-    grouped = F.coalesce(F.col("n"), F.lit(1)) > 1
-    keep = F.when(grouped, F.col("keep")).otherwise(F.col("id"))
-    return every.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256"))
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that exact_dedup doesn't keep; all columns stay."""
-    gone = exact_dedup(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    gone = spill(gone, "copies")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (digest(text_col) == gone["_sha"]), "left_anti")
+    judged, _ = _judge(docs, id_col, text_col, broadcast_bytes)
+    return judged.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("n").cast("long").alias("group_size"), F.col("keep").eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with one row of each group of equal texts; columns as given.
+
+    As in ``exact_dedup`` the longest original stays, then the smallest id.  Of rows that
+    repeat id, size and normalised text one stays.  Null and empty texts are one group; an
+    empty table stays empty.  Where many rows go, only those that the filter flags are moved.
+    """
+    judged, repeats = _judge(docs, id_col, text_col, broadcast_bytes)
+    groups = judged.filter("n > 1").groupBy("id", "size", "sha").agg(F.count(F.lit(1)).alias("copies"), F.first("keep").alias("keep"), F.first("most").alias("most"))
+    stays = F.col("keep").eqNullSafe(F.col("id")) & (F.col("size") == F.col("most"))
+    groups = spill(groups.select(F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("sha").alias("_sha"), stays.alias("_stays"), "copies"), "copies")
+    gone = groups.filter("NOT _stays").drop("_stays", "copies")
+    again = groups.filter("_stays AND copies > 1").drop("_stays", "copies")
+    sha, size = unused(docs, "tally_sha"), unused(docs, "tally_size")
+    marked = docs.withColumns({sha: digest(text_col), size: size_of(text_col)})
+
+    def same(rows: DataFrame, other: DataFrame) -> F.Column:
+        return (rows[sha] == other["_sha"]) & (rows[size] == other["_size"]) & rows[f"`{id_col}`"].eqNullSafe(other["_id"])
+
+    def settle(rows: DataFrame, mark) -> DataFrame:
+        left = rows.join(mark(gone), same(rows, gone), "left_anti")
+        if again.limit(1).count():
+            twice = left.join(mark(again), same(left, again), "left_semi").dropDuplicates([sha, size])
+            left = left.join(mark(again), same(left, again), "left_anti").unionByName(twice)
+        return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    if groups.count() <= broadcast_rows:
+        return settle(marked, F.broadcast)
+    probed = repeats.probe(marked, sha)
+    alone = probed.filter("NOT _maybe").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return alone.unionByName(settle(probed.filter("_maybe").drop("_maybe"), lambda rows: rows))
