@@ -5,8 +5,9 @@ is filled up like water: each gets its share by weight, what exceeds a child's c
 (tokens times ``max_epochs``) goes to its siblings, and only what all of them together
 can't take stays with the parent, whose own siblings had it before.  All of it is integer
 arithmetic.  A leaf's budget is whole epochs plus a token prefix of one more, in an order
-seeded by epoch.  The prefix is found in two steps, sums of buckets and then rows within
-a bucket, so no leaf, however large, is sorted in one task.
+seeded by epoch: each row has a place, a hash of its id, and the prefix ends at a cut,
+which sums over ever smaller ranges of places find.  No leaf, however large, is sorted in
+one task, and each row is judged by its own place.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import spill
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one bucket of a leaf, about.
-BUCKET_ROWS = 2000
+#: Places have so many bits; up to so many rows of a leaf are put in order together.
+PLACE_BITS, FEW_ROWS = 60, 4096
 DEC = "decimal(38,0)"
 
 
@@ -62,39 +63,85 @@ def allocate(leaves: DataFrame, levels: list[str], weights: dict[str, Column], b
     return plan.withColumn("budget", F.col("_x").cast("long")).drop("_x")
 
 
+def place_of(seed: str, epoch: Column, row_id: Column) -> Column:
+    """Place of a row in an epoch's order: 60 bits of a seeded hash; rows of one id share it."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), epoch, row_id)), 1, 15), 16, 10).cast("long")
+
+
+def _cuts(placed: DataFrame, names: list[str], leaves: DataFrame) -> DataFrame:
+    """``leaves`` with ``_cut``: the last place up to which a leaf's tokens fit into ``_rest``, or -1.
+
+    A leaf's places are cut into 1024 parts and the part in which ``_rest`` is passed is cut
+    again, until those parts hold few rows.  Sums are added up before they are shuffled, and
+    a window holds no more than 1024 parts, or FEW_ROWS rows, of a leaf.
+    """
+    path = [f"_{n}" for n in names]
+    zero = F.lit(0).cast("long")
+    at = leaves.filter("_rest > 0").select(*path, "_rest", zero.alias("_from"), zero.alias("_ahead"))
+    order, width = Window.partitionBy(*path).orderBy("_part"), PLACE_BITS
+    while width:
+        few = width < PLACE_BITS and (at.agg(F.max("_rows")).first()[0] or 0) <= FEW_ROWS
+        shift = 0 if few else width - 10
+        here = [F.col(n) == F.col(f"_{n}") for n in names] + [F.shiftright("_place", width) == F.shiftright("_from", width)]
+        parts = placed.join(at, here).groupBy(*path, "_rest", "_ahead", F.shiftright("_place", shift).alias("_part"))
+        parts = parts.agg(F.sum("n_tokens").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+        parts = parts.withColumn("_upto", F.col("_ahead") + F.sum("_sum").over(order)).filter("_upto > _rest")
+        passed = F.min_by(F.struct((F.col("_upto") - F.col("_sum")).alias("ahead"), F.col("_rows").alias("rows")), "_part")
+        parts = parts.groupBy(*path, "_rest").agg(F.shiftleft(F.min("_part"), shift).alias("_from"), passed.alias("_x"))
+        at = spill(parts.select(*path, "_rest", "_from", F.col("_x.ahead").alias("_ahead"), F.col("_x.rows").alias("_rows")), "mix-at")
+        width = shift
+    cut = at.select(*path, (F.col("_from") - 1).alias("_cut"))
+    return leaves.join(cut, path, "left").withColumn("_cut", F.coalesce("_cut", F.lit(-1).cast("long")))
+
+
+def _plan(facts: DataFrame, names: list[str], weights: dict[str, Column], share: tuple[int, int], max_epochs: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """``facts`` (id, levels, n_tokens) with their place, and the leaves: budget, epochs and the last place of the prefix."""
+    leaves = facts.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
+    leaves = spill(leaves.withColumn("capacity", F.col("tokens") * max_epochs), "mix-leaves")
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    plan = allocate(leaves, names, weights, F.lit(int(total) * share[0] // share[1]))
+    some = F.col("tokens") > 0
+    epochs = F.when(some, F.expr("budget div nullif(tokens, 0)")).otherwise(0).cast("long")
+    rest = F.when(some, F.expr("budget % nullif(tokens, 0)")).otherwise(0).cast("long")
+    plan = spill(plan.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("budget").alias("_budget"), epochs.alias("_epochs"), rest.alias("_rest")), "mix-plan")
+    placed = facts.join(plan.drop("_budget", "_rest"), [F.col(n) == F.col(f"_{n}") for n in names])
+    placed = spill(placed.select("_id", *names, "n_tokens", place_of(seed, F.col("_epochs"), F.col("_id")).alias("_place")), "mix-placed")
+    return placed, spill(_cuts(placed, names, plan), "mix-cuts")
+
+
 def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column], tokens: Column, id_col: str = "doc_id", share: tuple[int, int] = (1, 1), max_epochs: int = 4, seed: str = "1") -> DataFrame:
     """Per row: id, the levels, n_tokens, leaf_budget, copies (how often the document is taken).
 
     The budget is ``share`` (numerator, denominator) of all tokens.  Null level names are
-    empty names; texts without tokens cost nothing and are taken with whole epochs only;
-    repeated rows are taken or left one by one; an empty table gives no rows.
+    empty names; null and empty texts have no tokens, cost nothing and are taken with whole
+    epochs only; very long texts are counted where they are read; rows of one id in a leaf
+    share a place and are taken or left together; an empty table gives no rows; other
+    columns are ignored whatever their names.
     """
     names = list(levels)
     facts = spill(docs.select(F.col(id_col).alias("_id"), *[F.coalesce(c, F.lit("")).alias(n) for n, c in levels.items()], tokens.alias("n_tokens")), "mix-facts")
-    leaves = facts.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
-    leaves = spill(leaves.withColumn("capacity", F.col("tokens") * max_epochs), "mix-leaves")
-    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    plan = allocate(leaves, names, weights, F.lit(int(total) * share[0] // share[1]))
-    some = F.col("tokens") > 0
-    plan = plan.withColumns({
-        "_epochs": F.when(some, F.expr("budget div nullif(tokens, 0)")).otherwise(0).cast("long"),
-        "_rest": F.when(some, F.expr("budget % nullif(tokens, 0)")).otherwise(0).cast("long"),
-        "_wide": F.expr(f"1152921504606846975 div greatest(1, rows div {BUCKET_ROWS}) + 1"),
-    })
-    plan = spill(plan.select(*[F.col(n).alias(f"_{n}") for n in names], "budget", "_epochs", "_rest", "_wide"), "mix-plan")
-    joined = facts.join(plan, [F.col(n) == F.col(f"_{n}") for n in names])
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("_epochs"), F.col("_id"))), 1, 15), 16, 10).cast("long")
-    placed = joined.withColumn("_place", place).withColumn("_bucket", F.expr("_place div _wide"))
-    placed = spill(placed.select("_id", *names, "n_tokens", "budget", "_epochs", "_rest", "_place", "_bucket"), "mix-placed")
-    sums = placed.groupBy(*names, "_bucket").agg(F.sum("n_tokens").alias("_sum"))
-    ahead = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
-    sums = spill(sums.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("_bucket").alias("_b"), "_ahead"), "mix-sums")
-    rows = placed.join(sums, [*[F.col(n) == F.col(f"_{n}") for n in names], F.col("_bucket") == F.col("_b")])
-    within = Window.partitionBy(*names, "_bucket").orderBy("_place", "_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("_ahead") + F.sum("n_tokens").over(within)
-    more = ((upto <= F.col("_rest")) & (F.col("n_tokens") > 0)).cast("long")
-    return rows.select(F.col("_id").alias(id_col), *names, "n_tokens", F.col("budget").alias("leaf_budget"), (F.col("_epochs") + more).alias("copies"))
+    placed, leaves = _plan(facts, names, weights, share, max_epochs, seed)
+    rows = placed.join(leaves, [F.col(n) == F.col(f"_{n}") for n in names])
+    more = ((F.col("_place") <= F.col("_cut")) & (F.col("n_tokens") > 0)).cast("long")
+    return rows.select(F.col("_id").alias(id_col), *names, "n_tokens", F.col("_budget").alias("leaf_budget"), (F.col("_epochs") + more).alias("copies"))
+
+
+def keep_mixed_sources(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column], tokens: Column, id_col: str = "doc_id", share: tuple[int, int] = (1, 1), max_epochs: int = 1, seed: str = "1") -> DataFrame:
+    """``docs`` with each row as often as ``mix_sources`` takes it; columns as given.
+
+    A row is judged by its own place and its leaf's cut, so no text is moved or joined back.
+    """
+    names = list(levels)
+    cols = [F.coalesce(c, F.lit("")).alias(n) for n, c in levels.items()]
+    facts = spill(docs.select(F.col(id_col).alias("_id"), *cols, tokens.alias("n_tokens")), "mix-facts")
+    _, leaves = _plan(facts, names, weights, share, max_epochs, seed)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), *cols, (tokens > 0).alias("_some"))
+    rows = rows.join(leaves, [F.col(n) == F.col(f"_{n}") for n in names])
+    more = ((place_of(seed, F.col("_epochs"), F.col("_id")) <= F.col("_cut")) & F.col("_some")).cast("long")
+    rows = rows.withColumn("_copies", (F.col("_epochs") + more).cast("int")).filter("_copies > 0")
+    if max_epochs > 1:
+        rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 #: Production weights of the registered query: integers, by name.
@@ -119,15 +166,9 @@ def mix_documents(docs: DataFrame, share: tuple[int, int] = (1, 1), max_epochs:
 def keep_mixed(docs: DataFrame, share: tuple[int, int] = (9, 10), max_epochs: int = 1) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns as given.
 
-    The choice is joined back on the id; ids of this table are unique, as every stage
-    before it keeps them so.  Rows of one id are taken as often as the first of them.
+    What ``mix_sources`` states of nulls, empty and long texts and repeated rows holds here too.
     """
-    chosen = mix_documents(docs, share, max_epochs).filter("copies > 0").groupBy(F.col("doc_id").alias("_mixed")).agg(F.max("copies").alias("_copies"))
-    chosen = spill(chosen, "mix-chosen")
-    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_mixed")))
-    if max_epochs > 1:
-        rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return rows.select(*[docs[c] for c in docs.columns])
+    return keep_mixed_sources(docs, document_levels(), document_weights(), count_words(F.col("text")), share=share, max_epochs=max_epochs)
 
 
 def _level_sql(path: list[str], source: str, weight: str) -> str:
