@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import slices
+from tallyspark.llm.common import lean, slices
 
 #: Fixed values of ISO/IEC 13818-1.
 PACKET, BODY, SYNC, PAT_PID = 188, 184, 0x47, 0
@@ -116,11 +116,28 @@ def _tables(rows: np.ndarray, pids: np.ndarray) -> int | None:
     return (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2] if len(pmt) >= at + 5 else None
 
 
+def _repeats(rows: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Packets that repeat the one before, which is allowed once: all bytes are the same but for the programme clock."""
+    same = rows[1:] == rows[:-1]
+    clock = flags & 0x10 > 0
+    same[:, 6:12] |= (clock[1:] & clock[:-1])[:, None]
+    again = np.concatenate(([False], same.all(1)))
+    for k in np.flatnonzero(again):
+        again[k] = not again[k - 1]
+    return again
+
+
 def demux(stream: bytes) -> dict:
-    """payload, pts (one per PES), random_access (packet numbers), packets, gaps (continuity errors), intact."""
+    """payload, stamps, random_access (packet numbers), packets, repeats, gaps (continuity errors) and intact.
+
+    ``stamps`` has (packet, pts, random_access) for every PES packet with a timestamp: the
+    number of the transport packet that it begins in, and whether that packet is a
+    random-access point.  A packet that repeats the one before is dropped and counted; a
+    jump of the counter is no error where the packet flags a discontinuity.
+    """
     whole = len(stream) // PACKET
     rows = np.frombuffer(stream, np.uint8, whole * PACKET).reshape(whole, PACKET)
-    found = {"payload": b"", "pts": [], "random_access": [], "packets": whole, "gaps": 0, "intact": False}
+    found = {"payload": b"", "stamps": [], "random_access": [], "packets": whole, "repeats": 0, "gaps": 0, "intact": False}
     if not whole or len(stream) % PACKET or (rows[:, 0] != SYNC).any():
         return found
     pids = (rows[:, 1].astype(np.int64) & 0x1F) << 8 | rows[:, 2]
@@ -128,30 +145,32 @@ def demux(stream: bytes) -> dict:
     if pid is None:
         return found
     own = np.flatnonzero((pids == pid) & (rows[:, 3] & 0x10 > 0))
+    flags = np.where((rows[own, 3] & 0x20 > 0) & (rows[own, 4] > 0), rows[own, 5], 0)
+    once = ~_repeats(rows[own], flags) if len(own) else np.zeros(0, bool)
+    found["repeats"] = int(len(own) - once.sum())
+    own, flags = own[once], flags[once]
     mine = rows[own]
-    counters = mine[:, 3].astype(np.int64) & 15
-    found["gaps"] = int(np.count_nonzero(np.diff(counters) % 16 != 1))
-    field = mine[:, 3] & 0x20 > 0
-    begin = np.where(field, 5 + mine[:, 4].astype(np.int64), 4)
-    flags = np.where(field & (mine[:, 4] > 0), mine[:, 5], 0)
-    found["random_access"] = own[flags & 0x40 > 0].tolist()
+    jumps = np.diff(mine[:, 3].astype(np.int64) & 15) % 16 != 1
+    found["gaps"] = int(np.count_nonzero(jumps & (flags[1:] & 0x80 == 0)))
+    begin = np.where(mine[:, 3] & 0x20 > 0, 5 + mine[:, 4].astype(np.int64), 4)
+    random = flags & 0x40 > 0
+    found["random_access"] = own[random].tolist()
     # All payload bytes in order, with packets that have no adaptation field copied as one block.
     keep = np.arange(PACKET) >= begin[:, None]
-    size = PACKET - begin
     data = mine[keep]
-    starts = np.concatenate(([0], np.cumsum(size)))[:-1][mine[:, 1] & 0x40 > 0]
+    heads = np.flatnonzero(mine[:, 1] & 0x40 > 0)
+    starts = np.concatenate(([0], np.cumsum(keep.sum(1))))[heads]
     parts, whole_units = [], found["gaps"] == 0
-    for a, b in zip(starts, np.append(starts[1:], len(data))):
+    for head, a, b in zip(heads, starts, np.append(starts[1:], len(data))):
         pes = data[a:b]
         if len(pes) < 9 or pes[:3].tobytes() != b"\x00\x00\x01":
             whole_units = False
             continue
-        head = 9 + int(pes[8])
         length = int(pes[4]) << 8 | int(pes[5])
         whole_units &= 6 + length == len(pes)
-        if pes[7] & 0x80:
-            found["pts"].append(_read_stamp(pes[9:14]))
-        parts.append(pes[head:].tobytes())
+        if pes[7] & 0x80 and len(pes) >= 14:
+            found["stamps"].append({"packet": int(own[head]), "pts": _read_stamp(pes[9:14]), "random_access": bool(random[head])})
+        parts.append(pes[9 + int(pes[8]) :].tobytes())
     found["payload"], found["intact"] = b"".join(parts), bool(whole_units)
     return found
 
@@ -162,35 +181,51 @@ def padded(text: bytes, unit: int = 64) -> bytes:
 
 
 def to_media(docs: DataFrame, text_col: str = "text", into: str = "media") -> DataFrame:
-    """All columns of ``docs`` and the transport stream of the padded text (null: empty)."""
+    """All columns of ``docs`` and the transport stream of the padded text; a column called ``into`` is replaced.
+
+    Null and empty texts are 64 zero bytes; equal texts give equal streams; a very long text
+    is one stream; an empty table gives no rows.
+    """
+    kept = [c for c in docs.columns if c != into or c == text_col]
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                texts = part.column(part.schema.get_field_index(text_col)).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([mux(padded(t.as_py() or b"")) for t in texts], pa.binary())], names=[*part.schema.names, into])
+                texts = part.column(kept.index(text_col)).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([mux(padded(t.as_py() or b"")) for t in texts], pa.binary())], names=[*kept, into])
 
-    return docs.mapInArrow(run, f"{schema}, `{into}` binary")
+    if into == text_col:
+        raise ValueError("the stream can't take the text's place")
+    return docs.mapInArrow(lean(run), f"{schema}, `{into}` binary")
 
 
-PARSED = "payload binary, pts array<bigint>, random_access array<bigint>, packets bigint, gaps bigint, intact boolean"
+PARSED = "payload binary, stamps array<struct<packet: bigint, pts: bigint, random_access: boolean>>, random_access array<bigint>, packets bigint, repeats bigint, gaps bigint, intact boolean"
+NAMES = ("payload", "stamps", "random_access", "packets", "repeats", "gaps", "intact")
 
 
 def from_media(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """All columns of ``media`` and what demux() finds, as columns; a null or damaged stream is not intact."""
+    """All columns of ``media`` and what demux() finds, as columns; columns of those names are replaced.
+
+    A null, empty or damaged stream is not intact; repeated rows repeat; an empty table gives no rows.
+    """
+    if media_col in NAMES:
+        raise ValueError(f"{media_col} would be replaced")
+    kept = [c for c in media.columns if c not in NAMES]
+    media = media.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join(f"`{c}` {t}" for c, t in media.dtypes)
-    kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_()]
-    names = [p.split()[0] for p in PARSED.split(", ")]
+    stamp = pa.struct([("packet", pa.int64()), ("pts", pa.int64()), ("random_access", pa.bool_())])
+    kinds = [pa.binary(), pa.list_(stamp), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, media_col):
-                found = [demux(m.as_py() or b"") for m in part.column(part.schema.get_field_index(media_col))]
-                new = [pa.array([f[n] for f in found], k) for n, k in zip(names, kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
+                found = [demux(m.as_py() or b"") for m in part.column(kept.index(media_col))]
+                new = [pa.array([f[n] for f in found], k) for n, k in zip(NAMES, kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*kept, *NAMES])
 
-    return media.mapInArrow(run, f"{schema}, {PARSED}")
+    return media.mapInArrow(lean(run), f"{schema}, {PARSED}")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,11 +233,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     The payload is what was read back.  The feature lists packets, PES packets, last
     timestamp, random-access points, continuity gaps and whether the stream is intact.
+    Nulls count as empty, repeated rows repeat, other columns are ignored, and an empty
+    table gives no rows.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(text_col, F.lit(""))).alias("size"), F.coalesce(text_col, F.lit("")).alias("text"))
     read = from_media(to_media(texts, "text").select("id", "size", "media"))
-    last = F.coalesce(F.array_max("pts"), F.lit(0))
-    feature = F.concat_ws(";", *[F.concat(F.lit(f"{n}="), c.cast("string")) for n, c in (("packets", F.col("packets")), ("pes", F.size("pts")), ("last_pts", last), ("random_access", F.size("random_access")), ("gaps", F.col("gaps")), ("intact", F.col("intact")))])
+    last = F.coalesce(F.array_max("stamps.pts"), F.lit(0))
+    facts = (("packets", F.col("packets")), ("pes", F.size("stamps")), ("last_pts", last), ("random_access", F.size("random_access")), ("gaps", F.col("gaps")), ("intact", F.col("intact")))
+    feature = F.concat_ws(";", *[F.concat(F.lit(f"{n}="), c.cast("string")) for n, c in facts])
     tail = F.substring("payload", F.lit(-64), F.lit(64))
     return read.select(
         F.col("id").alias(id_col), F.col("size").cast("long").alias("n_bytes"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
