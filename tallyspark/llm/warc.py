@@ -3,7 +3,7 @@
 ``write_archives`` makes one file per partition as *one* gzip stream, as many producers
 do; such a file can't be entered in the middle.  ``normalise`` inflates each once, in
 bounded blocks, rewrites every record as its own gzip member and writes a sidecar index
-(offset, length) beside it.  ``read_archives`` opens members by that index.  Files live in
+(offset, length) beside it.  ``read_archives`` opens members by that sidecar.  Files live in
 a folder that all executors share, by way of pyarrow's filesystems; names depend on the
 partition alone and a file appears under its name only when complete, so a task that runs
 again after a lost executor replaces its own file.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import os
 import uuid
@@ -25,24 +26,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import shared_dir, spill
+from tallyspark.llm.common import lean, shared_dir, spill
 
 BLOCK = 1 << 20
+#: WARC-Date of tables that have no time of capture.
+CAPTURED = "2000-01-01T00:00:00Z"
+#: Payload bytes of one batch that is read back, about.
+BATCH_BYTES = 4 << 20
 
 
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, key: int | None, uri: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has the headers of its payload but no block."""
+def record(kind: str, key: int | None, uri: str | None, payload: bytes, refers_to: int | None, name: str, captured: str) -> bytes:
+    """One WARC/1.1 record called ``name``; a revisit has the headers of its payload but no block.
+
+    Page ids may repeat, so they stand in headers of their own and not in the record's id.
+    """
     body = payload if kind == "response" else b""
-    name = "null" if key is None else str(key)
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:warc:{name}>", f"WARC-Date: {captured}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"X-Payload-Length: {len(payload)}"]
+    if key is not None:
+        head.append(f"X-Page-ID: {key}")
     if uri is not None:
         head.append("WARC-Target-URI: " + json.dumps(uri)[1:-1])
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     return ("\r\n".join([*head, f"Content-Length: {len(body)}"]) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
 
 
@@ -72,14 +81,19 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def inflate(source, size: int = BLOCK) -> Iterator[bytes]:
-    """A gzip file of one or more members, block by block."""
+    """A gzip file of one or more members, in blocks of ``size`` bytes at most; one that ends inside a member is an error."""
     engine = zlib.decompressobj(31)
     while raw := source.read(size):
-        while raw:
-            yield engine.decompress(raw)
-            raw = engine.unused_data
-            if raw:
+        while True:
+            if engine.eof:
                 engine = zlib.decompressobj(31)
+            out = engine.decompress(raw, size)
+            yield out
+            raw = engine.unused_data if engine.eof else engine.unconsumed_tail
+            if not raw and (engine.eof or len(out) < size):
+                break
+    if not engine.eof:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -120,30 +134,41 @@ def decide_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str
     return joined.select(*[pages[c] for c in pages.columns], F.when(~F.col("_keep").eqNullSafe(F.col(id_col)), F.col("_keep")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write ``folder``/part-N.warc.gz, one gzip stream each; one row (file, records) per file.  Null payloads are empty."""
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", captured: str = CAPTURED) -> DataFrame:
+    """Write ``folder``/part-N.warc.gz, one gzip stream each; one row (file, records) per file.
+
+    Null payloads are empty; a very long one is written whole; repeated rows are records of
+    their own; an empty table gives files without records.  ``captured`` is the WARC-Date.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _place(folder)
-        name, count = f"part-{TaskContext.get().partitionId():06d}.warc.gz", 0
-        with _Complete(fs, f"{path}/{name}") as out:
+        part, count = f"part-{TaskContext.get().partitionId():06d}", 0
+        with _Complete(fs, f"{path}/{part}.warc.gz") as out:
             engine = zlib.compressobj(6, zlib.DEFLATED, 31)
             for batch in batches:
                 for key, url, payload, refers in zip(*(batch.column(c) for c in ("id", "url", "payload", "refers_to"))):
                     refers = refers.as_py()
-                    out.write(engine.compress(record("response" if refers is None else "revisit", key.as_py(), url.as_py(), (payload.as_py() or "").encode(), refers)))
+                    kind = "response" if refers is None else "revisit"
+                    out.write(engine.compress(record(kind, key.as_py(), url.as_py(), (payload.as_py() or "").encode(), refers, f"{part}:{count}", captured)))
                     count += 1
             out.write(engine.flush())
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], names=["file", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"{part}.warc.gz"]), pa.array([count], pa.int64())], names=["file", "records"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), F.col("refers_to").cast("long").alias("refers_to"))
-    return spill(rows.mapInArrow(run, "file string, records long"), "archives")
+    return spill(rows.mapInArrow(lean(run), "file string, records long"), "archives")
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """One task for each file, up to a bound."""
+    return files.select("file").repartition(max(1, min(files.count(), 100_000)), "file")
 
 
 def normalise(files: DataFrame, folder: str, into: str) -> DataFrame:
     """Rewrite each of ``files`` (column file) of ``folder`` with one member per record, with a sidecar .index beside it.
 
-    Gives the index: (file, n, offset, length) per record.
+    A line of the sidecar has offset, length, type and id of a record.  One record and one
+    block are held at a time.  Gives (file, records); a file that is cut off is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,62 +176,68 @@ def normalise(files: DataFrame, folder: str, into: str) -> DataFrame:
         to_fs, to = _place(into)
         for batch in batches:
             for name in batch.column("file").to_pylist():
-                at, rows = 0, []
+                at, count = 0, 0
                 with fs.open_input_stream(f"{path}/{name}", compression=None) as source, _Complete(to_fs, f"{to}/{name}") as out, _Complete(to_fs, f"{to}/{name}.index") as index:
                     for found, raw in records(inflate(source)):
                         engine = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = engine.compress(raw) + engine.flush()
                         out.write(member)
                         index.write(f"{at} {len(member)} {found['WARC-Type']} {found['WARC-Record-ID']}\n".encode())
-                        rows.append((at, len(member)))
-                        at += len(member)
-                offsets, lengths = zip(*rows) if rows else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=["file", "n", "offset", "length"])
+                        at, count = at + len(member), count + 1
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], names=["file", "records"])
 
-    work = max(1, min(files.count(), 100_000))
-    return spill(files.select("file").repartition(work, "file").mapInArrow(run, "file string, n long, offset long, length long"), "index")
+    return spill(_dealt(files).mapInArrow(lean(run), "file string, records long"), "members")
 
 
-def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """(id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every indexed member; a damaged one raises."""
+def read_member(source, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """Headers and block of the record in one member; a response whose payload lacks its digest is an error."""
+    source.seek(offset)
+    raw = zlib.decompress(source.read(length), 31)
+    found = headers(raw[: raw.index(b"\r\n\r\n")])
+    body = raw[len(raw) - 4 - int(found["Content-Length"]) : len(raw) - 4]
+    if found["WARC-Type"] == "response" and f"sha1:{base32_sha1(body)}" != found["WARC-Payload-Digest"]:
+        raise ValueError(f"the payload of {found['WARC-Record-ID']} doesn't have its digest")
+    return found, body
 
-    def number(urn: str | None) -> int | None:
-        text = urn.removeprefix("<urn:page:").removesuffix(">") if urn else "null"
-        return None if text == "null" else int(text)
 
+def read_archives(files: DataFrame, folder: str) -> DataFrame:
+    """(id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every member that the files' sidecars list.
+
+    Empty payloads are empty bytes, a null id or url stays null, repeated records repeat,
+    and files without records give no rows; batches hold about BATCH_BYTES, or one record.
+    """
     schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
+    def whole(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _place(folder)
-        name, source = None, None
-        for batch in batches:
-            rows = []
-            for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))):
-                if file != name:
-                    if source is not None:
-                        source.close()
-                    name, source = file, fs.open_input_file(f"{path}/{file}")
-                source.seek(offset)
-                raw = zlib.decompress(source.read(length), 31)
-                found = headers(raw[: raw.index(b"\r\n\r\n")])
-                size = int(found["Content-Length"])
-                body = raw[len(raw) - 4 - size : len(raw) - 4]
-                digest = found["WARC-Payload-Digest"].removeprefix("sha1:")
-                if found["WARC-Type"] == "response" and base32_sha1(body) != digest:
-                    raise ValueError(f"{file} at {offset}: the payload doesn't have its digest")
-                url = found.get("WARC-Target-URI")
-                rows.append((number(found["WARC-Record-ID"]), None if url is None else json.loads(f'"{url}"'), int(found["X-Payload-Length"]), digest, found["WARC-Type"], number(found.get("WARC-Refers-To")), body))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)] if rows else [pa.array([], t.type) for t in schema], schema=schema)
-        if source is not None:
-            source.close()
-
-    return index.select("file", "offset", "length").mapInArrow(run, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+        for name in (n for batch in batches for n in batch.column("file").to_pylist()):
+            rows, held = [], 0
+            with fs.open_input_file(f"{path}/{name}") as source, fs.open_input_stream(f"{path}/{name}.index") as index:
+                for line in io.BufferedReader(index):
+                    found, body = read_member(source, *map(int, line.split()[:2]))
+                    key, url, refers = (found.get(k) for k in ("X-Page-ID", "WARC-Target-URI", "X-Refers-To-Page"))
+                    rows.append((key and int(key), None if url is None else json.loads(f'"{url}"'), int(found["X-Payload-Length"]), found["WARC-Payload-Digest"].removeprefix("sha1:"), found["WARC-Type"], refers and int(refers), body))
+                    held += len(body) + 200
+                    if held >= BATCH_BYTES:
+                        yield whole(rows)
+                        rows, held = [], 0
+            if rows:
+                yield whole(rows)
+
+    return _dealt(files).mapInArrow(lean(run), "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
-    """Pages -> archives -> normalised archives -> what they hold, without the payloads themselves."""
+    """Pages -> archives -> normalised archives -> what they hold, without the payloads themselves.
+
+    Null payloads are empty, very long ones one record; of rows that repeat the largest id
+    of a payload all are responses; a null id revisits; an empty table gives no rows.
+    """
     root = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     chosen = decide_revisits(pages.select(id_col, url_col, payload_col), id_col, payload_col, least)
     files = write_archives(chosen, f"{root}/whole", id_col, url_col, payload_col)
-    index = normalise(files, f"{root}/whole", f"{root}/members")
-    return read_archives(index, f"{root}/members").select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    members = normalise(files, f"{root}/whole", f"{root}/members")
+    return read_archives(members, f"{root}/members").select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
