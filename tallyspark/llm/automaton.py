@@ -281,13 +281,24 @@ def scan(dfa: Dfa, data: np.ndarray, lanes: int = 4096) -> tuple[np.ndarray, np.
     return place[inside].astype(np.int64), dfa.accepts[state[inside].astype(np.int64)]
 
 
-def longest(dfa: Dfa, data: bytes, at: int) -> int:
-    """End of the longest match of an anchored automaton from ``at``; -1 without one."""
-    state, best, step, accepts, dead = 0, -1, dfa.step, dfa.accepts, dfa.dead
+def alive(dfa: Dfa) -> np.ndarray:
+    """For each state a bit set of the rules that still accept there or further on."""
+    step = dfa.step.reshape(-1, 256) // 256
+    found = dfa.accepts.copy()
+    while True:
+        more = found | np.bitwise_or.reduce(found[step], 1)
+        if np.array_equal(more, found):
+            return found
+        found = more
+
+
+def longest(dfa: Dfa, live: np.ndarray, data: bytes, at: int, bit: int) -> int:
+    """End of the longest match of one rule of an anchored automaton from ``at``; -1 without one."""
+    state, best, step, accepts = 0, -1, dfa.step, dfa.accepts
     for i in range(at, len(data)):
         state = int(step[state * 256 + data[i]]) // 256
-        if state == dead:
+        if not live[state] & bit:
             break
-        if accepts[state]:
+        if accepts[state] & bit:
             best = i + 1
     return best

@@ -1,9 +1,10 @@
 """Secret scans: all rules in one automaton, one pass over the bytes.
 
 The rules, read backwards, become one minimal search automaton; a single pass from the
-end of a batch marks for every rule each byte at which a match starts.  From the leftmost
-such start the rule's own automaton runs forward to the longest end, and the search goes
-on behind it.  For these rules that is the leftmost, non-overlapping match of a regex.
+end of a batch marks for every rule each byte at which a match starts.  Only the bytes of
+matches are read again: from the leftmost start the same rules' anchored automaton, one
+for all of them too, runs to the longest end, and the search goes on behind it.  For these
+rules that is the leftmost, non-overlapping match of a regex.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.automaton import Dfa, compile_rules, longest, scan
-from tallyspark.llm.common import buffer_of, slices
+from tallyspark.llm.automaton import Dfa, alive, compile_rules, longest, scan
+from tallyspark.llm.common import buffer_of, lean, slices
 
 
 @dataclass(frozen=True)
@@ -51,19 +52,21 @@ def _value_length(text: bytes, signs: str) -> int:
     return len(text) - at - (text[at : at + 1] in (b'"', b"'"))
 
 
-_compiled: dict[tuple[Rule, ...], tuple[Dfa, list[Dfa]]] = {}
+_compiled: dict[tuple[Rule, ...], tuple[Dfa, Dfa, np.ndarray]] = {}
 
 
-def automata(rules: tuple[Rule, ...]) -> tuple[Dfa, list[Dfa]]:
-    """The combined backward search automaton and each rule's forward one, made once a process."""
+def automata(rules: tuple[Rule, ...]) -> tuple[Dfa, Dfa, np.ndarray]:
+    """The combined backward search automaton, the combined anchored one and its live rules, made once a process."""
     if rules not in _compiled:
-        _compiled[rules] = compile_rules([r.regex for r in rules], backwards=True, search=True), [compile_rules([r.regex]) for r in rules]
+        sources = [r.regex for r in rules]
+        anchored = compile_rules(sources)
+        _compiled[rules] = compile_rules(sources, backwards=True, search=True), anchored, alive(anchored)
     return _compiled[rules]
 
 
 def spans_of(buf: np.ndarray, off: np.ndarray, rules: tuple[Rule, ...]) -> list[list[tuple[int, int, int]]]:
     """For each document of a slice its (start, rule number, end) in bytes, sorted."""
-    backward, forward = automata(rules)
+    backward, forward, live = automata(rules)
     lo, n = int(off[0]), len(off) - 1
     # One byte that no UTF-8 text has stands between documents, so that no match crosses.
     cut = off - lo + np.arange(n + 1)
@@ -84,7 +87,7 @@ def spans_of(buf: np.ndarray, off: np.ndarray, rules: tuple[Rule, ...]) -> list[
             for start in here[mark >> k & 1 > 0].tolist():
                 if start < behind:
                     continue
-                behind = longest(forward[k], text, start)
+                behind = longest(forward, live, text, start, 1 << k)
                 size = _value_length(text[start:behind], rule.value) if rule.value else behind - start
                 if size >= rule.least:
                     out[d].append((start, k, behind))
@@ -95,7 +98,8 @@ def spans_of(buf: np.ndarray, off: np.ndarray, rules: tuple[Rule, ...]) -> list[
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, spans array<struct<kind, start, end>>) of every row, by start, then rule order; ends exclusive, in code points.
 
-    Null and empty texts have no spans; repeated rows repeat; an empty table gives no rows.
+    Null and empty texts have no spans; repeated rows repeat; a very long text is scanned
+    whole; columns of other names, ``spans`` too, are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +115,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, kind)], names=["id", "spans"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = texts.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    found = texts.mapInArrow(lean(run), f"id {dict(docs.dtypes)[id_col]}, spans array<struct<kind: string, start: bigint, end: bigint>>")
     return found.withColumnRenamed("id", id_col)
 
 
