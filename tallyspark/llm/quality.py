@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Words, buffer_of, slices
+from tallyspark.llm.common import Words, buffer_of, lean, slices, unused
 
 #: At most so many labelled rows are used to fit.
 TRAIN_ROWS = 20_000
@@ -160,34 +160,47 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Trees:
     """Fit on at most ``train_rows`` labelled rows, chosen by the hash of their id, none of them held out.
 
-    Rows with a null id or label are passed over.  The same rows give the same trees.
+    Rows with a null id or label are passed over.  The same rows give the same trees.  Of
+    document rows with one id the one with the least statistics counts, so that the driver
+    gets no more rows than labels.  Without usable labels the score is one constant.
     """
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(train_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
-    x = texts.mapInArrow(_featurise, f"id {dict(docs.dtypes)[id_col]}, x array<double>").toPandas()
+    x = texts.mapInArrow(lean(_featurise), f"id {dict(docs.dtypes)[id_col]}, x array<double>").groupBy("id").agg(F.min("x").alias("x")).toPandas()
     y = chosen.toPandas()
     both = x.merge(y, on="id") if len(x) else x.assign(y=[])
     both = both.assign(_key=both["x"].map(tuple)).sort_values(["id", "y", "_key"]) if len(both) else both
     return fit(np.array(both["x"].tolist(), float).reshape(-1, len(NAMES)), both["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the score (0 to 1) appended.  Null and empty texts score too."""
+def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", into: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the score (0 to 1) appended as ``into``, which must be a new name.
+
+    Null and empty texts score too; repeated rows score alike; a very long text is read whole.
+    """
+    at = docs.columns.index(text_col)
+    if unused(docs, into) != into:
+        raise ValueError(f"there is a column {into} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                s = trees.score(statistics(*buffer_of(part.column(part.schema.get_field_index(text_col)))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], names=[*part.schema.names, "_tally_quality"])
+                s = trees.score(statistics(*buffer_of(part.column(at))))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], names=[*part.schema.names, into])
 
     rest = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{rest}, _tally_quality double")
+    return docs.mapInArrow(lean(run), f"{rest}, `{into}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Per document: id, held_out, score, predicted.  Only the id and the text are read; the score depends on the text alone."""
+    """Per document: id, held_out, score, predicted.
+
+    Only the id and the text are read, whatever other columns are called; the score depends
+    on the text alone, so repeated rows score alike and null counts as empty.  A null id is
+    not held out.  An empty table gives no rows, and without labels all score one half.
+    """
     trees = train(docs, labels, id_col, text_col, train_rows=train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,10 +208,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(trees.score(statistics(*buffer_of(part.column("text")))))], names=["id", "score"])
 
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, score double")
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {dict(docs.dtypes)[id_col]}, score double")
     return scored.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that score below ``least``; columns as given."""
-    return score(docs, train(docs, labels, id_col, text_col), id_col, text_col).filter(F.col("_tally_quality") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the documents that score below ``least``; columns as given.  What ``classify`` states holds here too."""
+    into = unused(docs, "tally_quality")
+    scored = score(docs, train(docs, labels, id_col, text_col), id_col, text_col, into)
+    return scored.filter(F.col(into) >= least).drop(into)
