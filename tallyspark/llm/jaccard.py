@@ -3,18 +3,21 @@
 A document's tokens are its distinct word shingles (64-bit hashes).  In a parity sketch
 each token flips one bit, so the Hamming distance of two sketches is at most the size
 of the symmetric difference.  Where two sets link, with sizes n <= m, that difference is
-at most 3 (n + m) / 37 (for 85 of 100).  Sizes fall in bands; the sketch of a band has more parts
-than the largest difference in it, so two linked sets agree in one part at least
-(pigeonhole), and (band, part, parity bits) is the join key.  A set also enters the
-next band if a partner may be there.  A part without tokens is a key only for sets that
-have too many of them.
+at most 3 (n + m) / 37 (for 85 of 100).  Sizes fall in bands, and a set also enters the next
+band if a partner may be there.  The sketch of a band is cut into parts, a third more than
+the largest difference in it, so most sets have tokens in more parts than can differ.  Such
+a set's keys are (band, part, parity bits) of one part more than can differ for its own
+size, the first ones in an order that all sets share: two linked sets agree in one key at
+least (pigeonhole).  The few sets with tokens in too few parts have all parts as keys.
 
 Keys travel in packed blocks to buckets, whose number grows with the input.  A key of up
 to ``FEW`` sets gives all its pairs; a longer one links its members to one hub, and what
 such a key may still hide is settled afterwards: of the keys whose members aren't in one
-component, first neighbours in a salted order are tried, then all pairs across
-components.  Pairs are dropped where a sketch of 512 bits proves them too far apart, and
-verified on the exact sets.  Documents with equal sets are one node throughout.
+component, first neighbours in a salted order are tried.  Members of keys that stay open
+are joined by their rarest tokens: sets that link share one of the n - ceil(low n / 100) + 1
+rarest of each, so a template that many texts share gives no pairs.  Pairs are dropped
+where a sketch of 512 bits proves them too far apart, and verified on the exact sets.
+Documents with equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import BitFilter, GAMMA, U, Words, bucket_count, buffer_of, mix, row_key, slices, spill, text_bytes
+from tallyspark.llm.common import BitFilter, GAMMA, U, Words, bucket_count, buffer_of, lean, mix, row_key, slices, spans, spill, text_bytes, unused
 from tallyspark.llm.components import components
 
-GROWTH = 1.6
+GROWTH = 1.4
 FEW, FEW_HERE = 8, 4
 POSITIONS = U((1 << 20) - 1)
 SKETCH_BITS, SKETCH_WORDS = 512, 8
@@ -83,18 +86,19 @@ def sketch_keys(sets: list[np.ndarray], ids: np.ndarray, low: int = 85) -> tuple
     flips = mix((tokens & POSITIONS) + GAMMA)
     ends = bands(int(sizes.max()))
     own = np.searchsorted(ends, sizes, "right") - 1
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     found = []
     for step in (0, 1):
         band = own + step
         use = np.flatnonzero((sizes > 0) & ((step == 0) | (100 * sizes >= low * ends[band])))
         if not len(use):
             continue
-        most = (100 - low) * 2 * (ends[band[use] + 1] - 1) // (100 + low)  # of the symmetric difference
-        parts = most + 2 + most // 16
+        n, top = sizes[use], ends[band[use] + 1] - 1
+        most = (100 - low) * 2 * top // (100 + low)  # of the symmetric difference in the band
+        own_most = (100 - low) * (n + np.minimum(top, 100 * n // low)) // (100 + low)  # of this set with any partner there
+        parts = most + most // 3 + 3
         first = np.concatenate(([0], np.cumsum(parts)))
-        starts = np.concatenate(([0], np.cumsum(sizes)))[use]
-        n = sizes[use]
-        at = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        at = spans(starts[use], n)
         cell = np.repeat(first[:-1], n) + ((tokens[at] >> U(24)) % np.repeat(parts, n).astype(U)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         cell = cell[order]
@@ -104,11 +108,14 @@ def sketch_keys(sets: list[np.ndarray], ids: np.ndarray, low: int = 85) -> tuple
         held = np.zeros(first[-1], bool)
         held[cell[new]] = True
         owner = np.repeat(np.arange(len(use)), parts)
-        enough = np.add.reduceat(held.astype(np.int64), first[:-1]) > most
+        enough = np.add.reduceat(held.astype(np.int64), first[:-1]) > own_most
         part = np.arange(first[-1]) - first[:-1][owner]
         key = mix(bits + mix(part.astype(U) * GAMMA + band[use][owner].astype(U)))
-        keep = held | ~enough[owner]
-        found.append((key[keep], ids[use][owner[keep]]))
+        rows = np.flatnonzero(held | ~enough[owner])
+        rows = rows[np.lexsort((key[rows], owner[rows]))]
+        place = np.arange(len(rows)) - np.searchsorted(owner[rows], owner[rows])
+        rows = rows[(place <= own_most[owner[rows]]) | ~enough[owner[rows]]]
+        found.append((key[rows], ids[use][owner[rows]]))
     if not found:
         return np.zeros(0, U), np.zeros(0, np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -246,7 +253,7 @@ def _sets_of(docs: DataFrame, wanted: BitFilter, width: int) -> DataFrame:
                 use = use[np.unique(np.stack([s.ids[use], docs[use]], 1), axis=0, return_index=True)[1]] if len(use) else use
                 yield pa.RecordBatch.from_arrays([pa.array(s.ids[use]), pa.array(s.sizes[use]), pa.array([wide_sketch(s.sets[i]) for i in use], pa.binary()), pa.array([_blob(s.sets[i]) for i in use], pa.binary())], names=["set_id", "n", "wide", "tokens"])
 
-    return docs.mapInArrow(run, "set_id long, n long, wide binary, tokens binary")
+    return docs.mapInArrow(lean(run), "set_id long, n long, wide binary, tokens binary")
 
 
 SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
@@ -263,13 +270,36 @@ def _side(nodes: DataFrame, x: str, key: str) -> DataFrame:
     return nodes.select(F.col("set_id").alias(key), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *SKETCH)])
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, low: int) -> DataFrame:
+class Sets:
+    """Exact sets (set_id, n, wide, tokens), written out once for those that are asked for."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, width: int):
+        self.texts, self.nodes, self.width, self.table = texts, nodes, width, None
+
+    def of(self, ends: DataFrame) -> DataFrame:
+        """A table that holds the sets of ``ends`` (set_id); texts are read again only where some are new."""
+        ends = ends.select("set_id").distinct()
+        if self.table is not None:
+            ends = ends.join(self.table.select("set_id"), "set_id", "left_anti")
+        stands = spill(self.nodes.join(ends, "set_id", "left_semi").select("set_id", "id"), "stands", narrow=True)
+        if self.table is None or stands.limit(1).count():
+            more = spill(_sets_of(self.texts, BitFilter.build(stands, "set_id", "id"), self.width), "tokens")
+            rows, distinct = more.agg(F.count(F.lit(1)), F.count_distinct("set_id")).first()
+            if self.table is not None:  # the filter lets a few others through
+                more = more.join(stands.select("set_id"), "set_id", "left_semi")
+            if rows != distinct:  # rows that repeat id and text, in different slices
+                more = more.dropDuplicates(["set_id"])
+            if rows != distinct or self.table is not None:
+                more = spill(more, "tokens")
+            self.table = more if self.table is None else self.table.unionByName(more)
+        return self.table
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, exact: Sets, low: int) -> DataFrame:
     """Those of (a, b) whose exact sets link."""
     pairs = pairs.join(_side(nodes, "x", "a"), "a").join(_side(nodes, "y", "b"), "b").filter(_near(low)).select("a", "b")
     pairs = spill(pairs, "near", narrow=True)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    stands = spill(nodes.join(ends, "set_id", "left_semi").select("set_id", "id"), "stands", narrow=True)
-    sets = spill(_sets_of(texts, BitFilter.build(stands, "set_id", "id"), width), "tokens")  # read twice below
+    sets = exact.of(pairs.select(F.explode(F.array("a", "b")).alias("set_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,11 +316,13 @@ def _verify(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, lo
             ok = [(100 + low) * sketch_distance(u, v) <= (100 - low) * n for u, v, n in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "n")))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    thin = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("n").alias("p"), F.col("wide").alias("u")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("n").alias("q"), F.col("wide").alias("v")), "b")
-    pairs = spill(thin.select("a", "b", "u", "v", (F.col("p") + F.col("q")).alias("n")).mapInArrow(close, "a long, b long"), "close")
+    x = sets.select(F.col("set_id").alias("a"), F.col("n").alias("p"), F.col("wide").alias("u"))
+    y = sets.select(F.col("set_id").alias("b"), F.col("n").alias("q"), F.col("wide").alias("v"))
+    thin = pairs.join(x, "a").join(y, "b").select("a", "b", "u", "v", (F.col("p") + F.col("q")).alias("n"))
+    pairs = spill(thin.mapInArrow(lean(close), "a long, b long"), "close")
     left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("s")), "a")
     full = left.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("t")), "b")
-    return spill(full.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "verified")
+    return spill(full.select("a", "b", "s", "t").mapInArrow(lean(run), "a long, b long"), "verified")
 
 
 #: Members of an unsettled key that are ordered together, about, and how many neighbours each tries.
@@ -321,10 +353,32 @@ def _neighbours(rest: DataFrame) -> DataFrame:
     return out.select("*", *[F.col(f"y.{c}").alias(f"{c}_y") for c in both]).drop("y").filter("set_id_y IS NOT NULL AND component_x != component_y")
 
 
-def _across(rest: DataFrame) -> DataFrame:
-    """All pairs of members in different components: those outside a key's main one with all others."""
-    x, y = (rest.select("key", "main", *[F.col(c).alias(f"{c}_{side}") for c in ("set_id", "component", "n", *SKETCH)]) for side in "xy")
-    return x.filter("component_x != main").drop("main").join(y.drop("main"), "key").filter(F.col("component_x") != F.col("component_y"))
+def _rarest(members: DataFrame, exact: Sets, low: int) -> DataFrame:
+    """Pairs of members in different components that share one of the rarest tokens of both.
+
+    Tokens are ordered by how many members have them.  Of a set of n tokens a partner has
+    low n / 100 at least, so the first token in this order that both have is among the first
+    n - ceil(low n / 100) + 1 of each.
+    """
+    sides = spill(members.select("set_id", "component", "n", *SKETCH).dropDuplicates(["set_id"]), "members", narrow=True)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(t.as_buffer(), np.int64) for t in batch.column("tokens")]
+            size = np.array([len(t) for t in sets], np.int64)
+            ids = np.repeat(np.asarray(batch.column("set_id")), size)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets) if sets else size)], names=["set_id", "n", "token"])
+
+    wanted = exact.of(sides).join(sides.select("set_id"), "set_id", "left_semi")
+    tokens = spill(wanted.select("set_id", "tokens").mapInArrow(lean(spread), "set_id long, n long, token long"), "member-tokens")
+    shared = spill(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "member-shared")
+    ranked = tokens.join(shared, "token", "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy("held", "token"))
+    first = ranked.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * low / 100) + 1).filter("held > 1")
+    first = spill(first.select("set_id", "token"), "member-rarest", narrow=True)
+    both = spill(first.join(sides, "set_id"), "member-sides")
+    x, y = (both.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("set_id", "component", "n", *SKETCH)]) for side in "xy")
+    return x.join(y, "token").filter("set_id_x < set_id_y AND component_x != component_y")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, low: int = 85) -> DataFrame:
@@ -336,22 +390,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = bucket_count(text_bytes(docs, text_col))
-    dealt = texts.mapInArrow(_blocks(width, low, buckets), BLOCK).groupBy("bucket").applyInArrow(lambda t: _match(t), FOUND)
+    dealt = texts.mapInArrow(lean(_blocks(width, low, buckets)), BLOCK).groupBy("bucket").applyInArrow(lambda t: _match(t), FOUND)
     found = spill(dealt, "matched")
     facts = found.filter(F.col("kind") == FACTS).select(F.expr("if(c % 2 = 1, null, a)").alias("id"), F.col("b").alias("set_id"), F.expr("c div 2").alias("n"), "s")
     # A node stands for all documents with its set; what stands for it is the smallest id (0 for null).
     nodes = spill(facts.groupBy("set_id").agg(F.coalesce(F.min("id"), F.lit(0)).alias("id"), F.min("n").alias("n"), *[F.min(F.get("s", k)).alias(s) for k, s in enumerate(SKETCH)]), "nodes", narrow=True)
     tried = spill(found.filter(F.col("kind") == PAIRS).select("a", "b").distinct(), "pairs", narrow=True)
-    links = _verify(texts, tried, nodes, width, low)
+    exact = Sets(texts, nodes, width)
+    links = _verify(tried, nodes, exact, low)
     named = spill(components(links), "components", narrow=True)
     rest = found.filter(F.col("kind") == REST).select(F.col("a").alias("key"), F.col("b").alias("set_id")).distinct()
-    for candidates in (_neighbours, _across):
+    for candidates in (_neighbours, lambda members: _rarest(members, exact, low)):
         if (members := _unsettled(rest, named, nodes)) is None:
             break
         more = candidates(members).filter(_near(low)).select(F.least("set_id_x", "set_id_y").alias("a"), F.greatest("set_id_x", "set_id_y").alias("b")).distinct()
         more = spill(more.join(tried, ["a", "b"], "left_anti"), "pairs", narrow=True)
         tried = tried.unionByName(more)
-        links = links.unionByName(_verify(texts, more, nodes, width, low))
+        links = links.unionByName(_verify(more, nodes, exact, low))
         named = spill(components(links), "components", narrow=True)
 
     placed = facts.join(named, facts["set_id"] == named["node"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "set_id")).alias("component"))
