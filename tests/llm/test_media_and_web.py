@@ -1,7 +1,9 @@
 """op4, op7, op8, op9 and the pipeline."""
 
 import base64
+import gzip
 import hashlib
+import io
 import zlib
 
 import numpy as np
@@ -20,12 +22,13 @@ def test_transport_round_trip(n):
     stream = transport.mux(payload)
     found = transport.demux(stream)
     assert found["payload"] == payload and found["intact"] and found["gaps"] == 0
-    assert found["pts"] == [k * transport.TICK for k in range(-(-n // transport.UNIT))]
-    assert len(found["random_access"]) == len(found["pts"]) and len(stream) % 188 == 0
+    assert [x["pts"] for x in found["stamps"]] == [k * transport.TICK for k in range(-(-n // transport.UNIT))]
+    assert found["random_access"] == [x["packet"] for x in found["stamps"] if x["random_access"]] and len(stream) % 188 == 0
+    assert len(found["random_access"]) == len(found["stamps"]) and found["repeats"] == 0
 
 
 def test_transport_damage():
-    stream = bytearray(transport.mux(b"x" * 5000))
+    stream = bytearray(transport.mux(np.random.default_rng(1).integers(0, 256, 5000, dtype=np.uint8).tobytes()))
     assert not transport.demux(bytes(stream[: 188 * 5] + stream[188 * 6 :]))["intact"]
     stream[188 * 5 + 3] ^= 1
     assert transport.demux(bytes(stream))["gaps"] == 2
@@ -34,6 +37,47 @@ def test_transport_damage():
     assert not transport.demux(b"junk")["intact"]
 
 
+def test_transport_repeats_and_discontinuity():
+    """A packet may be sent twice; a flagged jump of the counter is no gap; a third copy is one."""
+    stream = transport.mux(b"x" * 5000)
+    packet = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    for k in (2, 5, len(packet) - 1):
+        found = transport.demux(b"".join([*packet[: k + 1], *packet[k:]]))
+        assert (found["payload"], found["repeats"], found["gaps"], found["intact"]) == (b"x" * 5000, 1, 0, True)
+    assert transport.demux(b"".join([*packet[:6], packet[5], *packet[5:]]))["gaps"] == 1
+    two = transport.mux(b"y" * 70_000)
+    jump = bytearray(two)
+    start = transport.demux(two)["stamps"][1]["packet"]
+    for k in range(start, len(two) // 188):
+        jump[188 * k + 3] = jump[188 * k + 3] & 0xF0 | (jump[188 * k + 3] + 5) & 15
+    assert transport.demux(bytes(jump))["gaps"] == 1
+    jump[188 * start + 5] |= 0x80
+    assert transport.demux(bytes(jump)) == transport.demux(two)
+
+
+def plain_feature(stream: bytes) -> str:
+    """The feature by a plain loop over packets, with the elementary stream's PID as the muxer chose it."""
+    pes, stamps, random, gaps, last = [], [], 0, 0, None
+    for i in range(0, len(stream), 188):
+        p = stream[i : i + 188]
+        assert p[0] == 0x47
+        if (p[1] & 31) * 256 + p[2] != 0x100:
+            continue
+        if last is not None and p[3] % 16 != (last + 1) % 16:
+            gaps += 1
+        last, at = p[3] % 16, 4
+        if p[3] & 0x20:
+            at = 5 + p[4]
+            random += bool(p[4] and p[5] & 0x40)
+        if p[1] & 0x40:
+            pes.append(b"")
+            bits = "".join(f"{b:08b}" for b in p[at + 9 : at + 14])
+            stamps.append(int(bits[4:7] + bits[8:23] + bits[24:39], 2))
+        pes[-1] += p[at:]
+    whole = all(len(x) == 6 + x[4] * 256 + x[5] for x in pes) and not gaps
+    return f"packets={len(stream) // 188};pes={len(pes)};last_pts={max(stamps, default=0)};random_access={random};gaps={gaps};intact={str(whole).lower()}"
+
+
 def test_transport_query(spark):
     got = {r["doc_id"]: r for r in queries.op7_media_ts(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
@@ -42,7 +86,7 @@ def test_transport_query(spark):
         row = got[r["doc_id"]]
         assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         media = transport.mux(payload)
-        assert (row["media_bytes"], row["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert (row["media_bytes"], row["media_sha256"], row["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), plain_feature(media))
 
 
 def test_transport_odd(spark):
@@ -50,6 +94,11 @@ def test_transport_odd(spark):
     got = transport.digests(docs).collect()
     assert sorted(r["n_bytes"] for r in got) == [0, 0, 2] and {r["payload_bytes"] for r in got} == {64}
     assert transport.digests(docs.limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "a" * 100_000, "x", 5), (1, "a" * 100_000, "x", 5), (2, None, None, None)], "doc_id long, text string, payload string, gaps int")
+    read = transport.from_media(transport.to_media(clash)).collect()
+    assert read[0].__fields__ == ["doc_id", "text", "media", *transport.NAMES]
+    assert sorted((r["doc_id"], len(r["payload"]), len(r["stamps"]), r["gaps"], r["intact"]) for r in read) == [(1, 100_032, 2, 0, True)] * 2 + [(2, 64, 1, 0, True)]
+    assert [r["intact"] for r in transport.from_media(spark.createDataFrame([(None,), (b"",)], "media binary")).collect()] == [False, False]
 
 
 def b32(raw: bytes) -> str:
@@ -75,13 +124,46 @@ def test_warc_odd(spark):
 
 
 def test_records_need_whole_archive():
-    whole = warc.record("response", 1, "u", b"abc", None) * 3
+    one = warc.record("response", 1, "u", b"abc", None, "p:0", warc.CAPTURED)
+    whole = one * 3
     parts = [whole[i : i + 7] for i in range(0, len(whole), 7)]
-    assert [raw for _, raw in warc.records(iter(parts))] == [warc.record("response", 1, "u", b"abc", None)] * 3
+    assert [raw for _, raw in warc.records(iter(parts))] == [one] * 3
     with pytest.raises(ValueError, match="inside a record"):
         list(warc.records(iter([whole[:-10]])))
 
 
+def test_inflate_in_blocks():
+    """Blocks are bounded however well the data pack; members may follow one another; a cut stream is an error."""
+    raw = b"a" * 5_000_000 + bytes(range(256)) * 100
+    packed = gzip.compress(raw) + gzip.compress(b"") + gzip.compress(b"tail")
+    blocks = list(warc.inflate(io.BytesIO(packed), 1000))
+    assert b"".join(blocks) == raw + b"tail" and max(map(len, blocks)) <= 1000
+    engine = zlib.compressobj(6, zlib.DEFLATED, 31)
+    flushed = engine.compress(b"whole record") + engine.flush(zlib.Z_FULL_FLUSH)
+    for cut in (flushed, packed[:-3], b""):
+        with pytest.raises(ValueError, match="gzip member"):
+            list(warc.inflate(io.BytesIO(cut), 1000))
+
+
+def test_warc_members_by_sidecar(spark, tmp_path):
+    """Long payloads, repeated rows: records have ids of their own and dates, and the sidecar finds each."""
+    rows = [(1, "u", "x" * 3_000_000), (2, "v", "ü" * 1_500_000), (2, "v", "ü" * 1_500_000), (3, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    files = warc.write_archives(warc.decide_revisits(pages), f"file://{tmp_path}/whole")
+    members = warc.normalise(files, f"file://{tmp_path}/whole", f"file://{tmp_path}/members")
+    back = warc.read_archives(members, f"file://{tmp_path}/members").collect()
+    assert sorted((r["id"], r["url"] or "", bytes(r["payload"])) for r in back) == sorted((k, u or "", (h or "").encode()) for k, u, h in rows)
+    names = []
+    for index in tmp_path.glob("members/*.index"):
+        packed = index.with_suffix("").read_bytes()
+        for line in index.read_text().splitlines():
+            at, length, kind, name = line.split()
+            found = warc.headers(gzip.decompress(packed[int(at) : int(at) + int(length)]).split(b"\r\n\r\n")[0])
+            assert (found["WARC-Type"], found["WARC-Record-ID"]) == (kind, name) and found["WARC-Date"] == warc.CAPTURED
+            names.append(name)
+    assert len(names) == len(set(names)) == 4
+
+
 def test_url_filter_oracle(spark):
     same(queries.op9_url_filter(spark, SF).toPandas(), oracle(SF, queries.ORACLES["op9_url_filter"]))
 
@@ -118,6 +200,32 @@ def test_mixing_odd(spark):
     assert mixing.keep_mixed(docs).columns == docs.columns
 
 
+def test_mixing_takes_a_seeded_prefix(spark):
+    """Against a plain loop: each leaf takes rows in the order of their hashes until its budget would be passed."""
+    rows = [(i, " ".join(["w"] * (i % 7)), "en", f"s{i % 3 * (i % 2)}") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"_cut": F.lit(1), "_row": F.lit("x")}).repartition(5)
+    got = {r["doc_id"]: (r["copies"], r["leaf_budget"]) for r in mixing.mix_documents(docs, (1, 2), 1).collect()}
+    leaves = {}
+    for i, text, _, source in rows:
+        leaves.setdefault(source, []).append((hashlib.md5(f"1:0:{i}".encode()).hexdigest()[:15], i, len(text.split())))
+    taken = set()
+    for source, members in leaves.items():
+        budget, used = got[members[0][1]][1], 0
+        if budget == sum(n for *_, n in members):
+            continue  # whole epochs have no prefix
+        for _, i, n in sorted(members):
+            if used + n > budget:
+                break
+            used += n
+            taken |= {i} if n else set()
+        assert used > budget - 7
+        assert {i for _, i, _ in members if got[i][0]} == taken & {i for _, i, _ in members}
+    kept = mixing.keep_mixed(docs, (1, 2), 1)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (c, _) in got.items() if c)
+
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage against its operator's own verdict on the stage's input; the operators are tested against brute force."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
