@@ -28,6 +28,7 @@ MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U)
 GAMMA = U(0x9E3779B97F4A7C15)
 #: Texts are worked on in slices of about this many bytes, which bounds a worker's memory.
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes of one bucket of dealt rows, about.
 BUCKET_BYTES = 8 << 20
 #: Runs longer than this are hashed by BLAKE2 as a whole.
@@ -45,16 +46,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def spill(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+def spill(df: DataFrame, tag: str, narrow: bool = False, batch: int = 0) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     A ``narrow`` table (a few numbers a row) is written by an eighth of the shuffle's tasks.
+    With ``batch`` the write's Python functions get so many rows at once, where rows are
+    wide; the session's own setting is put back.
     """
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    if batch:
+        spark.conf.set(BATCH_ROWS, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -205,6 +214,55 @@ def bitmaps(bits: DataFrame, bit: str) -> DataFrame:
     return bits.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(bit))).alias("bitmap"))
 
 
+#: A filter of up to so many bytes is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+class KeyFilter:
+    """A blocked Bloom filter over a key column, in DataFrame functions only.
+
+    A key chooses one block of BITMAP_BITS bits by its hash and sets ``PROBES`` bits in it;
+    bits that ``times`` rows or more hit stay, so with 2 the filter knows keys that may
+    repeat.  It has BITS_PER_ROW bits a row, so its size is known before it is built: up to
+    ``broadcast_bytes`` its blocks are broadcast, beyond that they are joined by block.
+    What travels to build it are block and bit numbers, added up before they are shuffled.
+    """
+
+    PROBES, BITS_PER_ROW = 2, 16
+
+    def __init__(self, rows: DataFrame, key: str, times: int = 1, broadcast_bytes: int = BROADCAST_BYTES):
+        self.blocks = max(1, -(-self.BITS_PER_ROW * rows.count() // BITMAP_BITS))
+        self.small = self.blocks * BITMAP_BITS // 8 <= broadcast_bytes
+        hits = rows.select(self._block(key).alias("block"), F.explode(F.array(*[self._bit(key, k) for k in range(self.PROBES)])).alias("bit"))
+        if times > 1:
+            hits = hits.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= times)
+        self.table = spill(hits.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")), "bloom")
+
+    def _block(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.blocks))
+
+    @staticmethod
+    def _bit(key: str, probe: int) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(key, F.lit(probe)), 64 - 15)  # BITMAP_BITS is 2 ** 15
+
+    def probe(self, rows: DataFrame, key: str) -> DataFrame:
+        """``rows`` with a boolean ``_maybe``: false only where the key was not among the filter's rows, or not ``times`` times."""
+        side = self.table.select(F.col("block").alias("_block"), F.col("bitmap").alias("_bitmap"))
+        found = rows.join(F.broadcast(side) if self.small else side.hint("merge"), self._block(key) == F.col("_block"), "left")
+        maybe = F.lit(True)
+        for k in range(self.PROBES):
+            bit = self._bit(key, k).cast("int")
+            byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+            maybe = maybe & F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit % 8)) != 0, F.lit(False))
+        return found.select(*[rows[f"`{c}`"] for c in rows.columns], maybe.alias("_maybe"))
+
+
+def dealt(blocks: DataFrame, buckets: int) -> DataFrame:
+    """``blocks`` dealt out by bucket, 32 buckets a task at most, so that a task's share stays the same as buckets grow."""
+    least = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(max(least, -(-buckets // 32)), "bucket")
+
+
 def spark_xxhash64(values: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
     """What xxhash64() of Spark SQL gives for a bigint column, vectorised; chain seeds for more columns."""
     p1, p2, p3, p4, p5 = (U(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))

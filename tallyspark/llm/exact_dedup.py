@@ -1,15 +1,13 @@
 """Exact de-duplication with a two-pass Bloom filter, in DataFrame functions only.
 
 Pass 1 reads each text once and keeps (id, size, digest) as a narrow table.  From it a
-filter of *repeated* bits is built: a digest chooses one block of the filter and sets
-``PROBES`` bits in it, and only bits that two or more rows hit stay.  Pass 2 probes it: a
-row whose bits are all repeated may have a partner and is shuffled by digest; every other
-row passes straight through.
-
-The filter has ``BITS_PER_ROW`` bits a row, however many rows there are, in blocks of
-``BITMAP_BITS`` bits.  Its size is known before it is built: up to ``broadcast_bytes`` its
-blocks are broadcast, beyond that they are joined by block, which moves narrow rows only.
-What travels to build it are block and bit numbers, added up before they are shuffled.
+Bloom filter of *repeated* bits is built: a digest sets two bits, and only bits that two
+or more rows hit stay.  Pass 2 probes it: a row whose bits are all repeated may have a
+partner and is shuffled by digest; every other row passes straight through.
+
+The filter (see KeyFilter) has 16 bits a row, however many rows there are.  Up to
+``broadcast_bytes`` it is broadcast; beyond that it is joined block by block, which moves
+narrow rows only.
 """
 
 from __future__ import annotations
@@ -17,11 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import BITMAP_BITS, spill, unused
+from tallyspark.llm.common import BROADCAST_BYTES, KeyFilter, spill, unused
 
-PROBES, BITS_PER_ROW = 2, 16
-#: A filter of up to so many bytes is broadcast.
-BROADCAST_BYTES = 32 << 20
 #: Up to so many dropped rows (about 100 bytes each) are broadcast.
 BROADCAST_ROWS = 100_000
 #: Fixed value: characters that don't count when texts are compared.
@@ -38,42 +33,10 @@ def size_of(text: str) -> F.Column:
     return F.char_length(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
-class RepeatFilter:
-    """Bits that two or more rows of ``facts`` hit by their ``key``, as one bitmap for each block."""
-
-    def __init__(self, facts: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES):
-        self.blocks = max(1, -(-BITS_PER_ROW * facts.count() // BITMAP_BITS))
-        self.small = self.blocks * BITMAP_BITS // 8 <= broadcast_bytes
-        hits = facts.select(self._block(key).alias("block"), F.explode(F.array(*[self._bit(key, k) for k in range(PROBES)])).alias("bit"))
-        again = hits.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        self.table = spill(again.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")), "bloom")
-
-    def _block(self, key: str) -> F.Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.blocks))
-
-    @staticmethod
-    def _bit(key: str, probe: int) -> F.Column:
-        return F.shiftrightunsigned(F.xxhash64(key, F.lit(probe)), 64 - 15)  # BITMAP_BITS is 2 ** 15
-
-    def probe(self, rows: DataFrame, key: str) -> DataFrame:
-        """``rows`` with a boolean ``_maybe``: false only where no other row of the facts has the same key."""
-        side = self.table.select(F.col("block").alias("_block"), F.col("bitmap").alias("_bitmap"))
-        found = rows.join(F.broadcast(side) if self.small else side.hint("merge"), self._block(key) == F.col("_block"), "left")
-        maybe = F.lit(True)
-        for k in range(PROBES):
-            maybe = maybe & _is_set(F.col("_bitmap"), self._bit(key, k).cast("int"))
-        return found.select(*[rows[f"`{c}`"] for c in rows.columns], maybe.alias("_maybe"))
-
-
-def _is_set(bitmap: F.Column, bit: F.Column) -> F.Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit % 8)) != 0, F.lit(False))
-
-
-def _judge(docs: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> tuple[DataFrame, RepeatFilter]:
+def _judge(docs: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> tuple[DataFrame, KeyFilter]:
     """Facts (id, size, sha) with ``keep`` and ``most`` (id and size of the row that stays) and ``n`` (rows of the group)."""
     facts = spill(docs.select(F.col(f"`{id_col}`").alias("id"), size_of(text_col).alias("size"), digest(text_col).alias("sha")), "facts")
-    repeats = RepeatFilter(facts, "sha", broadcast_bytes)
+    repeats = KeyFilter(facts, "sha", 2, broadcast_bytes)
     probed = repeats.probe(facts, "sha")
     order = F.struct("size", F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("low"))
     groups = probed.filter("_maybe").groupBy("sha").agg(F.max_by("id", order).alias("keep"), F.max("size").alias("most"), F.count(F.lit(1)).alias("n")).filter("n > 1")

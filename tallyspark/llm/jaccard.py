@@ -13,9 +13,11 @@ least (pigeonhole).  The few sets with tokens in too few parts have all parts as
 Keys travel in packed blocks to buckets, whose number grows with the input.  A key of up
 to ``FEW`` sets gives all its pairs; a longer one links its members to one hub, and what
 such a key may still hide is settled afterwards: of the keys whose members aren't in one
-component, first neighbours in a salted order are tried.  Members of keys that stay open
-are joined by their rarest tokens: sets that link share one of the n - ceil(low n / 100) + 1
-rarest of each, so a template that many texts share gives no pairs.  Pairs are dropped
+component, first neighbours in a salted order are tried.  Of keys that stay open those of
+up to ``OPEN`` sets give the pairs that lie across components, which is bounded for each
+key.  Members of longer ones are joined by their rarest tokens: sets that link share one of
+the n - ceil(low n / 100) + 1 rarest of each, so a template that many texts share gives no
+pairs.  Pairs are dropped
 where a sketch of 512 bits proves them too far apart, and verified on the exact sets.
 Documents with equal sets are one node throughout.
 """
@@ -29,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import BitFilter, GAMMA, U, Words, bucket_count, buffer_of, lean, mix, row_key, slices, spans, spill, text_bytes, unused
+from tallyspark.llm.common import BitFilter, GAMMA, U, Words, bucket_count, buffer_of, dealt, lean, mix, row_key, slices, spans, spill, text_bytes, unused
 from tallyspark.llm.components import components
 
 GROWTH = 1.4
-FEW, FEW_HERE = 8, 4
+FEW, FEW_HERE, OPEN = 8, 4, 64
+#: Bytes of text that are shingled together.
+SLICE = 2 << 20
 POSITIONS = U((1 << 20) - 1)
 SKETCH_BITS, SKETCH_WORDS = 512, 8
 KEYS, HUBS, PAIRS, REST, FACTS = range(5)
@@ -152,7 +156,7 @@ def _blocks(width: int, low: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 s = Shingles(*buffer_of(part.column("text")), width)
                 id_col = part.column("id")
                 null = np.asarray(id_col.is_null())
@@ -246,7 +250,7 @@ def _sets_of(docs: DataFrame, wanted: BitFilter, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 s = Shingles(*buffer_of(part.column("text")), width)
                 docs = np.asarray(part.column("id").fill_null(0)).astype(np.int64)
                 use = np.flatnonzero(shared.value.test(s.ids, docs) & (s.sizes > 0))
@@ -319,10 +323,10 @@ def _verify(pairs: DataFrame, nodes: DataFrame, exact: Sets, low: int) -> DataFr
     x = sets.select(F.col("set_id").alias("a"), F.col("n").alias("p"), F.col("wide").alias("u"))
     y = sets.select(F.col("set_id").alias("b"), F.col("n").alias("q"), F.col("wide").alias("v"))
     thin = pairs.join(x, "a").join(y, "b").select("a", "b", "u", "v", (F.col("p") + F.col("q")).alias("n"))
-    pairs = spill(thin.mapInArrow(lean(close), "a long, b long"), "close")
+    pairs = spill(thin.mapInArrow(lean(close), "a long, b long"), "close", batch=2000)
     left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("s")), "a")
     full = left.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("t")), "b")
-    return spill(full.select("a", "b", "s", "t").mapInArrow(lean(run), "a long, b long"), "verified")
+    return spill(full.select("a", "b", "s", "t").mapInArrow(lean(run), "a long, b long"), "verified", batch=200)
 
 
 #: Members of an unsettled key that are ordered together, about, and how many neighbours each tries.
@@ -353,6 +357,19 @@ def _neighbours(rest: DataFrame) -> DataFrame:
     return out.select("*", *[F.col(f"y.{c}").alias(f"{c}_y") for c in both]).drop("y").filter("set_id_y IS NOT NULL AND component_x != component_y")
 
 
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs of members of one key in different components; keys have OPEN members at most."""
+    x, y = (members.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("set_id", "component", "n", *SKETCH)]) for side in "xy")
+    return x.join(y, "key").filter("set_id_x < set_id_y AND component_x != component_y").drop("key")
+
+
+def _open(members: DataFrame, exact: Sets, low: int) -> DataFrame:
+    """All pairs that keys which stay open can still hide."""
+    few, many = members.filter(F.col("members") <= OPEN), members.filter(F.col("members") > OPEN)
+    found = _across(few)
+    return found.unionByName(_rarest(many, exact, low).drop("token")) if many.limit(1).count() else found
+
+
 def _rarest(members: DataFrame, exact: Sets, low: int) -> DataFrame:
     """Pairs of members in different components that share one of the rarest tokens of both.
 
@@ -370,7 +387,7 @@ def _rarest(members: DataFrame, exact: Sets, low: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets) if sets else size)], names=["set_id", "n", "token"])
 
     wanted = exact.of(sides).join(sides.select("set_id"), "set_id", "left_semi")
-    tokens = spill(wanted.select("set_id", "tokens").mapInArrow(lean(spread), "set_id long, n long, token long"), "member-tokens")
+    tokens = spill(wanted.select("set_id", "tokens").mapInArrow(lean(spread), "set_id long, n long, token long"), "member-tokens", batch=500)
     shared = spill(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "member-shared")
     ranked = tokens.join(shared, "token", "left").withColumn("held", F.coalesce("held", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("set_id").orderBy("held", "token"))
@@ -390,8 +407,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = bucket_count(text_bytes(docs, text_col))
-    dealt = texts.mapInArrow(lean(_blocks(width, low, buckets)), BLOCK).groupBy("bucket").applyInArrow(lambda t: _match(t), FOUND)
-    found = spill(dealt, "matched")
+    blocks = dealt(texts.mapInArrow(lean(_blocks(width, low, buckets)), BLOCK), buckets)
+    found = spill(blocks.groupBy("bucket").applyInArrow(lambda t: _match(t), FOUND), "matched")
     facts = found.filter(F.col("kind") == FACTS).select(F.expr("if(c % 2 = 1, null, a)").alias("id"), F.col("b").alias("set_id"), F.expr("c div 2").alias("n"), "s")
     # A node stands for all documents with its set; what stands for it is the smallest id (0 for null).
     nodes = spill(facts.groupBy("set_id").agg(F.coalesce(F.min("id"), F.lit(0)).alias("id"), F.min("n").alias("n"), *[F.min(F.get("s", k)).alias(s) for k, s in enumerate(SKETCH)]), "nodes", narrow=True)
@@ -400,7 +417,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _verify(tried, nodes, exact, low)
     named = spill(components(links), "components", narrow=True)
     rest = found.filter(F.col("kind") == REST).select(F.col("a").alias("key"), F.col("b").alias("set_id")).distinct()
-    for candidates in (_neighbours, lambda members: _rarest(members, exact, low)):
+    for candidates in (_neighbours, lambda members: _open(members, exact, low)):
         if (members := _unsettled(rest, named, nodes)) is None:
             break
         more = candidates(members).filter(_near(low)).select(F.least("set_id_x", "set_id_y").alias("a"), F.greatest("set_id_x", "set_id_y").alias("b")).distinct()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import U, Words, bucket_count, buffer_of, mix, powers, row_key, slices, spill, text_bytes
+from tallyspark.llm.common import KeyFilter, U, Words, bucket_count, buffer_of, dealt, lean, mix, powers, row_key, slices, spill, text_bytes
 
 WINDOW, SEED, HOT_SHARE = 35, 4, 2000
 CODEC = "zstd"
@@ -76,7 +76,7 @@ def hot_seeds(docs: DataFrame, text_col: str, window: int = WINDOW) -> np.ndarra
                 value, count = np.append(value[often].view(np.int64), -1), np.append(count[often], len(s.first))
                 yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], names=["seed", "n"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     found = spill(found, "hot-seeds")  # a seed of -1 counts all
     total = found.filter("seed = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = found.filter((F.col("seed") != -1) & (F.col("n") * 2 * HOT_SHARE > int(total))).select("seed").collect()
@@ -163,8 +163,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     """(key, spans) for each row (``row_key``) with windows that occur elsewhere; spans are first word << 32 | end."""
     hot = hot_seeds(docs, text_col, window)
     buckets = bucket_count(text_bytes(docs, text_col), least=512)
-    blocks = docs.select("key", F.col(text_col).alias("text")).mapInArrow(_pack(hot, window, buckets), BLOCK)
-    spans = spill(blocks.groupBy("bucket").applyInArrow(lambda t: _count(t, window), SPAN), "spans")
+    blocks = docs.select("key", F.col(text_col).alias("text")).mapInArrow(lean(_pack(hot, window, buckets)), BLOCK)
+    spans = spill(dealt(blocks, buckets).groupBy("bucket").applyInArrow(lambda t: _count(t, window), SPAN), "spans")
     return spans.groupBy("key").agg(F.collect_set("span").alias("spans"))
 
 
@@ -172,11 +172,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: id, n_words, n_removed, kept (the words left, joined by one space, as bytes).
 
     Null texts have no words; texts shorter than a window keep all; equal rows lose what
-    they share; an empty table gives no rows; other columns are ignored.
+    they share; very long texts travel in pieces; an empty table gives no rows; other
+    columns are ignored whatever their names.  At the end only texts that a filter of the
+    keys with spans flags are moved to their spans; the others stay where they are read.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", row_key("id", "text"))
-    spans = repeated_spans(texts, "text", window).withColumnRenamed("key", "of")
-    joined = texts.join(spans.hint("shuffle_hash"), F.col("key") == F.col("of"), "left").select("id", "text", "spans")
+    spans = spill(repeated_spans(texts, "text", window), "row-spans").withColumnRenamed("key", "of")
+    probed = KeyFilter(spans, "of").probe(texts, "key")
+    whole = probed.filter("NOT _maybe").select("id", "text", F.lit(None).cast("array<bigint>").alias("spans"))
+    cut = probed.filter("_maybe").join(spans.hint("shuffle_hash"), F.col("key") == F.col("of"), "left").select("id", "text", "spans")
+    joined = whole.unionByName(cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +204,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(b" ".join(left))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_words", "n_removed", "kept"])
 
-    out = joined.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n_words long, n_removed long, kept binary")
+    out = joined.mapInArrow(lean(run), f"id {dict(docs.dtypes)[id_col]}, n_words long, n_removed long, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 

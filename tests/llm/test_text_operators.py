@@ -248,7 +248,7 @@ def test_filter_by_block_and_rows_that_pass(spark):
     assert got.filter("group_size = 2").count() == 2000 and got.filter("kept").count() == 29_000
     facts = docs.filter("doc_id < 29000").select(exact_dedup.digest("text").alias("sha"))
     for limit in (1, 32 << 20):
-        assert exact_dedup.RepeatFilter(facts, "sha", limit).probe(facts, "sha").filter("NOT _maybe").count() > 0.95 * 29_000
+        assert common.KeyFilter(facts, "sha", 2, limit).probe(facts, "sha").filter("NOT _maybe").count() > 0.95 * 29_000
 
 
 BASE = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -357,3 +357,11 @@ def test_trees_fit_and_score():
     x = rnd.random((500, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     assert ((quality.fit(x, y).score(x) > 0.5) == (y > 0.5)).mean() > 0.95
+
+
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    near, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    data = [(1, near, 0), (2, near + " tail", 1), (2, other, 2), (3, third, 3), (3, third, 4), (None, near + " end", 5), (None, "x y z", 6), (4, "", 7), (4, "", 8), (None, None, 9)]
+    kept = jaccard.keep_one(spark.createDataFrame(data, "doc_id long, text string, n int")).collect()
+    marks = sorted(r["n"] for r in kept)
+    assert [m for m in marks if m not in (3, 4)] == [0, 2, 6, 7, 8, 9] and len({3, 4} & set(marks)) == 1
