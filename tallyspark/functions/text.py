@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,61 +24,87 @@ DIFFICULTIES = {"beginner": "BEGINNER", "basic": "BASIC", "difficult": "DIFFICUL
 SHOCK_MARKS = ("→", "SA", "Shock", "ショック")
 CONTAINED_FROM = 5
 
-_FOLD, _ALIKE = str.maketrans(QUOTES_AND_DASHES), str.maketrans(LOOK_ALIKES)
-_SPACES = r"[\s  　]+"
+_SPACES = r"[\s  　]+"
 
 
-def norm_ws(col: Column) -> Column:
-    """White space, no-break and em spaces become one space; ends trimmed; null stays null."""
-    return F.trim(F.regexp_replace(col, _SPACES, " "))
+class Letters(dict):
+    """A table for str.translate, filled as characters turn up: fixed changes, and characters that go."""
+
+    def __init__(self, changes: dict[str, str], gone: Callable[[str], bool]):
+        super().__init__()
+        self.changes, self.gone = changes, gone
 
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        self[code] = None if self.gone(c) else self.changes.get(c, c)
+        return self[code]
 
-def _spaced(text: str) -> str:
-    return " ".join(text.replace("\xa0", " ").replace(" ", " ").split())
 
+def _never(c: str) -> bool:
+    return False
 
-def fold_strict(text: str) -> str:
-    folded = unicodedata.normalize("NFKC", _spaced(text)).translate(_FOLD).casefold()
-    return "".join(re.sub(ELLIPSIS, "...", folded).split())
 
+#: What each key does to a text, in turn: a Unicode form, a table of letters, a pattern and its replacement, or case folding.
+_STRICT = ("NFKC", Letters(QUOTES_AND_DASHES, _never), str.casefold, (re.compile(ELLIPSIS), "..."), Letters({}, str.isspace))
+STEPS = {
+    "strict": _STRICT,
+    "loose": ("NFKD", str.casefold, Letters(LOOK_ALIKES, lambda c: unicodedata.category(c) == "Mn"), *_STRICT),
+    "title": ("NFKC", str.casefold, Letters({}, lambda c: c.isspace() or c in TITLE_PUNCTUATION)),
+}
 
-def fold_loose(text: str) -> str:
-    bare = unicodedata.normalize("NFKD", _spaced(text)).casefold()
-    return fold_strict("".join(c for c in bare if unicodedata.category(c) != "Mn").translate(_ALIKE))
 
+def fold(kind: str, text: str) -> str:
+    """The key of a text by the steps of its kind."""
+    for step in STEPS[kind]:
+        match step:
+            case str():
+                text = unicodedata.normalize(step, text)
+            case Letters():
+                text = text.translate(step)
+            case (pattern, to):
+                text = pattern.sub(to, text)
+            case _:
+                text = step(text)
+    return text
 
-def fold_title(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if not c.isspace() and c not in TITLE_PUNCTUATION)
+
+def norm_ws(col: Column) -> Column:
+    """White space, no-break and em spaces become one space; ends trimmed; null stays null."""
+    return F.trim(F.regexp_replace(col, _SPACES, " "))
 
 
-def _folded(fold, col: Column | str) -> Column:
+def _folded(kind: str, col: Column | str) -> Column:
     """``fold`` over Arrow batches, once for each different text of a batch.  Made on use: workers import this module too."""
 
     def key(texts: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return texts.map(lambda t: None if t is None else known[t] if t in known else known.setdefault(t, fold(t)))
+        found = {t: fold(kind, t) for t in texts.dropna().unique()}
+        return texts.map(found.get)
 
     return F.pandas_udf(key, "string")(col)
 
 
+def compatible(col: Column | str) -> Column:
+    """Unicode compatibility form (NFKC), a whole Arrow column at a time."""
+
+    def normalise(texts: pa.Array) -> pa.Array:
+        return pc.utf8_normalize(texts, form="NFKC")
+
+    return F.arrow_udf(normalise, "string")(col)
+
+
 def match_key(col: Column | str) -> Column:
     """Strict key: compatibility form, quotes, dashes and ellipses unified, case folded, no spaces."""
-    return _folded(fold_strict, col)
+    return _folded("strict", col)
 
 
 def alias_key(col: Column | str) -> Column:
     """Loose key: marks dropped and look-alike letters mapped before the strict key."""
-    return _folded(fold_loose, col)
+    return _folded("loose", col)
 
 
 def title_key(col: Column | str) -> Column:
     """Title key: compatibility form, case folded, no spaces or punctuation."""
-    return _folded(fold_title, col)
-
-
-def ascii_title_key(col: Column) -> Column:
-    """title_key for texts known to be ASCII, without Python."""
-    return F.regexp_replace(F.lower(col), r"[\s\p{Punct}]+", "")
+    return _folded("title", col)
 
 
 def similarity(seen: str | None, known: str | None) -> float:
@@ -95,7 +124,10 @@ def title_similarity(seen: Column, known: Column) -> Column:
 
 
 def map_values(col: Column, mapping: dict[str, str], squeeze: str = r"[\s_]+") -> Column:
-    """Look up the lower-cased, squeezed text; unknown values become the trimmed upper case."""
+    """Look up the lower-cased, squeezed text; unknown values become the trimmed upper case.
+
+    For texts that may hold full-width letters give ``compatible(col)``, which is what is looked up then.
+    """
     table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
     return F.coalesce(F.try_element_at(table, F.regexp_replace(F.lower(F.trim(col)), squeeze, "")), F.upper(F.trim(col)))
 

@@ -1,5 +1,6 @@
 """Column functions on hand-made values."""
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -81,3 +82,20 @@ def test_json_candidates(spark):
     rows = [('[{"song_id":"b"},{"song_id":"a"},{"song_id":"b"}]',), ("junk",), (None,), ('[{"song_id":"x"}]',)]
     got = values(spark, rows, "j string", ids.json_candidates(F.col("j")), ids.sole(ids.json_candidates(F.col("j"))))
     assert [(list(a), b) for a, b in got] == [(["a", "b"], ""), ([], ""), ([], ""), (["x"], "x")]
+
+
+def test_compatible_form_before_lookup(spark):
+    rows = [("ＳＰ",), (" single ",), ("ｓｉｎｇｌｅ＿play",), ("ＬＶ．１２",), (None,)]
+    got = values(spark, rows, "t string", text.map_values(text.compatible("t"), text.STYLES), text.first_int(text.compatible("t")))
+    assert got == [("SINGLE", None), ("SINGLE", None), ("SINGLE", None), ("LV.12", 12), (None, None)]
+
+
+def test_folds_against_plain_steps():
+    """Keys of odd characters, against the rule written out for one text."""
+    odd = ["ＡＢＣ　d", "a\u00a0\u2003b", "‘x’—“y”", "e\u0301É ß", "ЖЁё", "...‥…・・", "\u0301 a", "㌀ ﬁ", "\x1c\x85z", "A-B_c!?"]
+    for t in odd:
+        quoted = "".join(text.QUOTES_AND_DASHES.get(c, c) for c in unicodedata.normalize("NFKC", t)).casefold()
+        assert text.fold("strict", t) == "".join(re.sub(text.ELLIPSIS, "...", quoted).split())
+        bare = [c for c in unicodedata.normalize("NFKD", t).casefold() if unicodedata.category(c) != "Mn"]
+        assert text.fold("loose", t) == text.fold("strict", "".join(text.LOOK_ALIKES.get(c, c) for c in bare))
+        assert text.fold("title", t) == "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if not c.isspace() and c not in text.TITLE_PUNCTUATION)
