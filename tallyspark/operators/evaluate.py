@@ -70,11 +70,18 @@ def recommend_profile(counts: DataFrame, field: str, profile: str, default: str)
     return ranked.join(base, field, "left").select(field, profile, "match", "mismatch", "empty", (F.col("match") - F.col("_base")).alias("gain"), ready.alias("readiness"))
 
 
-def classification_summary(df: DataFrame, predicted: str, actual: str, ident: str, by: list[str]) -> DataFrame:
-    """Accuracy and the ids of false positives and negatives, in order (lists are bounded by the errors of a group)."""
-    wrong = lambda p, a: F.array_join(F.array_sort(F.collect_list(F.when((F.col(predicted) == p) & (F.col(actual) == a), F.col(ident)))).cast("array<string>"), ",")
+def classification_summary(df: DataFrame, predicted: str, actual: str, by: list[str]) -> DataFrame:
+    """Rows, correct ones, accuracy and numbers of false positives and negatives; ``misclassified`` has their ids."""
+    wrong = lambda p, a: F.count_if((F.col(predicted) == p) & (F.col(actual) == a))
     grouped = df.groupBy(*by) if by else df
-    return grouped.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(predicted) == F.col(actual)).alias("correct"), (F.count_if(F.col(predicted) == F.col(actual)) / F.count(F.lit(1))).alias("accuracy"), wrong(1, 0).alias("false_positives"), wrong(0, 1).alias("false_negatives"))
+    right, n = F.count_if(F.col(predicted) == F.col(actual)), F.count(F.lit(1))
+    return grouped.agg(n.alias("n"), right.alias("correct"), (right / n).alias("accuracy"), wrong(1, 0).alias("false_positives"), wrong(0, 1).alias("false_negatives"))
+
+
+def misclassified(df: DataFrame, predicted: str, actual: str, ident: str, by: list[str]) -> DataFrame:
+    """A row for every wrong prediction: its group, kind (false_positive, false_negative) and id."""
+    kind = F.when((F.col(predicted) == 1) & (F.col(actual) == 0), "false_positive").when((F.col(predicted) == 0) & (F.col(actual) == 1), "false_negative")
+    return df.select(*by, kind.alias("kind"), ident).filter("kind IS NOT NULL")
 
 
 def recognition_bucket(df: DataFrame, by: list[str], status: str, length: Column, distance: str) -> DataFrame:
@@ -104,39 +111,19 @@ def topk_metrics(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFr
     return rows.agg(n.alias("confirmed"), there.alias("in_snapshot"), *at, (right + wrong).alias("emitted"), right.alias("correct"), wrong.alias("false"), ratio(right, right + wrong).alias("precision"), ratio(right + wrong, n).alias("coverage_confirmed"), ratio(right + wrong, there).alias("coverage_snapshot"))
 
 
-AUTO_ROUTES = ("auto_jacket_gate", "auto_jacket_top3_title_ocr", "auto_ocr_title_artist_pair")
-
-
-def route(df: DataFrame) -> DataFrame:
-    """Adds route, matched and route_reason.
+def route(df: DataFrame, rules: list[tuple[Column, str, Column | None, str]], otherwise: tuple[str, str], entity_type: str = "string") -> DataFrame:
+    """Adds route, matched and route_reason by the first of ``rules`` (condition, route, entity, reason) that holds.
 
-    Reads rejected, gate_entity (null unless the vector gate decided), top3 (array),
-    mismatch, conflict (booleans), title_ids and pair_ids (arrays), title_ambiguous,
-    pair_ambiguous, pair_complete, and snapshot_title / snapshot_pair: whether the sole id
-    of each is in the snapshot.  The order of the rules is fixed.
+    A null condition doesn't hold; rows that no rule takes get the route and reason of
+    ``otherwise``.  The order of the rules is their meaning.
     """
-    one_title, one_pair = F.size("title_ids") == 1, F.size("pair_ids") == 1
-    title, pair = F.get("title_ids", 0), F.get("pair_ids", 0)
-    in_top = F.array_contains("top3", title)
-    rules = [
-        (F.col("rejected"), "rejected_capture_mismatch", None, "capture_review_rejected"),
-        (F.col("gate_entity").isNotNull(), "auto_jacket_gate", F.col("gate_entity"), "vector_gate"),
-        (F.col("mismatch"), "manual_other", None, "profile_set_mismatch"),
-        (F.col("conflict"), "manual_jacket_ocr_conflict", None, "profile_conflict"),
-        (one_title & ~F.col("title_ambiguous") & in_top, "auto_jacket_top3_title_ocr", title, "unique_title_in_top3"),
-        (one_pair & ~F.col("pair_ambiguous") & ~F.col("snapshot_pair"), "auto_ocr_title_artist_pair", pair, "unique_pair_without_snapshot_reference"),
-        (F.col("pair_ambiguous"), "manual_ocr_pair_ambiguous", None, "pair_ambiguous"),
-        (one_title & ~in_top & ~F.col("snapshot_title") & ~F.col("pair_complete"), "manual_ocr_pair_incomplete", None, "snapshot_missing_pair_incomplete"),
-        (one_title & ~in_top, "manual_jacket_top3_miss", None, "title_outside_top3"),
-        (F.col("title_ambiguous"), "manual_jacket_ocr_unresolved", None, "title_ambiguous"),
-        (~F.col("pair_complete") & one_title & ~F.col("snapshot_title"), "manual_ocr_pair_incomplete", None, "snapshot_missing_pair_incomplete"),
-    ]
-    name, matched, reason = F.lit("manual_jacket_ocr_unresolved"), F.lit(None), F.lit("title_unresolved")
-    for rule, to, entity, why in reversed(rules):
-        holds = F.coalesce(rule, F.lit(False))
-        name, reason = F.when(holds, to).otherwise(name), F.when(holds, why).otherwise(reason)
-        matched = F.when(holds, entity if entity is not None else F.lit(None)).otherwise(matched)
-    return df.withColumns({"route": name, "matched": matched, "route_reason": reason})
+    def outcome(to: str, entity: Column | None, why: str) -> Column:
+        return F.struct(F.lit(to).alias("route"), (F.lit(None) if entity is None else entity).cast(entity_type).alias("matched"), F.lit(why).alias("reason"))
+
+    out = df.withColumn("_taken", F.coalesce(*[F.when(rule, outcome(to, entity, why)) for rule, to, entity, why in rules]))
+    return out.withColumns({
+        "route": F.coalesce("_taken.route", F.lit(otherwise[0])), "matched": F.col("_taken.matched"), "route_reason": F.coalesce("_taken.reason", F.lit(otherwise[1])),
+    }).drop("_taken")
 
 
 def resolve_profiles(rows: DataFrame, obs_id: str, profile: str, ids: str, expected: list[str]) -> DataFrame:
@@ -147,7 +134,7 @@ def resolve_profiles(rows: DataFrame, obs_id: str, profile: str, ids: str, expec
 
 def policy_summary(rows: DataFrame, truth: str, routes: list[str]) -> DataFrame:
     """Per route, those without rows too: evaluated, auto, correct, false, precision and coverage (share of all rows)."""
-    auto = F.col("route").isin(*AUTO_ROUTES)
+    auto = F.startswith("route", F.lit("auto_"))
     hit = auto & F.coalesce(F.col("matched") == F.col(truth), F.lit(False))
     counted = rows.groupBy("route").agg(F.count(F.lit(1)).alias("evaluated"), F.count_if(auto).alias("auto"), F.count_if(hit).alias("correct"), F.count_if(auto & ~hit).alias("false"))
     known = rows.sparkSession.createDataFrame([(r,) for r in routes], "route string")
@@ -187,9 +174,10 @@ def config_matrix(rows: DataFrame, item: str, config: str, status: str, baseline
 
 
 def duplicate_hashes(df: DataFrame, content: str, name: str) -> DataFrame:
-    """Hashes of contents that more than one name has, with the names in order."""
-    hashed = df.select(F.sha2(F.col(content), 256).alias("sha256"), name)
-    return hashed.groupBy("sha256").agg(F.count_distinct(name).alias("names"), F.array_join(F.array_sort(F.collect_set(name)).cast("array<string>"), ",").alias("listed")).filter("names > 1")
+    """(sha256, names, name): a row for every name of a content that more than one name has, and how many those are."""
+    hashed = df.select(F.sha2(F.col(content), 256).alias("sha256"), name).distinct()
+    often = hashed.groupBy("sha256").agg(F.count(F.lit(1)).alias("names")).filter("names > 1")
+    return hashed.join(often, "sha256").select("sha256", "names", name)
 
 
 def compare_engines(a: DataFrame, b: DataFrame, keys: list[str], value: str, status: str) -> DataFrame:
@@ -220,6 +208,18 @@ def reference_state(refs: DataFrame, songs: DataFrame, entity: str, version: Col
     return out.withColumn("state", state).drop("_available", "_title")
 
 
+def current_references(refs: DataFrame, songs: DataFrame, entity: str, version: Column) -> DataFrame:
+    """References that still serve: confirmed, by the current extractor, of an available entity whose title and artist are as they were.
+
+    The collected names are ``title`` and ``artist`` of ``refs``, the present ones those of
+    ``songs``; null names compare as equal nulls.
+    """
+    known = songs.filter("available").select(entity, F.col("title").alias("_title"), F.col("artist").alias("_artist"))
+    good = F.col("status").isin("auto_confirmed", "manual_confirmed") & (F.col("extractor") == version)
+    joined = refs.filter(good).join(known, entity)
+    return joined.filter(F.col("title").eqNullSafe(F.col("_title")) & F.col("artist").eqNullSafe(F.col("_artist"))).select(*refs.columns)
+
+
 COVERAGE = ("referenced", "needs_review", "unresolved", "uncollected")
 
 
@@ -278,6 +278,19 @@ def unresolved_summary(rows: DataFrame, reason: str, classes: dict[str, str], fi
     return value_counts(named, ["classification", reason, *fields])
 
 
+def order_free_hash(text: Column) -> list[Column]:
+    """Two sums over the rows' SHA-256: 60 bits each, so the order of rows doesn't matter and every row counts."""
+    digest = F.sha2(text, 256)
+    return [F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for at in (1, 16)]
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and a hash that doesn't depend on the order of rows: one pass, no sort."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content"))
+    """Row count and a content hash that doesn't depend on the order of rows or columns: one pass, no sort.
+
+    A row's text holds each column, by name, as its length and text, or a mark for null, so
+    that values can't move between columns unseen.
+    """
+    parts = [F.coalesce(F.concat(F.char_length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("n")) for c in sorted(df.columns)]
+    rows = df.select(F.concat_ws(";", *parts).alias("_row")) if parts else df.select(F.lit("").alias("_row"))
+    low, high = order_free_hash(F.col("_row"))
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", low, high).alias("content"))

@@ -119,3 +119,23 @@ def order_guard(df: DataFrame, key: str, ts: str, arrival: str) -> DataFrame:
     """Adds ``late``: the row's time is before the latest time that had arrived in its stream."""
     before = F.max(ts).over(Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("late", F.coalesce(F.col(ts) < before, F.lit(False)))
+
+
+def classify(df: DataFrame, signals: list[str], needed: list[str], shaping: list[str], transition: Column, expected: Column) -> DataFrame:
+    """Adds result_candidate, result_shape_candidate, transition_kind, expected_result_candidate, correct and reason.
+
+    ``signals`` are boolean columns.  A row is a result where all ``needed`` ones hold and it
+    is in no transition; it has the shape of one where those and one of ``shaping`` hold, or
+    where it is a result.  The reason lists what holds.  Null signals and a null transition don't hold.
+    """
+    on = {s: F.coalesce(F.col(s), F.lit(False)) for s in signals}
+    kind = F.coalesce(transition, F.lit(""))
+    every = F.forall(F.array(*[on[s] for s in needed]), lambda x: x)
+    some = F.exists(F.array(*[on[s] for s in shaping]), lambda x: x)
+    result = every & (kind == "")
+    held = [F.when(on[s], s) for s in signals] + [F.when(kind != "", F.concat(F.lit("transition_"), kind)), F.when(result, "finished_result_frame")]
+    wanted = F.coalesce(expected, F.lit(False))
+    return df.withColumns({
+        "result_candidate": result, "result_shape_candidate": every & (some | result), "transition_kind": kind, "expected_result_candidate": wanted,
+        "correct": result == wanted, "reason": F.coalesce(F.nullif(F.concat_ws(",", *held), F.lit("")), F.lit("no_signals")),
+    })

@@ -1,16 +1,21 @@
 """Guarded table writes: validate first, then publish one new version of a table.
 
-A versioned table is a folder with v000001, v000002 ... and a marker file per version,
-written last: a version without its marker was never published, so a lost executor or a
-crash leaves the table as it was.  Readers take the latest marked version.
+A versioned table is a folder of data folders and markers v000001.done, v000002.done ...,
+each of which names its data folder.  A publisher writes its data under a name of its own
+and then moves a complete marker to the version's name, where no marker may be yet: who
+comes second is refused and touches no published data, and a crash leaves the table as it
+was.  Readers take the latest marker.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.ids import reasons, row_sha256
+from tallyspark.operators.evaluate import order_free_hash, table_fingerprint
 
 
 class VersionedTable:
@@ -22,6 +27,9 @@ class VersionedTable:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _marker(self, version: int) -> str:
+        return f"{self.path}/v{version:06d}.done"
+
     def versions(self) -> list[int]:
         root = self._path(self.path)
         if not self._fs.exists(root):
@@ -33,20 +41,33 @@ class VersionedTable:
         known = self.versions()
         if not known:
             raise FileNotFoundError(f"{self.path} has no version")
-        return self.spark.read.parquet(f"{self.path}/v{version or known[-1]:06d}")
+        data = self.spark.read.text(self._marker(version or known[-1])).first()[0]
+        return self.spark.read.parquet(f"{self.path}/{data}")
 
     def publish(self, df: DataFrame, expected: int | None = None) -> int:
-        """Write the next version; refuse if ``expected`` isn't the latest one (0: none yet)."""
+        """Write the next version; refuse if ``expected`` isn't the latest one (0: none yet) or another publisher was first.
+
+        The marker's move is atomic where the file system's is, as on HDFS.
+        """
         latest = (self.versions() or [0])[-1]
         if expected is not None and expected != latest:
             raise ValueError(f"stale: version {latest} is the latest, not {expected}")
-        new = latest + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{new:06d}")
-        if not self._fs.createNewFile(self._path(f"{self.path}/v{new:06d}.done")):
-            raise ValueError(f"stale: version {new} was published meanwhile")
-        return new
-
-
+        data = f"data-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(f"{self.path}/{data}")
+        return self._mark(latest + 1, data)
+
+    def _mark(self, version: int, data: str) -> int:
+        draft, marker = self._path(f"{self.path}/_{data}.marker"), self._path(self._marker(version))
+        out = self._fs.create(draft, False)
+        out.write(bytearray(data.encode()))
+        out.close()
+        if self._fs.exists(marker) or not self._fs.rename(draft, marker):
+            self._fs.delete(draft, False)
+            raise ValueError(f"stale: version {version} was published meanwhile")
+        return version
+
+
+# Names of grades, clears and counts.
 GRADES = ("AAA", "AA+", "AA", "AA-", "A+", "A", "A-", "B+", "B", "B-", "C+", "C", "C-", "D+", "D", "E")
 CLEARS = ("MFC", "PFC", "GFC", "FULL COMBO", "CLEAR", "FAILED")
 COUNTS = ("max_combo", "marvelous", "perfect", "great", "good", "miss", "ex_score")
@@ -95,6 +116,31 @@ def insert_once(saved: DataFrame, batch: DataFrame, key: str, order: list[Column
     return marked.filter("outcome = 'inserted'").select(*batch.columns), marked.select(*batch.columns, "outcome")
 
 
+#: What the log says of a play that was saved before.
+DUPLICATE_STATUS, DUPLICATE_BOUNDARY = "skipped", "duplicate"
+
+
+def save_records(saved: DataFrame, records: DataFrame, order: list[Column], skip_reason: str, play_columns: list[str], capture_columns: list[str], log_columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plays to insert, captures, log rows) of wide records, each of which may have a play (has_play, duplicate_key).
+
+    A play whose key is saved already, or comes later in the batch, isn't inserted: its log
+    row loses play_id and becomes skipped, duplicate, with ``skip_reason``.  Captures and
+    log rows are always written.
+    """
+    place = F.row_number().over(Window.partitionBy("has_play", "duplicate_key").orderBy(*order))
+    known = saved.select("duplicate_key").distinct().withColumn("_saved", F.lit(True))
+    marked = records.withColumn("_place", place).join(known, "duplicate_key", "left")
+    again = F.col("has_play") & (F.coalesce("_saved", F.lit(False)) | (F.col("_place") > 1))
+    marked = marked.withColumn("_again", again)
+    plays = marked.filter("has_play AND NOT _again").select(*play_columns)
+    changed = {
+        "play_id": F.when(~F.col("_again"), F.col("play_id")), "analysis_status": F.when(F.col("_again"), DUPLICATE_STATUS).otherwise(F.col("analysis_status")),
+        "save_boundary_status": F.when(F.col("_again"), DUPLICATE_BOUNDARY).otherwise(F.col("save_boundary_status")),
+        "skip_reason": F.when(F.col("_again"), skip_reason).otherwise(F.col("skip_reason")), "duplicate": F.col("duplicate") | F.col("_again"),
+    }
+    return plays, marked.select(*capture_columns), marked.withColumns(changed).select(*log_columns)
+
+
 def adapt(df: DataFrame, required: list[str]) -> DataFrame:
     """Adds adaptation (excluded, unresolved, ready), and why: an exclusion, duplicate, or the fields that are missing."""
     missing = reasons(*[(_blank(c), c) for c in required])
@@ -182,8 +228,33 @@ def build_plan(rows: DataFrame, refs: DataFrame, truth: str) -> DataFrame:
     false = rows.agg(F.coalesce(F.max((auto & (F.col("matched") != F.col(truth))).cast("int")), F.lit(0)).alias("_false"))
     known = refs.select("ref_id", F.col("status").alias("_status"), F.col("entity").alias("_entity"))
     disposition = F.when(~auto & F.startswith("route", F.lit("rejected")), "rejected").when(~auto, "manual").when(F.col("_status").isin("auto_confirmed", "manual_confirmed") & (F.col("_entity") == F.col("matched")), "no_op").otherwise("apply")
-    out = rows.join(known, "ref_id", "left").join(F.broadcast(false))
-    return out.withColumn("disposition", F.when(F.col("_false") > 0, F.raise_error(F.lit("the plan has false automatic decisions")).cast("string")).otherwise(disposition)).drop("_false", "_status", "_entity")
+    out = rows.join(known, "ref_id", "left").join(F.broadcast(false)).join(F.broadcast(_state(refs)))
+    refused = F.raise_error(F.lit("the plan has false automatic decisions")).cast("string")
+    return out.withColumn("disposition", F.when(F.col("_false") > 0, refused).otherwise(disposition)).drop("_false", "_status", "_entity")
+
+
+def _state(refs: DataFrame) -> DataFrame:
+    """One row: the fingerprint of the references that a plan is made for."""
+    return table_fingerprint(refs).select(F.concat_ws("/", F.col("rows").cast("string"), "content").alias("plan_fingerprint"))
+
+
+def apply_plan(refs: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new references, outcome of every planned row); a plan made for other references is refused (an error at run time).
+
+    Rows to apply make their reference automatically confirmed with the matched entity and
+    raise its revision; a reference that isn't there is ``unknown``; all others keep their disposition.
+    """
+    now = F.broadcast(_state(refs).withColumnRenamed("plan_fingerprint", "_now"))
+    stale = F.raise_error(F.lit("stale: the references changed since the plan was made")).cast("string")
+    checked = plan.join(now).withColumn("disposition", F.when(F.col("_now") != F.col("plan_fingerprint"), stale).otherwise(F.col("disposition"))).drop("_now")
+    todo = checked.filter("disposition = 'apply'").select("ref_id", F.col("matched").alias("_matched"))
+    joined = refs.join(todo, "ref_id", "left")
+    hit = F.col("_matched").isNotNull()
+    changes = {"status": F.when(hit, "auto_confirmed").otherwise(F.col("status")), "entity": F.coalesce("_matched", "entity"), "revision": F.col("revision") + hit.cast("int")}
+    there = refs.select("ref_id", F.lit(True).alias("_there"))
+    done = F.when((F.col("disposition") == "apply") & F.col("_there").isNull(), "unknown").when(F.col("disposition") == "apply", "applied").otherwise(F.col("disposition"))
+    outcome = checked.join(there, "ref_id", "left").withColumn("outcome", done).select(*plan.columns, "outcome")
+    return joined.withColumns(changes).select(*refs.columns), outcome
 
 
 def cascade_delete(doomed: DataFrame, key: str, *tables: DataFrame) -> list[DataFrame]:
@@ -221,8 +292,9 @@ def migrate(df: DataFrame, source: int, target: int) -> tuple[DataFrame, list[di
 
 
 def stamp_master(tables: dict[str, DataFrame], sources: DataFrame) -> DataFrame:
-    """key/value metadata: row counts, and a version from the sorted source hashes."""
-    version = sources.agg(F.sha2(F.array_join(F.array_sort(F.collect_set("content_hash")), "\x00"), 256).alias("value")).select(F.lit("master_version").alias("key"), F.concat(F.lit("m-"), F.substring("value", 1, 16)).alias("value"))
+    """key/value metadata: row counts, and a version from the distinct source hashes in any order, added up and not listed."""
+    both = F.concat_ws(":", *order_free_hash(F.col("content_hash")))
+    version = sources.select("content_hash").distinct().agg(F.sha2(both, 256).alias("value")).select(F.lit("master_version").alias("key"), F.concat(F.lit("m-"), F.substring("value", 1, 16)).alias("value"))
     for name, df in sorted(tables.items()):
         version = version.unionByName(df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(f"{name}_count").alias("key"), "value"))
     return version

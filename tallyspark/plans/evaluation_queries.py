@@ -88,9 +88,14 @@ def labelled(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {LABELLED} SELECT lang, count(*) AS n, count(*) FILTER (predicted = quality) AS correct, round(count(*) FILTER (predicted = quality) / count(*), 6) AS accuracy,
-    coalesce(string_agg(CASE WHEN predicted = 1 AND quality = 0 THEN doc_id END::VARCHAR, ',' ORDER BY doc_id), '') AS false_positives, coalesce(string_agg(CASE WHEN predicted = 0 AND quality = 1 THEN doc_id END::VARCHAR, ',' ORDER BY doc_id), '') AS false_negatives FROM lb GROUP BY lang""")
+    count(*) FILTER (predicted = 1 AND quality = 0) AS false_positives, count(*) FILTER (predicted = 0 AND quality = 1) AS false_negatives FROM lb GROUP BY lang""")
 def a13_classification_summary(t: Tables) -> DataFrame:
-    return V.classification_summary(labelled(t), "predicted", "quality", "doc_id", ["lang"]).withColumn("accuracy", F.round("accuracy", 6))
+    return V.classification_summary(labelled(t), "predicted", "quality", ["lang"]).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"""WITH {LABELLED} SELECT lang, CASE WHEN predicted = 1 THEN 'false_positive' ELSE 'false_negative' END AS kind, doc_id FROM lb WHERE predicted <> quality""")
+def a13_misclassified(t: Tables) -> DataFrame:
+    return V.misclassified(labelled(t), "predicted", "quality", "doc_id", ["lang"])
 
 
 @query(f"""WITH {LABELLED}, g AS (SELECT source AS method, count(*) AS artifacts, count(*) FILTER (n_chars > 100) AS evaluated, count(*) FILTER (n_chars > 100 AND quality = 1) AS exact, count(*) FILTER (n_chars > 100 AND predicted = 1) AS auto,
@@ -115,7 +120,7 @@ def a21_config_matrix(t: Tables) -> DataFrame:
     return V.config_matrix(rows, "p_partkey", "config", "status", "base")
 
 
-@query("SELECT sha256(text) AS sha256, count(DISTINCT doc_id) AS names, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS listed FROM documents GROUP BY text HAVING count(DISTINCT doc_id) > 1")
+@query("""WITH d AS (SELECT DISTINCT sha256(text) AS sha256, doc_id::VARCHAR AS name FROM documents), n AS (SELECT sha256, count(*) AS names FROM d GROUP BY 1 HAVING count(*) > 1) SELECT sha256, names, name FROM d JOIN n USING (sha256)""")
 def a22_duplicate_hashes(t: Tables) -> DataFrame:
     return V.duplicate_hashes(t.documents.withColumn("name", F.col("doc_id").cast("string")), "text", "name")
 
@@ -154,14 +159,38 @@ ROUTE_SQL = """i AS (SELECT p_partkey AS k, p_partkey % 31 = 0 AS rejected, CASE
 ROUTES = ["auto_jacket_gate", "auto_jacket_top3_title_ocr", "auto_ocr_title_artist_pair", "manual_jacket_ocr_conflict", "manual_jacket_ocr_unresolved", "manual_jacket_top3_miss", "manual_ocr_pair_ambiguous", "manual_ocr_pair_incomplete", "manual_other", "rejected_capture_mismatch", "never_taken"]
 
 
+def route_rules() -> tuple[list[tuple[F.Column, str, F.Column | None, str]], tuple[str, str]]:
+    """Rules over rejected, gate_entity, mismatch, conflict, top3, title_ids, pair_ids and their flags; what no rule takes is unresolved."""
+    c = F.col
+    title, pair = F.get("title_ids", 0), F.get("pair_ids", 0)
+    sole_title, sole_pair, near = F.size("title_ids") == 1, F.size("pair_ids") == 1, F.array_contains("top3", F.get("title_ids", 0))
+    # Names of routes and reasons.
+    rules = [
+        (c("rejected"), "rejected_capture_mismatch", None, "capture_review_rejected"),
+        (c("gate_entity").isNotNull(), "auto_jacket_gate", c("gate_entity"), "jacket_gate"),
+        (c("mismatch"), "manual_other", None, "ocr_profile_set_mismatch"),
+        (c("conflict"), "manual_jacket_ocr_conflict", None, "ocr_profile_song_id_conflict"),
+        (sole_title & ~c("title_ambiguous") & near, "auto_jacket_top3_title_ocr", title, "unique_title_in_jacket_top3"),
+        (sole_pair & ~c("pair_ambiguous") & ~c("snapshot_pair"), "auto_ocr_title_artist_pair", pair, "unique_pair_without_snapshot_reference"),
+        (c("pair_ambiguous"), "manual_ocr_pair_ambiguous", None, "title_artist_pair_ambiguous"),
+        (sole_title & ~near & ~(c("snapshot_title") | c("pair_complete")), "manual_ocr_pair_incomplete", None, "snapshot_missing_pair_incomplete"),
+        (sole_title & ~near, "manual_jacket_top3_miss", None, "title_candidate_outside_jacket_top3"),
+        (c("title_ambiguous"), "manual_jacket_ocr_unresolved", None, "title_ocr_ambiguous"),
+        (sole_title & ~(c("snapshot_title") | c("pair_complete")), "manual_ocr_pair_incomplete", None, "snapshot_missing_pair_incomplete"),
+    ]
+    return rules, ("manual_jacket_ocr_unresolved", "title_ocr_unresolved")
+
+
 def routed(t: Tables) -> DataFrame:
     k = F.col("k")
     none = F.array().cast("array<bigint>")
     d = t.part.select(F.col("p_partkey").alias("k")).withColumns({
-        "rejected": k % 31 == 0, "gate_entity": F.when(k % 4 == 0, k), "mismatch": k % 29 == 0, "conflict": k % 23 == 0, "title_ids": F.when(k % 3 == 0, F.array(k)).otherwise(none), "pair_ids": F.when(k % 5 == 0, F.array(k + 1)).otherwise(none),
-        "top3": F.when(k % 6 != 1, F.array(k, k + 7)).otherwise(F.array(k + 7)), "title_ambiguous": k % 7 == 0, "pair_ambiguous": k % 11 == 0, "pair_complete": k % 2 == 0, "snapshot_title": k % 13 > 5, "snapshot_pair": k % 17 > 8,
+        "rejected": k % 31 == 0, "gate_entity": F.when(k % 4 == 0, k), "mismatch": k % 29 == 0, "conflict": k % 23 == 0,
+        "title_ids": F.when(k % 3 == 0, F.array(k)).otherwise(none), "pair_ids": F.when(k % 5 == 0, F.array(k + 1)).otherwise(none),
+        "top3": F.when(k % 6 != 1, F.array(k, k + 7)).otherwise(F.array(k + 7)), "title_ambiguous": k % 7 == 0, "pair_ambiguous": k % 11 == 0,
+        "pair_complete": k % 2 == 0, "snapshot_title": k % 13 > 5, "snapshot_pair": k % 17 > 8,
     })
-    return V.route(d)
+    return V.route(d, *route_rules(), "bigint")
 
 
 @query(f"WITH {ROUTE_SQL} SELECT * FROM m")
@@ -192,7 +221,7 @@ def j20_assemble(t: Tables) -> DataFrame:
 
 
 REFS = """s AS (SELECT p_partkey AS song, p_name AS title, p_size % 4 <> 0 AS available, p_brand AS style, p_size AS level FROM part),
-    rf AS (SELECT l_orderkey * 10 + l_linenumber AS ref, l_partkey * 2 AS song0, l_partkey AS song, CASE l_suppkey % 4 WHEN 0 THEN 'auto_confirmed' WHEN 1 THEN 'manual_confirmed' WHEN 2 THEN 'needs_review' ELSE 'unresolved' END AS status, l_returnflag AS reason, 'v' || (l_suppkey % 3) AS extractor, l_partkey AS pk, l_suppkey AS sk FROM lineitem WHERE l_partkey % 3 = 0)"""
+    rf AS (SELECT l_orderkey * 10 + l_linenumber AS ref, l_partkey * 2 AS song0, l_partkey AS song, CASE l_suppkey % 4 WHEN 0 THEN 'auto_confirmed' WHEN 1 THEN 'manual_confirmed' WHEN 2 THEN 'needs_review' ELSE 'unresolved' END AS status, l_returnflag AS reason, 'v' || (l_suppkey % 3) AS extractor, l_partkey AS pk, l_suppkey AS sk FROM lineitem)"""
 
 
 def songs(t: Tables) -> DataFrame:
@@ -268,10 +297,20 @@ def a26_unresolved_summary(t: Tables) -> DataFrame:
     return V.unresolved_summary(refs(t), "reason", {"R": "rejected", "A": "accepted"}, ["status"])
 
 
-@query()
+@query("""WITH p AS (SELECT [o_custkey::VARCHAR, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderkey::VARCHAR, o_orderpriority, o_orderstatus] AS v FROM orders),
+    h AS (SELECT sha256(array_to_string(list_transform(v, lambda x: coalesce(length(x)::VARCHAR || ':' || x, 'n')), ';')) AS d FROM p)
+    SELECT count(*) AS "rows", sum(('0x' || substr(d, 1, 15))::BIGINT)::VARCHAR || ':' || sum(('0x' || substr(d, 16, 15))::BIGINT)::VARCHAR AS content FROM h""")
 def a27_table_fingerprint(t: Tables) -> DataFrame:
-    """Spark's row hash has no SQL twin: tested for independence of order and change of content."""
-    return V.table_fingerprint(t.orders)
+    """Without the price: a double's text isn't the same in both engines."""
+    return V.table_fingerprint(t.orders.drop("o_totalprice"))
+
+
+@query(f"""WITH {REFS} SELECT rf.ref, rf.sk FROM rf JOIN s USING (song) WHERE status IN ('auto_confirmed', 'manual_confirmed') AND extractor = 'v1' AND available AND rf.song % 5 <> 0 AND song % 7 <> 0""")
+def f7_current_references(t: Tables) -> DataFrame:
+    """A fifth of the references were collected under another title; a seventh of the songs are gone."""
+    names = songs(t).select("song", F.col("title").alias("_t"), F.col("style").alias("artist"))
+    named = refs(t).join(names, "song").withColumn("title", F.when(F.col("song") % 5 == 0, "other").otherwise(F.col("_t"))).drop("_t")
+    return V.current_references(named, songs(t).withColumnRenamed("style", "artist").filter("song % 7 != 0"), "song", F.lit("v1")).select("ref", "sk")
 
 
 @query("""SELECT event_id, round(greatest(0.0, least(1.0, (value - 10) / 80.0)) * 0.6 + greatest(0.0, least(1.0, (user_id - 0) / 100.0)) * 0.4, 6) AS score, round(least((value * 7) % 360, 360 - (value * 7) % 360), 4) AS turn FROM events""")

@@ -108,3 +108,14 @@ def t5_sample_min_gap(t: Tables) -> DataFrame:
 @query("SELECT event_id, coalesce(ts < max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM events")
 def t8_order_guard(t: Tables) -> DataFrame:
     return E.order_guard(t.events, "user_id", "ts", "event_id").select("event_id", "late")
+
+
+@query("""WITH s AS (SELECT event_id, event_type, event_id % 2 = 0 AS header, event_id % 3 <> 0 AS detail_panel, CASE WHEN event_id % 5 <> 0 THEN user_id % 4 = 0 END AS score_area, event_id % 7 = 0 AS rank, CASE WHEN event_id % 11 = 0 THEN 'countup' ELSE '' END AS t FROM events),
+    r AS (SELECT *, header AND detail_panel AND t = '' AS result, event_type = 'purchase' AS expected FROM s)
+    SELECT event_id, result AS result_candidate, header AND detail_panel AND (coalesce(score_area, false) OR rank OR result) AS result_shape_candidate, t AS transition_kind, expected AS expected_result_candidate, result = expected AS correct,
+    coalesce(nullif(concat_ws(',', CASE WHEN header THEN 'header' END, CASE WHEN detail_panel THEN 'detail_panel' END, CASE WHEN score_area THEN 'score_area' END, CASE WHEN rank THEN 'rank' END, CASE WHEN t <> '' THEN 'transition_' || t END, CASE WHEN result THEN 'finished_result_frame' END), ''), 'no_signals') AS reason FROM r""")
+def p22_classify(t: Tables) -> DataFrame:
+    k = F.col("event_id")
+    rows = t.events.select("event_id", "event_type", (k % 2 == 0).alias("header"), (k % 3 != 0).alias("detail_panel"), F.when(k % 5 != 0, F.col("user_id") % 4 == 0).alias("score_area"), (k % 7 == 0).alias("rank"))
+    out = E.classify(rows, ["header", "detail_panel", "score_area", "rank"], ["header", "detail_panel"], ["score_area", "rank"], F.when(k % 11 == 0, "countup"), F.col("event_type") == "purchase")
+    return out.drop("event_type", "header", "detail_panel", "score_area", "rank")

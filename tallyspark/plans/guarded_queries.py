@@ -34,6 +34,44 @@ def g1_validate(t: Tables) -> DataFrame:
     return records(t).select(*KEYS, F.array_join(G.play_errors(), ",").alias("errors"))
 
 
+def linked(t: Tables) -> DataFrame:
+    """Wide records: lines with analysis, capture and play columns, some of which contradict each other."""
+    k, n = F.col("l_orderkey") + F.col("l_suppkey"), F.col("l_linenumber")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("saved", "skipped", "error", "low_confidence")]), (k % 4 + 1).cast("int"))
+    return t.lineitem.select(
+        *KEYS, status.alias("analysis_status"), (n % 3 != 0).alias("has_play"), F.when(k % 5 == 0, "why").otherwise("").alias("skip_reason"), (k % 6 != 0).alias("confirmed_result"),
+        (k % 7 == 0).alias("duplicate"), F.lit("h").alias("capture_hash"), F.when(k % 11 == 0, "other").otherwise("h").alias("play_capture_hash"),
+    )
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_orderkey + l_suppkey AS k, l_linenumber % 3 <> 0 AS play FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', CASE WHEN NOT play AND k % 4 = 0 THEN 'saved_analysis_requires_play' END, CASE WHEN NOT play AND k % 5 <> 0 THEN 'non_saved_analysis_requires_skip_reason' END,
+    CASE WHEN play AND k % 4 <> 0 THEN 'play_requires_saved_analysis' END, CASE WHEN play AND k % 5 = 0 THEN 'saved_analysis_skip_reason_must_be_empty' END, CASE WHEN play AND k % 6 = 0 THEN 'play_requires_confirmed_result' END,
+    CASE WHEN play AND k % 7 = 0 THEN 'play_must_not_be_duplicate' END, CASE WHEN play AND k % 11 = 0 THEN 'play.capture_hash_mismatch' END, CASE WHEN k % 7 = 0 AND k % 4 <> 1 THEN 'duplicate_requires_skipped_analysis' END) AS errors FROM r""")
+def g1_link_errors(t: Tables) -> DataFrame:
+    good, bad = G.validate(linked(t), G.link_errors())
+    rows = good.withColumn("errors", F.array().cast("array<string>")).unionByName(bad)
+    return rows.select(*KEYS, F.array_join("errors", ",").alias("errors"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 3 <> 0 AS play, l_partkey * 10 + l_linenumber % 2 AS dk, l_returnflag = 'R' AS dup FROM lineitem),
+    p AS (SELECT *, play AND (l_partkey % 9 = 0 OR row_number() OVER (PARTITION BY play, dk ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) > 1) AS again FROM r)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN play AND NOT again THEN 'p' || l_orderkey END AS play_id, CASE WHEN again THEN 'skipped' WHEN play THEN 'saved' ELSE 'error' END AS analysis_status,
+    CASE WHEN again THEN 'duplicate' ELSE 'ready' END AS save_boundary_status, CASE WHEN again THEN 'duplicate_key_already_saved' ELSE '' END AS skip_reason, dup OR again AS duplicate FROM p""")
+def g2_save_log(t: Tables) -> DataFrame:
+    """The log of saving all lines as records, of which a ninth of the parts' plays were saved before."""
+    key = (F.col("l_partkey") * 10 + F.col("l_linenumber") % 2).alias("duplicate_key")
+    play = F.col("l_linenumber") % 3 != 0
+    rows = t.lineitem.select(
+        *KEYS, key, play.alias("has_play"), F.when(play, F.concat(F.lit("p"), "l_orderkey")).alias("play_id"), F.when(play, "saved").otherwise("error").alias("analysis_status"),
+        F.lit("ready").alias("save_boundary_status"), F.lit("").alias("skip_reason"), (F.col("l_returnflag") == "R").alias("duplicate"),
+    )
+    log = [*KEYS, "play_id", "analysis_status", "save_boundary_status", "skip_reason", "duplicate"]
+    saved = t.lineitem.filter("l_partkey % 9 = 0").select(key).distinct()
+    saved = saved.unionByName(t.part.filter("p_partkey % 9 = 0").select(F.explode(F.array(F.col("p_partkey") * 10, F.col("p_partkey") * 10 + 1)).alias("duplicate_key")))
+    return G.save_records(saved, rows, [F.col(c) for c in KEYS], "duplicate_key_already_saved", ["duplicate_key", *KEYS], KEYS, log)[2]
+
+
 @query("""WITH b AS (SELECT o_orderkey, o_custkey, o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0) AS known, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderkey % 10 <> 0)
     SELECT o_orderkey, CASE WHEN NOT known AND rn = 1 THEN 'inserted' ELSE 'duplicate' END AS outcome FROM b""")
 def g2_insert_once(t: Tables) -> DataFrame:
@@ -123,18 +161,30 @@ def g6_build_plan(t: Tables) -> DataFrame:
     return G.build_plan(rows, refs, "k").select("k", "disposition")
 
 
+@query("""WITH r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 31 = 0 THEN 'rejected' WHEN p_partkey % 4 <> 0 THEN 'manual' WHEN p_partkey % 8 = 0 THEN 'no_op' ELSE 'apply' END AS d FROM part)
+    SELECT k AS ref_id, CASE WHEN d IN ('apply', 'no_op') THEN 'auto_confirmed' ELSE 'needs_review' END AS status, CASE WHEN d IN ('apply', 'no_op') THEN k END AS entity, 1 + (d = 'apply')::INT AS revision, CASE d WHEN 'apply' THEN 'applied' ELSE d END AS outcome FROM r""")
+def g6_apply_plan(t: Tables) -> DataFrame:
+    """A plan over all parts applied to the references that it was made for, with each row's outcome."""
+    k = F.col("p_partkey")
+    route = F.when(k % 31 == 0, "rejected_capture_mismatch").when(k % 4 == 0, "auto_jacket_gate").otherwise("manual_other")
+    done = (k % 8 == 0) & (k % 31 != 0)
+    refs = t.part.select(k.alias("ref_id"), F.when(done, "auto_confirmed").otherwise("needs_review").alias("status"), F.when(done, k).alias("entity"), F.lit(1).alias("revision"))
+    new, outcome = G.apply_plan(refs, G.build_plan(t.part.select(k.alias("k"), k.alias("ref_id"), route.alias("route"), k.alias("matched")), refs, "k"))
+    return new.join(outcome.select("ref_id", "outcome"), "ref_id")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def g9_cascade_delete(t: Tables) -> DataFrame:
     doomed = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     return G.cascade_delete(doomed, "l_orderkey", t.lineitem)[0].select(*KEYS)
 
 
-@query("""WITH f AS (SELECT p_partkey AS feature_id, p_brand || p_type AS ident, p_size % 3 <> 0 AS accepted, CASE WHEN p_partkey % 10 = 0 THEN 'old' ELSE p_name END AS canonical, p_name AS expected FROM part),
-    g AS (SELECT *, row_number() OVER (PARTITION BY ident, accepted ORDER BY feature_id) AS rn, ident IN (SELECT p_brand || p_type FROM part WHERE p_partkey <= 40) AS known FROM f)
+@query("""WITH f AS (SELECT p_partkey AS feature_id, p_brand || p_partkey // 20 AS ident, p_size % 3 <> 0 AS accepted, CASE WHEN p_partkey % 10 = 0 THEN 'old' ELSE p_name END AS canonical, p_name AS expected FROM part),
+    g AS (SELECT *, row_number() OVER (PARTITION BY ident, accepted ORDER BY feature_id) AS rn, ident IN (SELECT p_brand || p_partkey // 20 FROM part WHERE p_partkey % 9 = 4) AS known FROM f)
     SELECT feature_id, CASE WHEN NOT accepted THEN 'not_accepted' WHEN canonical <> expected THEN 'canonical_drift' WHEN known OR rn > 1 THEN 'duplicate' ELSE 'inserted' END AS outcome FROM g""")
 def g10_store_features(t: Tables) -> DataFrame:
-    f = t.part.select(F.col("p_partkey").alias("feature_id"), F.concat("p_brand", "p_type").alias("ident"), (F.col("p_size") % 3 != 0).alias("accepted"), F.when(F.col("p_partkey") % 10 == 0, "old").otherwise(F.col("p_name")).alias("canonical"), F.col("p_name").alias("expected_canonical"))
-    store = f.filter("feature_id <= 40").select("ident").distinct()
+    f = t.part.select(F.col("p_partkey").alias("feature_id"), F.expr("p_brand || p_partkey div 20").alias("ident"), (F.col("p_size") % 3 != 0).alias("accepted"), F.when(F.col("p_partkey") % 10 == 0, "old").otherwise(F.col("p_name")).alias("canonical"), F.col("p_name").alias("expected_canonical"))
+    store = f.filter("feature_id % 9 = 4").select("ident").distinct()
     return G.store_features(store, f, ["ident"])[1].select("feature_id", "outcome")
 
 
@@ -151,18 +201,18 @@ def g12_migrate(t: Tables) -> DataFrame:
     return G.migrate(t.orders.select("o_orderkey"), 1, 3)[0]
 
 
-@query("""WITH s AS (SELECT sha256(array_to_string(list_sort(list_distinct(list(sha256(html)))), chr(0))) AS h FROM pages) SELECT 'master_version' AS key, 'm-' || substr(h, 1, 16) AS value FROM s UNION ALL SELECT 'charts_count', count(*)::VARCHAR FROM part UNION ALL SELECT 'songs_count', count(DISTINCT p_name)::VARCHAR FROM part""")
+@query("""WITH d AS (SELECT DISTINCT sha256(sha256(html)) AS d FROM pages), s AS (SELECT sha256(sum(('0x' || substr(d, 1, 15))::BIGINT)::VARCHAR || ':' || sum(('0x' || substr(d, 16, 15))::BIGINT)::VARCHAR) AS h FROM d) SELECT 'master_version' AS key, 'm-' || substr(h, 1, 16) AS value FROM s UNION ALL SELECT 'charts_count', count(*)::VARCHAR FROM part UNION ALL SELECT 'songs_count', count(DISTINCT p_name)::VARCHAR FROM part""")
 def g14_p16_stamp_master(t: Tables) -> DataFrame:
     return G.stamp_master({"charts": t.part, "songs": t.part.select("p_name").distinct()}, t.pages.select(F.sha2("html", 256).alias("content_hash")))
 
 
-@query("""WITH d AS (SELECT p_partkey % 1900 AS ref_id, CASE p_size % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' WHEN 2 THEN 'hold' ELSE 'maybe' END AS status, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_partkey % 30 END AS entity FROM part)
-    SELECT ref_id, status, entity, concat_ws(',', CASE WHEN ref_id NOT BETWEEN 1 AND 1800 THEN 'unknown_reference' END, CASE WHEN count(*) OVER (PARTITION BY ref_id) > 1 THEN 'repeated_reference' END, CASE WHEN status = 'maybe' THEN 'status_invalid' END, CASE WHEN status = 'confirmed' AND entity IS NULL THEN 'entity_required' END,
+@query("""WITH d AS (SELECT p_partkey - (p_partkey % 11 = 0)::INT AS ref_id, CASE p_size % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' WHEN 2 THEN 'hold' ELSE 'maybe' END AS status, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_partkey % 30 END AS entity FROM part)
+    SELECT ref_id, status, entity, concat_ws(',', CASE WHEN ref_id % 17 = 3 OR ref_id < 0 THEN 'unknown_reference' END, CASE WHEN count(*) OVER (PARTITION BY ref_id) > 1 THEN 'repeated_reference' END, CASE WHEN status = 'maybe' THEN 'status_invalid' END, CASE WHEN status = 'confirmed' AND entity IS NULL THEN 'entity_required' END,
     CASE WHEN status = 'rejected' AND entity IS NOT NULL THEN 'entity_forbidden' END, CASE WHEN entity IS NOT NULL AND entity NOT BETWEEN 0 AND 24 THEN 'entity_unknown' END) AS violations FROM d""")
 def g15_validate_drafts(t: Tables) -> DataFrame:
     s = F.col("p_size")
-    d = t.part.select((F.col("p_partkey") % 1900).alias("ref_id"), F.when(s % 4 == 0, "confirmed").when(s % 4 == 1, "rejected").when(s % 4 == 2, "hold").otherwise("maybe").alias("status"), F.when(s % 3 != 0, F.col("p_partkey") % 30).alias("entity"))
-    refs = t.part.filter("p_partkey BETWEEN 1 AND 1800").select(F.col("p_partkey").alias("ref_id"))
+    d = t.part.select((F.col("p_partkey") - (F.col("p_partkey") % 11 == 0).cast("int")).alias("ref_id"), F.when(s % 4 == 0, "confirmed").when(s % 4 == 1, "rejected").when(s % 4 == 2, "hold").otherwise("maybe").alias("status"), F.when(s % 3 != 0, F.col("p_partkey") % 30).alias("entity"))
+    refs = t.part.filter("p_partkey % 17 != 3").select(F.col("p_partkey").alias("ref_id"))
     return G.validate_drafts(d, refs, t.nation.select(F.col("n_nationkey").cast("long").alias("entity"))).select("ref_id", "status", "entity", F.array_join("violations", ",").alias("violations"))
 
 
@@ -203,12 +253,12 @@ def u3_same_keys(t: Tables) -> DataFrame:
     return G.same_keys(t.customer.select(F.col("c_custkey").alias("key")), t.orders.filter("o_custkey % 5 != 0").select(F.col("o_custkey").alias("key")), "key")
 
 
-@query("""WITH c AS (SELECT p_partkey AS chart_id, p_partkey % 500 AS song_id, p_brand AS style, p_type AS difficulty FROM part)
-    SELECT 'metadata_missing' AS code, 'source_url' AS detail UNION ALL SELECT 'songs_count_mismatch', '7/' || count(*) FROM part WHERE p_partkey <= 480 UNION ALL SELECT 'chart_without_song', chart_id::VARCHAR FROM c WHERE song_id NOT BETWEEN 0 AND 480
+@query("""WITH c AS (SELECT p_partkey AS chart_id, p_partkey // 8 AS song_id, p_brand AS style, p_type AS difficulty FROM part)
+    SELECT 'metadata_missing' AS code, 'source_url' AS detail UNION ALL SELECT 'songs_count_mismatch', '7/' || count(*) FROM part WHERE p_partkey % 25 <> 0 UNION ALL SELECT 'chart_without_song', chart_id::VARCHAR FROM c WHERE song_id % 25 = 0
     UNION ALL SELECT 'chart_repeated', song_id || '/' || style || '/' || difficulty FROM c GROUP BY song_id, style, difficulty HAVING count(*) > 1 UNION ALL SELECT 'snapshot_count', count(*)::VARCHAR FROM pages UNION ALL SELECT 'snapshot_hash_mismatch', page_id::VARCHAR FROM pages WHERE page_id % 20 = 0""")
 def u5_check_master(t: Tables) -> DataFrame:
-    songs = t.part.filter("p_partkey <= 480").select(F.col("p_partkey").alias("song_id"))
-    charts = t.part.select(F.col("p_partkey").alias("chart_id"), (F.col("p_partkey") % 500).alias("song_id"), F.col("p_brand").alias("style"), F.col("p_type").alias("difficulty"))
+    songs = t.part.filter("p_partkey % 25 != 0").select(F.col("p_partkey").alias("song_id"))
+    charts = t.part.select(F.col("p_partkey").alias("chart_id"), F.expr("p_partkey div 8").alias("song_id"), F.col("p_brand").alias("style"), F.col("p_type").alias("difficulty"))
     meta = t.part.agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(F.struct(F.lit("charts_count").alias("key"), F.col("n").cast("string").alias("value")), F.struct(F.lit("songs_count").alias("key"), F.lit("7").alias("value")))))
     snaps = t.pages.select(F.col("page_id").alias("snapshot_id"), F.col("html").alias("html_content"), F.when(F.col("page_id") % 20 == 0, "x").otherwise(F.sha2("html", 256)).alias("content_hash"))
     return G.check_master(songs, charts, meta, snaps, ["charts_count", "songs_count", "source_url"])
@@ -246,7 +296,7 @@ def p2_p4_keys(t: Tables) -> DataFrame:
 
 @query("""SELECT p_partkey, CASE lower(p_type) WHEN 'standard' THEN 'SP' WHEN 'small' THEN 'DP' ELSE upper(p_type) END AS style, CASE WHEN starts_with(lower(p_brand), 'brand#') THEN CASE substr(p_brand, 7) WHEN '1' THEN 'one' ELSE substr(p_brand, 7) END ELSE p_brand END AS version FROM part""")
 def p5_p14_maps(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", X.map_values(F.col("p_type"), {"standard": "SP", "small": "DP"}).alias("style"), X.version_label(F.col("p_brand"), ("brand#",), {"1": "one"}).alias("version"))
+    return t.part.select("p_partkey", X.map_values(X.compatible("p_type"), {"standard": "SP", "small": "DP"}).alias("style"), X.version_label(F.col("p_brand"), ("brand#",), {"1": "one"}).alias("version"))
 
 
 @query("""SELECT p_partkey, 'song_' || substr(sha1(p_name || chr(0) || p_brand), 1, 16) AS stable, sha256('{"p_brand":"' || p_brand || '","p_partkey":' || p_partkey || '}') AS row_hash, CASE WHEN p_size % 3 <> 0 THEN sha256(p_name || chr(31) || p_brand || chr(31) || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END) END AS event,

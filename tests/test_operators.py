@@ -99,7 +99,7 @@ def test_entity_distances_in_blocks(spark):
     obs = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "id long, v array<double>")
     refs = spark.createDataFrame([(i, i % 3, [float(i) + 0.25, 0.0]) for i in range(20)] + [(99, 9, None)], "id long, e int, v array<double>")
     whole = N.entity_distances(obs, refs, "id", "id", "e", "v")
-    small = N.entity_distances(obs, refs, "id", "id", "e", "v", block=3)
+    small = N.entity_distances(obs, refs, "id", "id", "e", "v", block=3, small=0)
     assert sorted(rows(whole)) == sorted(rows(small))
     assert whole.count() == 60
 
@@ -183,3 +183,59 @@ def test_html(spark):
     assert got["X & Y"] == ("http://site/x?a=1", True, None)
     assert got["Z"] == ("http://other/", False, None)
     assert got["no link"] == (None, None, "missing_link")
+
+
+def test_lost_race_leaves_the_published_version(spark):
+    """Two publishers write the same version; who comes second is refused, and the first one's rows stay."""
+    table = G.VersionedTable(spark, tempfile.mkdtemp() + "/t")
+    table.publish(spark.range(1), 0)
+    other = G.VersionedTable(spark, table.path)
+    first, second = G.VersionedTable._mark, []
+
+    def late(self, version, data):
+        if not second:
+            second.append(other.publish(spark.range(10), 1))
+        return first(self, version, data)
+
+    table._mark = lambda version, data: late(table, version, data)
+    with pytest.raises(ValueError, match="stale"):
+        table.publish(spark.range(99), 1)
+    assert second == [2] and table.versions() == [1, 2]
+    assert table.read().count() == 10 and table.read(1).count() == 1
+
+
+def test_fingerprint_sees_moved_values(spark):
+    schema = "a string, b string"
+    shapes = [[(None, "1")], [("1", None)], [("", "1")], [("11", "")], [("1", "1")], [("1", "1")] * 2, [("1;1:1", None)], []]
+    found = [V.table_fingerprint(spark.createDataFrame(rows, schema)).first() for rows in shapes]
+    assert len(set(found)) == len(shapes)
+    assert V.table_fingerprint(spark.createDataFrame([("x", 1)], "b string, a int")).first() == V.table_fingerprint(spark.createDataFrame([(1, "x")], "a int, b string")).first()
+
+
+def test_stale_plan_is_refused(spark):
+    refs = spark.createDataFrame([(1, "needs_review", None, 0), (2, "auto_confirmed", 5, 1), (3, "needs_review", None, 4)], "ref_id int, status string, entity int, revision int")
+    planned = spark.createDataFrame([(1, "auto_x", 7, 7), (2, "auto_x", 5, 5), (3, "manual_y", None, 9), (4, "auto_x", 8, 8)], "ref_id int, route string, matched int, truth int")
+    plan = G.build_plan(planned, refs, "truth")
+    new, outcome = G.apply_plan(refs, plan)
+    assert sorted(rows(new)) == [(1, "auto_confirmed", 7, 1), (2, "auto_confirmed", 5, 1), (3, "needs_review", None, 4)]
+    assert dict(rows(outcome.select("ref_id", "outcome"))) == {1: "applied", 2: "no_op", 3: "manual", 4: "unknown"}
+    for result in G.apply_plan(new, plan):
+        with pytest.raises(Exception, match="stale"):
+            result.collect()
+
+
+def test_save_records_rewrites_the_log(spark):
+    schema = "n int, has_play boolean, duplicate_key string, play_id string, analysis_status string, save_boundary_status string, skip_reason string, duplicate boolean"
+    records = [(k, play, key, f"p{k}" if play else None, "saved" if play else "error", "ready", "", False) for k, (play, key) in enumerate([(True, "a"), (True, "b"), (True, "b"), (False, "b"), (False, None), (True, "c")])]
+    saved = spark.createDataFrame([("a",), ("a",)], "duplicate_key string")
+    log = ["n", "play_id", "analysis_status", "save_boundary_status", "skip_reason", "duplicate"]
+    plays, captures, logged = G.save_records(saved, spark.createDataFrame(records, schema), [F.col("n")], "why", ["n"], ["n"], log)
+    assert sorted(rows(plays)) == [(1,), (5,)] and captures.count() == 6
+    again = (None, "skipped", "duplicate", "why", True)
+    assert sorted(rows(logged)) == [(0, *again), (1, "p1", "saved", "ready", "", False), (2, *again), (3, None, "error", "ready", "", False), (4, None, "error", "ready", "", False), (5, "p5", "saved", "ready", "", False)]
+
+
+def test_first_rule_that_holds(spark):
+    df = spark.createDataFrame([(1, True, None), (2, None, True), (3, None, False)], "id int, a boolean, b boolean")
+    out = V.route(df, [(F.col("a"), "auto_a", F.col("id"), "is_a"), (F.col("b"), "manual_b", None, "is_b")], ("none", "nothing"), "int")
+    assert sorted(rows(out.select("id", "route", "matched", "route_reason"))) == [(1, "auto_a", 1, "is_a"), (2, "manual_b", None, "is_b"), (3, "none", None, "nothing")]
