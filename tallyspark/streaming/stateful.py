@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyspark.operators.events import MIN_MS, WINDOW_MS
+from tallyspark.operators.guarded import VersionedTable, insert_once, validate
 
 
 class _Ordered(StatefulProcessor):
@@ -41,12 +42,22 @@ class _Ordered(StatefulProcessor):
             state, found = self.step(state, row)
             out += found
         self.value.update(state)
+        self.forget(state)
         yield self.frame(key, out)
 
+    def forget(self, state: tuple) -> None:
+        """Drop what can't matter any more; called once a trigger and key."""
+
     def close(self) -> None:
         pass
 
 
+def _drop_before(marks, least: int) -> None:
+    """Remove entries of a map state whose time lies before ``least``."""
+    for key in [key for key, (at,) in marks.iterator() if at < least]:
+        marks.removeKey(key)
+
+
 EVENTS = "stream string, order_id long, timestamp_ms long, event_type string, candidate_duration_ms long, late boolean"
 
 
@@ -83,6 +94,10 @@ class Confirm(_Ordered):
             started = None
         return (row.timestamp_ms, started), [(row.order_id, row.timestamp_ms, kind, duration, False)]
 
+    def forget(self, state: tuple) -> None:
+        if state[0] is not None:  # no row that counts is before the last one
+            _drop_before(self.marks, state[0] - self.window_ms)
+
     def frame(self, key, out: list[tuple]) -> pd.DataFrame:
         table = pd.DataFrame(out, columns=["order_id", "timestamp_ms", "event_type", "candidate_duration_ms", "late"])
         table.insert(0, "stream", key[0])
@@ -181,13 +196,14 @@ class Stability(_Ordered):
 
     A mean absolute change above ``change`` starts anew; after ``frames`` rows and ``ms``
     the vector is stable, or a repeat if its hash was stable before.  Time that moves
-    backwards is invalid and starts anew.
+    backwards is invalid and starts anew.  With ``forget_ms`` a hash is forgotten so long
+    after it was last stable; without it repeats are known for ever, which grows by hash.
     """
 
     state_schema = "last long, started long, count int, vector array<double>"
 
-    def __init__(self, change: float = 0.08, frames: int = 3, ms: int = 100):
-        self.change, self.frames, self.ms = change, frames, ms
+    def __init__(self, change: float = 0.08, frames: int = 3, ms: int = 100, forget_ms: int | None = None):
+        self.change, self.frames, self.ms, self.forget_ms = change, frames, ms, forget_ms
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", "hash string", "at long")
@@ -211,6 +227,10 @@ class Stability(_Ordered):
             self.seen.updateValue(mark, (row.timestamp_ms,))
         return (row.timestamp_ms, started, count, now), [(row.order_id, row.timestamp_ms, kind, gap)]
 
+    def forget(self, state: tuple) -> None:
+        if state[0] is not None and self.forget_ms is not None:
+            _drop_before(self.seen, state[0] - self.forget_ms)
+
     def frame(self, key, out: list[tuple]) -> pd.DataFrame:
         table = pd.DataFrame(out, columns=["order_id", "timestamp_ms", "state", "difference"])
         table.insert(0, "stream", key[0])
@@ -234,3 +254,31 @@ def stateful(stream: DataFrame, processor: StatefulProcessor, watermark: str | N
 def stream_to_table(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
     """Each trigger's rows go to ``handle`` (resolve, validate, write once); it may see a batch again after a failure."""
     return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def save_batch(events: DataFrame, table: VersionedTable, enrich: Callable[[DataFrame], DataFrame], errors: Column, key: str, order: list[Column]) -> DataFrame:
+    """Confirmed events -> enriched -> validated -> saved once as the table's next version; one outcome row per event.
+
+    ``enrich`` adds an event's identity and record columns.  Outcomes are rejected (with the
+    codes of ``errors``), duplicate (its key was saved before or comes earlier in the batch)
+    and inserted.  Events of a batch that is seen again are duplicates, so it may be repeated.
+    """
+    good, bad = validate(enrich(events), errors)
+    known = table.read() if table.versions() else None
+    empty = known if known is not None else good.limit(0)
+    new, outcome = insert_once(empty, good, key, order)
+    outcome = outcome.select(key, "outcome", F.array().cast("array<string>").alias("errors")).unionByName(bad.select(key, F.lit("rejected").alias("outcome"), "errors"))
+    latest = (table.versions() or [0])[-1]
+    if new.limit(1).count():
+        table.publish(new if known is None else known.unionByName(new), latest)
+    return outcome
+
+
+def stream_to_plays(events: DataFrame, table: VersionedTable, enrich: Callable[[DataFrame], DataFrame], errors: Column, key: str, order: list[Column], checkpoint: str, report: Callable[[DataFrame, int], None] = lambda outcome, batch: None):
+    """``save_batch`` for every trigger of a stream of confirmed events; ``report`` gets each batch's outcomes."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        report(save_batch(batch.persist(), table, enrich, errors, key, order), number)
+        batch.unpersist()
+
+    return stream_to_table(events, handle, checkpoint)

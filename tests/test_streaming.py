@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import events as E
-from tallyspark.streaming.stateful import Confirm, LiveResults, Sample, Stability, stateful, stream_to_table
+from tallyspark.functions.ids import reasons
+from tallyspark.operators.guarded import VersionedTable
+from tallyspark.streaming.stateful import Confirm, LiveResults, Sample, Stability, stateful, stream_to_plays, stream_to_table
 
 
 def run(spark, rows, schema, processor, files=3):
@@ -60,3 +62,45 @@ def test_stability(spark):
     rows = [("s", i, t, v, str(v)) for i, (t, v) in enumerate(seen)]
     got = run(spark, rows, "stream string, order_id long, timestamp_ms long, vector array<double>, vector_hash string", Stability(), files=7)
     assert got["state"].tolist() == ["change", "settling", "stable", "repeat", "change", "invalid", "change"]
+
+
+def test_confirmed_events_are_saved_once(spark):
+    """Events of three triggers, identified and validated; repeated keys are duplicates, broken ones rejected, and a replay saves nothing."""
+    folder = tempfile.mkdtemp()
+    rows = [(0, "a", 10), (1, "b", 20), (2, "a", 30), (3, "c", -1), (4, "b", 5), (5, "d", 7)]
+    df = spark.createDataFrame(rows, "order_id long, seen string, score int")
+    for k in range(3):
+        df.filter(F.expr(f"order_id div 2 = {k}")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    songs = spark.createDataFrame([("a", "song a"), ("b", "song b"), ("c", "song c"), ("d", "song d")], "seen string, song string")
+    table, told = VersionedTable(spark, f"{folder}/plays"), []
+
+    def go(check: str) -> None:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        errors = reasons((F.col("score") < 0, "score_negative"))
+        tell = lambda out, _: told.extend((r["song"], r["outcome"]) for r in out.collect())
+        stream_to_plays(stream, table, lambda batch: batch.join(songs, "seen"), errors, "song", [F.col("order_id")], f"{folder}/{check}", tell).awaitTermination(120)
+
+    go("first")
+    assert sorted(r["score"] for r in table.read().collect()) == [7, 10, 20] and table.versions() == [1, 2]
+    assert sorted(told) == sorted([("song a", "inserted"), ("song b", "inserted"), ("song a", "duplicate"), ("song c", "rejected"), ("song b", "duplicate"), ("song d", "inserted")])
+    go("again")
+    assert table.versions() == [1, 2] and table.read().count() == 3
+
+
+def test_old_marks_are_forgotten(spark):
+    """A mark older than the window can't make a duplicate, and is dropped from the state."""
+    processor = Confirm(0, 1000)
+
+    class Marks(dict):
+        containsKey, updateValue, removeKey = dict.__contains__, dict.__setitem__, dict.__delitem__
+        getValue = dict.__getitem__
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    processor.marks, state = Marks(), processor.start()
+    row = pd.DataFrame({"order_id": range(5), "timestamp_ms": [0, 500, 5000, 5100, 9000], "candidate": True, "transition": False, "dup_key": list("xyxzx")})
+    for r in row.itertuples(index=False):
+        state, _ = processor.step(state, r)
+        processor.forget(state)
+    assert dict(processor.marks) == {("x",): (9000,)}
