@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +14,8 @@ from tallyspark.functions.vectors import l1
 MAX_DISTANCE, DELTA = 0.24, 0.015
 #: Names of how close a pair is.
 RISK_BANDS, OTHER_BAND = ((0.05, "A: extremely close"), (0.10, "B: high"), (0.11, "C: elevated")), "D: watch"
-#: Rows of one block of a distance matrix.
-BLOCK = 2048
+#: Rows of one block of a distance matrix; distances that are held at once; bytes of references that may be broadcast.
+BLOCK, CELLS, SMALL_REFS = 2048, 1 << 22, 32 << 20
 
 
 def _matrix(kind: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -23,34 +25,55 @@ def _matrix(kind: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(square / a.shape[1]) if kind == "rmse" else np.sqrt(square)
 
 
-def entity_distances(obs: DataFrame, refs: DataFrame, obs_id: str, ref_id: str, entity: str, vector: str, kind: str = "l1", leave_out: bool = False, block: int = BLOCK) -> DataFrame:
+def _nearest_of_entities(kind: str, obs: pd.DataFrame, refs: pd.DataFrame, leave_out: bool) -> pd.DataFrame:
+    """Least distance and reference of each observation (obs, v) to each entity of ``refs`` (ref, entity, w), ties by reference."""
+    out = [pd.DataFrame({"obs": obs["obs"][:0], "entity": refs["entity"][:0], "ref": refs["ref"][:0], "distance": np.zeros(0)})]
+    lengths = refs["w"].map(len)
+    for size in set(obs["v"].map(len)) & set(lengths):
+        q = refs[lengths == size].sort_values(["entity", "ref"])
+        w, first = np.stack(q["w"].to_list()).astype(float), np.flatnonzero(~q["entity"].duplicated().to_numpy())
+        same = obs[obs["v"].map(len) == size]
+        for at in range(0, len(same), max(1, CELLS // len(q))):
+            p = same.iloc[at : at + max(1, CELLS // len(q))]
+            d = _matrix(kind, np.stack(p["v"].to_list()).astype(float), w)
+            if leave_out:
+                d[p["obs"].to_numpy()[:, None] == q["ref"].to_numpy()[None, :]] = np.inf
+            best = np.stack([a + d[:, a:b].argmin(1) for a, b in zip(first, np.append(first[1:], len(q)))], 1)
+            least = np.take_along_axis(d, best, 1)
+            row, group = np.nonzero(np.isfinite(least))
+            chosen = q.iloc[best[row, group]]
+            out.append(pd.DataFrame({"obs": p["obs"].to_numpy()[row], "entity": chosen["entity"].to_numpy(), "ref": chosen["ref"].to_numpy(), "distance": least[row, group]}))
+    return pd.concat(out, ignore_index=True)[["obs", "entity", "ref", "distance"]]
+
+
+def entity_distances(obs: DataFrame, refs: DataFrame, obs_id: str, ref_id: str, entity: str, vector: str, kind: str = "l1", leave_out: bool = False, block: int = BLOCK, small: int = SMALL_REFS) -> DataFrame:
     """(obs_id, entity, distance, ref_id): the least distance of each observation to each entity, exactly.
 
-    Both sides are cut into blocks of about ``block`` rows and each pair of blocks is one
-    matrix, so a task's memory stays the same at any size.  ``leave_out`` skips a
-    reference with the observation's own id.  Null vectors and other lengths match nothing.
+    References of up to ``small`` bytes are broadcast and the observations stay where they
+    are.  Beyond that both sides are cut into blocks of about ``block`` rows and each pair of
+    blocks is one matrix, so a task's memory stays the same at any size.  ``leave_out``
+    skips a reference with the observation's own id.  Null vectors and other lengths match
+    nothing; rows of one observation id are one observation.
     """
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // block))
-
-    rows, cols = blocks(obs), blocks(refs)
-    a = obs.filter(F.col(vector).isNotNull()).select(F.col(obs_id).alias("obs"), F.col(vector).alias("v"), F.pmod(F.xxhash64(obs_id), F.lit(rows)).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("c"))
-    b = refs.filter(F.col(vector).isNotNull()).select(F.col(ref_id).alias("ref"), F.col(entity).alias("entity"), F.col(vector).alias("w"), F.pmod(F.xxhash64(ref_id), F.lit(cols)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("r"))
+    a = obs.filter(F.col(vector).isNotNull()).select(F.col(obs_id).alias("obs"), F.col(vector).alias("v"))
+    b = refs.filter(F.col(vector).isNotNull()).select(F.col(ref_id).alias("ref"), F.col(entity).alias("entity"), F.col(vector).alias("w"))
     kinds = {**dict(a.dtypes), **dict(b.dtypes)}
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for size in {len(v) for v in x["v"]} & {len(w) for w in y["w"]}:
-            p, q = x[x["v"].map(len) == size], y[y["w"].map(len) == size]
-            d = _matrix(kind, np.stack(p["v"].to_list()).astype(float), np.stack(q["w"].to_list()).astype(float))
-            if leave_out:
-                d[p["obs"].to_numpy()[:, None] == q["ref"].to_numpy()[None, :]] = np.inf
-            table = pd.DataFrame({"obs": np.repeat(p["obs"].to_numpy(), len(q)), "entity": np.tile(q["entity"].to_numpy(), len(p)), "ref": np.tile(q["ref"].to_numpy(), len(p)), "distance": d.ravel()})
-            table = table[np.isfinite(table["distance"])].sort_values(["distance", "ref"])
-            out.append(table.drop_duplicates(["obs", "entity"]))
-        return pd.concat(out)[["obs", "entity", "ref", "distance"]] if out else pd.DataFrame({"obs": [], "entity": [], "ref": [], "distance": []}).astype({"obs": x["obs"].dtype, "entity": y["entity"].dtype, "ref": y["ref"].dtype})
-
-    part = a.groupBy("r", "c").cogroup(b.groupBy("r", "c")).applyInPandas(run, f"obs {kinds['obs']}, entity {kinds['entity']}, ref {kinds['ref']}, distance double")
+    schema = f"obs {kinds['obs']}, entity {kinds['entity']}, ref {kinds['ref']}, distance double"
+    count, numbers = b.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("w")), F.lit(0))).first()
+    if 8 * numbers + 64 * count <= small:
+        known = obs.sparkSession.sparkContext.broadcast(b.toPandas())
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                yield _nearest_of_entities(kind, rows, known.value, leave_out)
+
+        part = a.mapInPandas(near, schema)
+    else:
+        rows, cols = max(1, -(-a.count() // block)), max(1, -(-count // block))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        a = a.withColumn("r", F.pmod(F.xxhash64("obs"), F.lit(rows))).withColumn("c", every(cols))
+        b = b.withColumn("c", F.pmod(F.xxhash64("ref"), F.lit(cols))).withColumn("r", every(rows))
+        part = a.groupBy("r", "c").cogroup(b.groupBy("r", "c")).applyInPandas(lambda x, y: _nearest_of_entities(kind, x, y, leave_out), schema)
     best = part.groupBy("obs", "entity").agg(F.min(F.struct("distance", "ref")).alias("m"))
     return best.select(F.col("obs").alias(obs_id), "entity", F.col("m.distance").alias("distance"), F.col("m.ref").alias("ref_id"))
 
@@ -182,9 +205,10 @@ def near_pairs(vectors: DataFrame, entity: str, signature: str, vector: str, thr
 
 
 def partners(pairs: DataFrame) -> DataFrame:
-    """Per entity: least distance and its partners, nearest first."""
+    """(entity, partner, distance, min_distance, partner_count): a row for each partner of each entity."""
     both = pairs.select(F.col("a").alias("entity"), F.col("b").alias("partner"), "distance").unionByName(pairs.select(F.col("b").alias("entity"), F.col("a").alias("partner"), "distance"))
-    return both.groupBy("entity").agg(F.min("distance").alias("min_distance"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("distance", "partner"))), lambda s: s["partner"].cast("string")), " | ").alias("partner_text"), F.count(F.lit(1)).alias("partner_count"))
+    known = both.groupBy("entity").agg(F.min("distance").alias("min_distance"), F.count(F.lit(1)).alias("partner_count"))
+    return both.join(known, "entity")
 
 
 def top_candidates(scored: DataFrame, obs_id: str, shown: Column, n: int = 5) -> DataFrame:

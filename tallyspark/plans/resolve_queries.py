@@ -330,14 +330,14 @@ def v11_digit_gate(t: Tables) -> DataFrame:
     return _r(N.digit_gate(seg, refs.select("label", "embedding"), "item", "pos", "label", "embedding", MAX_D, DELTA))
 
 
-PAIRS = f"""v AS (SELECT vec_id, vec_id // 10 AS sig, embedding FROM embeddings UNION ALL SELECT vec_id, 1000 + vec_id % 50, embedding FROM embeddings),
+PAIRS = f"""v AS (SELECT vec_id, 'a' || vec_id // 10 AS sig, embedding FROM embeddings UNION ALL SELECT vec_id, 'b' || vec_id // 7, embedding FROM embeddings),
     p AS (SELECT a.vec_id AS a, b.vec_id AS b, count(DISTINCT a.sig) AS common_count, string_agg(DISTINCT a.sig::VARCHAR, ' | ' ORDER BY a.sig::VARCHAR) AS common_signatures, min({L1.format(a='a.embedding', b='b.embedding')}) AS d FROM v a JOIN v b ON a.sig = b.sig AND a.vec_id < b.vec_id GROUP BY ALL),
     pairs AS (SELECT a, b, round(d, 6) AS distance, CASE WHEN d <= 0.05 THEN 'A: extremely close' WHEN d <= 0.10 THEN 'B: high' WHEN d <= 0.11 THEN 'C: elevated' ELSE 'D: watch' END AS risk_band, common_count, common_signatures FROM p WHERE d <= 0.12)"""
 
 
 def pairs(t: Tables) -> DataFrame:
     e = t.embeddings
-    v = e.select("vec_id", F.expr("vec_id div 10").cast("string").alias("sig"), "embedding").unionByName(e.select("vec_id", (F.col("vec_id") % 50 + 1000).cast("string").alias("sig"), "embedding"))
+    v = e.select("vec_id", F.expr("'a' || vec_id div 10").alias("sig"), "embedding").unionByName(e.select("vec_id", F.expr("'b' || vec_id div 7").alias("sig"), "embedding"))
     return N.near_pairs(v, "vec_id", "sig", "embedding", 0.12)
 
 
@@ -346,7 +346,7 @@ def j22_u2_near_pairs(t: Tables) -> DataFrame:
     return pairs(t)
 
 
-@query(f"WITH {PAIRS}, s AS (SELECT a AS entity, b AS partner, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs) SELECT entity, min(distance) AS min_distance, string_agg(partner::VARCHAR, ' | ' ORDER BY distance, partner) AS partner_text, count(*) AS partner_count FROM s GROUP BY entity")
+@query(f"WITH {PAIRS}, s AS (SELECT a AS entity, b AS partner, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs) SELECT *, min(distance) OVER (PARTITION BY entity) AS min_distance, count(*) OVER (PARTITION BY entity) AS partner_count FROM s")
 def a23_partners(t: Tables) -> DataFrame:
     return N.partners(pairs(t))
 
