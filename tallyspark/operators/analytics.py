@@ -17,27 +17,31 @@ ORDER = ("instant_ms", "_time", "_id")
 
 
 def with_order(df: DataFrame, time: str, *ids: str) -> DataFrame:
-    """Adds instant_ms, _time and _id.  Times compare by instant; text without offset is UTC; junk gives a null instant."""
-    text = F.col(time).cast("string")
+    """Adds instant_ms, _time and _id.
+
+    A timestamp column is its own instant.  Text compares by instant; without an offset it
+    is UTC; junk gives a null instant.
+    """
     ident = F.col(ids[0]) if len(ids) == 1 else F.struct(*ids)
+    kind = dict(df.dtypes)[time]
+    if kind.startswith("timestamp"):
+        # a time without zone counts as UTC whatever the session's zone
+        instant = F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{time}`)") if kind == "timestamp_ntz" else F.unix_millis(time)
+        return df.withColumns({"instant_ms": instant, "_time": F.substring(F.col(time).cast("string"), 1, 19), "_id": ident})
+    text = F.col(time).cast("string")
     bare = text.rlike(r"\d:\d+[0-9:.]*$") & ~text.rlike(r"[+-]\d{2}:?\d{2}$")
     instant = F.unix_millis(F.try_to_timestamp(F.when(bare, F.concat(text, F.lit("Z"))).otherwise(text)))
     return df.withColumns({"instant_ms": instant, "_time": text, "_id": ident})
 
 
-def drop_order(df: DataFrame) -> DataFrame:
-    return df.drop(*ORDER)
-
-
 def previous_best(df: DataFrame, part: list[str], measures: list[str]) -> DataFrame:
     """Adds previous_<measure>: the best of strictly earlier events of the same entity.
 
     An event without an instant has no earlier ones and is earlier than none; it keeps a null.
     """
     before = Window.partitionBy(*part).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    timed = df.filter("instant_ms IS NOT NULL").withColumns({f"previous_{m}": F.max(m).over(before) for m in measures})
-    rest = df.filter("instant_ms IS NULL").withColumns({f"previous_{m}": F.lit(None).cast(dict(df.dtypes)[m]) for m in measures})
-    return timed.unionByName(rest)
+    timed = F.col("instant_ms").isNotNull()
+    return df.withColumns({f"previous_{m}": F.when(timed, F.max(F.when(timed, F.col(m))).over(before)) for m in measures})
 
 
 def is_best_update(measures: list[str]) -> Column:
@@ -79,7 +83,9 @@ def dedupe_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFram
 def entity_bests(df: DataFrame, part: list[str], score: str, extra: str, grade: str, clear: str, label: str) -> DataFrame:
     """Per entity: best of both measures, count, last time, attributes of the best event, best achieved grade and clear.
 
-    One aggregation: three orders are encoded as structs, so nothing is sorted.
+    One aggregation over one exchange.  The orders hold times and ids of any kind, so its
+    buffers aren't of fixed width and Spark sorts the rows by entity, once on each side of
+    the exchange; after the first side one row an entity and task is left.
     """
     time = [F.col(c) for c in ORDER]
     by_score = F.struct(F.col(score), F.col(extra), *time)
@@ -208,10 +214,13 @@ def entity_page(df: DataFrame, part: dict[str, object], offset: int = 0, limit:
 
 
 def home_feed(df: DataFrame, part: list[str], measures: list[str], recent: int = 5, updates: int = 5) -> DataFrame:
-    """The newest event, the next few, and the newest best updates, by section and position."""
-    known = previous_best(df, part, measures)
-    latest = known.orderBy(*newest_first()).limit(recent + 1).withColumn("_update", F.lit(False))
-    improved = best_updates(known, measures).orderBy(*newest_first()).limit(updates).withColumn("_update", F.lit(True))
+    """The newest event, the next few, and the newest best updates, by section and position.
+
+    The newest events need no history: they are a top-k of the table as it is.
+    """
+    latest = df.orderBy(*newest_first()).limit(recent + 1).withColumn("_update", F.lit(False))
+    improved = best_updates(previous_best(df, part, measures), measures).drop(*[f"previous_{m}" for m in measures])
+    improved = improved.orderBy(*newest_first()).limit(updates).withColumn("_update", F.lit(True))
     place = F.row_number().over(Window.partitionBy("_update").orderBy(*newest_first()))
     both = latest.unionByName(improved).withColumn("position", place)
     section = F.when(F.col("_update"), "best_update").when(F.col("position") == 1, "latest").otherwise("recent")

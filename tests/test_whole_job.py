@@ -5,7 +5,6 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tallyspark import plans
-from tallyspark.llm import jaccard
 from tallyspark.operators import analytics as A
 from tallyspark.operators import evaluate as V
 from tests.conftest import SF
@@ -96,14 +95,6 @@ def test_best_points_window_bites(spark):
     assert sorted(r["id"] for r in A.best_points(df, ["e"], "score").collect()) == list(range(20, 120))
 
 
-def test_keep_one_tells_rows_apart_by_id_and_text(spark):
-    near, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
-    data = [(1, near, 0), (2, near + " tail", 1), (2, other, 2), (3, third, 3), (3, third, 4), (None, near + " end", 5), (None, "x y z", 6), (4, "", 7), (4, "", 8), (None, None, 9)]
-    kept = jaccard.keep_one(spark.createDataFrame(data, "doc_id long, text string, n int")).collect()
-    marks = sorted(r["n"] for r in kept)
-    assert [m for m in marks if m not in (3, 4)] == [0, 2, 6, 7, 8, 9] and len({3, 4} & set(marks)) == 1
-
-
 def test_progress_counts_every_played_part(spark):
     queries = plans.queries()
     played = {r["l_partkey"] for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect()}
