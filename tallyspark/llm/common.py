@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,11 +39,15 @@ LONG_RUN = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session's spark.checkpoint.dir names it.
 
-    It is an error to leave it unset: a folder of one machine would lose rows on a cluster.
+    Where it is unset a local session, as in tests, gets a folder of this machine; on a
+    cluster that would lose rows, so there it is an error.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
