@@ -30,13 +30,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import GAMMA, U, buffer_of, hash_runs, lean, slices, spans
+from tallyspark.llm.common import GAMMA, U, buffer_of, hash_runs, lean, slices, spans, wide_rows
 
 CHUNK, OVERLAP, GUARD = 4096, 128, 4
 #: Texts of more chunks than this are dealt out.
 DEALT = 8
 #: Bytes of text encoded together.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Pieces of up to so many bytes are merged together as rows of a matrix, longer ones one by one.
 ROW_BYTES = 32
 NO_PAIR = np.int32(np.iinfo(np.int32).max)
@@ -309,7 +309,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         raise ValueError(f"chunks must overlap by {2 * GUARD} characters at least")
     splitter(pattern)
     kind = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = wide_rows(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, coder = splitter(pattern), coder_of(ranks)
@@ -380,7 +380,7 @@ def decode(encoded: DataFrame, ranks: bytes, ids_col: str = "ids", into: str = "
                 yield pa.RecordBatch.from_arrays([*part.columns, spelled], names=[*kept, into])
                 at = to
 
-    return encoded.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(lean(run), f"{schema}, `{into}` binary")
+    return wide_rows(encoded).select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(lean(run), f"{schema}, `{into}` binary")
 
 
 def digests(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U)
 GAMMA = U(0x9E3779B97F4A7C15)
 #: Texts are worked on in slices of about this many bytes, which bounds a worker's memory.
 SLICE_BYTES = 4 << 20
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, WIDE_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Bytes of one bucket of dealt rows, about.
 BUCKET_BYTES = 8 << 20
 #: Runs longer than this are hashed by BLAKE2 as a whole.
@@ -72,6 +72,18 @@ def spill(df: DataFrame, tag: str, narrow: bool = False, batch: int = 0) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wide_rows(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of WIDE_ROWS rows in its session, unless that has a number of its own.
+
+    Texts are wide: batches of Spark's default number of rows take a hundred MB on both
+    sides of a Python worker.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":  # Spark's default
+        conf.set(BATCH_ROWS, str(WIDE_ROWS))
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U(30))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import BitFilter, GAMMA, U, Words, bucket_count, buffer_of, dealt, lean, mix, row_key, slices, spans, spill, text_bytes, unused
+from tallyspark.llm.common import BitFilter, GAMMA, U, Words, bucket_count, buffer_of, dealt, lean, mix, row_key, slices, spans, spill, text_bytes, unused, wide_rows
 from tallyspark.llm.components import components
 
 GROWTH = 1.4
@@ -405,7 +405,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts shorter than a shingle are one token; repeated rows are linked copies; a null
     id is never a component's name unless alone; an empty table gives no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = wide_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = bucket_count(text_bytes(docs, text_col))
     blocks = dealt(texts.mapInArrow(lean(_blocks(width, low, buckets)), BLOCK), buckets)
     found = spill(blocks.groupBy("bucket").applyInArrow(lambda t: _match(t), FOUND), "matched")
@@ -437,21 +437,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """``docs`` with one document of each component, that of the smallest id; columns as given.
 
     Rows are told apart by id and text, so an id with two texts is two documents.  A null
-    id loses every tie; of rows that repeat id and text one stays; texts without words all stay.
+    id loses every tie; of rows that repeat id and text one stays; texts without words all
+    stay; a very long text is shingled whole; an empty table stays empty.
     """
-    keyed = docs.withColumn("_key", row_key(id_col, text_col))
-    found = jaccard_components(keyed, "_key", text_col, width, low).filter("n_shingles > 0")
-    found = found.groupBy(F.col("_key").alias("_of"), "component_id").agg(F.count(F.lit(1)).alias("_n"))
-    ids = keyed.groupBy("_key").agg(F.min(id_col).alias("_id"))
-    placed = spill(found.join(ids, F.col("_of") == F.col("_key")).drop("_key"), "near-placed", narrow=True)
+    key = unused(docs, "tally_key")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    found = jaccard_components(keyed, key, text_col, width, low).filter("n_shingles > 0")
+    found = found.groupBy(F.col(key).alias("_of"), "component_id").agg(F.count(F.lit(1)).alias("_n"))
+    ids = keyed.groupBy(F.col(key).alias("_row")).agg(F.min(id_col).alias("_id"))
+    placed = spill(found.join(ids, F.col("_of") == F.col("_row")).drop("_row"), "near-placed", narrow=True)
     order = F.struct(F.col("_id").isNull(), "_id", "_of")
     stays = placed.groupBy(F.col("component_id").alias("_name")).agg(F.min_by("_of", order).alias("_stays"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
     stays = spill(stays.select("_name", "_stays"), "near-stays", narrow=True)
     gone = placed.join(stays, F.col("component_id") == F.col("_name")).filter("_of != _stays").select(F.col("_of").alias("_gone"))
     gone = spill(gone, "near", narrow=True)
-    left = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    left = keyed.join(gone, keyed[key] == gone["_gone"], "left_anti")
     again = spill(placed.filter("_n > 1").select(F.col("_of").alias("_again")), "near-again", narrow=True)
     if again.limit(1).count():
-        same = F.col("_key") == F.col("_again")
-        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["_key"]))
-    return left.select(*docs.columns)
+        same = left[key] == again["_again"]
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([key]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

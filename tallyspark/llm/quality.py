@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Words, buffer_of, lean, slices, unused
+from tallyspark.llm.common import Words, buffer_of, lean, slices, unused, wide_rows
 
 #: At most so many labelled rows are used to fit.
 TRAIN_ROWS = 20_000
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(train_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
+    texts = wide_rows(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
     x = texts.mapInArrow(lean(_featurise), f"id {dict(docs.dtypes)[id_col]}, x array<double>").groupBy("id").agg(F.min("x").alias("x")).toPandas()
     y = chosen.toPandas()
     both = x.merge(y, on="id") if len(x) else x.assign(y=[])
@@ -191,7 +191,7 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], names=[*part.schema.names, into])
 
     rest = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(lean(run), f"{rest}, `{into}` double")
+    return wide_rows(docs).mapInArrow(lean(run), f"{rest}, `{into}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:

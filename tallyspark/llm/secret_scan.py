@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.automaton import Dfa, alive, compile_rules, longest, scan
-from tallyspark.llm.common import buffer_of, lean, slices
+from tallyspark.llm.common import buffer_of, lean, slices, wide_rows
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, kind)], names=["id", "spans"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = wide_rows(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = texts.mapInArrow(lean(run), f"id {dict(docs.dtypes)[id_col]}, spans array<struct<kind: string, start: bigint, end: bigint>>")
     return found.withColumnRenamed("id", id_col)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import KeyFilter, U, Words, bucket_count, buffer_of, dealt, lean, mix, powers, row_key, slices, spill, text_bytes
+from tallyspark.llm.common import KeyFilter, U, Words, bucket_count, buffer_of, dealt, lean, mix, powers, row_key, slices, spill, text_bytes, wide_rows
 
 WINDOW, SEED, HOT_SHARE = 35, 4, 2000
 CODEC = "zstd"
@@ -176,7 +176,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are ignored whatever their names.  At the end only texts that a filter of the
     keys with spans flags are moved to their spans; the others stay where they are read.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", row_key("id", "text"))
+    texts = wide_rows(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", row_key("id", "text"))
     spans = spill(repeated_spans(texts, "text", window), "row-spans").withColumnRenamed("key", "of")
     probed = KeyFilter(spans, "of").probe(texts, "key")
     whole = probed.filter("NOT _maybe").select("id", "text", F.lit(None).cast("array<bigint>").alias("spans"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import lean, slices
+from tallyspark.llm.common import lean, slices, wide_rows
 
 #: Fixed values of ISO/IEC 13818-1.
 PACKET, BODY, SYNC, PAT_PID = 188, 184, 0x47, 0
@@ -236,7 +236,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Nulls count as empty, repeated rows repeat, other columns are ignored, and an empty
     table gives no rows.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(text_col, F.lit(""))).alias("size"), F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = wide_rows(docs).select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(text_col, F.lit(""))).alias("size"), F.coalesce(text_col, F.lit("")).alias("text"))
     read = from_media(to_media(texts, "text").select("id", "size", "media"))
     last = F.coalesce(F.array_max("stamps.pts"), F.lit(0))
     facts = (("packets", F.col("packets")), ("pes", F.size("stamps")), ("last_pts", last), ("random_access", F.size("random_access")), ("gaps", F.col("gaps")), ("intact", F.col("intact")))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import lean, shared_dir, spill
+from tallyspark.llm.common import lean, shared_dir, spill, wide_rows
 
 BLOCK = 1 << 20
 #: WARC-Date of tables that have no time of capture.
@@ -155,7 +155,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             out.write(engine.flush())
         yield pa.RecordBatch.from_arrays([pa.array([f"{part}.warc.gz"]), pa.array([count], pa.int64())], names=["file", "records"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), F.col("refers_to").cast("long").alias("refers_to"))
+    rows = wide_rows(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), F.col("refers_to").cast("long").alias("refers_to"))
     return spill(rows.mapInArrow(lean(run), "file string, records long"), "archives")
 
 

@@ -196,6 +196,8 @@ def test_stages_on_odd_rows(spark, odd):
     assert near.columns == odd.columns
     assert texts(near) == collections.Counter([key(1, WORDS[0]), key(1, WORDS[1]), key(None, WORDS[2]), key(None, WORDS[3]), key(7, LONG), key(8, "x y"), *wordless])
     mixed = STAGES["source_mixing"](spark, near, SF)
+    for stage in (scored, single, near, mixed):
+        assert {(r["tally_sha"], r["_key"]) for r in stage.collect()} <= {("clash", 1)}
     assert mixed.columns == odd.columns and 0 < mixed.count() <= near.count() and not texts(mixed) - texts(near)
     coded = STAGES["bpe_encode"](spark, odd, SF)
     want = collections.Counter((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in ODD)
