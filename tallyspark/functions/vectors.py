@@ -41,6 +41,15 @@ def histogram(arr: Column, bins: int, low: float, high: float) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(place, lambda p: p == b)) / total)
 
 
+def channel_histograms(arr: Column, channels: int, bins: int, low: float, high: float) -> Column:
+    """Histograms of interleaved channels, one after the other: value i is of channel i modulo ``channels``."""
+
+    def of(channel: int) -> Column:
+        return histogram(F.filter(arr, lambda v, i: i % channels == channel), bins, low, high)
+
+    return F.concat(*[of(c) for c in range(channels)])
+
+
 def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
 

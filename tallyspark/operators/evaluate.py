@@ -284,13 +284,18 @@ def order_free_hash(text: Column) -> list[Column]:
     return [F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for at in (1, 16)]
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and a content hash that doesn't depend on the order of rows or columns: one pass, no sort.
+def fingerprint(columns: list[str]) -> list[Column]:
+    """Aggregates ``rows`` and ``content``: row count and a hash that doesn't depend on the order of rows or columns.
 
     A row's text holds each column, by name, as its length and text, or a mark for null, so
     that values can't move between columns unseen.
     """
-    parts = [F.coalesce(F.concat(F.char_length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("n")) for c in sorted(df.columns)]
-    rows = df.select(F.concat_ws(";", *parts).alias("_row")) if parts else df.select(F.lit("").alias("_row"))
-    low, high = order_free_hash(F.col("_row"))
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", low, high).alias("content"))
+    text = {c: F.col(f"`{c}`").cast("string") for c in sorted(columns)}
+    parts = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in text.values()]
+    low, high = order_free_hash(F.concat_ws(";", *parts) if parts else F.lit(""))
+    return [F.count(F.lit(1)).alias("rows"), F.concat_ws(":", low, high).alias("content")]
+
+
+def table_fingerprint(df: DataFrame) -> DataFrame:
+    """The fingerprint of a table: one pass, no sort."""
+    return df.agg(*fingerprint(df.columns))

@@ -78,6 +78,14 @@ def entity_distances(obs: DataFrame, refs: DataFrame, obs_id: str, ref_id: str,
     return best.select(F.col("obs").alias(obs_id), "entity", F.col("m.distance").alias("distance"), F.col("m.ref").alias("ref_id"))
 
 
+def bit_masks(candidates: DataFrame, group: str, bits: str) -> DataFrame:
+    """(group, mask): 1 at the positions of a bit array at which the candidates of a group differ."""
+    each = candidates.select(group, F.posexplode(bits).alias("_at", "_bit"))
+    varies = each.groupBy(group, "_at").agg((F.max("_bit") != F.min("_bit")).cast("int").alias("_varies"))
+    listed = varies.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_at", "_varies"))).alias("_m"))  # as long as a vector
+    return listed.select(group, F.transform("_m", lambda m: m["_varies"]).alias("mask"))
+
+
 def ranked(scored: DataFrame, obs_id: str) -> DataFrame:
     """Adds rank by distance, then entity."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(obs_id).orderBy("distance", "entity")))

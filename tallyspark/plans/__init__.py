@@ -6,7 +6,7 @@ import importlib
 
 from tallyspark.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("history", "event_queries", "resolve_queries", "evaluation_queries", "guarded_queries")
+MODULES = ("history", "event_queries", "resolve_queries", "evaluation_queries", "guarded_queries", "material_queries")
 
 
 def queries() -> dict[str, Query]:

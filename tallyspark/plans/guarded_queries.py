@@ -338,28 +338,39 @@ def v5_v7_distances(t: Tables) -> DataFrame:
     return d.select("vec_id", F.round(V.hamming(F.col("p"), F.col("q")), 6).alias("bits_apart"), F.round(V.masked_hamming(F.col("p"), F.col("q"), mask), 6).alias("masked"))
 
 
-@query()
+@query("""WITH p AS (SELECT page_id AS page, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS h, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages)
+    SELECT page, unnest(range(0, len(h))) AS position, unnest(t) AS text, origin || unnest(h) AS link, true AS same_origin, NULL::VARCHAR AS error FROM p""")
 def s5_html_rows(t: Tables) -> DataFrame:
-    """HTML parsing has no SQL form: tested on fixed pages and for link counts."""
+    """Links of all pages; those of these tables are plain enough for a pattern in SQL."""
     return H.extract_html_rows(t.pages, "page_id", "url", "html", "a", "href")
 
 
-@query()
+@query("""WITH r AS (SELECT page_id AS page, unnest(range(0, 3)) AS row_no FROM pages) SELECT page, 0 AS table_no, row_no, CASE row_no WHEN 0 THEN 'page|n|' WHEN 1 THEN 'p' || page || '|1|x' ELSE 'p' || page || '|2|2' END AS cells FROM r""")
 def s6_expand_tables(t: Tables) -> DataFrame:
-    """Tables of all pages, and one made of each page's link texts, as the table pages of the driver hold none."""
-    made = F.concat(F.lit("<table><tr><th>url</th><th>n</th></tr><tr><td rowspan=2>"), "url", F.lit("</td><td>1</td></tr><tr><td>2</td></tr></table>"))
-    return H.expand_tables(t.pages.withColumn("html", F.concat("html", made)), "page_id", "html")
+    """A table put behind each page, whose own markup has none: spans both ways, a short row and a note anchor."""
+    made = F.concat(F.lit("<table><tr><th>page</th><th>n</th></tr><tr><td rowspan=2>p"), "page_id", F.lit("<a>*1</a></td><td>1</td><td> x </td></tr><tr><td colspan=2>2</td></tr></table>"))
+    rows = H.expand_tables(t.pages.withColumn("html", F.concat("html", made)), "page_id", "html")
+    return rows.withColumn("cells", F.array_join("cells", "|"))
 
 
-@query()
+@query("""WITH c AS (SELECT page_id AS page, 2 AS row_no, 'first' AS section, 'a' || page_id AS title, 'easy' AS difficulty, page_id % 7 AS level FROM pages
+    UNION ALL SELECT page_id, 3, 'first', 'b' || page_id, 'hard', 12 FROM pages UNION ALL SELECT page_id, 5, 'page ' || page_id, 'c' || page_id, 'hard', page_id % 5 FROM pages WHERE page_id % 5 > 0)
+    SELECT page, 0 AS table_no, row_no, section, title, 'single' AS style, difficulty, CASE WHEN row_no = 3 THEN 'LV12' ELSE level::VARCHAR END AS raw_level, level FROM c""")
 def s7_w8_sectioned_table(t: Tables) -> DataFrame:
-    made = F.concat(F.lit("<table><tr><th>title</th><th>easy</th><th>hard</th></tr><tr><td colspan=3>from "), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.lit("</td></tr><tr><td>"), "page_id", F.lit("</td><td>3</td><td>-</td></tr></table>"))
+    """Two sections a page; rows take the last section above them."""
+    row = lambda *cells: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c.cast("string"), F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    k, none = F.col("page_id"), F.lit("-")
+    named = lambda letter: F.concat(F.lit(letter), k)
+    section = lambda name: F.concat(F.lit("<tr><td colspan=3>"), name, F.lit("</td></tr>"))
+    last = F.when(k % 5 > 0, (k % 5).cast("string")).otherwise("-")
+    made = F.concat(F.lit("<table><tr><th>title</th><th>easy</th><th>hard</th></tr>"), section(F.lit("first")), row(named("a"), k % 7, none), row(named("b"), none, F.lit("LV12")), section(F.concat(F.lit("page "), k)), row(named("c"), none, last), F.lit("</table>"))
     cells = H.expand_tables(t.pages.withColumn("html", made), "page_id", "html")
     return H.parse_sectioned_table(cells, ["title", "easy", "hard"], ["title", "easy", "hard"], {"easy": ("single", "easy"), "hard": ("single", "hard")})
 
 
-@query("SELECT page_id AS page, 'page ' || page_id AS key, true AS flag, 'Page ' || page_id AS title, 'second' AS artist FROM pages")
+@query("SELECT page_id AS page, 'page ' || page_id AS key, page_id % 2 = 0 OR page_id % 3 = 0 AS flag, 'Page ' || page_id AS title, 'second' AS artist FROM pages")
 def s8_flag_table(t: Tables) -> DataFrame:
-    row = lambda artist, mark: F.concat(F.lit("<tr><td>Page "), "page_id", F.lit(f"</td><td>{artist}</td><td>{mark}</td></tr>"))
-    made = F.concat(F.lit("<table><tr><th>name</th><th>by</th><th>gp</th></tr>"), row("first", "○"), row("second", "-"), F.lit("</table>"))
+    """Two rows of one title a page, each of which may have the mark."""
+    row = lambda artist, on, mark: F.concat(F.lit("<tr><td>Page "), "page_id", F.lit(f"</td><td>{artist}</td><td>"), F.when(on, mark).otherwise("-"), F.lit("</td></tr>"))
+    made = F.concat(F.lit("<table><tr><th>name</th><th>by</th><th>gp</th></tr>"), row("first", F.col("page_id") % 2 == 0, "○"), row("second", F.col("page_id") % 3 == 0, "〇"), F.lit("</table>"))
     return H.parse_flag_table(H.expand_tables(t.pages.withColumn("html", made), "page_id", "html"), "name", "by", "gp")

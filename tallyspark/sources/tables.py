@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.operators.evaluate import table_fingerprint
+from tallyspark.operators.evaluate import fingerprint, table_fingerprint
 
 
 def read_csv_required(spark: SparkSession, path: str, required: list[str], schema: T.StructType | None = None) -> DataFrame:
@@ -20,9 +23,16 @@ def read_csv_required(spark: SparkSession, path: str, required: list[str], schem
 
 
 def schema_errors(df: DataFrame, contract: dict[int, T.StructType], version: int) -> list[str]:
-    """What differs from the contract of a version: columns that are missing, unknown or of another type."""
+    """What differs from the contract of a version: columns that are missing, unknown, of another type or in another order."""
     want, have = {f.name: f.dataType for f in contract[version]}, {f.name: f.dataType for f in df.schema}
-    return [f"missing {c}" for c in want if c not in have] + [f"unknown {c}" for c in have if c not in want] + [f"{c} is {have[c].simpleString()}, not {want[c].simpleString()}" for c in want if c in have and have[c] != want[c]]
+    found = [f"missing {c}" for c in want if c not in have] + [f"unknown {c}" for c in have if c not in want]
+    found += [f"{c} is {have[c].simpleString()}, not {want[c].simpleString()}" for c in want if c in have and have[c] != want[c]]
+    return found or ([] if list(want) == list(have) else [f"columns are in the order {', '.join(have)}"])
+
+
+def as_version(df: DataFrame, contract: dict[int, T.StructType], version: int) -> DataFrame:
+    """The columns of an older version, in its order; what later ones added goes."""
+    return df.select(*[F.col(f"`{f.name}`") for f in contract[version]])
 
 
 def validate_schema(df: DataFrame, contract: dict[int, T.StructType], version: int) -> DataFrame:
@@ -48,19 +58,35 @@ def write_report(df: DataFrame, path: str, order: list[str], fmt: str = "csv") -
     rows.write.mode("errorifexists").format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
 
 
-def publish(df: DataFrame, path: str) -> str:
-    """Write beside the target, read back, compare with what was to be written, then move; refuse to overwrite.  Gives the fingerprint."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; where that is unset a local session gets one of this machine."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def publish(df: DataFrame, path: str, inputs: list[DataFrame] | None = None) -> str:
+    """Write beside the target, read back, compare with what was written, then move; refuse to overwrite.  Gives the fingerprint.
+
+    The rows are counted and hashed as they are written.  If one of ``inputs`` isn't the
+    same before and after, nothing is published.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    target, staging = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.staging")
+    target, staging = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(target):
         raise FileExistsError(path)
-    df.write.mode("overwrite").parquet(f"{path}.staging")
-    want, have = table_fingerprint(df).first(), table_fingerprint(spark.read.parquet(f"{path}.staging")).first()
-    if want != have:
+    before = [table_fingerprint(i).first() for i in inputs or []]
+    written = Observation()
+    df.observe(written, *fingerprint(df.columns)).write.mode("errorifexists").parquet(staging.toString())
+    want, have = written.get, table_fingerprint(spark.read.parquet(staging.toString())).first().asDict()
+    if want != have or before != [table_fingerprint(i).first() for i in inputs or []]:
         fs.delete(staging, True)
-        raise ValueError(f"{path}: read back {have}, wrote {want}")
+        raise ValueError(f"{path}: read back {have}, wrote {want}" if want != have else f"{path}: an input changed meanwhile")
     if not fs.rename(staging, target):
         raise FileExistsError(path)
     return have["content"]

@@ -1,12 +1,18 @@
 """Queries that once left rows out, against plain Python over whole tables."""
 
+import hashlib
+import random
+import re
+import unicodedata
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tallyspark import plans
 from tallyspark.operators import analytics as A
+from tallyspark.functions import text as X
 from tallyspark.operators import evaluate as V
+from tallyspark.operators import resolve as R
 from tests.conftest import SF
 
 
@@ -102,3 +108,46 @@ def test_progress_counts_every_played_part(spark):
     assert {r["l_partkey"] for r in queries["j4_overlay"](spark, SF).filter("plays > 0").collect()} == played
     total = queries["a5_progress"](spark, SF).agg(F.sum("recorded"), F.sum("unrecorded")).first()
     assert tuple(total) == (len(played), len(parts - played))
+
+
+def test_keys_of_whole_table(spark):
+    """Keys of all documents, by the rules written out for one text."""
+    found = {r["doc_id"]: r for r in plans.queries()["p2_p4_keys"](spark, SF).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+
+    def strict(t):
+        t = "".join(X.QUOTES_AND_DASHES.get(c, c) for c in unicodedata.normalize("NFKC", t)).casefold()
+        return "".join(re.sub(X.ELLIPSIS, "...", t).split())
+
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        bare = "".join(X.LOOK_ALIKES.get(c, c) for c in unicodedata.normalize("NFKD", r["text"]).casefold() if unicodedata.category(c) != "Mn")
+        title = "".join(c for c in unicodedata.normalize("NFKC", r["text"]).casefold() if not c.isspace() and c not in X.TITLE_PUNCTUATION)
+        assert (found[r["doc_id"]]["strict"], found[r["doc_id"]]["loose"], found[r["doc_id"]]["title"]) == (md5(strict(r["text"])), md5(strict(bare)), md5(title))
+
+
+def test_fuzzy_match_against_difflib(spark):
+    """Statuses, ties and the five best of every observation, by loops over its block."""
+    rnd = random.Random(4)
+    titles = ["abcdefgh", "abcdefgi", "abcdefgh", "xyz", "hello world", "hello word", "", "q"]
+    charts = [(k, titles[k % 8], f"artist{k}", k % 3) for k in range(24) if titles[k % 8]]
+    seen = [(k, "".join(c for c in rnd.choice(titles) if rnd.random() < 0.9), k % 4, k % 7 != 0) for k in range(60)]
+    c = spark.createDataFrame(charts, "id int, title string, artist string, block int").withColumn("known", F.col("title"))
+    o = spark.createDataFrame(seen, "obs int, seen string, block int, ok boolean")
+    found = {r["obs"]: r for r in R.fuzzy_match(o, "obs", "seen", F.col("ok"), c, ["block"], "known", "id", 0.8).collect()}
+    statuses = Counter()
+    for k, text, block, ok in seen:
+        scored = sorted(((-X.similarity(text, t), t, a, i) for i, t, a, b in charts if b == block), key=lambda s: s)
+        scored = scored if ok and text else []
+        ties = sum(round(s[0], 6) == round(scored[0][0], 6) for s in scored)
+        if not (ok and text):
+            want = "insufficient_input"
+        elif not scored or -scored[0][0] < 0.8:
+            want = "not_found"
+        else:
+            want = "ambiguous" if ties > 1 else "matched"
+        statuses[want] += 1
+        assert found[k]["match_status"] == want
+        assert (found[k]["top_chart"] is None) == (not scored)
+        if scored:
+            assert found[k]["top_chart"] == scored[0][3] and found[k]["top_candidates"] == " | ".join(f"{-s:.4f}:{t} / {a} [{i}]" for s, t, a, i in scored[:5])
+    assert len(statuses) == 4
