@@ -15,9 +15,8 @@ to ``FEW`` sets gives all its pairs; a longer one links its members to one hub,
 such a key may still hide is settled afterwards: of the keys whose members aren't in one
 component, first neighbours in a salted order are tried.  Of keys that stay open those of
 up to ``OPEN`` sets give the pairs that lie across components, which is bounded for each
-key.  Members of longer ones are joined by their rarest tokens: sets that link share one of
-the n - ceil(low n / 100) + 1 rarest of each, so a template that many texts share gives no
-pairs.  Pairs are dropped
+key.  Members of longer ones are joined by their rarest tokens: sets that link share one at
+the front of both, so a template that many texts share gives no pairs.  Pairs are dropped
 where a sketch of 512 bits proves them too far apart, and verified on the exact sets.
 Documents with equal sets are one node throughout.
 """
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import BitFilter, GAMMA, U, Words, bucket_count, buffer_of, dealt, lean, mix, row_key, slices, spans, spill, text_bytes, unused, wide_rows
+from tallyspark.llm.common import BitFilter, GAMMA, KeyFilter, U, Words, bucket_count, buffer_of, dealt, lean, mix, row_key, slices, spans, spill, text_bytes, unused, wide_rows
 from tallyspark.llm.components import components
 
 GROWTH = 1.4
@@ -299,11 +298,21 @@ class Sets:
         return self.table
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
+
+
+def _those(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that are ends of pairs, and a few more: a filter of their ids spares the others the shuffle."""
+    ends = spill(_ends(pairs).distinct(), "ends", narrow=True)
+    return KeyFilter(ends, "set_id").probe(sets, "set_id").filter("_maybe").drop("_maybe")
+
+
 def _verify(pairs: DataFrame, nodes: DataFrame, exact: Sets, low: int) -> DataFrame:
     """Those of (a, b) whose exact sets link."""
     pairs = pairs.join(_side(nodes, "x", "a"), "a").join(_side(nodes, "y", "b"), "b").filter(_near(low)).select("a", "b")
     pairs = spill(pairs, "near", narrow=True)
-    sets = exact.of(pairs.select(F.explode(F.array("a", "b")).alias("set_id")))
+    sets = _those(exact.of(_ends(pairs)), pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,6 +333,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, exact: Sets, low: int) -> DataFr
     y = sets.select(F.col("set_id").alias("b"), F.col("n").alias("q"), F.col("wide").alias("v"))
     thin = pairs.join(x, "a").join(y, "b").select("a", "b", "u", "v", (F.col("p") + F.col("q")).alias("n"))
     pairs = spill(thin.mapInArrow(lean(close), "a long, b long"), "close", batch=2000)
+    sets = _those(sets, pairs)
     left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("s")), "a")
     full = left.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("t")), "b")
     return spill(full.select("a", "b", "s", "t").mapInArrow(lean(run), "a long, b long"), "verified", batch=200)
@@ -373,29 +383,52 @@ def _open(members: DataFrame, exact: Sets, low: int) -> DataFrame:
 def _rarest(members: DataFrame, exact: Sets, low: int) -> DataFrame:
     """Pairs of members in different components that share one of the rarest tokens of both.
 
-    Tokens are ordered by how many members have them.  Of a set of n tokens a partner has
-    low n / 100 at least, so the first token in this order that both have is among the first
-    n - ceil(low n / 100) + 1 of each.
+    All sets share one order of tokens: those of one member, then those of up to FEW, then
+    the others, each by value.  Two filters, bounded in size, tell them apart where the set
+    is read, so only tokens of the front travel; a token that a filter takes for another kind
+    has the same place in every set.  Of two sets that link, with sizes n <= m, the first
+    token that both have is among the first n - ceil(2 low n / (100 + low)) + 1 of the smaller
+    and the first m - ceil(low m / 100) + 1 of the larger one.
     """
     sides = spill(members.select("set_id", "component", "n", *SKETCH).dropDuplicates(["set_id"]), "members", narrow=True)
+    sets = exact.of(sides).select("set_id", "tokens")
+    context = sets.sparkSession.sparkContext
+    inside = context.broadcast(BitFilter.build(sides, "set_id", "set_id"))
+
+    def chosen(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Set ids, sizes and all tokens of the members in a batch."""
+        ids = np.asarray(batch.column("set_id"))
+        use = np.flatnonzero(inside.value.test(ids, ids))
+        found = [np.frombuffer(batch.column("tokens")[int(i)].as_buffer(), np.int64) for i in use]
+        return ids[use], np.array([len(t) for t in found], np.int64), np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, count = np.unique(chosen(batch)[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(count)], names=["token", "held"])
+
+    held = sets.mapInArrow(lean(counted), "token long, held long").groupBy("token").agg(F.sum("held").alias("held")).filter("held > 1")
+    held = spill(held, "member-tokens", batch=500)
+    shared = context.broadcast(BitFilter.build(held, "token", "token"))
+    often = context.broadcast(BitFilter.build(held.filter(F.col("held") > FEW), "token", "token"))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.frombuffer(t.as_buffer(), np.int64) for t in batch.column("tokens")]
-            size = np.array([len(t) for t in sets], np.int64)
-            ids = np.repeat(np.asarray(batch.column("set_id")), size)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets) if sets else size)], names=["set_id", "n", "token"])
-
-    wanted = exact.of(sides).join(sides.select("set_id"), "set_id", "left_semi")
-    tokens = spill(wanted.select("set_id", "tokens").mapInArrow(lean(spread), "set_id long, n long, token long"), "member-tokens", batch=500)
-    shared = spill(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "member-shared")
-    ranked = tokens.join(shared, "token", "left").withColumn("held", F.coalesce("held", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("set_id").orderBy("held", "token"))
-    first = ranked.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * low / 100) + 1).filter("held > 1")
-    first = spill(first.select("set_id", "token"), "member-rarest", narrow=True)
+            ids, size, token = chosen(batch)
+            of = np.repeat(np.arange(len(ids)), size)
+            kind = np.where(often.value.test(token, token), 2, shared.value.test(token, token).astype(np.int64))
+            order = np.lexsort((token, kind, of))
+            token, kind = token[order], kind[order]
+            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            probe, index = size + (-low * size) // 100 + 1, size + (-2 * low * size) // (100 + low) + 1
+            use = np.flatnonzero((place < probe[of]) & (kind > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of[use]]), pa.array(token[use]), pa.array(place[use] < index[of[use]])], names=["set_id", "token", "index"])
+
+    first = spill(sets.mapInArrow(lean(front), "set_id long, token long, index boolean"), "member-rarest", batch=500)
     both = spill(first.join(sides, "set_id"), "member-sides")
-    x, y = (both.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("set_id", "component", "n", *SKETCH)]) for side in "xy")
-    return x.join(y, "token").filter("set_id_x < set_id_y AND component_x != component_y")
+    x, y = (both.select("token", "index", *[F.col(c).alias(f"{c}_{side}") for c in ("set_id", "component", "n", *SKETCH)]) for side in "xy")
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("set_id_x") < F.col("set_id_y")))
+    return x.filter("index").drop("index").join(y.drop("index"), "token").filter(smaller & (F.col("component_x") != F.col("component_y")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, low: int = 85) -> DataFrame:

@@ -365,3 +365,48 @@ def test_keep_one_tells_rows_apart_by_id_and_text(spark):
     kept = jaccard.keep_one(spark.createDataFrame(data, "doc_id long, text string, n int")).collect()
     marks = sorted(r["n"] for r in kept)
     assert [m for m in marks if m not in (3, 4)] == [0, 2, 6, 7, 8, 9] and len({3, 4} & set(marks)) == 1
+
+
+def test_template_gives_pairs_in_proportion(spark, monkeypatch):
+    """Texts that share half their shingles: twice as many texts make about twice as many pairs, not four times."""
+    made = []
+    for name in ("_neighbours", "_across", "_rarest"):
+        monkeypatch.setattr(jaccard, name, lambda *args, _own=getattr(jaccard, name): made.append((out := _own(*args)).count()) or out)
+    verify = jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda pairs, *rest: made.append(pairs.count()) or verify(pairs, *rest))
+    template, totals = " ".join(f"t{i}" for i in range(100)), []
+    for n in (200, 400):
+        docs = spark.createDataFrame([(i, template + " " + " ".join(f"u{i}x{j}" for j in range(100))) for i in range(n)], "doc_id long, text string").repartition(4)
+        made.clear()
+        assert jaccard.jaccard_components(docs, width=5, low=80).select("component_id").distinct().count() == n
+        totals.append(sum(made))
+    assert totals[1] < 2.6 * totals[0] and totals[1] < 400 * 399 // 2
+
+
+def test_rarest_tokens_lose_no_link(spark, monkeypatch):
+    """Clusters of edited copies around the threshold, with all open keys settled by their rarest tokens, against all pairs."""
+    monkeypatch.setattr(jaccard, "OPEN", 0)
+    rnd, rows = random.Random(9), []
+    for cluster in range(3):
+        base = [f"c{cluster}w{i}" for i in range(60 + 40 * cluster)]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                words[rnd.randrange(len(words))] = f"x{rnd.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(words[rnd.randint(0, 3) :])))
+    name, sets = list(range(len(rows))), [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for _, t in rows for w in (t.split(),)]
+
+    def root(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                name[b] = a
+    called, rarest = [], jaccard._rarest
+    monkeypatch.setattr(jaccard, "_rarest", lambda *args: called.append(1) or rarest(*args))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), low=80)
+    assert by_id(got, "component_id") == sorted(((i, root(i)) for i in range(len(rows))), key=str) and called
