@@ -108,7 +108,7 @@ def f10_promote_final(t: Tables) -> DataFrame:
 
 REFS = "rf AS (SELECT o_orderkey AS ref_id, (o_orderkey % 3)::INT AS revision, CASE o_orderkey % 5 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'auto_confirmed' WHEN 3 THEN 'manual_confirmed' ELSE 'rejected' END AS status, CASE WHEN o_orderkey % 5 IN (2, 3) THEN o_custkey END AS entity FROM orders)"
 REQ = """rq AS (SELECT o_orderkey * 7 AS action_id, o_orderkey AS ref_id, CASE o_orderkey % 4 WHEN 0 THEN 'manual_confirm' WHEN 1 THEN 'reject' WHEN 2 THEN 'reopen' ELSE 'explode' END AS action, (o_orderkey % 3 + CASE WHEN o_orderkey % 22 = 0 THEN 1 ELSE 0 END)::INT AS expected_revision,
-    CASE o_orderkey % 5 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'auto_confirmed' WHEN 3 THEN 'manual_confirmed' ELSE 'rejected' END AS expected_status, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 24 <> 0 THEN o_custkey + 1 END AS entity FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 9 = 0)"""
+    CASE o_orderkey % 5 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'auto_confirmed' WHEN 3 THEN 'manual_confirmed' ELSE 'rejected' END AS expected_status, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 24 <> 0 THEN o_custkey + 1 END AS entity FROM orders)"""
 
 
 def _status(k: F.Column) -> F.Column:
@@ -123,7 +123,7 @@ def references(t: Tables) -> DataFrame:
 def requests(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     action = F.when(k % 4 == 0, "manual_confirm").when(k % 4 == 1, "reject").when(k % 4 == 2, "reopen").otherwise("explode")
-    return t.orders.filter((k % 2 == 0) | (k % 9 == 0)).select((k * 7).alias("action_id"), k.alias("ref_id"), action.alias("action"), (k % 3 + (k % 22 == 0).cast("int")).cast("int").alias("expected_revision"), _status(k).alias("expected_status"), F.when((k % 4 == 0) & (k % 24 != 0), F.col("o_custkey") + 1).alias("entity"))
+    return t.orders.select((k * 7).alias("action_id"), k.alias("ref_id"), action.alias("action"), (k % 3 + (k % 22 == 0).cast("int")).cast("int").alias("expected_revision"), _status(k).alias("expected_status"), F.when((k % 4 == 0) & (k % 24 != 0), F.col("o_custkey") + 1).alias("entity"))
 
 
 VIOL = """vi AS (SELECT q.*, r.status, r.entity AS old, r.revision, concat_ws(',', CASE WHEN r.revision <> expected_revision THEN 'stale_revision' END, CASE WHEN action = 'explode' THEN 'unknown_action' END,

@@ -183,13 +183,13 @@ def j18_merge_conflicts(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {SQL}, u AS (SELECT title, min(song_id) AS song_id FROM song GROUP BY title HAVING count(*) = 1), ch AS (SELECT song_id, style, difficulty, level FROM song WHERE song_id % 3 = 0),
-    s AS (SELECT title, style, difficulty, CASE WHEN song_id % 6 = 0 THEN level + 1 ELSE level END AS level FROM song WHERE song_id % 4 < 2)
+    s AS (SELECT title, style, difficulty, CASE WHEN song_id % 6 = 0 THEN level + 1 ELSE level END AS level FROM song)
     SELECT s.title, s.style, s.difficulty, s.level, u.song_id, CASE WHEN u.song_id IS NULL THEN 'not_unique' WHEN ch.song_id IS NULL THEN 'added' WHEN ch.level = s.level THEN 'unchanged' ELSE 'conflict' END AS outcome
     FROM s LEFT JOIN u USING (title) LEFT JOIN ch ON ch.song_id = u.song_id AND ch.style = s.style AND ch.difficulty = s.difficulty""")
 def j19_supplements(t: Tables) -> DataFrame:
     s = songs(t)
     charts = s.filter("song_id % 3 = 0").select("song_id", "style", "difficulty", "level", F.lit("").alias("notes"))
-    supp = s.filter("song_id % 4 < 2").select("title", "style", "difficulty", F.when(F.col("song_id") % 6 == 0, F.col("level") + 1).otherwise(F.col("level")).alias("level"), F.lit("sheet").alias("source"))
+    supp = s.select("title", "style", "difficulty", F.when(F.col("song_id") % 6 == 0, F.col("level") + 1).otherwise(F.col("level")).alias("level"), F.lit("sheet").alias("source"))
     return R.apply_supplements(charts, s, supp)[1]
 
 
