@@ -243,6 +243,36 @@ def candidate_coverage(obs: DataFrame, charts: DataFrame, refs: DataFrame, obs_i
     return out.withColumns({"candidate_state": F.when(F.col(entity).isNull(), None).when(referenced, "referenced").otherwise("missing"), "row_status": status}).drop("_ref")
 
 
+def expected_status(obs: DataFrame, candidates: DataFrame, refs: DataFrame, obs_id: str, entity: str) -> DataFrame:
+    """Adds expected_status and expected_reason for the entity that an observation should have.
+
+    Reads ``expected`` (null: not known, for the reason in ``failure``) and ``block_status``;
+    candidates are (obs_id, entity), references have the entity.
+    """
+    own = candidates.select(obs_id, F.col(entity).alias("expected"), F.lit(True).alias("_in")).distinct()
+    have = refs.select(F.col(entity).alias("expected"), F.lit(True).alias("_ref")).distinct()
+    out = obs.join(own, [obs_id, "expected"], "left").join(have, "expected", "left")
+    # Names of statuses and reasons.
+    rules = [
+        (F.col("expected").isNull(), "expected_unresolved", F.coalesce(F.nullif(F.col("failure"), F.lit("")), F.lit("missing_label"))),
+        (F.col("block_status") != "ready", "not_evaluated", F.col("block_status")),
+        (F.col("_in").isNull(), "expected_not_in_chart_candidates", F.lit("chart_filter_excluded_expected_song")),
+        (F.col("_ref").isNull(), "expected_missing_feature", F.lit("expected_song_has_no_jacket_reference")),
+    ]
+    status = F.coalesce(*[F.when(rule, name) for rule, name, _ in rules], F.lit("expected_referenced"))
+    reason = F.coalesce(*[F.when(rule, why) for rule, _, why in rules], F.lit(""))
+    return out.withColumns({"expected_status": status, "expected_reason": reason}).drop("_in", "_ref")
+
+
+def with_assigned(refs: DataFrame, songs: DataFrame, entity: str) -> DataFrame:
+    """Adds ``assigned`` (the entity and its present title, null where there is none) and ``drift``: missing, title or none."""
+    known = songs.select(entity, F.col("title").alias("_title"), F.lit(True).alias("_there"))
+    out = refs.join(known, entity, "left")
+    assigned = F.when(F.col("_there"), F.struct(F.col(entity), F.col("_title").alias("title")))
+    drift = F.when(F.col(entity).isNull(), "").when(F.col("_there").isNull(), "missing").when(~F.col("title").eqNullSafe(F.col("_title")), "title").otherwise("")
+    return out.withColumns({"assigned": assigned, "drift": drift}).drop("_title", "_there")
+
+
 def coverage_totals(rows: DataFrame, obs_id: str) -> DataFrame:
     """Observations once each by status, and candidate rows by state."""
     once = rows.select(obs_id, "row_status").dropDuplicates([obs_id])

@@ -159,14 +159,15 @@ def promote(df: DataFrame, spec: dict[str, str], least: float = 0.98) -> DataFra
     return df.withColumn("promotion_reasons", reasons(*rules)).withColumn("promoted", F.size("promotion_reasons") == 0)
 
 
-def promote_final(df: DataFrame, spec: dict[str, str], optional: dict[str, str], failed: Column, unless_failed: str, least: float = 0.98) -> DataFrame:
+def promote_final(df: DataFrame, spec: dict[str, str], optional: dict[str, str], failed: Column, unless_failed: str, least: float = 0.98, checks: tuple[tuple[Column, str], ...] = ()) -> DataFrame:
     """promote(), but failed results need no ``unless_failed`` field, an optional metric with weak evidence becomes null,
-    and row_confidence is the least confidence of the fields in use."""
+    and row_confidence is the least confidence of the fields in use.  ``checks`` are further
+    rules (what must not hold, its code), such as values outside a range or an enum."""
     needed = {f: s for f, s in spec.items() if f != unless_failed}
     out = promote(df, needed, least)
     conf = F.col(f"{unless_failed}_confidence").cast("double")
     extra = reasons((~failed & _blank(unless_failed), f"{unless_failed}_missing"), (~failed & ~F.coalesce(F.col(f"{unless_failed}_source") == spec[unless_failed], F.lit(False)), f"{unless_failed}_source"), (~failed & ~F.coalesce(conf.between(least, 1.0), F.lit(False)), f"{unless_failed}_confidence"))
-    out = out.withColumn("promotion_reasons", F.concat("promotion_reasons", extra)).withColumn("promoted", F.size("promotion_reasons") == 0)
+    out = out.withColumn("promotion_reasons", F.concat("promotion_reasons", extra, reasons(*checks) if checks else F.array().cast("array<string>"))).withColumn("promoted", F.size("promotion_reasons") == 0)
     strong = {f: F.coalesce((F.col(f"{f}_source") == s) & F.col(f"{f}_confidence").between(least, 1.0), F.lit(False)) for f, s in optional.items()}
     out = out.withColumns({f: F.when(ok, F.col(f)) for f, ok in strong.items()})
     used = [F.col(f"{f}_confidence").cast("double") for f in needed] + [F.when(~failed, conf)] + [F.when(ok, F.col(f"{f}_confidence").cast("double")) for f, ok in strong.items()]

@@ -130,8 +130,8 @@ def blocked_distances(obs: DataFrame, refs: DataFrame, block: list[str], obs_id:
 
 
 def rerank(scored: DataFrame, second: DataFrame, obs_id: str, delta: float, first_delta: float = DELTA) -> DataFrame:
-    """Only entities of an ambiguous set (within ``first_delta`` of the top), ordered by a second distance: resolved_candidate,
-    ambiguous_candidate (another entity within ``delta``) or missing_feature (none has a second distance)."""
+    """Only entities of an ambiguous set (within ``first_delta`` of the top), ordered by a second distance
+    (which leaves out an observation's own reference: see ``leave_out``): resolved_candidate, ambiguous_candidate (another entity within ``delta``) or missing_feature (none has a second distance)."""
     low = F.min("distance").over(Window.partitionBy(obs_id))
     near = scored.withColumn("_low", low).filter(F.col("distance") - F.col("_low") <= first_delta)
     many = near.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(obs_id))).filter("_n > 1").select(obs_id, "entity")

@@ -148,6 +148,17 @@ def add_missing(songs: DataFrame, official: DataFrame, key: str, order: list[Col
     return songs.withColumn("added", F.lit(False)).unionByName(new.select(*songs.columns).withColumn("added", F.lit(True)))
 
 
+def reuse_ids(base: DataFrame, extra: DataFrame, entity: str, keys: list[str]) -> DataFrame:
+    """``extra`` with reused_id and reused_by: the id of the only base row of its first key, else of the next key, else its own (new)."""
+    out = extra
+    for key in keys:
+        sole = base.groupBy(key).agg(F.min(entity).alias(f"_{key}_id"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+        out = out.join(sole, key, "left")
+    found = [F.col(f"_{key}_id") for key in keys]
+    by = F.coalesce(*[F.when(f.isNotNull(), key) for key, f in zip(keys, found)], F.lit("new"))
+    return out.withColumns({"reused_id": F.coalesce(*found, F.col(entity)), "reused_by": by}).drop(*[f"_{key}_id" for key in keys])
+
+
 def merge_sources(base: DataFrame, extra: DataFrame, keys: list[str], level: str) -> tuple[DataFrame, DataFrame]:
     """(merged, conflicts): rows of ``extra`` with new keys are added; the same key with another level is a conflict; the base's row stays."""
     both = base.select(*keys, F.col(level).alias("_base")).join(extra.select(*keys, F.col(level).alias("_extra")), keys)

@@ -234,11 +234,16 @@ def refs(t: Tables) -> DataFrame:
     return t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), F.col("l_partkey").alias("song"), status.alias("status"), F.col("l_returnflag").alias("reason"), F.concat(F.lit("v"), F.col("l_suppkey") % 3).alias("extractor"), F.col("l_suppkey").alias("sk"))
 
 
+def stated(t: Tables) -> DataFrame:
+    """References with their state: a fifth were collected under another title, and a seventh of the songs are gone."""
+    named = refs(t).join(songs(t).select("song", F.col("title").alias("_t")), "song", "left").withColumn("title", F.when(F.col("song") % 5 == 0, "other").otherwise(F.col("_t"))).drop("_t")
+    return V.reference_state(named, songs(t).filter("song % 7 != 0"), "song", F.lit("v1"))
+
+
 @query(f"""WITH {REFS}, t AS (SELECT rf.*, CASE WHEN rf.song % 5 = 0 THEN 'other' ELSE s.title END AS seen, s.title AS now, coalesce(s.available, false) AS available FROM rf LEFT JOIN (SELECT * FROM s WHERE song % 7 <> 0) s USING (song))
     SELECT ref, song, sk, CASE WHEN NOT available THEN 'orphaned' WHEN extractor <> 'v1' THEN 'stale_extractor' WHEN seen <> now THEN 'identity_drift' ELSE status END AS state FROM t""")
 def j23_f7_reference_state(t: Tables) -> DataFrame:
-    named = refs(t).join(songs(t).select("song", F.col("title").alias("_t")), "song", "left").withColumn("title", F.when(F.col("song") % 5 == 0, "other").otherwise(F.col("_t"))).drop("_t")
-    return V.reference_state(named, songs(t).filter("song % 7 != 0"), "song", F.lit("v1")).select("ref", "song", "sk", "state")
+    return stated(t).select("ref", "song", "sk", "state")
 
 
 @query(f"""WITH {REFS}, b AS (SELECT song, status, reason, ref, sk FROM rf WHERE song % 2 = 0 UNION ALL SELECT song, 'needs_review', 'candidate', ref, sk FROM rf WHERE song % 2 = 1),
@@ -266,6 +271,30 @@ def j25_candidate_coverage(t: Tables) -> DataFrame:
     return covered(t).select("obs", "song", "candidate_state", "row_status")
 
 
+@query(f"""WITH {REFS}, ob AS (SELECT o_orderkey AS obs, 'Brand#' || (o_orderkey % 26) AS style, (o_custkey % 55)::INT AS level, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS other, o_orderkey % 13 = 0 AS blocked FROM orders),
+    low AS (SELECT style, level, min(song) AS first FROM s GROUP BY ALL), e AS (SELECT ob.*, CASE WHEN obs % 2 = 0 AND other IS NOT NULL THEN coalesce(first, other) ELSE other END AS expected FROM ob LEFT JOIN low USING (style, level))
+    SELECT obs, CASE WHEN expected IS NULL THEN 'expected_unresolved' WHEN blocked THEN 'not_evaluated' WHEN c.song IS NULL THEN 'expected_not_in_chart_candidates' WHEN expected % 5 = 0 THEN 'expected_missing_feature' ELSE 'expected_referenced' END AS expected_status,
+    CASE WHEN expected IS NULL THEN 'missing_label' WHEN blocked THEN 'missing_level' WHEN c.song IS NULL THEN 'chart_filter_excluded_expected_song' WHEN expected % 5 = 0 THEN 'expected_song_has_no_jacket_reference' ELSE '' END AS expected_reason
+    FROM e LEFT JOIN s c ON c.song = expected AND c.style = e.style AND c.level = e.level""")
+def j25_expected_status(t: Tables) -> DataFrame:
+    """Half of the observations expect a candidate of their block; a fifth of the songs have no reference here."""
+    k = F.col("o_orderkey")
+    obs = t.orders.select(k.alias("obs"), F.concat(F.lit("Brand#"), k % 26).alias("style"), (F.col("o_custkey") % 55).cast("int").alias("level"), F.when(k % 11 != 0, F.col("o_custkey")).alias("other"))
+    low = songs(t).groupBy("style", "level").agg(F.min("song").alias("first"))
+    expected = F.when((F.col("obs") % 2 == 0) & F.col("other").isNotNull(), F.coalesce("first", "other")).otherwise(F.col("other"))
+    obs = obs.join(low, ["style", "level"], "left").withColumns({"expected": expected, "failure": F.lit(""), "block_status": F.when(F.col("obs") % 13 == 0, "missing_level").otherwise("ready")})
+    candidates = obs.join(songs(t).select("song", "style", "level"), ["style", "level"]).select("obs", "song")
+    return V.expected_status(obs, candidates, refs(t).filter("song % 5 != 0"), "obs", "song").select("obs", "expected_status", "expected_reason")
+
+
+@query(f"""WITH {REFS} SELECT ref, sk, s.song AS assigned_song, s.title AS assigned_title, CASE WHEN s.song IS NULL THEN 'missing' WHEN rf.song % 5 = 0 THEN 'title' ELSE '' END AS drift FROM rf LEFT JOIN (SELECT * FROM s WHERE song % 7 <> 0) s USING (song)""")
+def j27_assigned(t: Tables) -> DataFrame:
+    """A fifth of the references were collected under another title; a seventh of the songs are gone."""
+    named = refs(t).join(songs(t).select("song", F.col("title").alias("_t")), "song", "left").withColumn("title", F.when(F.col("song") % 5 == 0, "other").otherwise(F.col("_t"))).drop("_t")
+    out = V.with_assigned(named, songs(t).filter("song % 7 != 0"), "song")
+    return out.select("ref", "sk", F.col("assigned.song").alias("assigned_song"), F.col("assigned.title").alias("assigned_title"), "drift")
+
+
 @query(f"WITH {COVER} SELECT 'observation' AS kind, row_status AS value, count(DISTINCT obs) AS n FROM cv GROUP BY ALL UNION ALL SELECT 'candidate', candidate_state, count(*) FROM cv WHERE candidate_state IS NOT NULL GROUP BY ALL")
 def a25_coverage_totals(t: Tables) -> DataFrame:
     return V.coverage_totals(covered(t), "obs")
@@ -292,6 +321,14 @@ def a24_coverage_summary(t: Tables) -> DataFrame:
     return V.coverage_summary(refs(t), F.col("status").isin("auto_confirmed", "manual_confirmed"), auto, auto & (F.col("reason") == "R")).withColumn("auto_rate", F.round("auto_rate", 6))
 
 
+@query(f"""WITH {REFS}, t AS (SELECT rf.*, CASE WHEN rf.song % 5 = 0 THEN 'other' ELSE s.title END AS seen, s.title AS now, coalesce(s.available, false) AS available FROM rf LEFT JOIN (SELECT * FROM s WHERE song % 7 <> 0) s USING (song)),
+    u AS (SELECT CASE WHEN NOT available THEN 'orphaned' WHEN extractor <> 'v1' THEN 'stale_extractor' WHEN seen <> now THEN 'identity_drift' ELSE status END AS state, reason FROM t)
+    SELECT 'state' AS field, state AS value, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT 'reason', reason, count(*) FROM u GROUP BY ALL""")
+def a24_state_counts(t: Tables) -> DataFrame:
+    """References by state, orphaned ones among them, and by reason."""
+    return V.value_counts(stated(t), ["state", "reason"])
+
+
 @query(f"""WITH {REFS}, u AS (SELECT CASE reason WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'accepted' ELSE 'other' END AS classification, reason, status FROM rf), p AS (SELECT 'classification' AS field, classification AS value FROM u UNION ALL SELECT 'reason', reason FROM u UNION ALL SELECT 'status', status FROM u) SELECT field, value, count(*) AS n FROM p GROUP BY ALL""")
 def a26_unresolved_summary(t: Tables) -> DataFrame:
     return V.unresolved_summary(refs(t), "reason", {"R": "rejected", "A": "accepted"}, ["status"])

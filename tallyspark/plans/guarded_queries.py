@@ -97,12 +97,12 @@ def f6_promote(t: Tables) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT c_custkey, c_name AS score, CASE WHEN c_custkey % 4 = 0 THEN 'guess' ELSE 'ocr' END AS score_source, 0.98 + (c_custkey % 3) * 0.01 AS score_confidence, c_custkey % 5 = 0 AS failed, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '7' END AS ok, CASE WHEN c_custkey % 7 = 0 THEN 0.5 ELSE 0.99 END AS calories_confidence FROM customer),
-    g AS (SELECT *, concat_ws(',', CASE WHEN score_source <> 'ocr' THEN 'score_source' END, CASE WHEN NOT failed AND ok = '' THEN 'ok_missing' END) AS reasons FROM f)
+    g AS (SELECT *, concat_ws(',', CASE WHEN score_source <> 'ocr' THEN 'score_source' END, CASE WHEN NOT failed AND ok = '' THEN 'ok_missing' END, CASE WHEN c_custkey % 17 = 0 THEN 'level_out_of_range' END, CASE WHEN c_custkey % 10 = 9 THEN 'rank_invalid' END) AS reasons FROM f)
     SELECT c_custkey, reasons, CASE WHEN calories_confidence >= 0.98 THEN 'kcal' END AS calories, round(CASE WHEN reasons = '' THEN least(score_confidence, CASE WHEN NOT failed THEN 0.985 END, CASE WHEN calories_confidence >= 0.98 THEN calories_confidence END) END, 4)::DOUBLE AS row_confidence FROM g""")
 def f10_promote_final(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     d = t.customer.select("c_custkey", F.col("c_name").alias("score"), F.when(k % 4 == 0, "guess").otherwise("ocr").alias("score_source"), (0.98 + (k % 3) * 0.01).alias("score_confidence"), (k % 5 == 0).alias("failed"), F.when(k % 3 == 0, "").otherwise("7").alias("ok"), F.lit("ocr").alias("ok_source"), F.lit(0.985).alias("ok_confidence"), F.lit("kcal").alias("calories"), F.lit("ocr").alias("calories_source"), F.when(k % 7 == 0, 0.5).otherwise(0.99).alias("calories_confidence"))
-    out = G.promote_final(d, {"score": "ocr", "ok": "ocr"}, {"calories": "ocr"}, F.col("failed"), "ok")
+    out = G.promote_final(d, {"score": "ocr", "ok": "ocr"}, {"calories": "ocr"}, F.col("failed"), "ok", checks=((k % 17 == 0, "level_out_of_range"), (k % 10 == 9, "rank_invalid")))
     return out.select("c_custkey", F.array_join("promotion_reasons", ",").alias("reasons"), "calories", F.round("row_confidence", 4).alias("row_confidence"))
 
 

@@ -157,6 +157,27 @@ def j16_apply_availability(t: Tables) -> DataFrame:
     return R.apply_availability(s.drop("available"), "song_id", steps, cat).select("song_id", "availability", "available", "official")
 
 
+@query(f"""WITH {SQL}, {OFFICIAL}, u AS (SELECT t, min(song_id) AS e FROM off GROUP BY t HAVING count(DISTINCT song_id) = 1) SELECT k.song_id, k.title AS alias, o.title AS official_title FROM keyed k JOIN u USING (t) JOIN keyed o ON o.song_id = u.e WHERE o.title <> k.title
+    UNION ALL SELECT k.song_id, k.title, o.title FROM keyed k JOIN u ON k.l = u.t JOIN keyed o ON o.song_id = u.e WHERE o.title <> k.title AND k.t NOT IN (SELECT t FROM off)""")
+def j16_alias_rows(t: Tables) -> DataFrame:
+    """Alias rows of songs that the official list knows by another title."""
+    s = songs(t)
+    off = s.filter("song_id % 5 != 0")
+    steps = {1: F.col("t"), 2: F.col("l")}
+    found = R.apply_availability(s.drop("available"), "song_id", steps, R.keyed(off, "song_id", {1: F.col("t"), 2: F.col("t")}), ("unique_title", "alias_unique_title"))
+    return R.changed_names(found, off.select(F.col("song_id").alias("entity"), "title"), "song_id", "title")
+
+
+@query(f"""WITH {SQL}, b AS (SELECT * FROM keyed WHERE song_id % 2 = 0), x AS (SELECT * FROM keyed WHERE song_id % 2 = 1), p AS (SELECT t, a, min(song_id) AS e FROM b GROUP BY ALL HAVING count(*) = 1), q AS (SELECT t, min(song_id) AS e FROM b GROUP BY ALL HAVING count(*) = 1)
+    SELECT x.song_id, coalesce(p.e, q.e, x.song_id) AS reused_id, CASE WHEN p.e IS NOT NULL THEN 'exact' WHEN q.e IS NOT NULL THEN 'alias' ELSE 'new' END AS reused_by FROM x LEFT JOIN p ON x.t = p.t AND x.a = p.a LEFT JOIN q ON x.l = q.t""")
+def j18_reuse_ids(t: Tables) -> DataFrame:
+    """Odd songs take the id of the only even song of their title and artist, else of the one that their alias names."""
+    s = songs(t)
+    base = s.filter("song_id % 2 = 0").select("song_id", pair("t", "a").alias("exact"), F.col("t").alias("alias"))
+    extra = s.filter("song_id % 2 = 1").select("song_id", pair("t", "a").alias("exact"), F.col("l").alias("alias"))
+    return R.reuse_ids(base, extra, "song_id", ["exact", "alias"]).select("song_id", "reused_id", "reused_by")
+
+
 @query(f"""WITH {SQL}, b AS (SELECT * FROM keyed WHERE song_id % 2 = 0), n AS (SELECT * FROM keyed WHERE song_id % 2 = 1 AND t NOT IN (SELECT t FROM b) QUALIFY row_number() OVER (PARTITION BY t ORDER BY song_id) = 1)
     SELECT song_id, title, false AS added FROM b UNION ALL SELECT song_id, title, true FROM n""")
 def j17_add_missing(t: Tables) -> DataFrame:
@@ -262,12 +283,13 @@ def v4_j7_blocked_distances(t: Tables) -> DataFrame:
     return _r(N.blocked_distances(obs, refs, ["block"], "vec_id", "label", l1(F.col("v"), F.col("w"))))
 
 
-SECOND = f"q AS (SELECT vec_id, entity, min({L2.format(a='embedding', b='w')}) AS d2 FROM o, r WHERE entity % 7 <> 3 GROUP BY ALL)"
+SECOND = f"q AS (SELECT o.vec_id, e.label AS entity, min({L2.format(a='o.embedding', b='e.embedding')}) AS d2 FROM o, embeddings e WHERE e.label % 7 <> 3 AND e.vec_id <> o.vec_id GROUP BY ALL)"
 
 
 def second(t: Tables) -> DataFrame:
-    obs, refs = vectors(t)
-    return N.entity_distances(obs, refs.filter("label % 7 != 3"), "vec_id", "vec_id", "label", "embedding", "l2")
+    """Distances to all vectors but an observation's own one."""
+    obs, every = vectors(t)[0], t.embeddings.filter("label % 7 != 3")
+    return N.entity_distances(obs, every, "vec_id", "vec_id", "label", "embedding", "l2", leave_out=True)
 
 
 @query(f"""WITH {VEC}, {SECOND}, n AS (SELECT *, min(distance) OVER (PARTITION BY vec_id) AS low FROM k), m AS (SELECT vec_id, entity FROM n WHERE distance - low <= 0.01 QUALIFY count(*) OVER (PARTITION BY vec_id) > 1),
