@@ -296,8 +296,16 @@ def encode_texts(texts: pa.Array, starts: list[np.ndarray], coder: Coder) -> pa.
     return _lists(*coder.encode(data, at), starts)
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(id, ids array<int>) for every row, in no set order.
+def spell_lists(lists: pa.Array, coder: Coder) -> pa.Array:
+    """Concatenated bytes of each list of ids; null lists give none."""
+    total = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    end = np.concatenate(([0], np.cumsum(coder.length[ids])))[total].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(end), pa.py_buffer(coder.spell(ids))])
+
+
+def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>) for every row, in no set order; ``decoded`` adds what the ids decode to, in the same pass.
 
     Null and empty texts give no ids; repeated rows stay repeated (of a long text the copies
     are counted first and encoded once); rows of one id with different texts are encoded
@@ -309,6 +317,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         raise ValueError(f"chunks must overlap by {2 * GUARD} characters at least")
     splitter(pattern)
     kind = dict(docs.dtypes)[id_col]
+    made = ["ids", "decoded"] if decoded else ["ids"]
+
+    def results(ids: pa.Array, coder: Coder) -> list[pa.Array]:
+        return [ids, spell_lists(ids, coder)] if decoded else [ids]
+
     texts = wide_rows(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +329,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 starts = [pieces_of(t, split, chunk, overlap) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), encode_texts(part.column("text"), starts, coder)], names=["id", "ids"])
+                ids = encode_texts(part.column("text"), starts, coder)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *results(ids, coder)], names=["id", *made])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,9 +354,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         starts = stitch([(r["start"], r["text"], np.frombuffer(r["cuts"], np.int32).astype(np.int64)) for r in rows], split)
         text = "".join(r["text"][:chunk] if k + 1 < len(rows) else r["text"] for k, r in enumerate(rows))
         ids = encode_texts(pa.array([text], pa.large_string()), [starts], coder)
-        return pa.table({"id": table.column("id")[:1], "copies": table.column("copies")[:1], "ids": ids})
+        return pa.table([table.column("id")[:1], table.column("copies")[:1], *results(ids, coder)], names=["id", "copies", *made])
 
-    out = f"id {kind}, ids array<int>"
+    out = f"id {kind}, ids array<int>" + ", decoded binary" * decoded
     long = F.char_length("text") > chunk * DEALT + overlap
     most = texts.filter(~long).mapInArrow(lean(here), out)
     apart = texts.filter(long).groupBy("id", F.xxhash64("text").alias("key"), F.char_length("text").alias("size"))
@@ -350,8 +364,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     head = f"id {kind}, key long, size int, copies long, start long, text string"
     chunks = apart.select("id", "key", "size", "copies", "text").mapInArrow(lean(cut), head)
     marked = chunks.repartition("id", "key", "start").mapInArrow(lean(pretokenise), f"{head}, cuts binary")
-    stitched = marked.groupBy("id", "key", "size").applyInArrow(lambda t: join(t), f"id {kind}, copies long, ids array<int>")
-    stitched = stitched.select("id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+    stitched = marked.groupBy("id", "key", "size").applyInArrow(lambda t: join(t), out.replace("ids", "copies long, ids", 1))
+    stitched = stitched.select("id", *made, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
     return most.unionByName(stitched).withColumnRenamed("id", id_col)
 
 
@@ -370,21 +384,22 @@ def decode(encoded: DataFrame, ranks: bytes, ids_col: str = "ids", into: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(ranks)
         for batch in batches:
-            at, total = 0, np.concatenate(([0], np.cumsum(batch.column(kept.index(ids_col)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            total = np.concatenate(([0], np.cumsum(batch.column(kept.index(ids_col)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            at = 0
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(total, total[at] + IDS_AT_ONCE, "right")) - 1)
                 part = batch.slice(at, to - at)
-                ids = part.column(kept.index(ids_col)).flatten().to_numpy(zero_copy_only=False)
-                end = np.concatenate(([0], np.cumsum(coder.length[ids])))[total[at : to + 1] - total[at]].astype(np.int32)
-                spelled = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(end), pa.py_buffer(coder.spell(ids))])
-                yield pa.RecordBatch.from_arrays([*part.columns, spelled], names=[*kept, into])
+                yield pa.RecordBatch.from_arrays([*part.columns, spell_lists(part.column(kept.index(ids_col)), coder)], names=[*kept, into])
                 at = to
 
     return wide_rows(encoded).select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(lean(run), f"{schema}, `{into}` binary")
 
 
 def digests(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256 of the comma-joined ids, decoded_sha256 of the decoded bytes."""
-    both = decode(encode(docs, ranks, pattern, id_col, text_col), ranks)
+    """Per row: id, n_tokens, ids_sha256 of the comma-joined ids, decoded_sha256 of the decoded bytes.
+
+    Encoding and decoding share a worker, so a task holds one set of tables.
+    """
+    both = encode(docs, ranks, pattern, id_col, text_col, decoded=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
