@@ -13,10 +13,9 @@ least (pigeonhole).  The few sets with tokens in too few parts have all parts as
 Keys travel in packed blocks to buckets, whose number grows with the input.  A key of up
 to ``FEW`` sets gives all its pairs; a longer one links its members to one hub, and what
 such a key may still hide is settled afterwards: of the keys whose members aren't in one
-component, first neighbours in a salted order are tried.  Of keys that stay open those of
-up to ``OPEN`` sets give the pairs that lie across components, which is bounded for each
-key.  Members of longer ones are joined by their rarest tokens: sets that link share one at
-the front of both, so a template that many texts share gives no pairs.  Pairs are dropped
+component, first neighbours in a salted order are tried.  Members of keys that stay open are
+joined by their rarest tokens: sets that link share one at the front of both, so a template
+that many texts share gives no pairs, and work grows with the members.  Pairs are dropped
 where a sketch of 512 bits proves them too far apart, and verified on the exact sets.
 Documents with equal sets are one node throughout.
 """
@@ -34,7 +33,7 @@ from tallyspark.llm.common import BitFilter, GAMMA, KeyFilter, U, Words, bucket_
 from tallyspark.llm.components import components
 
 GROWTH = 1.4
-FEW, FEW_HERE, OPEN = 8, 4, 64
+FEW, FEW_HERE = 8, 4
 #: Bytes of text that are shingled together.
 SLICE = 2 << 20
 POSITIONS = U((1 << 20) - 1)
@@ -367,19 +366,6 @@ def _neighbours(rest: DataFrame) -> DataFrame:
     return out.select("*", *[F.col(f"y.{c}").alias(f"{c}_y") for c in both]).drop("y").filter("set_id_y IS NOT NULL AND component_x != component_y")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of members of one key in different components; keys have OPEN members at most."""
-    x, y = (members.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("set_id", "component", "n", *SKETCH)]) for side in "xy")
-    return x.join(y, "key").filter("set_id_x < set_id_y AND component_x != component_y").drop("key")
-
-
-def _open(members: DataFrame, exact: Sets, low: int) -> DataFrame:
-    """All pairs that keys which stay open can still hide."""
-    few, many = members.filter(F.col("members") <= OPEN), members.filter(F.col("members") > OPEN)
-    found = _across(few)
-    return found.unionByName(_rarest(many, exact, low).drop("token")) if many.limit(1).count() else found
-
-
 def _rarest(members: DataFrame, exact: Sets, low: int) -> DataFrame:
     """Pairs of members in different components that share one of the rarest tokens of both.
 
@@ -450,7 +436,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _verify(tried, nodes, exact, low)
     named = spill(components(links), "components", narrow=True)
     rest = found.filter(F.col("kind") == REST).select(F.col("a").alias("key"), F.col("b").alias("set_id")).distinct()
-    for candidates in (_neighbours, lambda members: _open(members, exact, low)):
+    for candidates in (_neighbours, lambda members: _rarest(members, exact, low)):
         if (members := _unsettled(rest, named, nodes)) is None:
             break
         more = candidates(members).filter(_near(low)).select(F.least("set_id_x", "set_id_y").alias("a"), F.greatest("set_id_x", "set_id_y").alias("b")).distinct()

@@ -370,7 +370,7 @@ def test_keep_one_tells_rows_apart_by_id_and_text(spark):
 def test_template_gives_pairs_in_proportion(spark, monkeypatch):
     """Texts that share half their shingles: twice as many texts make about twice as many pairs, not four times."""
     made = []
-    for name in ("_neighbours", "_across", "_rarest"):
+    for name in ("_neighbours", "_rarest"):
         monkeypatch.setattr(jaccard, name, lambda *args, _own=getattr(jaccard, name): made.append((out := _own(*args)).count()) or out)
     verify = jaccard._verify
     monkeypatch.setattr(jaccard, "_verify", lambda pairs, *rest: made.append(pairs.count()) or verify(pairs, *rest))
@@ -385,7 +385,6 @@ def test_template_gives_pairs_in_proportion(spark, monkeypatch):
 
 def test_rarest_tokens_lose_no_link(spark, monkeypatch):
     """Clusters of edited copies around the threshold, with all open keys settled by their rarest tokens, against all pairs."""
-    monkeypatch.setattr(jaccard, "OPEN", 0)
     rnd, rows = random.Random(9), []
     for cluster in range(3):
         base = [f"c{cluster}w{i}" for i in range(60 + 40 * cluster)]
