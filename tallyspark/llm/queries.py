@@ -1,11 +1,11 @@
-"""The registered queries of this subpackage: op1 to op10 with production parameters, and the pipeline."""
+"""The registered queries of this subpackage: op1 to op13 with production parameters, and the pipeline."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, exact_dedup, jaccard, mixing, quality, secret_scan, substring_dedup, transport, url_filter, warc
+from tallyspark.llm import bpe, divergence, exact_dedup, jaccard, line_dedup, mixing, quality, secret_scan, substring_dedup, transport, url_filter, warc, whitening
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -55,12 +55,32 @@ def op10_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_ngram_jaccard, op4_source_mixing, op5_exact_dedup, op6_secret_scan, op7_media_ts, op8_warc, op9_url_filter, op10_quality_gbdt)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.drop_frequent_lines(_table(spark, sf_dir, "documents")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_substring_dedup, op3_ngram_jaccard, op4_source_mixing, op5_exact_dedup, op6_secret_scan, op7_media_ts, op8_warc, op9_url_filter, op10_quality_gbdt,
+        op11_whitening, op12_line_dedup, op13_source_divergence,
+    )
+}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES = {
     "op4_source_mixing": mixing.oracle(),
     "op9_url_filter": url_filter.ORACLE,
+    "op12_line_dedup": line_dedup.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
     "op5_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
