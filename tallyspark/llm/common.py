@@ -163,15 +163,18 @@ def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 
 class Words:
-    """Words of a slice of documents: byte bounds, 64-bit hashes, and the first word of each document."""
+    """Words of a slice of documents: byte bounds, 64-bit hashes, and the first word of each document.
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False):
+    ``kind`` says of each byte whether it belongs to a word.
+    """
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False, kind: np.ndarray = IS_WORD):
         lo, hi = int(off[0]), int(off[-1])
         size = hi - lo
         data = np.zeros(size + 16, np.uint8)
         data[:size] = LOWER[buf[lo:hi]] if lower else buf[lo:hi]
         cut = (off - lo).astype(np.int64)
-        word = IS_WORD[data[:size]]
+        word = kind[data[:size]]
         first = np.zeros(size + 1, bool)
         first[cut] = True
         start = word.copy()

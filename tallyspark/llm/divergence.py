@@ -1,9 +1,11 @@
 """Source divergence audit: how the terms of each source differ from its language's and from other sources'.
 
-White-space chunks are counted per document and packed a slice at a time into one table, so
-that words that many documents of a slice share are written once.  Each globally distinct
-chunk is cut into terms once; the terms join back to the chunks of each slice, where
-documents and occurrences of a term are counted, every document in one slice.
+White-space chunks are counted per document and packed a slice of documents at a time.  The
+slices' distinct chunks travel in packed rows to buckets by their text, where each globally
+distinct chunk is cut into terms once; the terms return to the packed counts of their
+slices, where documents and occurrences of a term are counted, every document in one slice.
+Packed rows of these counts go to buckets of terms and are added up, a bounded number of
+slices at a time, so that a term that all slices hold is no burden.
 
 A pair of sources sums over all kept terms, most of which neither has.  f is constant there,
 and where one source alone has the term it depends on that source's count alone: these sums
@@ -21,121 +23,242 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Words, buffer_of, lean, slices, spill, wide_rows
+from tallyspark.llm.common import IS_WORD, U, Words, bucket_count, buffer_of, hash_runs, lean, slices, spans, spill, text_bytes, wide_rows
 
 #: Documents in which a language's term must be; what is added to each count; ranks of terms that are reported.
 MIN_DOCS, ADD, TOP_TERMS = 3, 1, 200
 #: Probabilities are parts of so many.
 SCALE = 1_000_000_000
-#: Bytes of text in a slice; cells (terms times sources) of a block.
-SLICE, BLOCK = 8 << 20, 1 << 16
-#: Fixed value: what a term is made of, after A-Z are lower-cased.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of text in a slice and behind a bucket; slices that are added up at once.
+SLICE, BUCKET, FAN = 16 << 20, 4 << 20, 128
+#: Terms times sources that are compared at once.
+BLOCK = 1 << 16
+#: Fixed value: bytes of which terms are made, once A-Z are lower-cased.
+IS_TERM = np.array([c >= 0x80 or 0x61 <= c <= 0x7A for c in range(256)])
 
 
-def _narrow(a: np.ndarray) -> np.ndarray:
-    return a.astype("<u2" if a.max(initial=0) < 1 << 16 else "<u4" if a.max(initial=0) < 1 << 32 else "<u8")
+def _pack(a: np.ndarray) -> bytes:
+    """Numbers in planes of 16 bits, lowest first, as many as the largest needs: high planes are small when compressed."""
+    largest = int(a.max(initial=0))
+    return b"".join((a >> 16 * k).astype("<u2").tobytes() for k in range(1 if largest < 1 << 16 else 2 if largest < 1 << 32 else 4))
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """The item size, then the numbers."""
-    a = _narrow(a)
-    return bytes([a.itemsize]) + a.tobytes()
+def _unpack(b: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(b, "<u2").astype(np.int64).reshape(-1, n) if n else np.zeros((1, 0), np.int64)
+    return sum(plane << 16 * k for k, plane in enumerate(planes))
+
+
+def _column(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Texts of these sizes, one after the other in ``data``."""
+    cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cut), pa.py_buffer(data)])
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct texts and the place of each text among them."""
+    coded = texts.dictionary_encode()
+    return coded.dictionary, np.asarray(coded.indices).astype(np.int64)
 
 
-def _chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct chunks of a slice, then per (document, chunk) its document, chunk and count."""
+def _hashes(texts: pa.Array) -> np.ndarray:
     buf, off = buffer_of(texts)
-    words = Words(buf, off)
-    size = words.end - words.start
-    keep = np.zeros(words.size + 1, np.int8)
-    np.add.at(keep, words.start, 1)
-    np.add.at(keep, words.end, -1)
-    data = words.data[: words.size][np.cumsum(keep[:-1]) > 0]
-    cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data))])
-    coded = each.dictionary_encode()
-    doc = np.repeat(np.arange(len(texts)), np.diff(words.doc))
-    kinds = max(1, len(coded.dictionary))
-    pair, n = np.unique(doc * kinds + np.asarray(coded.indices), return_counts=True)
-    return coded.dictionary.cast(pa.string()), pair // kinds, pair % kinds, n
-
-
-def count_chunks(docs: DataFrame, text_col: str, lang_col: str, source_col: str, limit: int = SLICE) -> DataFrame:
-    """A row per slice of documents: its groups (lang, source), distinct chunks, and the packed counts of each document."""
+    data = np.concatenate([buf[off[0] : off[-1]], np.zeros(16, np.uint8)])
+    return hash_runs(data, off[:-1] - off[0], off[1:] - off[0])
+
+
+def _dealt(texts: pa.Array, buckets: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct texts in order of bucket, the new place of each, the buckets that occur and where they begin (and the end)."""
+    bucket = (_hashes(texts) % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    bucket = bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    return texts.take(pa.array(order)), place, bucket[first], np.append(first, len(bucket))
+
+
+def _between(texts: pa.Array, lo: int, hi: int) -> tuple[bytes, bytes]:
+    """Bytes and packed sizes of texts[lo:hi]."""
+    buf, off = buffer_of(texts)
+    return buf[off[lo] : off[hi]].tobytes(), _pack(np.diff(off[lo : hi + 1]))
+
+
+def _joined(rows: list[dict], count: str, texts: str = "texts", sizes: str = "sizes") -> pa.Array:
+    """Packed texts of several rows, one after the other."""
+    size = [_unpack(r[sizes], r[count]) for r in rows]
+    return _column(np.frombuffer(b"".join(r[texts] for r in rows), np.uint8), np.concatenate(size) if size else np.zeros(0, np.int64))
+
+
+def _texts(words: Words, kind: np.ndarray) -> pa.Array:
+    """The words one after the other, as an Arrow column."""
+    data = words.data[: words.size]
+    return _column(data[kind[data]], words.end - words.start)
+
+
+def _chunks(texts: pa.Array, buckets: int):
+    """Distinct chunks of a slice in order of bucket, the buckets and where they begin, how many chunks each document has, and then by document and chunk the chunk and its count."""
+    words = Words(*buffer_of(texts))
+    kinds, index = _coded(_texts(words, IS_WORD))
+    kinds, place, bucket, first = _dealt(kinds, buckets)
+    size = max(1, len(kinds))
+    pair = np.repeat(np.arange(len(texts)), np.diff(words.doc)) * size
+    del words
+    pair, n = np.unique(pair + place[index], return_counts=True)
+    return kinds, bucket, first, np.bincount(pair // size, minlength=len(texts)), pair % size, n
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together, or cut, to about ``limit`` bytes of their first column."""
+    waiting, size = [], 0
+    for batch in batches:
+        for part in slices(batch, batch.schema.names[0], limit):
+            waiting.append(part)
+            size += part.column(0).nbytes
+            if size >= limit:
+                yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                waiting, size = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
+GROUPS = "groups array<struct<lang string, source string>>"
+PACKED = f"slice long, {GROUPS}, docs long, pairs long, grp binary, many binary, step binary, n binary, parts array<struct<bucket: long, lo: long, chunks: long, texts: binary, sizes: binary>>"
+CELLS = f"bucket long, part long, {GROUPS}, terms long, texts binary, sizes binary, many binary, cells long, grp binary, docs binary, n binary"
+
+
+def count_chunks(docs: DataFrame, text_col: str, lang_col: str, source_col: str, buckets: int, limit: int = SLICE) -> DataFrame:
+    """A row per slice of documents: its groups (lang, source), for each document its group and chunks with their counts, and the distinct chunks by bucket."""
+    kind = pa.schema([
+        ("slice", pa.int64()), ("groups", pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string())]))), ("docs", pa.int64()), ("pairs", pa.int64()), ("grp", pa.binary()), ("many", pa.binary()), ("step", pa.binary()), ("n", pa.binary()),
+        ("parts", pa.list_(pa.struct([("bucket", pa.int64()), ("lo", pa.int64()), ("chunks", pa.int64()), ("texts", pa.binary()), ("sizes", pa.binary())]))),
+    ])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "_tally_text", limit):
-                chunks, doc, chunk, n = _chunks(part.column(0))
-                lang, source = (part.column(i).fill_null("") for i in (1, 2))
-                named = pa.StructArray.from_arrays([lang, source], ["lang", "source"])
-                groups: dict[tuple, int] = {}
-                code = np.array([groups.setdefault((g["lang"], g["source"]), len(groups)) for g in named.to_pylist()], np.int64)
-                values = [random.getrandbits(63)], [[{"lang": a, "source": b} for a, b in groups]], [chunks], [_pack(code[doc])], [_pack(doc)], [_pack(chunk)], [_pack(n)]
-                kinds = pa.int64(), pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string())])), pa.list_(pa.string()), *[pa.binary()] * 4
-                arrays = [pa.array(v, k) if i != 2 else pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks) for i, (v, k) in enumerate(zip(values, kinds))]
-                yield pa.RecordBatch.from_arrays(arrays, ["slice", "groups", "chunks", "grp", "doc", "chunk", "n"])
+        for part in _gathered(batches, limit):
+            kinds, bucket, first, many, chunk, n = _chunks(part.column(0), buckets)
+            lang, source = (part.column(i).fill_null("") for i in (1, 2))
+            groups: dict[tuple, int] = {}
+            code = np.array([groups.setdefault(g, len(groups)) for g in zip(lang.to_pylist(), source.to_pylist())], np.int64)
+            start = (np.cumsum(many) - many)[many > 0]
+            step = np.diff(chunk, prepend=0)  # small numbers, as a document's chunks are in order
+            step[start] = chunk[start]
+            parts = [{"bucket": b, "lo": lo, "chunks": hi - lo} | dict(zip(("texts", "sizes"), _between(kinds, lo, hi))) for b, lo, hi in zip(bucket.tolist(), first[:-1].tolist(), first[1:].tolist())]
+            row = {"slice": random.getrandbits(63), "groups": [{"lang": a, "source": b} for a, b in groups], "docs": len(many), "pairs": len(chunk), "parts": parts}
+            yield pa.RecordBatch.from_pylist([row | {"grp": _pack(code), "many": _pack(many), "step": _pack(step), "n": _pack(n)}], kind)
 
     only = docs.select(F.col(f"`{text_col}`").alias("_tally_text"), F.col(f"`{lang_col}`").cast("string"), F.col(f"`{source_col}`").cast("string"))
-    schema = "slice long, groups array<struct<lang string, source string>>, chunks array<string>, grp binary, doc binary, chunk binary, n binary"
-    return wide_rows(only).mapInArrow(lean(pack), schema)
-
-
-def terms_of(chunk: Column) -> Column:
-    """Terms of a chunk in order, repeats included."""
-    return F.regexp_extract_all(F.translate(chunk, UPPER, LOWER), F.lit(TERM), F.lit(0))
-
-
-def _in_slice(named: pa.Table, packed: pa.Table) -> pa.Table:
-    """(lang, source, term, docs, n) of one slice, from the terms of its chunks (at, terms) and its packed counts."""
-    groups = packed["groups"].to_pylist()[0]
-    group, doc, chunk, n = (_unpack(packed[c][0].as_py()) for c in ("grp", "doc", "chunk", "n"))
-    size = np.zeros(len(packed["chunks"][0]), np.int64)
-    at, listed = named["at"].to_numpy(), named["terms"].combine_chunks()
-    if isinstance(listed, pa.ChunkedArray):
-        listed = pa.concat_arrays(listed.chunks) if listed.num_chunks else pa.array([], listed.type)
-    length = np.asarray(listed.value_lengths())
-    size[at] = length
-    start = np.zeros(len(size), np.int64)
-    start[at] = np.cumsum(length) - length
-    coded = listed.flatten().dictionary_encode()
-    codes, terms = np.asarray(coded.indices), coded.dictionary
+    return wide_rows(only).mapInArrow(lean(pack), PACKED)
+
+
+def cut_terms(rows: pa.Table) -> pa.Table:
+    """Terms of the chunks of a bucket, each distinct chunk cut once: a packed row goes back to each slice."""
+    asked = rows.to_pylist()
+    kinds, index = _coded(_joined(asked, "chunks"))
+    words = Words(*buffer_of(kinds), lower=True, kind=IS_TERM)
+    many = np.diff(words.doc)[index]
+    terms = _texts(words, IS_TERM).take(pa.array(spans(words.doc[:-1][index], many)))
+    chunk, end, out, at = np.cumsum([0, *(r["chunks"] for r in asked)]), np.concatenate([[0], np.cumsum(many)]), [], 0
+    for r, a, b in zip(asked, chunk[:-1], chunk[1:]):
+        texts, sizes = _between(terms, end[a], end[b])
+        out.append({"s": r["s"], "lo": r["lo"], "chunks": r["chunks"], "many": _pack(many[a:b]), "terms": int(end[b] - end[a]), "texts": texts, "sizes": sizes})
+    return pa.Table.from_pylist(out, pa.schema([("s", pa.int64()), ("lo", pa.int64()), ("chunks", pa.int64()), ("many", pa.binary()), ("terms", pa.int64()), ("texts", pa.binary()), ("sizes", pa.binary())]))
+
+
+CELL_TYPE = pa.schema([
+    ("bucket", pa.int64()), ("part", pa.int64()), ("groups", pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string())]))), ("terms", pa.int64()), ("texts", pa.binary()), ("sizes", pa.binary()), ("many", pa.binary()),
+    ("cells", pa.int64()), ("grp", pa.binary()), ("docs", pa.binary()), ("n", pa.binary()),
+])
+
+
+def _cell_row(bucket: int, part: int, groups: list, terms: pa.Array, lo: int, hi: int, term: np.ndarray, grp: np.ndarray, docs: np.ndarray, n: np.ndarray) -> dict:
+    """Cells of terms[lo:hi], in order of term, as one packed row with the groups that occur in it."""
+    texts, sizes = _between(terms, lo, hi)
+    used, grp = np.unique(grp, return_inverse=True)
+    many = np.bincount(term - lo, minlength=hi - lo)
+    return {"bucket": bucket, "part": part, "groups": [groups[g] for g in used], "terms": hi - lo, "texts": texts, "sizes": sizes, "many": _pack(many), "cells": len(grp), "grp": _pack(grp), "docs": _pack(docs), "n": _pack(n)}
+
+
+def _in_slice(named: pa.Table, packed: pa.Table, buckets: int) -> pa.Table:
+    """Documents and occurrences by group and term in one slice, a packed row for each bucket of terms."""
+    if not named.num_rows or not packed.num_rows:
+        return CELL_TYPE.empty_table()
+    row, parts = packed.to_pylist()[0], sorted(named.to_pylist(), key=lambda r: r["lo"])
+    group, many = _unpack(row["grp"], row["docs"]), _unpack(row["many"], row["docs"])
+    step, n = _unpack(row["step"], row["pairs"]), _unpack(row["n"], row["pairs"])
+    doc, first = np.repeat(np.arange(row["docs"]), many), np.cumsum(many) - many
+    chunk = np.cumsum(step)
+    chunk -= (chunk - step)[first[doc]]
+    size = np.concatenate([_unpack(r["many"], r["chunks"]) for r in parts])
+    terms, codes = _coded(_joined(parts, "terms"))
+    terms, place, bucket, begin = _dealt(terms, buckets)
+    kinds, many_groups = max(1, len(terms)), len(row["groups"])
     # One entry for each (document, chunk, term of the chunk).
-    many = size[chunk]
-    entry = np.repeat(np.arange(len(chunk)), many)
-    first = np.cumsum(many) - many
-    term = codes[np.arange(len(entry)) - first[entry] + start[chunk[entry]]] if len(entry) else np.zeros(0, np.int64)
-    kinds = max(1, len(terms))
+    entry = np.repeat(np.arange(len(chunk)), size[chunk])
+    term = place[codes][spans((np.cumsum(size) - size)[chunk], size[chunk])]
     pair, back = np.unique(doc[entry] * kinds + term, return_inverse=True)
-    times = np.bincount(back, n[entry], len(pair)).astype(np.int64)
-    owner = np.zeros(int(doc.max(initial=0)) + 1, np.int64)
-    owner[doc] = group
-    cell, back = np.unique(owner[pair // kinds] * kinds + pair % kinds, return_inverse=True)
-    lang, source = (pa.array([g[k] for g in groups], pa.string()).take(pa.array(cell // kinds)) for k in ("lang", "source"))
+    times = np.bincount(back, n[entry], len(pair))
+    cell, back = np.unique(pair % kinds * many_groups + group[pair // kinds], return_inverse=True)
     docs, total = np.bincount(back, minlength=len(cell)), np.bincount(back, times, len(cell)).astype(np.int64)
-    return pa.table([lang, source, terms.take(pa.array(cell % kinds)), pa.array(docs), pa.array(total)], names=["lang", "source", "term", "docs", "n"])
-
-
-def count_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: int = SLICE) -> DataFrame:
-    """(lang, source, term, docs, n): documents that hold a term and its occurrences, for each group that has it."""
-    packed = spill(count_chunks(docs, text_col, lang_col, source_col, limit), "chunk-counts")
-    each = packed.select("slice", F.posexplode("chunks").alias("at", "chunk"))
-    lexicon = each.select("chunk").distinct().select(F.col("chunk").alias("key"), terms_of(F.col("chunk")).alias("terms")).filter(F.size("terms") > 0)
-    # Two plain exchanges: Spark splits those of chunks that all slices share.
-    named = each.join(spill(lexicon, "chunk-terms"), F.col("chunk") == F.col("key")).select(F.col("slice").alias("s"), "at", "terms")
-    schema = "lang string, source string, term string, docs long, n long"
-    counted = named.groupBy("s").cogroup(packed.groupBy("slice")).applyInArrow(lambda a, b: _in_slice(a, b) if b.num_rows and a.num_rows else _nothing(), schema)
-    return counted.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-
-
-def _nothing() -> pa.Table:
-    return pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())], names=["lang", "source", "term", "docs", "n"])
+    term, grp = cell // many_groups, cell % many_groups
+    cut = np.searchsorted(term, begin)
+    return pa.Table.from_pylist([_cell_row(b, row["slice"], row["groups"], terms, lo, hi, term[x:y], grp[x:y], docs[x:y], total[x:y]) for b, lo, hi, x, y in zip(bucket.tolist(), begin[:-1].tolist(), begin[1:].tolist(), cut[:-1], cut[1:])], CELL_TYPE)
+
+
+def _added(rows: list[dict]) -> tuple[list, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(groups, terms, term and group of each cell, its documents, its occurrences) of packed rows of one bucket, added up and in order of term."""
+    terms, code = _coded(_joined(rows, "terms"))
+    cells = [_unpack(r["many"], r["terms"]) for r in rows]
+    known: dict[tuple, int] = {}
+    own = [np.array([known.setdefault((g["lang"], g["source"]), len(known)) for g in r["groups"]], np.int64)[_unpack(r["grp"], r["cells"])] for r in rows]
+    term, grp = np.repeat(code, np.concatenate(cells)), np.concatenate(own)
+    docs, n = (np.concatenate([_unpack(r[c], r["cells"]) for r in rows]) for c in ("docs", "n"))
+    cell, back = np.unique(term * len(known) + grp, return_inverse=True)
+    docs, n = (np.bincount(back, x, len(cell)).astype(np.int64) for x in (docs, n))
+    return [{"lang": a, "source": b} for a, b in known], terms, cell // len(known), cell % len(known), docs, n
+
+
+def _add_up(rows: pa.Table) -> pa.Table:
+    """Packed rows of some slices as one."""
+    listed = rows.to_pylist()
+    groups, terms, term, grp, docs, n = _added(listed)
+    return pa.Table.from_pylist([_cell_row(listed[0]["bucket"], listed[0]["part"], groups, terms, 0, len(terms), term, grp, docs, n)], CELL_TYPE)
+
+
+KEPT = "lang string, source string, bucket long, code long, term string, n long, all long, first long"
+
+
+def _kept(rows: pa.Table, min_docs: int) -> pa.Table:
+    """Cells of the terms that a language keeps: (lang, source, term, n), ``all`` over its sources, and ``first`` for one cell of each (lang, term)."""
+    listed = rows.to_pylist()
+    groups, terms, term, grp, docs, n = _added(listed)
+    langs: dict[str, int] = {}
+    lang = np.array([langs.setdefault(g["lang"], len(langs)) for g in groups], np.int64)[grp]
+    _, one, back = np.unique(term * len(langs) + lang, return_index=True, return_inverse=True)
+    held, total = (np.bincount(back, x, len(one)).astype(np.int64) for x in (docs, n))
+    first = np.zeros(len(term), np.int64)
+    first[one] = 1
+    keep = np.flatnonzero(held[back] >= min_docs)
+    name = {k: pa.array([g[k] for g in groups], pa.string()).take(pa.array(grp[keep])) for k in ("lang", "source")}
+    bucket = pa.array(np.full(len(keep), listed[0]["bucket"]), pa.int64())
+    return pa.table([name["lang"], name["source"], bucket, pa.array(term[keep]), terms.take(pa.array(term[keep])).cast(pa.string()), pa.array(n[keep]), pa.array(total[back][keep]), pa.array(first[keep])], names=["lang", "source", "bucket", "code", "term", "n", "all", "first"])
+
+
+def count_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, limit: int = SLICE, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
+    """(lang, source, bucket, code, term, n, all, first): occurrences in each group of the terms that ``min_docs`` documents of its language hold, and in the language.
+
+    ``code`` tells the terms of a bucket apart; ``first`` is 1 for one row of each (lang, term).
+    """
+    buckets = bucket_count(text_bytes(docs, text_col), bucket, 64)
+    packed = spill(count_chunks(docs, text_col, lang_col, source_col, buckets, limit), "chunk-counts")
+    slices_ = packed.count()
+    asked = packed.select(F.col("slice").alias("s"), F.inline("parts"))
+    named = asked.groupBy("bucket").applyInArrow(cut_terms, "s long, lo long, chunks long, many binary, terms long, texts binary, sizes binary")
+    cells = named.groupBy("s").cogroup(packed.drop("parts").groupBy("slice")).applyInArrow(lambda a, b: _in_slice(a, b, buckets), CELLS)
+    while slices_ > fan:
+        slices_ = -(-slices_ // fan)
+        cells = cells.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(slices_)))
+        cells = cells.groupBy("bucket", "part").applyInArrow(_add_up, CELLS)
+    return cells.groupBy("bucket").applyInArrow(lambda rows: _kept(rows, min_docs), KEPT)
 
 
 def _p(count: Column, total: Column, kinds: Column) -> Column:
@@ -150,32 +273,39 @@ def _f(p: Column, q: Column) -> Column:
 
 
 def _joint(cells: pa.Table) -> pa.Table:
-    """Over the terms of a block, the sum by pair of sources that both have a term of f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)."""
+    """Over the terms of a bucket, the sum by pair of sources that both have a term of f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)."""
     sources = cells["source"].combine_chunks().dictionary_encode()
-    terms = cells["term"].combine_chunks().dictionary_encode()
-    sources, terms = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (sources, terms))
-    s, t = np.asarray(sources.indices), np.asarray(terms.indices)
+    sources = sources.combine_chunks() if isinstance(sources, pa.ChunkedArray) else sources
+    s, (kinds, t) = np.asarray(sources.indices), np.unique(cells["code"].to_numpy(), return_inverse=True)
     many = len(sources.dictionary)
-    p, zero = np.zeros((len(terms.dictionary), many), np.int64), np.zeros(many, np.int64)
-    p[t, s], zero[s] = cells["p"].to_numpy(), cells["p0"].to_numpy()
-    has = p > 0
-    lang, out = cells["lang"][0].as_py(), []
+    zero = np.zeros(many, np.int64)
+    zero[s] = cells["p0"].to_numpy()
+    lang, out, total = cells["lang"][0].as_py(), [], np.zeros((many, many), np.int64)
+    met = np.zeros((many, many), bool)
 
     def f(a, b):
         return (a - b) ** 2 // b
 
+    order = np.argsort(t, kind="stable")
+    step = max(1, BLOCK // many)  # terms at a time
+    for lo in range(0, len(kinds), step):
+        at = order[slice(*np.searchsorted(t[order], [lo, lo + step]))]
+        p = np.zeros((step, many), np.int64)
+        p[t[at] - lo, s[at]] = cells["p"].to_numpy()[at]
+        has = p > 0
+        for g in np.flatnonzero(has.any(0)):
+            rows = np.flatnonzero(has[:, g])
+            q, mine = np.where(has[rows], p[rows], 1), p[rows, g][:, None]
+            total[g] += np.where(has[rows], f(mine, q) - f(mine, zero) - f(zero[g], q) + f(zero[g], zero), 0).sum(0)
+            met[g] |= has[rows].any(0)
+    np.fill_diagonal(met, False)
     for g in range(many):
-        rows = np.flatnonzero(has[:, g])
-        q, mine = np.where(has[rows], p[rows], 1), p[rows, g][:, None]
-        joint = np.where(has[rows], f(mine, q) - f(mine, zero) - f(zero[g], q) + f(zero[g], zero), 0).sum(0)
-        met = has[rows].any(0)
-        met[g] = False
-        other = np.flatnonzero(met)
-        out.append(pa.table([pa.array([lang] * len(other), pa.string()), sources.dictionary.take(pa.array(np.full(len(other), g))), sources.dictionary.take(pa.array(other)), pa.array(joint[other])], names=["lang", "source", "item", "s"]))
+        other = np.flatnonzero(met[g])
+        out.append(pa.table([pa.array([lang] * len(other), pa.string()), sources.dictionary.take(pa.array(np.full(len(other), g))), sources.dictionary.take(pa.array(other)), pa.array(total[g, other])], names=["lang", "source", "item", "s"]))
     return pa.concat_tables(out)
 
 
-def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, limit: int = SLICE, block: int = BLOCK) -> DataFrame:
+def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, limit: int = SLICE) -> DataFrame:
     """(lang, source, part, item, value, rank) of every group: other sources of its language and its most typical terms.
 
     A null text, language or source is an empty one; a group without terms still compares;
@@ -186,19 +316,15 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """
     lang, source = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (lang_col, source_col))
     groups = docs.select(lang.alias("lang"), source.alias("source")).distinct()
-    counted = spill(count_terms(docs, text_col, lang_col, source_col, limit), "term-counts")
-    by_lang = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all")).filter(F.col("docs") >= min_docs).select(F.col("lang").alias("l"), F.col("term").alias("t"), "all")
-    kept = spill(by_lang, "kept-terms")
-    langs = kept.groupBy("l").agg(F.count(F.lit(1)).alias("v"), F.sum("all").alias("lang_n"))
-    cells = counted.join(kept, (F.col("lang") == F.col("l")) & (F.col("term") == F.col("t"))).select("lang", "source", "term", "n", "all")
-    cells = spill(cells, "kept-cells")
+    cells = spill(count_terms(docs, text_col, lang_col, source_col, min_docs, limit), "kept-cells")
+    langs = cells.groupBy(F.col("lang").alias("l")).agg(F.sum("first").alias("v"), F.sum(F.col("first") * F.col("all")).alias("lang_n"))
     own = cells.groupBy("lang", "source").agg(F.sum("n").alias("own_n"), F.count(F.lit(1)).alias("own_v"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     facts = groups.join(own, ["lang", "source"], "left").join(langs, F.col("lang") == F.col("l"), "left")
-    facts = facts.select("lang", "source", zero("own_n").alias("own_n"), zero("own_v").alias("own_v"), zero("v").alias("v"), zero("lang_n").alias("lang_n"), F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("sources"))
+    facts = facts.select("lang", "source", zero("own_n").alias("own_n"), zero("own_v").alias("own_v"), zero("v").alias("v"), zero("lang_n").alias("lang_n"))
     facts = spill(facts.withColumn("p0", F.when(F.col("v") > 0, _p(F.lit(0), F.col("own_n"), F.col("v")))), "group-facts", narrow=True)
     measured = cells.join(facts, ["lang", "source"]).withColumn("p", _p(F.col("n"), F.col("own_n"), F.col("v")))
-    return _pairs(facts, measured, block).unionByName(_terms(measured, top_terms))
+    return _pairs(facts, measured).unionByName(_terms(measured, top_terms))
 
 
 def _terms(measured: DataFrame, top: int) -> DataFrame:
@@ -207,7 +333,7 @@ def _terms(measured: DataFrame, top: int) -> DataFrame:
     return rated.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
-def _pairs(facts: DataFrame, measured: DataFrame, block: int) -> DataFrame:
+def _pairs(facts: DataFrame, measured: DataFrame) -> DataFrame:
     left = facts.select("lang", "source", F.col("own_v").alias("v1"), F.col("p0").alias("z1"), "v")
     right = facts.select("lang", F.col("source").alias("item"), F.col("own_v").alias("v2"), F.col("p0").alias("z2"))
     pairs = left.join(right, "lang").filter("source != item")  # the result's own rows
@@ -219,10 +345,8 @@ def _pairs(facts: DataFrame, measured: DataFrame, block: int) -> DataFrame:
     met = often.join(other, "lang").filter("source != item")
     mine = met.groupBy("lang", "source", "item").agg(F.sum(F.col("k") * _f(F.col("p"), F.col("z"))).alias("s"))
     theirs = met.groupBy("lang", F.col("item").alias("source"), F.col("source").alias("item")).agg(F.sum(F.col("k") * _f(F.col("z"), F.col("p"))).alias("s"))
-    # Terms that both have, in blocks whose cells are bounded.
-    blocks = F.greatest(F.lit(64).cast("long"), F.call_function("div", F.col("v") * F.col("sources"), F.lit(block).cast("long")))
-    dealt = measured.select("lang", "source", "term", "p", "p0", F.pmod(F.xxhash64("term"), blocks).alias("block"))
-    joint = dealt.groupBy("lang", "block").applyInArrow(_joint, "lang string, source string, item string, s long")
+    # Terms that both have, a bucket at a time.
+    joint = measured.select("lang", "source", "bucket", "code", "p", "p0").groupBy("lang", "bucket").applyInArrow(_joint, "lang string, source string, item string, s long")
     joint = joint.groupBy("lang", "source", "item").agg(F.sum("s").alias("s"))
     value = pairs.unionByName(mine).unionByName(theirs).unionByName(joint).groupBy("lang", "source", "item").agg(F.sum("s").alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")

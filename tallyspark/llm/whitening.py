@@ -61,7 +61,7 @@ def of_length(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows whose vector remains and has ``width`` entries, and these as a matrix."""
     rows, size, x = integers(col)
     fits = size == width
-    return rows[fits], x[np.repeat(fits, size)].reshape(-1, width)
+    return rows[fits], x[np.repeat(fits, size)].reshape(int(fits.sum()), width)
 
 
 def _column_sums(x: np.ndarray) -> list[int]:
