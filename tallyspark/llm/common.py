@@ -7,6 +7,7 @@ Arrow column; a document is a slice ``[off[i], off[i+1])`` of that buffer.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import hashlib
 import tempfile
@@ -30,6 +31,8 @@ GAMMA = U(0x9E3779B97F4A7C15)
 #: Texts are worked on in slices of about this many bytes, which bounds a worker's memory.
 SLICE_BYTES = 4 << 20
 BATCH_ROWS, WIDE_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Spark's own switch: shuffle files go when the query that wrote them ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of one bucket of dealt rows, about.
 BUCKET_BYTES = 8 << 20
 #: Runs longer than this are hashed by BLAKE2 as a whole.
@@ -51,9 +54,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while; what they were is put back."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def spill(df: DataFrame, tag: str, narrow: bool = False, batch: int = 0) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
+    What was shuffled for it is deleted once it stands: nothing reads that any more.
     A ``narrow`` table (a few numbers a row) is written by an eighth of the shuffle's tasks.
     With ``batch`` the write's Python functions get so many rows at once, where rows are
     wide; the session's own setting is put back.
@@ -62,13 +79,8 @@ def spill(df: DataFrame, tag: str, narrow: bool = False, batch: int = 0) -> Data
     if narrow:
         df = df.coalesce(max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH_ROWS)
-    if batch:
-        spark.conf.set(BATCH_ROWS, str(batch))
-    try:
+    with _settings(spark, {CLEAN_SHUFFLES: "true"} | ({BATCH_ROWS: str(batch)} if batch else {})):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -215,8 +227,11 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def row_key(*cols: str) -> Column:
-    """64-bit key of a row's content: equal rows share it, other rows don't."""
-    return F.xxhash64(*[F.col(c) for c in cols])
+    """64-bit key of a row's content: equal rows share it, nulls included; others don't but by a chance of 1 in 2**64 a pair.
+
+    A null is told from every value and from a null elsewhere: xxhash64 alone passes nulls over.
+    """
+    return F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.col(c))])
 
 
 #: Bits of one bitmap of bitmap_construct_agg, fixed by Spark.

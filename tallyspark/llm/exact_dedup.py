@@ -38,8 +38,8 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) ->
     facts = spill(docs.select(F.col(f"`{id_col}`").alias("id"), size_of(text_col).alias("size"), digest(text_col).alias("sha")), "facts")
     repeats = KeyFilter(facts, "sha", 2, broadcast_bytes)
     probed = repeats.probe(facts, "sha")
-    order = F.struct("size", F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("low"))
-    groups = probed.filter("_maybe").groupBy("sha").agg(F.max_by("id", order).alias("keep"), F.max("size").alias("most"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = F.struct((-F.col("size")).alias("less"), F.col("id").isNull().alias("unknown"), "id")  # ids of any ordered type
+    groups = probed.filter("_maybe").groupBy("sha").agg(F.min_by("id", first).alias("keep"), F.max("size").alias("most"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Written out so that both sides of the join below are plain exchanges, which Spark splits where one digest is hot.
     groups = spill(groups.select(F.col("sha").alias("gsha"), "keep", "most", "n"), "groups")
     shared = probed.filter("_maybe").join(groups, F.col("sha") == F.col("gsha"), "left")
@@ -52,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts (white space apart) the longest original stays, then the smallest id.
-    A null text is empty; a null id loses every tie; rows that repeat id and text all
+    Ids are of any ordered type.  A null text is empty; a null id loses every tie; rows that repeat id and text all
     count as the one that stays; very long texts are read whole and never moved; an empty
     table gives no rows; other columns are ignored whatever their names.
     """

@@ -409,3 +409,20 @@ def test_rarest_tokens_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_rarest", lambda *args: called.append(1) or rarest(*args))
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), low=80)
     assert by_id(got, "component_id") == sorted(((i, root(i)) for i in range(len(rows))), key=str) and called
+
+
+def test_string_ids_and_nulls_in_either_place(spark):
+    """Ids that aren't numbers, and rows that share a key where nulls are passed over."""
+    rows = [("a", WORDS), (None, WORDS), (WORDS, None), ("b", "x y"), ("c", "xy "), ("B", "x y")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs).collect()}
+    words, short = sha(WORDS.replace(" ", "").encode()), sha(b"xy")
+    assert got == {("a", words): ("a", 2, True), (None, words): ("a", 2, False), (WORDS, sha(b"")): (WORDS, 1, True), ("b", short): ("B", 3, False), ("c", short): ("B", 3, False), ("B", short): ("B", 3, True)}
+    assert sorted(map(tuple, exact_dedup.drop_copies(docs).collect()), key=str) == sorted([("a", WORDS), (WORDS, None), ("B", "x y")], key=str)
+    assert sorted(map(tuple, jaccard.keep_one(docs.limit(3)).collect()), key=str) == sorted([("a", WORDS), (WORDS, None)], key=str)
+
+
+def test_spill_puts_settings_back(spark):
+    before = spark.conf.get(common.CLEAN_SHUFFLES), spark.conf.get(common.BATCH_ROWS)
+    assert common.spill(spark.range(5).repartition(2), "t", batch=7).count() == 5
+    assert before == (spark.conf.get(common.CLEAN_SHUFFLES), spark.conf.get(common.BATCH_ROWS))
