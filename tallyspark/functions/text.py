@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -115,14 +116,76 @@ def similarity(seen: str | None, known: str | None) -> float:
 
 
 def title_similarity(seen: Column, known: Column) -> Column:
-    """``similarity`` over Arrow batches."""
+    """``similarity`` over Arrow batches; null where ``seen`` is null, so that pairs can be left out."""
 
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype=float)
+        return pd.Series([None if x is None else similarity(x, y) for x, y in zip(a, b)], dtype=float)
 
     return F.pandas_udf(score, "double")(seen, known)
 
 
+#: Letters of a text that a 64-bit word has room for; bits that are held at once.
+WORD_BITS, MASK_CELLS = 64, 1 << 21
+
+
+def common_letters(seen: list[str], known: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair, a letter of all ``known`` at a time.
+
+    Bit-parallel: a bit of ``v`` is nought where a letter of ``seen`` ends a longer match.
+    ``seen`` of more than WORD_BITS letters gives the shorter length, which is no less.
+    """
+    size = np.array([[len(a), len(b)] for a, b in zip(seen, known)], np.int64).reshape(-1, 2)
+    out = size.min(1)
+    rows = np.flatnonzero((out > 0) & (size[:, 0] <= WORD_BITS))
+    if not len(rows):
+        return out
+    letters = {c: i + 1 for i, c in enumerate(sorted({c for i in rows for c in seen[i]}))}
+    texts = {t: i for i, t in enumerate(dict.fromkeys(seen[i] for i in rows))}
+    if len(texts) * len(letters) > MASK_CELLS and len(rows) > 1:
+        for half in np.array_split(rows, 2):
+            out[half] = common_letters([seen[i] for i in half], [known[i] for i in half])
+        return out
+    mask = np.zeros((len(texts), len(letters) + 1), np.uint64)
+    for text, i in texts.items():
+        for at, c in enumerate(text):
+            mask[i, letters[c]] |= np.uint64(1 << at)
+    of = np.array([texts[seen[i]] for i in rows])
+    width, others = int(size[rows, 1].max()), {t: i for i, t in enumerate(dict.fromkeys(known[i] for i in rows))}
+    code = np.zeros((len(others), width), np.int64)
+    for text, i in others.items():
+        code[i, : len(text)] = [letters.get(c, 0) for c in text]
+    code = code[[others[known[i]] for i in rows]]
+    v = np.full(len(rows), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(width):
+        hit = v & mask[of, code[:, at]]
+        v = (v + hit) | (v - hit)
+    inside = np.array([(1 << int(n)) - 1 for n in size[rows, 0]], np.uint64)
+    out[rows] = np.bitwise_count(~v & inside)
+    return out
+
+
+def similarity_bounds(seen: pd.Series, known: pd.Series) -> pd.Series:
+    """No less than ``similarity``: matching blocks are a common subsequence, so the longest of these bounds their letters."""
+    a, b = seen.fillna("").to_list(), known.fillna("").to_list()
+    out, step = [], max(1, MASK_CELLS // 256)
+    for at in range(0, len(a), step):
+        x, y = a[at : at + step], b[at : at + step]
+        total = np.array([len(p) + len(q) for p, q in zip(x, y)])
+        held = np.array([len(q) >= CONTAINED_FROM and q in p for p, q in zip(x, y)], bool)
+        blank = np.array([not p or not q for p, q in zip(x, y)], bool)
+        out.append(np.where(blank, 0.0, np.where(held, 1.0, 2.0 * common_letters(x, y) / np.maximum(total, 1))))
+    return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+
+def similarity_bound(seen: Column, known: Column) -> Column:
+    """``similarity_bounds`` over Arrow batches."""
+
+    def bound(a: pd.Series, b: pd.Series) -> pd.Series:
+        return similarity_bounds(a, b)
+
+    return F.pandas_udf(bound, "double")(seen, known)
+
+
 def map_values(col: Column, mapping: dict[str, str], squeeze: str = r"[\s_]+") -> Column:
     """Look up the lower-cased, squeezed text; unknown values become the trimmed upper case.
 

@@ -92,6 +92,22 @@ def row_match_count(a: Column, b: Column) -> Column:
     return F.size(F.filter(same, lambda s: F.coalesce(s, F.lit(False))))
 
 
+def row_words(rows: Column) -> Column:
+    """The bits of hex row keys, 60 in a number, so that they compare by bit operations."""
+    text = F.array_join(rows, "")
+    places = F.sequence(F.lit(0), F.ceil(F.length(text) / 15).cast("int") - 1)
+    words = F.transform(places, lambda k: F.conv(F.substring(text, k * 15 + 1, F.lit(15)), 16, 10).cast("long"))
+    return F.when(F.length(text) > 0, words).otherwise(F.array().cast("array<bigint>"))
+
+
+def words_apart(a: Column, b: Column, mask: Column | None) -> Column:
+    """Bits that differ in two arrays of numbers, of those that ``mask`` has where it is given."""
+    apart = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+    if mask is not None:
+        apart = F.zip_with(apart, mask, lambda x, m: x.bitwiseAND(m))
+    return F.aggregate(apart, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.bit_count(x), F.lit(0)))
+
+
 def pack_u8(arr: Column) -> Column:
     """0..1 to 0..255, rounded half to even and clamped."""
     return F.transform(arr, lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.bround(v.cast("double") * 255).cast("int"))))

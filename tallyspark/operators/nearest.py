@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.vectors import l1
+from tallyspark.operators.metric import SLACK, distances, nearest_entities
 
 MAX_DISTANCE, DELTA = 0.24, 0.015
 #: Names of how close a pair is.
@@ -18,13 +19,6 @@ RISK_BANDS, OTHER_BAND = ((0.05, "A: extremely close"), (0.10, "B: high"), (0.11
 BLOCK, CELLS, SMALL_REFS = 2048, 1 << 22, 32 << 20
 
 
-def _matrix(kind: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if kind == "l1":
-        return np.stack([np.abs(b - row).mean(1) for row in a])
-    square = np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0)
-    return np.sqrt(square / a.shape[1]) if kind == "rmse" else np.sqrt(square)
-
-
 def _nearest_of_entities(kind: str, obs: pd.DataFrame, refs: pd.DataFrame, leave_out: bool) -> pd.DataFrame:
     """Least distance and reference of each observation (obs, v) to each entity of ``refs`` (ref, entity, w), ties by reference."""
     out = [pd.DataFrame({"obs": obs["obs"][:0], "entity": refs["entity"][:0], "ref": refs["ref"][:0], "distance": np.zeros(0)})]
@@ -35,7 +29,7 @@ def _nearest_of_entities(kind: str, obs: pd.DataFrame, refs: pd.DataFrame, leave
         same = obs[obs["v"].map(len) == size]
         for at in range(0, len(same), max(1, CELLS // len(q))):
             p = same.iloc[at : at + max(1, CELLS // len(q))]
-            d = _matrix(kind, np.stack(p["v"].to_list()).astype(float), w)
+            d = distances(kind, np.stack(p["v"].to_list()).astype(float), w)
             if leave_out:
                 d[p["obs"].to_numpy()[:, None] == q["ref"].to_numpy()[None, :]] = np.inf
             best = np.stack([a + d[:, a:b].argmin(1) for a, b in zip(first, np.append(first[1:], len(q)))], 1)
@@ -47,8 +41,10 @@ def _nearest_of_entities(kind: str, obs: pd.DataFrame, refs: pd.DataFrame, leave
 
 
 def entity_distances(obs: DataFrame, refs: DataFrame, obs_id: str, ref_id: str, entity: str, vector: str, kind: str = "l1", leave_out: bool = False, block: int = BLOCK, small: int = SMALL_REFS) -> DataFrame:
-    """(obs_id, entity, distance, ref_id): the least distance of each observation to each entity, exactly.
+    """(obs_id, entity, distance, ref_id): the least distance of each observation to *each* entity, exactly.
 
+    The complete table, for few entities or where every one is wanted: see
+    ``nearest_entities`` for the k nearest, which compares a part of the pairs only.
     References of up to ``small`` bytes are broadcast and the observations stay where they
     are.  Beyond that both sides are cut into blocks of about ``block`` rows and each pair of
     blocks is one matrix, so a task's memory stays the same at any size.  ``leave_out``
@@ -78,6 +74,24 @@ def entity_distances(obs: DataFrame, refs: DataFrame, obs_id: str, ref_id: str,
     return best.select(F.col("obs").alias(obs_id), "entity", F.col("m.distance").alias("distance"), F.col("m.ref").alias("ref_id"))
 
 
+def pair_distance(kind: str, a: Column, b: Column) -> Column:
+    """Distance of two vectors of one length in SQL functions; null for two lengths."""
+    if kind == "l1":
+        return l1(a, b)
+    square = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(a) == F.size(b), F.sqrt(square / F.size(a)) if kind == "rmse" else F.sqrt(square))
+
+
+def truth_reach(obs: DataFrame, refs: DataFrame, obs_id: str, ref_id: str, entity: str, vector: str, truth: str, kind: str = "l1", leave_out: bool = False, reach: str = "reach") -> DataFrame:
+    """``obs`` with ``reach``: a distance within which its true entity is, by one reference of that entity; null where it has none.
+
+    ``nearest_entities`` with this reach holds all entities that are nearer than the true one, and so its rank.
+    """
+    ends = refs.filter(F.col(vector).isNotNull()).groupBy(F.col(entity).alias("_e")).agg(F.min(F.struct(F.col(ref_id).alias("id"), F.col(vector).alias("v"))).alias("_a"), F.max(F.struct(F.col(ref_id).alias("id"), F.col(vector).alias("v"))).alias("_b"))
+    far = [F.when(~F.col(f"{c}.id").eqNullSafe(F.col(obs_id)) if leave_out else F.lit(True), pair_distance(kind, F.col(vector), F.col(f"{c}.v"))) for c in ("_a", "_b")]
+    return obs.join(ends, obs[truth] == F.col("_e"), "left").withColumn(reach, F.coalesce(F.least(*far), *far) * (1 + SLACK)).drop("_e", "_a", "_b")
+
+
 def bit_masks(candidates: DataFrame, group: str, bits: str) -> DataFrame:
     """(group, mask): 1 at the positions of a bit array at which the candidates of a group differ."""
     each = candidates.select(group, F.posexplode(bits).alias("_at", "_bit"))
@@ -140,11 +154,13 @@ def rerank(scored: DataFrame, second: DataFrame, obs_id: str, delta: float, firs
     return out.withColumn("rerank_status", F.when(F.col("distance").isNull(), "missing_feature").when(F.col("margin") <= delta, "ambiguous_candidate").otherwise("resolved_candidate"))
 
 
-def gated_rerank(ambiguous: DataFrame, stages: list[tuple[str, DataFrame]], obs_id: str, max_distance: float = 0.35, delta: float = 0.01) -> DataFrame:
+def gated_rerank(ambiguous: DataFrame, stages: list[tuple[str, DataFrame]], obs_id: str, max_distance: float = 0.35, delta: float = 0.01, chains: dict[str, DataFrame] | None = None) -> DataFrame:
     """Stages in order over (obs, entity) sets; a stage counts only if *every* entity of the set has a distance.
 
     Then over ``max_distance`` is insufficient and another entity within ``delta`` is
-    ambiguous; the first stage that resolves decides.
+    ambiguous; the first stage that resolves decides.  An ambiguous stage is settled by its
+    chain, if it has one and that has a row (obs, entity, distance, margin, chain): see
+    ``rerank.near_tie_chain``.  Adds distance and margin of what decided.
     """
     sets = ambiguous.groupBy(obs_id).agg(F.count_distinct("entity").alias("_size"))
     out = sets
@@ -153,13 +169,22 @@ def gated_rerank(ambiguous: DataFrame, stages: list[tuple[str, DataFrame]], obs_
         whole = inside.groupBy(obs_id).agg(F.count_distinct("entity").alias("_have"))
         top = top_margin(inside, obs_id).join(whole, obs_id).select(obs_id, F.col("entity").alias(f"_e_{name}"), F.col("distance").alias(f"_d_{name}"), F.col("margin").alias(f"_m_{name}"), F.col("_have").alias(f"_h_{name}"))
         out = out.join(top, obs_id, "left")
-    status, entity, by = F.lit("unresolved"), F.lit(None), F.lit(None).cast("string")
-    for name, _ in reversed(stages):
-        state = F.when(F.coalesce(F.col(f"_h_{name}") < F.col("_size"), F.lit(True)), "incomplete").when(F.col(f"_d_{name}") > max_distance, "insufficient").when(F.col(f"_m_{name}") <= delta, "ambiguous").otherwise("resolved")
-        good = state == "resolved"
-        status, entity, by = F.when(good, "resolved").otherwise(status), F.when(good, F.col(f"_e_{name}")).otherwise(entity), F.when(good, name).otherwise(by)
+        if chains and name in chains:
+            out = out.join(chains[name].select(obs_id, F.col("entity").alias("_ce"), F.col("distance").alias("_cd"), F.col("margin").alias("_cm"), F.col("chain").alias("_cn")), obs_id, "left")
+        else:
+            out = out.withColumns({"_ce": F.lit(None).cast(dict(top.dtypes)[f"_e_{name}"]), "_cd": F.lit(None).cast("double"), "_cm": F.lit(None).cast("double"), "_cn": F.lit(None).cast("string")})
+        tie = F.col(f"_m_{name}") <= delta
+        state = F.when(F.coalesce(F.col(f"_h_{name}") < F.col("_size"), F.lit(True)), "incomplete").when(F.col(f"_d_{name}") > max_distance, "insufficient").when(tie & F.col("_cn").isNotNull(), F.concat(F.lit("resolved_"), "_cn")).when(tie, "ambiguous").otherwise("resolved")
         out = out.withColumn(f"{name}_state", state)
-    return out.select(obs_id, status.alias("rerank_status"), entity.alias("entity"), by.alias("decided_by"), *[f"{n}_state" for n, _ in stages])
+        chained = F.startswith(F.col(f"{name}_state"), F.lit("resolved_"))
+        out = out.withColumns({f"_{c}_{name}": F.when(chained, F.col(f"_c{c}")).otherwise(F.col(f"_{c}_{name}")) for c in "edm"}).drop("_ce", "_cd", "_cm", "_cn")
+    status, by = F.lit("unresolved"), F.lit(None).cast("string")
+    picked = {c: F.lit(None) for c in "edm"}
+    for name, _ in reversed(stages):
+        good = F.startswith(F.col(f"{name}_state"), F.lit("resolved"))
+        status, by = F.when(good, "resolved").otherwise(status), F.when(good, name).otherwise(by)
+        picked = {c: F.when(good, F.col(f"_{c}_{name}")).otherwise(v) for c, v in picked.items()}
+    return out.select(obs_id, status.alias("rerank_status"), picked["e"].alias("entity"), by.alias("decided_by"), picked["d"].alias("distance"), picked["m"].alias("margin"), *[f"{n}_state" for n, _ in stages])
 
 
 def identity_signal(primary: Column, entity: Column, auxiliary: list[tuple[str, Column, Column]], failure: Column) -> list[Column]:
@@ -180,13 +205,13 @@ def nearest_centroid(df: DataFrame, refs: DataFrame, obs_id: str, label: str, ve
     """Euclidean distance to the mean vector of each label; ties by label."""
     means = refs.select(label, F.posexplode(vector).alias("pos", "x")).groupBy(label, "pos").agg(F.avg("x").alias("x"))
     centre = means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
-    return ranked(entity_distances(df, centre.withColumnRenamed("mean", vector).withColumnRenamed(label, "_label"), obs_id, "_label", "_label", vector, "l2"), obs_id).filter("rank = 1").drop("rank", "ref_id")
+    return nearest_entities(df, centre.withColumnRenamed("mean", vector).withColumnRenamed(label, "_label"), obs_id, "_label", "_label", vector, 1, kind="l2").drop("ref_id")
 
 
 def digit_gate(segments: DataFrame, templates: DataFrame, item: str, pos: str, label: str, vector: str, max_distance: float = 0.28, min_margin: float = 0.02) -> DataFrame:
     """Per item: labels of its segments in order, status recognized or ambiguous with a reason, mean distance and confidence."""
     seg = segments.withColumn("_seg", F.struct(item, pos)).withColumn("_sid", F.xxhash64(item, pos))
-    best = top_margin(entity_distances(seg.select("_sid", vector), templates.withColumn("_tid", F.xxhash64(label, vector)), "_sid", "_tid", label, vector, "l1"), "_sid")
+    best = top_margin(nearest_entities(seg.select("_sid", vector), templates.withColumn("_tid", F.xxhash64(label, vector)), "_sid", "_tid", label, vector, 2), "_sid")
     # Without a second label the rival is at distance 1.
     joined = seg.select(item, pos, "_sid").join(best, "_sid").withColumn("margin", F.coalesce("margin", F.lit(1.0) - F.col("distance")))
     joined = joined.withColumn("_why", F.when(F.col("distance") > max_distance, "distance_above_threshold").when(F.col("margin") < min_margin, "low_margin"))

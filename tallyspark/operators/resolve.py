@@ -6,24 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.ids import reasons
-from tallyspark.functions.text import title_similarity
+from tallyspark.functions.text import similarity_bound, title_similarity
 
 
-def keyed(df: DataFrame, entity: str, steps: dict[int, Column]) -> DataFrame:
-    """(step, key, entity) rows of a catalog; null and blank keys are left out."""
-    rows = F.array(*[F.struct(F.lit(n).alias("step"), k.alias("key")) for n, k in steps.items()])
+#: Times the wanted number of pairs are scored to find out which others can matter.
+FIRST = 4
+
+
+def keyed(df: DataFrame, entity: str, steps: dict[int, Column | list[Column]]) -> DataFrame:
+    """(step, key, entity) rows of a catalog; a step may have several keys; null and blank ones are left out."""
+    listed = [(n, k) for n, keys in steps.items() for k in (keys if isinstance(keys, list) else [keys])]
+    rows = F.array(*[F.struct(F.lit(n).alias("step"), k.alias("key")) for n, k in listed])
     return df.select(F.col(entity).alias("entity"), F.explode(rows).alias("r")).select("r.step", "r.key", "entity").filter("key IS NOT NULL AND key != ''")
 
 
-def cascade(obs: DataFrame, obs_id: str, steps: dict[int, Column], catalog: DataFrame) -> DataFrame:
-    """Per observation with any hit: the first step that hits, its number of different entities, the least, and all of them.
+def key_summary(catalog: DataFrame, by: tuple[str, ...] = ("step", "key"), lists: bool = False) -> DataFrame:
+    """One row for each key of ``catalog``: ``hits`` (different entities), the least ``entity`` and, with ``lists``, all of them in order."""
+    each = catalog.select(*by, "entity").distinct()
+    return each.groupBy(*by).agg(F.count(F.lit(1)).alias("hits"), F.min("entity").alias("entity"), *([F.array_sort(F.collect_list("entity")).alias("entities")] if lists else []))
+
+
+def cascade(obs: DataFrame, obs_id: str, steps: dict[int, Column], catalog: DataFrame, lists: bool = False) -> DataFrame:
+    """Per observation with any hit: the first step that hits, its key, its number of different entities, the least, and with ``lists`` all of them.
 
-    One equi-join over stacked (step, key) rows stands for a lookup after the other.
+    One equi-join over stacked (step, key) rows stands for a lookup after the other.  The
+    catalog is summed up by key before, so a key that n entities and m observations share
+    is m rows, not n times m; a list is gathered once a key.
     """
-    hits = keyed(obs, obs_id, steps).withColumnRenamed("entity", "_obs").join(catalog, ["step", "key"])
-    first = hits.groupBy("_obs", "step").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
-    best = first.groupBy("_obs").agg(F.min_by("entities", "step").alias("entities"), F.min("step").alias("step"))
-    return best.select(F.col("_obs").alias(obs_id), "step", F.size("entities").alias("hits"), F.element_at("entities", 1).alias("entity"), "entities")
+    known = ["hits", "entity", "key"] + ["entities"] * lists
+    hits = keyed(obs, obs_id, steps).withColumnRenamed("entity", "_obs").join(key_summary(catalog, lists=lists), ["step", "key"])
+    best = hits.groupBy("_obs").agg(F.min("step").alias("step"), F.min_by(F.struct(*known), "step").alias("_best"))
+    return best.select(F.col("_obs").alias(obs_id), "step", *[F.col(f"_best.{c}").alias(c) for c in known])
 
 
 def map_cascade(obs: DataFrame, obs_id: str, complete: Column, steps: dict[int, Column], catalog: DataFrame, labels: dict[int, tuple[str, str]]) -> DataFrame:
@@ -37,15 +50,15 @@ def map_cascade(obs: DataFrame, obs_id: str, complete: Column, steps: dict[int,
     one = F.col("hits") == 1
     status = F.when(one, table(0)).otherwise("unresolved")
     reason = F.when(~F.col("_complete"), "missing_title_or_artist").when(F.col("hits").isNull(), "title_not_found").when(one, "").otherwise(table(1))
-    return out.withColumns({"status": status, "reason": reason, "entity": F.when(one, F.col("entity"))}).drop("_complete", "hits", "entities", "step")
+    return out.withColumns({"status": status, "reason": reason, "entity": F.when(one, F.col("entity"))}).drop("_complete", "hits", "key", "step")
 
 
 def strict_lookup(obs: DataFrame, obs_id: str, complete: Column, exact: Column, folded: Column, catalog: DataFrame) -> DataFrame:
     """Exact keys (canonical and alias together), then normalised ones: status exact, normalized, ambiguous, not_found, incomplete."""
-    found = cascade(obs.filter(complete), obs_id, {1: exact, 2: folded}, catalog)
+    found = cascade(obs.filter(complete), obs_id, {1: exact, 2: folded}, catalog, lists=True)
     out = obs.withColumn("_complete", F.coalesce(complete, F.lit(False))).join(found, obs_id, "left")
     status = F.when(~F.col("_complete"), "incomplete").when(F.col("hits").isNull(), "not_found").when(F.col("hits") > 1, "ambiguous").when(F.col("step") == 1, "exact").otherwise("normalized")
-    return out.withColumns({"status": status, "entities": F.coalesce("entities", F.array().cast("array<bigint>"))}).drop("_complete", "hits", "entity", "step")
+    return out.withColumns({"status": status, "entities": F.coalesce("entities", F.array().cast("array<bigint>"))}).drop("_complete", "hits", "entity", "key", "step")
 
 
 def resolve_title(obs: DataFrame, obs_id: str, title: Column, artist: Column | None, catalog: DataFrame, artists: DataFrame | None = None) -> DataFrame:
@@ -59,25 +72,25 @@ def resolve_title(obs: DataFrame, obs_id: str, title: Column, artist: Column | N
     found = cascade(obs.filter(~blank), obs_id, {1: title, 2: title}, catalog)
     out = obs.withColumns({"_blank": blank, "_artist": artist if artist is not None else F.lit(None).cast("string")}).join(found, obs_id, "left")
     if artists is not None:
-        many = out.filter("hits > 1").select(obs_id, "_artist", F.explode("entities").alias("_e"))
-        tied = many.join(artists, F.col("_e") == artists["entity"]).filter(F.col("_artist") == artists["artist"])
-        broken = tied.groupBy(obs_id).agg(F.collect_set("_e").alias("_left")).filter("size(_left) = 1").select(obs_id, F.element_at("_left", 1).alias("_broken"))
-        out = out.join(broken, obs_id, "left")
+        owned = catalog.join(artists.select(F.col("entity"), F.col("artist").alias("_artist")), "entity").filter("_artist IS NOT NULL")
+        sole = key_summary(owned, ("step", "key", "_artist")).filter("hits = 1").select("step", "key", "_artist", F.col("entity").alias("_broken"))
+        out = out.join(sole, ["step", "key", "_artist"], "left").withColumn("_broken", F.when(F.col("hits") > 1, F.col("_broken")))
     else:
         out = out.withColumn("_broken", F.lit(None).cast("long"))
     by = F.when(F.col("step") == 1, "title").otherwise("alias")
     status = F.when(F.col("_blank"), "missing_label").when(F.col("hits").isNull(), "title_not_found").when(F.col("hits") == 1, F.concat(F.lit("resolved_"), by)).when(F.col("_broken").isNotNull(), "resolved_artist").otherwise(F.concat(F.lit("ambiguous_"), by))
-    return out.withColumns({"status": status, "entity": F.when(F.col("hits") == 1, F.col("entity")).otherwise(F.col("_broken"))}).drop("_blank", "_artist", "_broken", "hits", "entities", "step")
+    return out.withColumns({"status": status, "entity": F.when(F.col("hits") == 1, F.col("entity")).otherwise(F.col("_broken"))}).drop("_blank", "_artist", "_broken", "hits", "key", "step")
 
 
-def resolve_pair(obs: DataFrame, obs_id: str, ok: Column, has_feature: Column, pair: Column, title: Column, catalog: DataFrame, available: DataFrame) -> DataFrame:
+def resolve_pair(obs: DataFrame, obs_id: str, ok: Column, has_feature: Column, pair: Column, title: Column, catalog: DataFrame, available: DataFrame, candidates: bool = True) -> DataFrame:
     """Canonical pair, alias pair, then title alone (catalog steps 1, 2, 3): review status, reason, match kind, entity, candidates.
 
     A unique pair is auto_confirmed if the feature exists and the entity is available
     (``available``: entity, available); a title alone and several entities need review.
+    Without ``candidates`` no list is gathered.
     """
     whole = F.coalesce(ok, F.lit(False)) & F.coalesce(pair != "", F.lit(False))
-    found = cascade(obs.filter(whole), obs_id, {1: pair, 2: pair, 3: title}, catalog)
+    found = cascade(obs.filter(whole), obs_id, {1: pair, 2: pair, 3: title}, catalog, lists=candidates)
     out = obs.withColumns({"_ok": F.coalesce(ok, F.lit(False)), "_pair": F.coalesce(pair != "", F.lit(False)), "_feature": F.coalesce(has_feature, F.lit(False))})
     out = out.join(found, obs_id, "left").join(available.select(F.col("entity"), F.col("available").alias("_available")), "entity", "left")
     unique = (F.col("step") < 3) & (F.col("hits") == 1)
@@ -87,8 +100,8 @@ def resolve_pair(obs: DataFrame, obs_id: str, ok: Column, has_feature: Column, p
         F.when(~F.col("_ok"), "observation_not_ok").when(~F.col("_pair"), "missing_title_or_artist").when(F.col("hits").isNull(), "identity_not_found").when(F.col("step") == 3, "title_match_artist_mismatch")
         .when(F.col("hits") > 1, F.concat(F.lit("ambiguous_"), kind, F.lit("_title_artist"))).when(~F.col("_feature"), "feature_extraction_failed").when(~F.coalesce("_available", F.lit(False)), "entity_not_available").otherwise(F.concat(kind, F.lit("_title_artist_exact")))
     )
-    candidates = F.coalesce("entities", F.array().cast("array<bigint>"))
-    return out.withColumns({"status": status, "reason": reason, "entity": F.when(unique, F.col("entity")), "candidates": candidates}).drop("_ok", "_pair", "_feature", "_available", "step", "hits", "entities")
+    listed = {"candidates": F.coalesce("entities", F.array().cast("array<bigint>"))} if candidates else {}
+    return out.withColumns({"status": status, "reason": reason, "entity": F.when(unique, F.col("entity")), **listed}).drop("_ok", "_pair", "_feature", "_available", "step", "hits", "key", "entities")
 
 
 def block_ready(df: DataFrame, fields: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -102,18 +115,37 @@ def block_candidates(obs: DataFrame, charts: DataFrame, block: list[str], availa
     return obs.join(charts.filter(available) if available is not None else charts, block)
 
 
+def best_scored(cands: DataFrame, obs_id: str, seen: str, known: str, best: int = 5) -> DataFrame:
+    """``cands`` (one row a pair) with ``score``: that of the title pairs that can be among the ``best`` of an observation, or tie with its best to six digits.
+
+    Others are left out.  Every pair gets an upper bound that is much cheaper than its score;
+    FIRST times ``best`` pairs with the best bounds are scored first, and of the rest only
+    those whose bound reaches the last of the best among these scores.
+    """
+    mine = Window.partitionBy(obs_id)
+    bound = cands.withColumn("_bound", similarity_bound(F.col(seen), F.col(known)))
+    first = bound.withColumn("_first", F.row_number().over(mine.orderBy(F.desc("_bound"))) <= FIRST * best)
+    scored = first.withColumn("_score", title_similarity(F.when(F.col("_first"), F.col(seen)), F.col(known)))
+    # Scores of the first ones only: others are null and aren't listed.
+    least = F.try_element_at(F.sort_array(F.collect_list("_score").over(mine), asc=False), F.lit(best))
+    least = scored.withColumn("_least", least).filter("_first OR _bound >= _least - 0.000001")
+    again = title_similarity(F.when(~F.col("_first"), F.col(seen)), F.col(known))
+    return least.withColumn("score", F.coalesce("_score", again)).drop("_bound", "_first", "_score", "_least")
+
+
 def fuzzy_match(obs: DataFrame, obs_id: str, seen: str, ready: Column, charts: DataFrame, block: list[str], title_key: str, chart_id: str, threshold: float = 0.92) -> DataFrame:
     """Best title in the block: status matched, ambiguous (equal best to 6 digits), not_found, insufficient_input.
 
     Adds top_score, top_chart, match_reason and the five best candidates as text.  Catalog
-    rows need title and artist; keys are folded before, once per row.
+    rows need title and artist; keys are folded before, once per row.  A pair of a block is
+    one row with a bound of its score; see ``best_scored`` for those that are scored.
     """
     good = F.coalesce(ready & (F.col(seen) != ""), F.lit(False))
-    cands = block_candidates(obs.filter(good).select(obs_id, seen, *block), charts, block).withColumn("score", title_similarity(F.col(seen), F.col(title_key)))
+    cands = best_scored(block_candidates(obs.filter(good).select(obs_id, seen, *block), charts, block), obs_id, seen, title_key)
     order = Window.partitionBy(obs_id).orderBy(F.col("score").desc(), "title", "artist", chart_id)
-    scored = cands.withColumns({"_rn": F.row_number().over(order), "_best": F.max("score").over(Window.partitionBy(obs_id))})
+    ranked = cands.withColumns({"_rn": F.row_number().over(order), "_best": F.max("score").over(Window.partitionBy(obs_id))})
     shown = F.format_string("%.4f:%s / %s [%s]", "score", "title", "artist", F.col(chart_id).cast("string"))
-    top = scored.groupBy(obs_id).agg(
+    top = ranked.groupBy(obs_id).agg(
         F.max("_best").alias("top_score"), F.max(F.when(F.col("_rn") == 1, F.col(chart_id))).alias("top_chart"), F.count_if(F.round("score", 6) == F.round("_best", 6)).alias("_ties"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_rn") <= 5, F.struct("_rn", shown.alias("text"))))), lambda s: s["text"]), " | ").alias("top_candidates"),
     )
@@ -132,7 +164,7 @@ def apply_availability(songs: DataFrame, entity: str, steps: dict[int, Column],
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("step"))
     out = songs.join(found.withColumnRenamed("entity", "official"), entity, "left")
     status = F.when(F.col("hits").isNull(), "not_found").when(F.col("hits") == 1, label).otherwise(F.concat(F.lit("ambiguous_"), label))
-    return out.withColumns({"availability": status, "available": F.coalesce(F.col("hits") == 1, F.lit(False)), "official": F.when(F.col("hits") == 1, F.col("official"))}).drop("step", "hits", "entities")
+    return out.withColumns({"availability": status, "available": F.coalesce(F.col("hits") == 1, F.lit(False)), "official": F.when(F.col("hits") == 1, F.col("official"))}).drop("step", "hits", "key")
 
 
 def changed_names(matched: DataFrame, official: DataFrame, entity: str, title: str) -> DataFrame:

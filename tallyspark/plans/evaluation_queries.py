@@ -9,7 +9,7 @@ from tallyspark.functions import scores as S
 from tallyspark.functions.ids import json_candidates, sole
 from tallyspark.operators import evaluate as V
 from tallyspark.plans.registry import Tables, query
-from tallyspark.plans.resolve_queries import VEC, scored
+from tallyspark.plans.resolve_queries import VEC, nearest_and_truth
 
 #: A recognised value beside its truth: the line's quantity, read wrong or not at all in a fixed pattern.
 READ_SQL = """x AS (SELECT l_orderkey AS item, l_returnflag AS field, l_linestatus AS profile, l_orderkey * 10 + l_linenumber AS k, l_quantity::INT AS q FROM lineitem),
@@ -133,7 +133,7 @@ TOPK = f"""{VEC}, e AS (SELECT k.*, o.label FROM k JOIN o USING (vec_id)), w AS
 
 def topk(t: Tables) -> DataFrame:
     truth = t.embeddings.filter("vec_id % 5 = 0").select("vec_id", "label", (F.col("label") % 5 != 4).alias("in_snapshot"))
-    return V.topk_rows(scored(t), truth, "vec_id", "label", 0.115, 0.002)
+    return V.topk_rows(nearest_and_truth(t), truth, "vec_id", "label", 0.115, 0.002)
 
 
 @query(f"WITH {TOPK} SELECT vec_id, top_entity, expected_rank, top1, top3, top5, top10, decision FROM z")

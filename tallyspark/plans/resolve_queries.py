@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text as X
 from tallyspark.functions.scores import match_confidence
 from tallyspark.operators import nearest as N
+from tallyspark.operators import rerank as K
 from tallyspark.operators import resolve as R
 from tallyspark.plans.registry import Tables, query
 
@@ -75,7 +76,7 @@ def j14_map_cascade(t: Tables) -> DataFrame:
     SELECT obs_id, CASE WHEN t = '' THEN 'incomplete' WHEN n IS NULL THEN 'not_found' WHEN n > 1 THEN 'ambiguous' WHEN step = 1 THEN 'exact' ELSE 'normalized' END AS status, coalesce(array_to_string(e, ','), '') AS entities FROM seen LEFT JOIN f USING (obs_id)""")
 def j15_u1_strict_lookup(t: Tables) -> DataFrame:
     s = songs(t)
-    cat = R.keyed(s, "song_id", {1: F.col("title"), 2: F.col("t")}).unionByName(R.keyed(s, "song_id", {1: F.col("alias"), 2: F.col("l")}))
+    cat = R.keyed(s, "song_id", {1: [F.col("title"), F.col("alias")], 2: [F.col("t"), F.col("l")]})
     out = R.strict_lookup(observations(t), "obs_id", F.col("t") != "", F.col("title"), F.col("t"), cat)
     return out.select("obs_id", "status", F.array_join(F.col("entities").cast("array<string>"), ",").alias("entities"))
 
@@ -113,8 +114,8 @@ def j12_resolve_title_artist(t: Tables) -> DataFrame:
     CASE WHEN step < 3 AND n = 1 THEN e END AS entity FROM x""")
 def j13_resolve_pair(t: Tables) -> DataFrame:
     s = songs(t)
-    cat = R.keyed(s, "song_id", {1: pair("t", "a"), 2: pair("l", "a"), 3: F.col("t")}).unionByName(R.keyed(s, "song_id", {3: F.col("l")}))
-    out = R.resolve_pair(observations(t), "obs_id", F.col("level") % 11 != 0, F.col("level") % 13 != 0, F.coalesce(pair("t", "a"), F.lit("")), F.col("t"), cat, s.select(F.col("song_id").alias("entity"), "available"))
+    cat = R.keyed(s, "song_id", {1: pair("t", "a"), 2: pair("l", "a"), 3: [F.col("t"), F.col("l")]})
+    out = R.resolve_pair(observations(t), "obs_id", F.col("level") % 11 != 0, F.col("level") % 13 != 0, F.coalesce(pair("t", "a"), F.lit("")), F.col("t"), cat, s.select(F.col("song_id").alias("entity"), "available"), candidates=False)
     return out.select("obs_id", "status", "reason", "entity")
 
 
@@ -229,10 +230,24 @@ def vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def scored(t: Tables) -> DataFrame:
+    """Every observation with every entity."""
     obs, refs = vectors(t)
     return N.entity_distances(obs, refs, "vec_id", "vec_id", "label", "embedding")
 
 
+def nearest(t: Tables, k: int = 2, within: float = 0.0) -> DataFrame:
+    """The k nearest entities of each observation, and those within a distance of the nearest."""
+    obs, refs = vectors(t)
+    return N.nearest_entities(obs, refs, "vec_id", "vec_id", "label", "embedding", k, within)
+
+
+def nearest_and_truth(t: Tables) -> DataFrame:
+    """The two nearest entities of each observation and all that are as near as its own label."""
+    obs, refs = vectors(t)
+    known = N.truth_reach(obs, refs, "vec_id", "vec_id", "label", "embedding", "label")
+    return N.nearest_entities(known, refs, "vec_id", "vec_id", "label", "embedding", 2, reach="reach")
+
+
 def _r(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
@@ -243,12 +258,12 @@ MAX_D, DELTA = 0.105, 0.004
 
 @query(f"WITH {VEC} SELECT vec_id, entity, round(distance, 6) AS distance, round(margin, 6) AS margin FROM k WHERE rank = 1 AND distance <= {MAX_D} AND (margin IS NULL OR margin > {DELTA})")
 def j8_nearest_unique(t: Tables) -> DataFrame:
-    return _r(N.nearest_unique(scored(t), "vec_id", MAX_D, DELTA).select("vec_id", "entity", "distance", "margin"))
+    return _r(N.nearest_unique(nearest(t), "vec_id", MAX_D, DELTA).select("vec_id", "entity", "distance", "margin"))
 
 
 @query(f"WITH {VEC} SELECT vec_id, entity, round(distance, 6) AS distance, round(margin, 6) AS margin FROM k WHERE rank = 1")
 def w6_top_margin(t: Tables) -> DataFrame:
-    return _r(N.top_margin(scored(t), "vec_id").select("vec_id", "entity", "distance", "margin"))
+    return _r(N.top_margin(nearest(t), "vec_id").select("vec_id", "entity", "distance", "margin"))
 
 
 @query(f"""WITH {VEC}, l AS (SELECT *, min(distance) OVER (PARTITION BY vec_id) AS low FROM k)
@@ -259,7 +274,7 @@ def w7_near_ties(t: Tables) -> DataFrame:
 
 @query(f"WITH {VEC} SELECT o.vec_id, o.label, k.rank AS expected_rank, round(k.distance, 6) AS expected_distance FROM o LEFT JOIN k ON o.vec_id = k.vec_id AND o.label = k.entity")
 def w5_expected_rank(t: Tables) -> DataFrame:
-    return _r(N.expected_rank(scored(t), vectors(t)[0].select("vec_id", "label"), "vec_id", "label"))
+    return _r(N.expected_rank(nearest_and_truth(t), vectors(t)[0].select("vec_id", "label"), "vec_id", "label"))
 
 
 @query(f"""WITH {VEC} SELECT o.vec_id, CASE WHEN o.vec_id % 15 = 0 THEN 'insufficient_input' WHEN o.vec_id % 35 = 0 THEN 'missing_feature' WHEN distance > {MAX_D} THEN 'not_found' WHEN margin <= {DELTA} THEN 'ambiguous' ELSE 'matched' END AS match_status,
@@ -267,7 +282,7 @@ def w5_expected_rank(t: Tables) -> DataFrame:
     FROM o LEFT JOIN k ON o.vec_id = k.vec_id AND rank = 1""")
 def j7_p27_vector_match(t: Tables) -> DataFrame:
     obs = vectors(t)[0].select("vec_id")
-    out = N.vector_match(obs, scored(t), "vec_id", F.col("vec_id") % 15 != 0, F.col("vec_id") % 35 != 0, MAX_D, DELTA)
+    out = N.vector_match(obs, nearest(t), "vec_id", F.col("vec_id") % 15 != 0, F.col("vec_id") % 35 != 0, MAX_D, DELTA)
     return out.select("vec_id", "match_status", F.round(match_confidence(F.col("distance"), F.col("margin"), MAX_D, DELTA), 6).alias("confidence"))
 
 
@@ -296,7 +311,7 @@ def second(t: Tables) -> DataFrame:
     z AS (SELECT vec_id, entity, d2, lead(d2) OVER (PARTITION BY vec_id ORDER BY d2, entity) - d2 AS margin, row_number() OVER (PARTITION BY vec_id ORDER BY d2, entity) AS rn FROM m JOIN q USING (vec_id, entity))
     SELECT vec_id, entity, CASE WHEN d2 IS NULL THEN 'missing_feature' WHEN margin <= 0.02 THEN 'ambiguous_candidate' ELSE 'resolved_candidate' END AS rerank_status FROM (SELECT DISTINCT vec_id FROM m) LEFT JOIN (SELECT * FROM z WHERE rn = 1) USING (vec_id)""")
 def j9_rerank(t: Tables) -> DataFrame:
-    return N.rerank(scored(t), second(t), "vec_id", 0.02, 0.01).select("vec_id", "entity", "rerank_status")
+    return N.rerank(nearest(t, 2, 0.01), second(t), "vec_id", 0.02, 0.01).select("vec_id", "entity", "rerank_status")
 
 
 @query(f"""WITH {VEC}, {SECOND}, n AS (SELECT *, min(distance) OVER (PARTITION BY vec_id) AS low FROM k), m AS (SELECT vec_id, entity, distance FROM n WHERE distance - low <= 0.01 QUALIFY count(*) OVER (PARTITION BY vec_id) > 1),
@@ -311,10 +326,109 @@ def j9_rerank(t: Tables) -> DataFrame:
 def j28_gated_rerank(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    first = scored(t)
+    first = nearest(t, 2, 0.01)
     low = F.min("distance").over(Window.partitionBy("vec_id"))
     near = first.withColumn("_low", low).filter("distance - _low <= 0.01").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("vec_id"))).filter("_n > 1").select("vec_id", "entity")
-    return N.gated_rerank(near, [("title", second(t)), ("artist", first)], "vec_id", 1.1, 0.02)
+    return N.gated_rerank(near, [("title", second(t)), ("artist", first)], "vec_id", 1.1, 0.02).drop("distance", "margin")
+
+
+#: Sets of ten vectors: the first is looked at, the others are references of their label; a cell is set from a limit that differs by set.
+SETS = """lim AS (SELECT vec_id, label, vec_id // 10 AS item, embedding, [0.05, 0.12, 0.2, 0.9][1 + (vec_id // 10) % 4] AS cut FROM embeddings),
+    bit AS (SELECT vec_id, label, item, list_transform(embedding, lambda x: CASE WHEN x >= cut THEN 1 ELSE 0 END) AS b FROM lim),
+    ob AS (SELECT item, vec_id, b AS seen FROM bit WHERE vec_id % 10 = 0 AND item % 9 <> 5), rf AS (SELECT item, vec_id AS ref, label AS entity, b AS known FROM bit WHERE vec_id % 10 <> 0 AND item % 7 <> 6),
+    s0 AS (SELECT vec_id, coalesce(max(CASE WHEN ob.item % 5 = 2 AND ref % 10 = 3 THEN known END), any_value(seen)) AS seen FROM ob LEFT JOIN rf USING (item) GROUP BY vec_id),
+    pp AS (SELECT vec_id, entity, ref, s0.seen, known FROM ob JOIN rf USING (item) JOIN s0 USING (vec_id)),
+    va AS (SELECT vec_id, list(m ORDER BY i) AS mask, sum(m) AS diff_bits FROM (SELECT vec_id, i, CASE WHEN max(known[i]) <> min(known[i]) THEN 1 ELSE 0 END AS m FROM pp, range(1, 65) AS r(i) GROUP BY ALL) GROUP BY vec_id),
+    ra AS (SELECT *, seen = known AS exact, (list_sum(list_transform(range(1, 65), lambda i: CASE WHEN seen[i] <> known[i] THEN 1 + 4 * mask[i] ELSE 0 END)) / (64 + 4 * diff_bits)) AS distance,
+        list_sum(list_transform(range(0, 8), lambda r: CASE WHEN seen[r * 8 + 1:r * 8 + 8] = known[r * 8 + 1:r * 8 + 8] AND list_sum(seen[r * 8 + 1:r * 8 + 8]) > 0 THEN 1 ELSE 0 END)) AS n_rows FROM pp JOIN va USING (vec_id))"""
+
+
+def sets(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(observations, pairs) of SETS; of some sets the observation has a reference's very cells."""
+    from tallyspark.functions.vectors import row_hashes
+
+    item = F.expr("vec_id div 10")
+    cut = F.element_at(F.array(*[F.lit(c) for c in (0.05, 0.12, 0.2, 0.9)]), (item % 4 + 1).cast("int"))
+    e = t.embeddings.withColumns({"item": item, "rows": row_hashes(F.transform("embedding", lambda x: (x.cast("double") >= cut).cast("int")), 8, 1)})
+    refs = e.filter("vec_id % 10 != 0 AND item % 7 != 6").select("item", F.col("vec_id").alias("ref"), F.col("label").alias("entity"), F.col("rows").alias("known"))
+    obs = e.filter("vec_id % 10 = 0 AND item % 9 != 5").select("item", "vec_id", "rows")
+    lent = refs.filter("item % 5 = 2 AND ref % 10 = 3").select("item", F.col("known").alias("lent"))
+    obs = obs.join(lent, "item", "left").select("item", "vec_id", F.coalesce("lent", "rows").alias("seen"))
+    return obs.drop("item"), obs.select("item", "vec_id").join(refs, "item").drop("item")
+
+
+@query(f"""WITH {SETS}, t AS (SELECT vec_id, count(*) AS reference_count, max(diff_bits) AS diff_bits, count(DISTINCT CASE WHEN exact THEN entity END) AS ex, min_by({{'e': entity, 'c': ref, 'd': distance}}, {{'d': distance, 'c': ref}}) AS nr,
+        min_by({{'e': entity, 'c': ref, 'r': n_rows}}, {{'r': -n_rows, 'c': ref}}) AS al FROM ra GROUP BY vec_id),
+    u AS (SELECT vec_id, max(entity <> nr.e AND distance - nr.d <= 0.01) AS close, max(entity <> al.e AND n_rows = al.r) AS tied FROM ra JOIN t USING (vec_id) GROUP BY vec_id)
+    SELECT s0.vec_id, CASE WHEN ex IS NULL THEN 'missing_feature' WHEN ex = 0 THEN 'no_exact_match' WHEN ex = 1 THEN 'resolved_candidate' ELSE 'ambiguous_candidate' END AS exact_status,
+    CASE WHEN ex IS NULL THEN 'missing_feature' WHEN al.r = 0 THEN 'no_dict_match' WHEN tied THEN 'ambiguous_candidate' ELSE 'resolved_candidate' END AS dict_status, al.c AS dict_chart, al.r AS dict_rows,
+    CASE WHEN ex IS NULL THEN 'missing_feature' WHEN close THEN 'ambiguous_candidate' ELSE 'resolved_candidate' END AS distance_status, nr.c AS top_chart, round(nr.d, 6) AS top_distance, reference_count, diff_bits,
+    CASE WHEN ex IS NULL THEN 'no_candidate_row_keys' WHEN al.r = 0 THEN 'no_matching_rows' WHEN tied THEN 'tied_row_matches' WHEN close THEN 'near_top_distance' ELSE '' END AS reason FROM s0 LEFT JOIN t USING (vec_id) LEFT JOIN u USING (vec_id)""")
+def j9_row_key_rerank(t: Tables) -> DataFrame:
+    obs, pairs_ = sets(t)
+    out = K.row_key_rerank(obs, pairs_.withColumn("chart", F.col("ref")), "vec_id", "entity", "chart", "seen", "known", [])
+    return _r(out)
+
+
+@query(f"""WITH {SETS}, f AS (SELECT vec_id, entity, bool_or(exact) AS exact, min(distance) AS distance, max(diff_bits) AS diff_bits FROM ra GROUP BY ALL),
+    g AS (SELECT *, count(*) FILTER (exact) OVER (PARTITION BY vec_id) AS n_exact, row_number() OVER w AS rn, lead(distance) OVER w - distance AS margin FROM f WINDOW w AS (PARTITION BY vec_id ORDER BY distance, entity))
+    SELECT vec_id, entity, CASE WHEN n_exact = 1 THEN 0.0 ELSE round(distance, 6) END AS distance, CASE WHEN n_exact <> 1 THEN round(margin, 6) END AS margin, CASE WHEN n_exact = 1 THEN 'row_keys' ELSE 'masked' END AS chain
+    FROM g WHERE (n_exact = 1 AND exact) OR (n_exact = 0 AND rn = 1 AND diff_bits > 0 AND distance <= 0.35 AND margin > 0.01)""")
+def j28_near_tie_chain(t: Tables) -> DataFrame:
+    obs, pairs_ = sets(t)
+    return _r(K.near_tie_chain(pairs_.join(obs, "vec_id"), "vec_id", "entity", "seen", "known"))
+
+
+@query(f"""WITH {SETS}, am AS (SELECT DISTINCT vec_id, entity FROM pp), sz AS (SELECT vec_id, count(*) AS size FROM am GROUP BY 1),
+    e1 AS (SELECT vec_id, entity, min(CASE WHEN ref % 3 = 0 THEN 0.2 ELSE 0.2 + (ref % 4) * 0.004 END + (vec_id // 10) % 6 * 0.04) AS d FROM pp WHERE NOT ((vec_id // 10) % 8 = 1 AND entity % 2 = 0) GROUP BY ALL),
+    a AS (SELECT *, lead(d) OVER w - d AS m, row_number() OVER w AS rn, count(*) OVER (PARTITION BY vec_id) AS have FROM e1 WINDOW w AS (PARTITION BY vec_id ORDER BY d, entity)),
+    e2 AS (SELECT vec_id, entity, min(0.1 + (ref % 5) * 0.02) AS d FROM pp WHERE (vec_id // 10) % 4 <> 3 OR entity % 3 <> 0 GROUP BY ALL),
+    b AS (SELECT *, lead(d) OVER w - d AS m, row_number() OVER w AS rn, count(*) OVER (PARTITION BY vec_id) AS have FROM e2 WINDOW w AS (PARTITION BY vec_id ORDER BY d, entity)),
+    f AS (SELECT vec_id, entity, bool_or(exact) AS exact, min(distance) AS distance, max(diff_bits) AS diff_bits FROM ra GROUP BY ALL),
+    g AS (SELECT *, count(*) FILTER (exact) OVER (PARTITION BY vec_id) AS n_exact, row_number() OVER w AS rn, lead(distance) OVER w - distance AS margin FROM f WINDOW w AS (PARTITION BY vec_id ORDER BY distance, entity)),
+    ch AS (SELECT vec_id, entity, CASE WHEN n_exact = 1 THEN 'row_keys' ELSE 'masked' END AS chain FROM g WHERE (n_exact = 1 AND exact) OR (n_exact = 0 AND rn = 1 AND diff_bits > 0 AND distance <= 0.35 AND margin > 0.01)),
+    x AS (SELECT sz.vec_id, CASE WHEN coalesce(a.have < size, true) THEN 'incomplete' WHEN a.d > 0.35 THEN 'insufficient' WHEN a.m <= 0.01 AND chain IS NOT NULL THEN 'resolved_' || chain WHEN a.m <= 0.01 THEN 'ambiguous' ELSE 'resolved' END AS title_state,
+        CASE WHEN coalesce(b.have < size, true) THEN 'incomplete' WHEN b.d > 0.35 THEN 'insufficient' WHEN b.m <= 0.01 THEN 'ambiguous' ELSE 'resolved' END AS artist_state, a.entity AS ae, b.entity AS be, ch.entity AS ce
+        FROM sz LEFT JOIN a ON a.vec_id = sz.vec_id AND a.rn = 1 LEFT JOIN b ON b.vec_id = sz.vec_id AND b.rn = 1 LEFT JOIN ch ON ch.vec_id = sz.vec_id),
+    y AS (SELECT vec_id, title_state, artist_state, CASE WHEN title_state = 'resolved' THEN ae WHEN title_state LIKE 'resolved_%' THEN ce WHEN artist_state = 'resolved' THEN be END AS entity,
+        CASE WHEN title_state LIKE 'resolved%' THEN 'title' WHEN artist_state = 'resolved' THEN 'artist' END AS decided_by FROM x),
+    c AS (SELECT vec_id, entity, count(DISTINCT ref) AS n, min(ref) AS c FROM pp WHERE ref % 10 <> 7 GROUP BY ALL)
+    SELECT y.*, CASE WHEN y.entity IS NULL THEN 'unresolved' WHEN n IS NULL THEN 'chart_not_found' WHEN n > 1 THEN 'chart_ambiguous' ELSE 'resolved' END AS chart_status, CASE WHEN n = 1 THEN c END AS chart FROM y LEFT JOIN c ON c.vec_id = y.vec_id AND c.entity = y.entity""")
+def j28_gated_chain(t: Tables) -> DataFrame:
+    """Both stages, the near-tie chain of the first and the check of the chart; the stages' distances are made from the references' ids."""
+    obs, pairs_ = sets(t)
+    item, ref = F.expr("vec_id div 10"), F.col("ref")
+    title = (F.when(ref % 3 == 0, 0.2).otherwise(F.lit(0.2) + (ref % 4) * 0.004) + item % 6 * 0.04).alias("distance")
+    first = pairs_.filter(~((item % 8 == 1) & (F.col("entity") % 2 == 0))).select("vec_id", "entity", title).groupBy("vec_id", "entity").agg(F.min("distance").alias("distance"))
+    other = pairs_.filter((item % 4 != 3) | (F.col("entity") % 3 != 0)).groupBy("vec_id", "entity").agg(F.min(F.lit(0.1) + (ref % 5) * 0.02).alias("distance"))
+    chain = K.near_tie_chain(pairs_.join(obs, "vec_id"), "vec_id", "entity", "seen", "known")
+    out = N.gated_rerank(pairs_.select("vec_id", "entity").distinct(), [("title", first), ("artist", other)], "vec_id", chains={"title": chain})
+    charts = pairs_.filter("ref % 10 != 7").select("vec_id", "entity", "ref")
+    return K.one_chart(out, charts, "vec_id", "entity", "ref").select("vec_id", "title_state", "artist_state", "entity", "decided_by", "chart_status", "chart")
+
+
+SUFFIX = f"""WITH {SQL}, n AS (SELECT song_id, title || CASE song_id % 4 WHEN 0 THEN ' (Type1)' WHEN 1 THEN ' TYPE 2' WHEN 2 THEN ' type3' ELSE '' END AS title, artist, song_id // 6 AS item FROM song),
+    k AS (SELECT *, lower(regexp_replace(title, '[ ()#]', '', 'g')) AS tk FROM n),
+    o AS (SELECT item, CASE item % 6 WHEN 0 THEN NULL WHEN 1 THEN 'failed' ELSE 'ok' END AS st, CASE item % 6 WHEN 2 THEN '' WHEN 3 THEN 'no suffix' WHEN 4 THEN 'x type 3' ELSE 'X Ｔype' || (1 + item % 2) END AS txt FROM n GROUP BY item),
+    r AS (SELECT *, CASE WHEN st = 'ok' THEN CASE WHEN txt LIKE '%ype%3%' THEN 'TYPE3' WHEN txt LIKE '%ype1%' THEN 'TYPE1' WHEN txt LIKE '%ype2%' THEN 'TYPE2' ELSE '' END ELSE '' END AS suffix FROM o),
+    h AS (SELECT k.*, row_number() OVER (PARTITION BY item ORDER BY k.title, artist, song_id) AS rn FROM k JOIN r USING (item) WHERE suffix <> '' AND contains(tk, lower(suffix)) AND song_id % 12 <> 4),
+    g AS (SELECT item, count(DISTINCT song_id) AS n, max(CASE WHEN rn = 1 THEN song_id END) AS entity, string_agg(title || ' / ' || artist || ' [' || song_id || ']', ' | ' ORDER BY rn) FILTER (rn <= 5) AS listed FROM h GROUP BY item)"""
+
+
+@query(f"""{SUFFIX} SELECT item, suffix, entity, entity AS chart, coalesce(listed, '') AS top_candidates,
+    CASE WHEN st IS NULL OR st <> 'ok' OR txt = '' THEN 'missing_ocr' WHEN suffix = '' THEN 'no_suffix' WHEN n IS NULL THEN 'no_candidate_suffix_match' WHEN n > 1 THEN 'ambiguous_candidate' ELSE 'resolved_candidate' END AS rerank_status,
+    CASE WHEN st IS NULL THEN 'title_ocr_not_run' WHEN st <> 'ok' THEN st WHEN txt = '' THEN 'empty_ocr' WHEN suffix = '' THEN 'type_suffix_not_detected' WHEN n IS NULL THEN 'suffix_not_in_ambiguous_candidates' WHEN n > 1 THEN 'suffix_matches_multiple_ambiguous_songs' ELSE '' END AS rerank_reason
+    FROM r LEFT JOIN g USING (item)""")
+def j9_suffix_rerank(t: Tables) -> DataFrame:
+    """Sets of six songs whose titles carry a version; what was read of each set is made from its number."""
+    k, item = F.col("song_id") % 4, F.expr("song_id div 6")
+    s = songs(t).select("song_id", F.concat("title", F.when(k == 0, " (Type1)").when(k == 1, " TYPE 2").when(k == 2, " type3").otherwise("")).alias("title"), "artist", item.alias("item"))
+    m = F.col("item") % 6
+    text = F.when(m == 2, "").when(m == 3, "no suffix").when(m == 4, "x type 3").otherwise(F.concat(F.lit("X Ｔype"), (F.col("item") % 2 + 1).cast("string")))
+    read = s.select("item").distinct().select("item", text.alias("text"), F.when(m == 1, "failed").when(m != 0, "ok").alias("status"))
+    cands = s.filter("song_id % 12 != 4").select("item", F.col("song_id").alias("song"), F.col("song_id").alias("chart"), "title", "artist", X.title_key("title").alias("key"))
+    shown = F.format_string("%s / %s [%s]", "title", "artist", F.col("chart").cast("string"))
+    return K.suffix_rerank(read, cands, "item", "song", "chart", "text", "status", "key", ["title", "artist"], shown)
 
 
 @query(f"""WITH {VEC}, s AS (SELECT vec_id, CASE WHEN distance > {MAX_D} THEN 'not_found' WHEN margin <= {DELTA} THEN 'ambiguous' ELSE 'matched' END AS st, entity FROM k WHERE rank = 1)
@@ -322,7 +436,7 @@ def j28_gated_rerank(t: Tables) -> DataFrame:
     CASE st WHEN 'matched' THEN 'primary' WHEN 'ambiguous' THEN CASE WHEN vec_id % 2 = 0 THEN 'even' WHEN vec_id % 3 = 0 THEN 'third' END END AS signal_source,
     CASE WHEN st = 'matched' THEN entity WHEN st = 'ambiguous' AND vec_id % 2 = 0 THEN 1 WHEN st = 'ambiguous' AND vec_id % 3 = 0 THEN 2 END AS signal_entity FROM s""")
 def j10_identity_signal(t: Tables) -> DataFrame:
-    out = N.vector_match(vectors(t)[0].select("vec_id"), scored(t), "vec_id", F.lit(True), F.lit(True), MAX_D, DELTA)
+    out = N.vector_match(vectors(t)[0].select("vec_id"), nearest(t), "vec_id", F.lit(True), F.lit(True), MAX_D, DELTA)
     aux = [(n, F.when(F.col("vec_id") % k == 0, "resolved_candidate").otherwise("missing"), F.lit(e)) for n, k, e in (("even", 2, 1), ("third", 3, 2))]
     return out.select("vec_id", *N.identity_signal(F.col("match_status"), F.col("entity"), aux, F.lit("")))  .drop("signal_reason")
 
@@ -339,7 +453,7 @@ def v9_nearest_centroid(t: Tables) -> DataFrame:
     SELECT vec_id, entity, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, entity) = 1""")
 def v10_leave_one_out(t: Tables) -> DataFrame:
     e = t.embeddings
-    return _r(N.ranked(N.entity_distances(e, e, "vec_id", "vec_id", "label", "embedding", "rmse", leave_out=True), "vec_id").filter("rank = 1").select("vec_id", "entity", "distance"))
+    return _r(N.nearest_entities(e, e, "vec_id", "vec_id", "label", "embedding", 1, kind="rmse", leave_out=True).select("vec_id", "entity", "distance"))
 
 
 @query(f"""WITH {VEC}, s AS (SELECT vec_id // 25 AS item, vec_id AS pos, entity, distance, coalesce(margin, 1.0 - distance) AS margin FROM k WHERE rank = 1),
@@ -375,4 +489,4 @@ def a23_partners(t: Tables) -> DataFrame:
 
 @query(f"WITH {VEC} SELECT vec_id, string_agg(entity || ':' || rank, ' | ' ORDER BY rank) AS top_candidates FROM k WHERE rank <= 5 GROUP BY vec_id")
 def l6_top_candidates(t: Tables) -> DataFrame:
-    return N.top_candidates(scored(t), "vec_id", F.concat_ws(":", "entity", "rank"))
+    return N.top_candidates(nearest(t, 5), "vec_id", F.concat_ws(":", "entity", "rank"))

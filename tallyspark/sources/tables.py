@@ -68,6 +68,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def work_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that what follows doesn't compute it anew."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def publish(df: DataFrame, path: str, inputs: list[DataFrame] | None = None) -> str:
     """Write beside the target, read back, compare with what was written, then move; refuse to overwrite.  Gives the fingerprint.
 

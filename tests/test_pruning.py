@@ -128,7 +128,7 @@ def test_few_pairs_are_scored(spark):
         scores = sorted((X.similarity(s, t) for t in titles), reverse=True)
         assert sorted(got[k], reverse=True)[:5] == scores[:5]
         assert sum(round(x, 6) == round(scores[0], 6) for x in got[k]) == sum(round(x, 6) == round(scores[0], 6) for x in scores)
-    assert sum(map(len, got.values())) < 0.25 * len(seen) * len(titles)
+    assert sum(map(len, got.values())) < 0.4 * len(seen) * len(titles)
 
 
 def test_cascade_joins_a_row_for_each_key(spark):

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ from tallyspark.operators import analytics as A
 from tallyspark.functions import text as X
 from tallyspark.operators import evaluate as V
 from tallyspark.operators import resolve as R
+from tallyspark.plans import resolve_queries
+from tallyspark.plans.registry import Tables
 from tests.conftest import SF
 
 
@@ -151,3 +153,25 @@ def test_fuzzy_match_against_difflib(spark):
         if scored:
             assert found[k]["top_chart"] == scored[0][3] and found[k]["top_candidates"] == " | ".join(f"{-s:.4f}:{t} / {a} [{i}]" for s, t, a, i in scored[:5])
     assert len(statuses) == 4
+
+
+def test_fuzzy_query_against_difflib(spark):
+    """The whole registered query: every pair of every block, scored without any bound."""
+    t = Tables(spark, SF)
+    charts, obs = resolve_queries.songs(t).collect(), resolve_queries.observations(t).collect()
+    blocks = defaultdict(list)
+    for c in charts:
+        blocks[c["style"], c["level"]].append((X.fold("title", c["title"]), c["title"], c["artist"], c["song_id"]))
+    found = {r["obs_id"]: r for r in resolve_queries.j6_p20_fuzzy_match(t).collect()}
+    assert len(found) == len(obs)
+    for o in obs:
+        seen, got = X.fold("title", o["title"]), found[o["obs_id"]]
+        scored = sorted((-X.similarity(seen, k), title, artist, i) for k, title, artist, i in blocks[o["style"], o["level"]]) if seen else []
+        if not seen:
+            assert (got["match_status"], got["top_chart"]) == ("insufficient_input", None)
+            continue
+        best = -scored[0][0]
+        ties = sum(round(-s[0], 6) == round(best, 6) for s in scored)
+        assert got["match_status"] == ("not_found" if best < 0.92 else "ambiguous" if ties > 1 else "matched")
+        assert got["top_chart"] == scored[0][3] and abs(got["top_score"] - best) < 1e-6
+        assert got["top_candidates"] == " | ".join(f"{-s:.4f}:{title} / {artist} [{i}]" for s, title, artist, i in scored[:5])
