@@ -174,44 +174,88 @@ def promote_final(df: DataFrame, spec: dict[str, str], optional: dict[str, str],
     return out.withColumn("row_confidence", F.when(F.col("promoted"), F.array_min(F.array_compact(F.array(*used)))))
 
 
+# What a review does, and from which states it may.
 ACTIONS = {"manual_confirm": "manual_confirmed", "reassign": "manual_confirmed", "reject": "rejected", "reopen": "needs_review"}
 ALLOWED = {"manual_confirm": ("needs_review", "unresolved", "auto_confirmed"), "reassign": ("auto_confirmed", "manual_confirmed"), "reject": ("needs_review", "unresolved", "auto_confirmed", "manual_confirmed"), "reopen": ("rejected", "manual_confirmed", "auto_confirmed")}
+#: What a request asks for: the same action id with another of it is another request.
+REQUEST = ("ref_id", "action", "expected_revision", "expected_status", "entity")
 
 
 def review_violations(refs: DataFrame, requests: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """Requests (action_id, ref_id, action, expected_revision, expected_status, entity) with their violation codes; the good ones have none.
+    """Requests (action_id, ref_id, action, expected_revision, expected_status, entity) with ``payload``, a hash of what they ask, and their violation codes; the good ones have none.
 
-    A repeated action id has the code ``receipt``: it was applied before and counts as done.
+    An action id of ``history`` (action_id, payload) with the same payload has the only code
+    ``receipt``: it was applied before and counts as done.  With another payload it is
+    ``action_reused``.  One action id, or one reference, twice in the requests is a
+    violation of both (``repeated_action``, ``conflicting_requests``).
     """
     known = refs.select("ref_id", F.col("revision").alias("_rev"), F.col("status").alias("_status"), F.lit(True).alias("_there"))
-    out = requests.join(known, "ref_id", "left")
+    out = requests.withColumn("payload", row_sha256(*REQUEST)).join(known, "ref_id", "left")
     if history is not None:
-        out = out.join(history.select("action_id", F.lit(True).alias("_done")).distinct(), "action_id", "left")
+        out = out.join(history.groupBy("action_id").agg(F.min("payload").alias("_done")), "action_id", "left")
     else:
-        out = out.withColumn("_done", F.lit(None).cast("boolean"))
+        out = out.withColumn("_done", F.lit(None).cast("string"))
+    same = F.coalesce(F.col("_done") == F.col("payload"), F.lit(False))
+    again = F.count(F.lit(1)).over(Window.partitionBy("action_id")) > 1
     twice = F.count(F.lit(1)).over(Window.partitionBy("ref_id")) > 1
     allowed = F.lit(False)
     for action, states in ALLOWED.items():
         allowed = allowed | ((F.col("action") == action) & F.col("_status").isin(*states))
     codes = reasons(
-        (F.col("_done"), "receipt"), (F.col("_there").isNull(), "unknown_reference"), (F.col("_there") & (F.col("_rev") != F.col("expected_revision")), "stale_revision"), (F.col("_there") & (F.col("_status") != F.col("expected_status")), "stale_status"),
+        (F.col("_done").isNotNull() & ~same, "action_reused"), (again, "repeated_action"), (F.col("_there").isNull(), "unknown_reference"), (F.col("_there") & (F.col("_rev") != F.col("expected_revision")), "stale_revision"), (F.col("_there") & (F.col("_status") != F.col("expected_status")), "stale_status"),
         (~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "unknown_action"), (F.col("_there") & F.col("action").isin(*ACTIONS) & ~allowed, "transition_not_allowed"),
         (F.col("action").isin("manual_confirm", "reassign") & F.col("entity").isNull(), "entity_required"), (F.col("action").isin("reject", "reopen") & F.col("entity").isNotNull(), "entity_forbidden"), (twice, "conflicting_requests"),
     )
-    return out.withColumn("violations", F.when(F.col("_done"), F.array(F.lit("receipt"))).otherwise(codes)).drop("_rev", "_status", "_there", "_done")
+    return out.withColumn("violations", F.when(same & ~again & ~twice, F.array(F.lit("receipt"))).otherwise(codes)).drop("_rev", "_status", "_there", "_done")
 
 
-def apply_reviews(refs: DataFrame, requests: DataFrame, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(new references, new history rows) for requests without violations; call with a batch that has none (receipts apart): all or nothing."""
-    good = review_violations(refs, requests, history).filter("size(violations) = 0").select("ref_id", "action_id", "action", F.col("entity").alias("_entity"))
-    to = F.element_at(F.create_map(*[F.lit(x) for p in ACTIONS.items() for x in p]), F.col("action"))
-    joined = refs.join(good, "ref_id", "left")
+def _accepted(judged: DataFrame, batch: str | None) -> DataFrame:
+    """``judged`` with ``refused``: a request of the batch, this or another, has violations."""
+    bad = F.max((F.size("violations") > 0) & (F.col("violations") != F.array(F.lit("receipt"))))
+    if batch:
+        return judged.join(judged.groupBy(F.col(batch).alias("_batch")).agg(bad.alias("refused")), F.col(batch).eqNullSafe(F.col("_batch"))).drop("_batch")
+    return judged.join(F.broadcast(judged.agg(F.coalesce(bad, F.lit(False)).alias("refused"))))
+
+
+def review_outcomes(refs: DataFrame, requests: DataFrame, history: DataFrame | None = None, batch: str | None = None) -> DataFrame:
+    """Each request with ``outcome``: applied, no_op (nothing would change), receipt, refused (with its violations), or refused_with_batch because of another."""
+    judged = _accepted(review_violations(refs, requests, history), batch).join(refs.select("ref_id", F.col("status").alias("_was"), F.col("entity").alias("_had")), "ref_id", "left")
+    bad = (F.size("violations") > 0) & (F.col("violations") != F.array(F.lit("receipt")))
+    to, entity = _after("action", "entity", "_had")
+    outcome = F.when(bad, "refused").when(F.col("refused"), "refused_with_batch").when(F.size("violations") > 0, "receipt").when((F.col("_was") == to) & F.col("_had").eqNullSafe(entity), "no_op").otherwise("applied")
+    return judged.withColumn("outcome", outcome).drop("_was", "_had", "refused")
+
+
+def _after(action: str, asked: str, had: str) -> tuple[Column, Column]:
+    """Status and entity that a request leads to."""
+    to = F.element_at(F.create_map(*[F.lit(x) for p in ACTIONS.items() for x in p]), F.col(action))
+    return to, F.when(F.col(action) == "reopen", F.lit(None)).otherwise(F.coalesce(asked, had))
+
+
+def apply_reviews(refs: DataFrame, requests: DataFrame, history: DataFrame | None = None, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new references, new history rows): a batch is applied as a whole or not at all.
+
+    Any violation but a receipt refuses all requests of its batch.  Without ``batch``, the
+    column that names it, all requests are one, and a refusal is an error at run time; with
+    it refused batches change nothing (see ``review_outcomes``).  Requests that change
+    nothing leave no history.
+    """
+    judged = _accepted(review_violations(refs, requests, history), batch)
+    good = judged.filter("size(violations) = 0").select("ref_id", "action_id", "action", "payload", F.col("entity").alias("_entity"), "refused")
+    if batch:
+        good = good.filter("NOT refused")
+        joined = refs.join(good, "ref_id", "left")
+    else:
+        stop = judged.agg(F.coalesce(F.max("refused"), F.lit(False)).alias("_stop"))
+        refusal = F.raise_error(F.lit("the batch has requests that are refused")).cast("boolean")
+        joined = refs.join(good.drop("refused"), "ref_id", "left").join(F.broadcast(stop)).filter(F.when(F.col("_stop"), refusal).otherwise(True)).drop("_stop")
+    to, entity = _after("action", "_entity", "entity")
     touched = F.col("action").isNotNull()
-    entity = F.when(F.col("action") == "reopen", F.lit(None)).when(touched, F.coalesce("_entity", "entity")).otherwise(F.col("entity"))
+    entity = F.when(touched, entity).otherwise(F.col("entity"))
     same = touched & (F.col("status") == to) & F.col("entity").eqNullSafe(entity)
     changed = touched & ~same
     new = joined.select(*[c for c in refs.columns if c not in ("status", "entity", "revision")], F.when(touched, to).otherwise(F.col("status")).alias("status"), entity.alias("entity"), (F.col("revision") + changed.cast("int")).alias("revision"))
-    log = joined.filter(changed).select("action_id", "ref_id", "action", F.col("status").alias("before_status"), to.alias("after_status"), F.col("entity").alias("before_entity"), entity.alias("after_entity"), (F.col("revision") + 1).alias("revision"))
+    log = joined.filter(changed).select("action_id", "payload", "ref_id", "action", F.col("status").alias("before_status"), to.alias("after_status"), F.col("entity").alias("before_entity"), entity.alias("after_entity"), (F.col("revision") + 1).alias("revision"))
     return new.select(*refs.columns), log
 
 
@@ -264,10 +308,16 @@ def cascade_delete(doomed: DataFrame, key: str, *tables: DataFrame) -> list[Data
 
 
 def store_features(store: DataFrame, features: DataFrame, identity: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows to insert, outcome of all): only accepted rows; drift of the canonical name is rejected; a known identity is a duplicate."""
-    known = store.select(*identity, F.lit(True).alias("_known"))
-    first = features.withColumn("_rn", F.row_number().over(Window.partitionBy(*identity, "accepted").orderBy("feature_id")))
-    out = first.join(known, identity, "left").withColumn("outcome", F.when(~F.coalesce("accepted", F.lit(False)), "not_accepted").when(F.col("canonical") != F.col("expected_canonical"), "canonical_drift").when(F.col("_known") | (F.col("_rn") > 1), "duplicate").otherwise("inserted"))
+    """(rows to insert, outcome of all): only accepted rows whose canonical name hasn't drifted; a known identity is a duplicate.
+
+    Of rows that may be inserted the first of an identity (by feature_id) is; one that was
+    turned down before it doesn't count.
+    """
+    known = store.select(*identity).distinct().withColumn("_known", F.lit(True))
+    may = F.coalesce("accepted", F.lit(False)) & F.col("canonical").eqNullSafe(F.col("expected_canonical"))
+    first = features.withColumn("_may", may).withColumn("_rn", F.row_number().over(Window.partitionBy(*identity, "_may").orderBy("feature_id")))
+    outcome = F.when(~F.coalesce("accepted", F.lit(False)), "not_accepted").when(~F.col("_may"), "canonical_drift").when(F.col("_known") | (F.col("_rn") > 1), "duplicate").otherwise("inserted")
+    out = first.join(known, identity, "left").withColumn("outcome", outcome)
     return out.filter("outcome = 'inserted'").select(*features.columns), out.select(*features.columns, "outcome")
 
 

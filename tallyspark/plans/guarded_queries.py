@@ -107,8 +107,14 @@ def f10_promote_final(t: Tables) -> DataFrame:
 
 
 REFS = "rf AS (SELECT o_orderkey AS ref_id, (o_orderkey % 3)::INT AS revision, CASE o_orderkey % 5 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'auto_confirmed' WHEN 3 THEN 'manual_confirmed' ELSE 'rejected' END AS status, CASE WHEN o_orderkey % 5 IN (2, 3) THEN o_custkey END AS entity FROM orders)"
-REQ = """rq AS (SELECT o_orderkey * 7 AS action_id, o_orderkey AS ref_id, CASE o_orderkey % 4 WHEN 0 THEN 'manual_confirm' WHEN 1 THEN 'reject' WHEN 2 THEN 'reopen' ELSE 'explode' END AS action, (o_orderkey % 3 + CASE WHEN o_orderkey % 22 = 0 THEN 1 ELSE 0 END)::INT AS expected_revision,
-    CASE o_orderkey % 5 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'auto_confirmed' WHEN 3 THEN 'manual_confirmed' ELSE 'rejected' END AS expected_status, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 24 <> 0 THEN o_custkey + 1 END AS entity FROM orders)"""
+#: Batches of eight requests: of every third one some requests are bad; the others fit the state of their reference.
+REQ = """kk AS (SELECT o_orderkey AS k, o_custkey, o_orderkey // 8 % 3 = 0 AS odd FROM orders),
+    rq AS (SELECT CASE WHEN odd AND k % 64 = 9 THEN k - 1 ELSE k END * 7 AS action_id, k AS ref_id, k // 8 AS batch,
+        CASE WHEN odd AND k % 4 = 3 THEN 'explode' WHEN odd AND k % 4 = 2 THEN 'reopen' WHEN k % 5 < 2 AND k % 2 = 0 THEN 'manual_confirm' WHEN k % 5 < 2 THEN 'reject' WHEN k % 5 = 3 AND k % 2 = 0 THEN 'reassign' ELSE 'reopen' END AS action,
+        (k % 3 + CASE WHEN odd AND k % 22 = 0 THEN 1 ELSE 0 END)::INT AS expected_revision, CASE k % 5 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'auto_confirmed' WHEN 3 THEN 'manual_confirmed' ELSE 'rejected' END AS expected_status,
+        o_custkey, odd, k FROM kk),
+    rr AS (SELECT *, CASE WHEN action IN ('manual_confirm', 'reassign') AND NOT (odd AND k % 24 = 0) THEN CASE WHEN k % 20 = 8 THEN o_custkey ELSE o_custkey + 1 END END AS entity FROM rq),
+    hi AS (SELECT action_id AS hid, ref_id % 50 = 23 AND odd AS other FROM rr WHERE (ref_id % 10 = 7 OR (odd AND ref_id % 50 = 23)) AND ref_id % 64 NOT IN (8, 9))"""
 
 
 def _status(k: F.Column) -> F.Column:
@@ -122,24 +128,45 @@ def references(t: Tables) -> DataFrame:
 
 def requests(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
-    action = F.when(k % 4 == 0, "manual_confirm").when(k % 4 == 1, "reject").when(k % 4 == 2, "reopen").otherwise("explode")
-    return t.orders.select((k * 7).alias("action_id"), k.alias("ref_id"), action.alias("action"), (k % 3 + (k % 22 == 0).cast("int")).cast("int").alias("expected_revision"), _status(k).alias("expected_status"), F.when((k % 4 == 0) & (k % 24 != 0), F.col("o_custkey") + 1).alias("entity"))
+    odd = F.expr("o_orderkey div 8 % 3 = 0")
+    action = F.when(odd & (k % 4 == 3), "explode").when(odd & (k % 4 == 2), "reopen").when((k % 5 < 2) & (k % 2 == 0), "manual_confirm").when(k % 5 < 2, "reject").when((k % 5 == 3) & (k % 2 == 0), "reassign").otherwise("reopen")
+    entity = F.when(action.isin("manual_confirm", "reassign") & ~(odd & (k % 24 == 0)), F.when(k % 20 == 8, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1))
+    return t.orders.select(
+        (F.when(odd & (k % 64 == 9), k - 1).otherwise(k) * 7).alias("action_id"), k.alias("ref_id"), F.expr("o_orderkey div 8").alias("batch"), action.alias("action"), (k % 3 + (odd & (k % 22 == 0)).cast("int")).cast("int").alias("expected_revision"), _status(k).alias("expected_status"), entity.alias("entity"),
+    )
 
 
-VIOL = """vi AS (SELECT q.*, r.status, r.entity AS old, r.revision, concat_ws(',', CASE WHEN r.revision <> expected_revision THEN 'stale_revision' END, CASE WHEN action = 'explode' THEN 'unknown_action' END,
-    CASE WHEN (action = 'manual_confirm' AND status NOT IN ('needs_review', 'unresolved', 'auto_confirmed')) OR (action = 'reject' AND status = 'rejected') OR (action = 'reopen' AND status NOT IN ('rejected', 'manual_confirmed', 'auto_confirmed')) THEN 'transition_not_allowed' END,
-    CASE WHEN action = 'manual_confirm' AND q.entity IS NULL THEN 'entity_required' END) AS violations FROM rq q JOIN rf r USING (ref_id))"""
+def receipts(t: Tables) -> DataFrame:
+    """Actions that were applied before: some with the same payload, some with another."""
+    from tallyspark.operators.guarded import REQUEST
 
+    asked, odd = requests(t), F.expr("ref_id div 8 % 3 = 0") & (F.col("ref_id") % 50 == 23)
+    return asked.filter(((F.col("ref_id") % 10 == 7) | odd) & ~(F.col("ref_id") % 64).isin(8, 9)).select("action_id", F.when(odd, "another").otherwise(I.row_sha256(*REQUEST)).alias("payload"))
 
-@query(f"WITH {REFS}, {REQ}, {VIOL} SELECT action_id, violations FROM vi")
+
+VIOL = """vi AS (SELECT q.*, r.status, r.entity AS old, r.revision, other IS NOT NULL AND NOT other AND count(*) OVER (PARTITION BY action_id) = 1 AS receipt, concat_ws(',', CASE WHEN other THEN 'action_reused' END, CASE WHEN count(*) OVER (PARTITION BY action_id) > 1 THEN 'repeated_action' END,
+        CASE WHEN r.revision <> expected_revision THEN 'stale_revision' END, CASE WHEN action = 'explode' THEN 'unknown_action' END,
+        CASE WHEN (action = 'manual_confirm' AND status NOT IN ('needs_review', 'unresolved', 'auto_confirmed')) OR (action = 'reassign' AND status NOT IN ('auto_confirmed', 'manual_confirmed')) OR (action = 'reject' AND status = 'rejected') OR (action = 'reopen' AND status NOT IN ('rejected', 'manual_confirmed', 'auto_confirmed')) THEN 'transition_not_allowed' END,
+        CASE WHEN action IN ('manual_confirm', 'reassign') AND q.entity IS NULL THEN 'entity_required' END) AS violations FROM rr q JOIN rf r USING (ref_id) LEFT JOIN hi ON hid = action_id),
+    ou AS (SELECT *, max(violations <> '' AND NOT receipt) OVER (PARTITION BY batch) AS refused, CASE action WHEN 'manual_confirm' THEN 'manual_confirmed' WHEN 'reassign' THEN 'manual_confirmed' WHEN 'reject' THEN 'rejected' WHEN 'reopen' THEN 'needs_review' END AS to_status,
+        CASE WHEN action <> 'reopen' THEN coalesce(entity, old) END AS to_entity FROM vi)"""
+
+
+@query(f"WITH {REFS}, {REQ}, {VIOL} SELECT ref_id, action_id, CASE WHEN receipt THEN 'receipt' ELSE violations END AS violations FROM vi")
 def g4_review_violations(t: Tables) -> DataFrame:
-    return G.review_violations(references(t), requests(t)).select("action_id", F.array_join("violations", ",").alias("violations"))
+    return G.review_violations(references(t), requests(t), receipts(t)).select("ref_id", "action_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query(f"""WITH {REFS}, {REQ}, {VIOL} SELECT ref_id, batch, CASE WHEN NOT receipt AND violations <> '' THEN 'refused' WHEN refused THEN 'refused_with_batch' WHEN receipt THEN 'receipt' WHEN status = to_status AND old IS NOT DISTINCT FROM to_entity THEN 'no_op' ELSE 'applied' END AS outcome FROM ou""")
+def g4_review_outcomes(t: Tables) -> DataFrame:
+    return G.review_outcomes(references(t), requests(t), receipts(t), "batch").select("ref_id", "batch", "outcome")
 
 
-@query(f"""WITH {REFS}, {REQ}, {VIOL}, g AS (SELECT ref_id, action, entity AS new FROM vi WHERE violations = '')
-    SELECT ref_id, CASE action WHEN 'manual_confirm' THEN 'manual_confirmed' WHEN 'reject' THEN 'rejected' WHEN 'reopen' THEN 'needs_review' ELSE status END AS status, CASE WHEN action = 'reopen' THEN NULL ELSE coalesce(new, entity) END AS entity, revision + (action IS NOT NULL)::INT AS revision FROM rf LEFT JOIN g USING (ref_id)""")
+@query(f"""WITH {REFS}, {REQ}, {VIOL}, g AS (SELECT ref_id, to_status, to_entity FROM ou WHERE NOT refused AND NOT receipt)
+    SELECT ref_id, coalesce(to_status, status) AS status, CASE WHEN to_status IS NULL THEN entity ELSE to_entity END AS entity, revision + (to_status IS NOT NULL AND NOT (status = to_status AND entity IS NOT DISTINCT FROM to_entity))::INT AS revision FROM rf LEFT JOIN g USING (ref_id)""")
 def g4_apply_reviews(t: Tables) -> DataFrame:
-    return G.apply_reviews(references(t), requests(t))[0].select("ref_id", "status", "entity", "revision")
+    """Batches with one bad request change nothing, the others all that they ask for."""
+    return G.apply_reviews(references(t), requests(t), receipts(t), "batch")[0].select("ref_id", "status", "entity", "revision")
 
 
 @query(f"""WITH {REFS}, q AS (SELECT ref_id + CASE WHEN ref_id % 40 = 0 THEN 100000000 ELSE 0 END AS ref_id, CASE WHEN ref_id % 7 = 0 THEN coalesce(entity, 1) ELSE 5 END AS entity, ref_id % 11 = 0 AS old FROM rf)
@@ -180,11 +207,11 @@ def g9_cascade_delete(t: Tables) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT p_partkey AS feature_id, p_brand || p_partkey // 20 AS ident, p_size % 3 <> 0 AS accepted, CASE WHEN p_partkey % 10 = 0 THEN 'old' ELSE p_name END AS canonical, p_name AS expected FROM part),
-    g AS (SELECT *, row_number() OVER (PARTITION BY ident, accepted ORDER BY feature_id) AS rn, ident IN (SELECT p_brand || p_partkey // 20 FROM part WHERE p_partkey % 9 = 4) AS known FROM f)
+    g AS (SELECT *, accepted AND canonical = expected AS may, row_number() OVER (PARTITION BY ident, accepted AND canonical = expected ORDER BY feature_id) AS rn, ident IN (SELECT p_brand || p_partkey // 20 FROM part WHERE p_partkey % 9 = 4) AS known FROM f)
     SELECT feature_id, CASE WHEN NOT accepted THEN 'not_accepted' WHEN canonical <> expected THEN 'canonical_drift' WHEN known OR rn > 1 THEN 'duplicate' ELSE 'inserted' END AS outcome FROM g""")
 def g10_store_features(t: Tables) -> DataFrame:
     f = t.part.select(F.col("p_partkey").alias("feature_id"), F.expr("p_brand || p_partkey div 20").alias("ident"), (F.col("p_size") % 3 != 0).alias("accepted"), F.when(F.col("p_partkey") % 10 == 0, "old").otherwise(F.col("p_name")).alias("canonical"), F.col("p_name").alias("expected_canonical"))
-    store = f.filter("feature_id % 9 = 4").select("ident").distinct()
+    store = f.filter("feature_id % 9 = 4").select("ident")
     return G.store_features(store, f, ["ident"])[1].select("feature_id", "outcome")
 
 

@@ -115,6 +115,28 @@ def test_reviews_are_all_or_nothing(spark):
     stale = spark.createDataFrame([("b", 2, "reopen", 1, "rejected", None), ("c", 9, "reject", 0, "x", None)], ask)
     got = dict(rows(G.review_violations(refs, stale).select("action_id", "violations")))
     assert got == {"b": ["stale_revision"], "c": ["unknown_reference"]}
+    with pytest.raises(Exception, match="refused"):
+        G.apply_reviews(refs, good.unionByName(stale))[0].collect()
+    # The same id for something else isn't a receipt, nor is one id twice.
+    other = spark.createDataFrame([("a", 1, "reject", 1, "manual_confirmed", None)], ask)
+    assert rows(G.review_violations(new, other, log).select("violations")) == [(["action_reused"],)]
+    assert {tuple(v) for (v,) in rows(G.review_violations(refs, good.unionByName(good), log).select("violations"))} == {("repeated_action", "conflicting_requests")}
+    # A batch with a receipt and a good request is applied; one with a bad request isn't, and no request of it is.
+    third = spark.createDataFrame([(1, 1, "manual_confirmed", 7), (2, 3, "rejected", 5), (3, 0, "unresolved", None), (4, 0, "unresolved", None)], "ref_id int, revision int, status string, entity int")
+    more = spark.createDataFrame([("a", 1, "manual_confirm", 0, "needs_review", 7, 1), ("d", 2, "reopen", 3, "rejected", None, 1), ("e", 3, "reject", 0, "unresolved", None, 2), ("f", 4, "reopen", 0, "unresolved", None, 2)], ask + ", batch int")
+    done, log = G.apply_reviews(third, more, log, "batch")
+    assert sorted(rows(done)) == [(1, 1, "manual_confirmed", 7), (2, 4, "needs_review", None), (3, 0, "unresolved", None), (4, 0, "unresolved", None)]
+    assert rows(log.select("action_id", "before_status", "after_status", "after_entity")) == [("d", "rejected", "needs_review", None)]
+    told = dict(rows(G.review_outcomes(third, more, spark.createDataFrame([("a", "x")], "action_id string, payload string"), "batch").select("action_id", "outcome")))
+    assert told == {"a": "refused", "d": "refused_with_batch", "e": "refused_with_batch", "f": "refused"}
+
+
+def test_a_drifted_feature_takes_no_place(spark):
+    features = spark.createDataFrame([(1, "x", True, "old", "new"), (2, "x", True, "new", "new"), (3, "x", True, "new", "new"), (4, "y", True, "n", "n"), (5, "z", None, "n", "n"), (6, "w", True, None, "n")], "feature_id int, ident string, accepted boolean, canonical string, expected_canonical string")
+    store = spark.createDataFrame([("y",), ("y",)], "ident string")
+    put, told = G.store_features(store, features, ["ident"])
+    assert dict(rows(told.select("feature_id", "outcome"))) == {1: "canonical_drift", 2: "inserted", 3: "duplicate", 4: "duplicate", 5: "not_accepted", 6: "canonical_drift"}
+    assert rows(put.select("feature_id")) == [(2,)] and told.count() == 6
 
 
 def test_plan_refuses_false_decisions(spark):
