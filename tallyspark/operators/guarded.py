@@ -1,71 +1,15 @@
-"""Guarded table writes: validate first, then publish one new version of a table.
-
-A versioned table is a folder of data folders and markers v000001.done, v000002.done ...,
-each of which names its data folder.  A publisher writes its data under a name of its own
-and then moves a complete marker to the version's name, where no marker may be yet: who
-comes second is refused and touches no published data, and a crash leaves the table as it
-was.  Readers take the latest marker.
-"""
+"""Guarded table writes: validate first, then publish one new version of a table (see ``sources.versions``)."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.ids import reasons, row_sha256
 from tallyspark.operators.evaluate import order_free_hash, table_fingerprint
+from tallyspark.sources.versions import Stale, VersionedTable
 
-
-class VersionedTable:
-    """Parquet versions under one folder of any file system that Spark reads."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _marker(self, version: int) -> str:
-        return f"{self.path}/v{version:06d}.done"
-
-    def versions(self) -> list[int]:
-        root = self._path(self.path)
-        if not self._fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".done"))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        known = self.versions()
-        if not known:
-            raise FileNotFoundError(f"{self.path} has no version")
-        data = self.spark.read.text(self._marker(version or known[-1])).first()[0]
-        return self.spark.read.parquet(f"{self.path}/{data}")
-
-    def publish(self, df: DataFrame, expected: int | None = None) -> int:
-        """Write the next version; refuse if ``expected`` isn't the latest one (0: none yet) or another publisher was first.
-
-        The marker's move is atomic where the file system's is, as on HDFS.
-        """
-        latest = (self.versions() or [0])[-1]
-        if expected is not None and expected != latest:
-            raise ValueError(f"stale: version {latest} is the latest, not {expected}")
-        data = f"data-{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(f"{self.path}/{data}")
-        return self._mark(latest + 1, data)
-
-    def _mark(self, version: int, data: str) -> int:
-        draft, marker = self._path(f"{self.path}/_{data}.marker"), self._path(self._marker(version))
-        out = self._fs.create(draft, False)
-        out.write(bytearray(data.encode()))
-        out.close()
-        if self._fs.exists(marker) or not self._fs.rename(draft, marker):
-            self._fs.delete(draft, False)
-            raise ValueError(f"stale: version {version} was published meanwhile")
-        return version
-
+__all__ = ["Stale", "VersionedTable"]
 
 # Names of grades, clears and counts.
 GRADES = ("AAA", "AA+", "AA", "AA-", "A+", "A", "A-", "B+", "B", "B-", "C+", "C", "C-", "D+", "D", "E")

@@ -58,6 +58,11 @@ def stacked(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_list()).astype(float)
 
 
+def nothing(*columns: str) -> pd.DataFrame:
+    """No rows, of columns that may be of any type."""
+    return pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
+
+
 class Rings(NamedTuple):
     """Pivots of one vector length (with their reference and entity, by entity) and the rings around them."""
 
@@ -304,7 +309,7 @@ def _dealt(a: DataFrame, b: DataFrame, schema: str, count: int, k: int, within:
 
         def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if not len(x) or not len(y):
-                return pd.DataFrame({"obs": [], "entity": [], "ref": [], "distance": [], "near": [], "far": []})
+                return nothing("obs", "entity", "ref", "distance", "near", "far")
             y = y.sort_values(["entity", "ref"])
             if compared is not None:
                 compared.add(len(x) * len(y))

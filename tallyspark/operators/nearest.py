@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.vectors import l1
-from tallyspark.operators.metric import SLACK, distances, nearest_entities
+from tallyspark.operators.metric import SLACK, distances, nearest_entities, nothing
 
 MAX_DISTANCE, DELTA = 0.24, 0.015
 #: Names of how close a pair is.
@@ -219,18 +219,75 @@ def digit_gate(segments: DataFrame, templates: DataFrame, item: str, pos: str, l
     return read.select(item, F.array_join(F.transform("_s", lambda s: s["e"]), "").alias("value"), F.when(F.col("reason").isNull(), "recognized").otherwise("ambiguous").alias("status"), F.coalesce("reason", F.lit("")).alias("reason"), "mean_distance", (F.lit(1.0) - F.least(F.lit(1.0), F.col("mean_distance") / max_distance)).alias("confidence"), "segments")
 
 
-def near_pairs(vectors: DataFrame, entity: str, signature: str, vector: str, threshold: float = 0.12) -> DataFrame:
+#: Members of a signature that are joined pair by pair; rows of a block beyond that.
+FEW, PAIR_BLOCK = 64, 1024
+
+
+def _close_in_block(table: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Pairs of entities of a block pair, with their least distance up to ``threshold``; rows of side 0 meet those of side 1, or all meet each other."""
+    out = []
+    left, right = table[table["side"] == 0], table[table["side"] == 1]
+    if not len(left) or (not len(right) and table["same"].iloc[0] != 1):
+        return nothing("sig", "a", "b", "distance")
+    right = left if table["same"].iloc[0] == 1 else right
+    w, other = np.stack(right["v"].to_list()).astype(float), right["e"].to_numpy()
+    for e, v in zip(left["e"].to_numpy(), left["v"]):
+        d = distances("l1", np.asarray(v, float)[None, :], w)[0]
+        use = np.flatnonzero((d <= threshold) & ((other > e) if table["same"].iloc[0] == 1 else (other != e)))
+        if len(use):
+            out.append(pd.DataFrame({"a": np.minimum(other[use], e), "b": np.maximum(other[use], e), "distance": d[use]}))
+    if not out:
+        return nothing("sig", "a", "b", "distance")
+    least = pd.concat(out).groupby(["a", "b"], as_index=False)["distance"].min()
+    least.insert(0, "sig", pd.Series([table["sig"].iloc[0]] * len(least), dtype=object))
+    return least
+
+
+def _close_in_rings(each: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(sig, a, b, distance) of signatures with many members, each (sig, size, e, v).
+
+    By the triangle inequality only vectors whose distances to a pivot differ by at most the
+    threshold can be that near: rings of this width meet themselves and the next one.  A
+    ring of many is cut into blocks by entity, and each pair of blocks is a task of its own.
+    """
+    pivot = each.groupBy("sig", "size").agg(F.min_by("v", "e").alias("p"))
+    # A little wider than the threshold, so that rounding parts no pair by more than a ring.
+    ringed = each.join(pivot, ["sig", "size"]).withColumn("ring", F.floor(l1(F.col("v"), F.col("p")) / (threshold * (1 + 1e-9) + 1e-12)).cast("long")).drop("p")
+    counts = ringed.groupBy("sig", "size", "ring").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    beside = [counts.select("sig", "size", (F.col("ring") - k).alias("ring"), F.col("blocks").alias(name)) for k, name in ((0, "own"), (1, "after"), (-1, "before"))]
+    for other, how in zip(beside, ("inner", "left", "left")):
+        ringed = ringed.join(other, ["sig", "size", "ring"], how)
+    at = F.pmod(F.xxhash64("e"), F.col("own"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    place = lambda ring, same, i, j, side: F.struct(ring.alias("r"), F.lit(same).alias("same"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    zero, none = F.lit(0), F.lit(0).cast("long")
+    inside = F.transform(upto(F.col("own")), lambda k: F.when(k == F.col("at"), place(F.col("ring"), 1, k, k, zero)).otherwise(place(F.col("ring"), 0, F.least(k, F.col("at")), F.greatest(k, F.col("at")), k < F.col("at"))))
+    onward = F.transform(upto(F.coalesce("after", none)), lambda k: place(F.col("ring"), 2, F.col("at"), k, zero))
+    back = F.transform(upto(F.coalesce("before", none)), lambda k: place(F.col("ring") - 1, 2, k, F.col("at"), F.lit(1)))
+    dealt = ringed.withColumn("at", at).select("sig", "size", "e", "v", F.explode(F.concat(inside, onward, back)).alias("g")).select("sig", "size", "e", "v", "g.*")
+    kind = dict(each.dtypes)
+    return dealt.groupBy("sig", "size", "r", "same", "i", "j").applyInPandas(lambda t: _close_in_block(t, threshold), f"sig {kind['sig']}, a {kind['e']}, b {kind['e']}, distance double")
+
+
+def near_pairs(vectors: DataFrame, entity: str, signature: str, vector: str, threshold: float = 0.12, few: int = FEW, block: int = PAIR_BLOCK) -> DataFrame:
     """Unordered pairs of entities that share a signature, with their least distance up to ``threshold``.
 
     Signatures make the pairs, so only entities that share one meet; ``vectors`` has a row
-    per (entity, signature, reference).
+    per (entity, signature, reference), and all references of an entity count.  Signatures
+    of up to ``few`` rows are joined; those of more are cut into rings and blocks, so one
+    signature on all vectors runs in many tasks.  Only pairs that are near enough leave
+    them, with the signature that they were found by.  Null vectors and entities, and
+    vectors of two lengths, are near nothing.
     """
-    keys = vectors.select(F.col(entity).alias("e"), F.col(signature).alias("sig")).distinct()
-    met = keys.alias("a").join(keys.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.e") < F.col("b.e"))).groupBy(F.col("a.e").alias("a"), F.col("b.e").alias("b")).agg(F.array_sort(F.collect_set("a.sig")).alias("common"))
-    refs = vectors.select(F.col(entity).alias("e"), F.col(vector).alias("v")).distinct()
-    x, y = refs.select(F.col("e").alias("a"), F.col("v").alias("va")), refs.select(F.col("e").alias("b"), F.col("v").alias("vb"))
-    far = met.join(x, "a").join(y, "b").groupBy("a", "b").agg(F.first("common").alias("common"), F.min(l1(F.col("va"), F.col("vb"))).alias("distance"))
-    near = far.filter(F.col("distance") <= threshold)
+    rows = vectors.select(F.col(entity).alias("e"), F.col(signature).alias("sig"), F.col(vector).alias("v")).filter("e IS NOT NULL")
+    refs = rows.filter("v IS NOT NULL").select("e", "v").distinct()
+    each = rows.select("e", "sig").filter("sig IS NOT NULL").distinct().join(refs, "e").withColumn("size", F.size("v"))
+    held = each.groupBy("sig", "size").agg(F.count(F.lit(1)).alias("_n"))
+    each = each.join(held, ["sig", "size"])
+    small, large = each.filter(F.col("_n") <= few).drop("_n"), each.filter(F.col("_n") > few).drop("_n")
+    x, y = small.select("sig", "size", F.col("e").alias("a"), F.col("v").alias("va")), small.select("sig", "size", F.col("e").alias("b"), F.col("v").alias("vb"))
+    met = x.join(y, ["sig", "size"]).filter("a < b").select("sig", "a", "b", l1(F.col("va"), F.col("vb")).alias("distance")).filter(F.col("distance") <= threshold)
+    near = met.unionByName(_close_in_rings(large, threshold, block)).groupBy("a", "b").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_set("sig")).alias("common"))
     band = F.lit(OTHER_BAND)
     for limit, name in reversed(RISK_BANDS):
         band = F.when(F.col("distance") <= limit, name).otherwise(band)

@@ -12,6 +12,8 @@ from tallyspark.operators import guarded as G
 from tallyspark.plans.registry import Tables, query
 from tallyspark.sources import html as H
 from tallyspark.sources import tables as S
+from tallyspark.sources.tables import scratch
+from tallyspark.sources.versions import VersionedTable
 
 # --- writes ----------------------------------------------------------------
 
@@ -79,6 +81,20 @@ def g2_insert_once(t: Tables) -> DataFrame:
     return G.insert_once(o.filter("o_orderkey % 10 = 0"), o.filter("o_orderkey % 10 != 0"), "o_custkey", [F.col("o_orderkey")])[1].select("o_orderkey", "outcome")
 
 
+@query("""WITH g AS (SELECT *, o_orderkey % 3 AS batch FROM orders WHERE o_totalprice >= 50000 OR o_orderstatus <> 'F')
+    SELECT o_custkey, o_orderkey, o_totalprice, batch FROM g QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY batch, o_orderkey) = 1""")
+def t9_saved_batches(t: Tables) -> DataFrame:
+    """Three triggers of orders, validated and saved once a customer; the third one is seen twice.  The table's last version."""
+    from tallyspark.streaming.stateful import save_batch
+
+    table = VersionedTable(t.orders.sparkSession, scratch(t.orders.sparkSession, "saved-batches"), "o_custkey", 16)
+    errors = I.reasons(((F.col("o_totalprice") < 50_000) & (F.col("o_orderstatus") == "F"), "too_small"))
+    for n in (0, 1, 2, 2):
+        batch = t.orders.filter(F.col("o_orderkey") % 3 == n).select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
+        save_batch(batch, table, lambda b, n=n: b.withColumn("batch", F.lit(n).cast("long")), errors, "o_custkey", [F.col("o_orderkey")])
+    return table.read().select("o_custkey", "o_orderkey", "o_totalprice", "batch")
+
+
 @query("""WITH d AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'withdrawn' ELSE '' END AS exclusion, p_size % 5 = 0 AS duplicate, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS title, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_brand END AS artist FROM part)
     SELECT p_partkey, CASE WHEN exclusion <> '' OR duplicate THEN 'excluded' WHEN title = '' OR artist IS NULL THEN 'unresolved' ELSE 'ready' END AS adaptation,
     CASE WHEN exclusion <> '' THEN exclusion WHEN duplicate THEN 'duplicate' ELSE concat_ws(',', CASE WHEN title = '' THEN 'title' END, CASE WHEN artist IS NULL THEN 'artist' END) END AS adaptation_reason FROM d""")
@@ -169,6 +185,21 @@ def g4_apply_reviews(t: Tables) -> DataFrame:
     return G.apply_reviews(references(t), requests(t), receipts(t), "batch")[0].select("ref_id", "status", "entity", "revision")
 
 
+@query(f"""WITH {REFS}, {REQ}, {VIOL}, g AS (SELECT ref_id, to_status, to_entity FROM ou WHERE NOT refused AND NOT receipt),
+    n AS (SELECT ref_id, coalesce(to_status, status) AS status, CASE WHEN to_status IS NULL THEN entity ELSE to_entity END AS entity, revision AS before, revision + (to_status IS NOT NULL AND NOT (status = to_status AND entity IS NOT DISTINCT FROM to_entity))::INT AS revision FROM rf LEFT JOIN g USING (ref_id))
+    SELECT ref_id, status, entity, revision, before AS revision_before FROM n WHERE NOT (revision > before AND status = 'rejected' AND ref_id % 4 = 1)""")
+def g4_g9_reviewed_versions(t: Tables) -> DataFrame:
+    """References in versions: published, reviewed (changed rows replace theirs), some then deleted; the last version beside the first."""
+    spark = t.orders.sparkSession
+    table = VersionedTable(spark, scratch(spark, "references"), "ref_id", 16)
+    table.publish(references(t), 0)
+    new = G.apply_reviews(table.read(), requests(t), receipts(t), "batch")[0]
+    changed = new.join(table.read().select("ref_id", F.col("revision").alias("_was")), "ref_id").filter("revision > _was").drop("_was")
+    table.upsert(changed, 1)
+    table.delete(changed.filter("status = 'rejected' AND ref_id % 4 = 1").select("ref_id"), 2)
+    return table.read().join(table.read(1).select("ref_id", F.col("revision").alias("revision_before")), "ref_id")
+
+
 @query(f"""WITH {REFS}, q AS (SELECT ref_id + CASE WHEN ref_id % 40 = 0 THEN 100000000 ELSE 0 END AS ref_id, CASE WHEN ref_id % 7 = 0 THEN coalesce(entity, 1) ELSE 5 END AS entity, ref_id % 11 = 0 AS old FROM rf)
     SELECT q.ref_id, CASE WHEN rf.ref_id IS NULL THEN 'unknown' WHEN status = 'auto_confirmed' AND rf.entity = q.entity THEN 'no_op' WHEN status IN ('auto_confirmed', 'manual_confirmed') THEN 'protected' WHEN old THEN 'stale' ELSE 'applied' END AS outcome FROM q LEFT JOIN rf USING (ref_id)""")
 def g5_apply_confirmations(t: Tables) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyspark.operators.events import MIN_MS, WINDOW_MS
-from tallyspark.operators.guarded import VersionedTable, insert_once, validate
+from tallyspark.operators.guarded import insert_once, validate
+from tallyspark.sources.tables import work_table
+from tallyspark.sources.versions import FAN, VersionedTable
 
 
 class _Ordered(StatefulProcessor):
@@ -256,21 +258,25 @@ def stream_to_table(events: DataFrame, handle: Callable[[DataFrame, int], None],
     return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def save_batch(events: DataFrame, table: VersionedTable, enrich: Callable[[DataFrame], DataFrame], errors: Column, key: str, order: list[Column]) -> DataFrame:
+def save_batch(events: DataFrame, table: VersionedTable, enrich: Callable[[DataFrame], DataFrame], errors: Column, key: str, order: list[Column], fan: int = FAN) -> DataFrame:
     """Confirmed events -> enriched -> validated -> saved once as the table's next version; one outcome row per event.
 
     ``enrich`` adds an event's identity and record columns.  Outcomes are rejected (with the
     codes of ``errors``), duplicate (its key was saved before or comes earlier in the batch)
     and inserted.  Events of a batch that is seen again are duplicates, so it may be repeated.
+    Only new rows are written.  Where the table is dealt by ``key``, only the buckets of the
+    batch are read; folders of many small batches are joined ``fan`` at a time.
     """
     good, bad = validate(enrich(events), errors)
-    known = table.read() if table.versions() else None
-    empty = known if known is not None else good.limit(0)
-    new, outcome = insert_once(empty, good, key, order)
+    latest = table.latest()
+    saved = table.read(latest, table.touched(good) if table.key == key else None) if latest else good.limit(0)
+    new, outcome = insert_once(saved, good, key, order)
+    # What is told is fixed before the table changes.
     outcome = outcome.select(key, "outcome", F.array().cast("array<string>").alias("errors")).unionByName(bad.select(key, F.lit("rejected").alias("outcome"), "errors"))
-    latest = (table.versions() or [0])[-1]
+    outcome = work_table(outcome, "outcomes")
     if new.limit(1).count():
-        table.publish(new if known is None else known.unionByName(new), latest)
+        table.append(new, latest)
+        table.compact(fan)
     return outcome
 
 

@@ -214,12 +214,12 @@ def test_lost_race_leaves_the_published_version(spark):
     other = G.VersionedTable(spark, table.path)
     first, second = G.VersionedTable._mark, []
 
-    def late(self, version, data):
+    def late(self, *args):
         if not second:
             second.append(other.publish(spark.range(10), 1))
-        return first(self, version, data)
+        return first(self, *args)
 
-    table._mark = lambda version, data: late(table, version, data)
+    table._mark = lambda *args: late(table, *args)
     with pytest.raises(ValueError, match="stale"):
         table.publish(spark.range(99), 1)
     assert second == [2] and table.versions() == [1, 2]

@@ -94,6 +94,18 @@ def test_nearest_of_odd_rows(spark, small):
         M.nearest_entities(a, b, "id", "id", "e", "v", 0)
 
 
+def test_names_instead_of_numbers(spark):
+    """Ids and entities that are texts, in every form."""
+    rows = [(f"id{i}", f"e{e}", v) for i, e, v in vectors(spark, 60, 5, clusters=4)]
+    table = spark.createDataFrame(rows, "id string, e string, v array<double>")
+    want = {i: r[:2] for i, r in brute("l1", rows, rows, True).items()}
+    for small in (M.SMALL, 0):
+        assert found(M.nearest_entities(table, table, "id", "id", "e", "v", 2, leave_out=True, small=small, block=8)) == want
+    every = brute("l1", rows, rows)
+    for small in (32 << 20, 0):
+        assert found(N.entity_distances(table, table, "id", "id", "e", "v", block=16, small=small)) == every
+
+
 def test_a_block_that_many_visit_is_split(spark, monkeypatch):
     monkeypatch.setattr(M, "VISITORS", 10)
     obs, refs = [(i, 0, [0.001 * i, 0.0]) for i in range(100)], [(i, i % 5, [0.01 * i, 1.0]) for i in range(40)]
@@ -146,3 +158,41 @@ def test_cascade_joins_a_row_for_each_key(spark):
     unique = spark.createDataFrame([(1, "t", k, f"artist{k}") for k in range(9)], "step int, key string, entity long, artist string")
     got = {r["obs"]: (r["status"], r["entity"]) for r in R.resolve_title(o.limit(2), "obs", F.col("t"), F.col("a"), unique, unique.select("entity", "artist")).collect()}
     assert got == {0: ("resolved_artist", 3), 1: ("resolved_artist", 0)}
+
+
+def brute_pairs(rows, threshold):
+    """{(a, b): (distance, common signatures)} by loops; all references of an entity count."""
+    refs, signs = defaultdict(list), defaultdict(set)
+    for e, s, v in rows:
+        if e is not None and v is not None:
+            refs[e].append(v)
+        if e is not None and s is not None:
+            signs[e].add(s)
+    out = {}
+    for a in refs:
+        for b in refs:
+            if a < b and (common := signs[a] & signs[b]):
+                near = [float(np.abs(np.array(v) - np.array(w)).mean()) for v in refs[a] for w in refs[b] if len(v) == len(w)]
+                if near and min(near) <= threshold:
+                    out[a, b] = (round(min(near), 6), " | ".join(sorted(common)))
+    return out
+
+
+def test_near_pairs_of_a_signature_that_all_share(spark):
+    draw = np.random.default_rng(4)
+    rows = [(int(i % 150), "all", [float(x) for x in draw.random(3) * 4]) for i in range(200)] + [(int(i), f"s{i % 9}", [0.0, float(i), 1.0]) for i in range(40)]
+    rows += [(1, None, [0.0, 0.0, 0.0]), (None, "all", [0.0, 0.0, 0.0]), (2, "all", None), (3, "all", [1.0]), (4, "all", [1.0])]
+    table = spark.createDataFrame(rows, "e int, s string, v array<double>")
+    want = brute_pairs(rows, 0.3)
+    assert len(want) > 50
+    for few, block in ((64, 1024), (0, 16), (8, 7)):
+        got = {(r["a"], r["b"]): (r["distance"], r["common_signatures"]) for r in N.near_pairs(table, "e", "s", "v", 0.3, few, block).collect()}
+        assert got == want
+    assert N.near_pairs(table.limit(0), "e", "s", "v").count() == 0
+
+
+def test_a_hot_signature_runs_in_many_tasks(spark):
+    rows = [(i, "all", [0.001 * i, 0.0]) for i in range(400)]
+    each = spark.createDataFrame(rows, "e int, sig string, v array<double>").withColumn("size", F.lit(2))
+    groups = N._close_in_rings(each, 0.01, 20)
+    assert groups.count() == len(brute_pairs([(e, s, v) for e, s, v in rows], 0.01))

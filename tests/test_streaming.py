@@ -72,7 +72,7 @@ def test_confirmed_events_are_saved_once(spark):
     for k in range(3):
         df.filter(F.expr(f"order_id div 2 = {k}")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     songs = spark.createDataFrame([("a", "song a"), ("b", "song b"), ("c", "song c"), ("d", "song d")], "seen string, song string")
-    table, told = VersionedTable(spark, f"{folder}/plays"), []
+    table, told = VersionedTable(spark, f"{folder}/plays", "song", 4), []
 
     def go(check: str) -> None:
         stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
