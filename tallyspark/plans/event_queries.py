@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators import events as E
+from tallyspark.operators import ranges
 from tallyspark.plans.registry import Tables, query
 
 HOUR = 3_600_000
@@ -59,6 +60,26 @@ def t1_t3_confirm_by_frames(t: Tables) -> DataFrame:
     return confirmed(t, False).select(*SHOWN)
 
 
+def _one_stream(sql: str) -> str:
+    return sql.replace("user_id::VARCHAR AS stream", "'all' AS stream")
+
+
+def one_stream(t: Tables, timed: bool) -> DataFrame:
+    """All events as one stream, which no single task holds."""
+    rows = frames(t).withColumn("stream", F.lit("all")).withColumnRenamed("event_type", "kind")
+    return ranges.confirm_events(rows, "stream", "timestamp_ms" if timed else None, "event_id", F.col("kind").isin(*CANDIDATE), F.col("kind") == "error", F.concat_ws(":", F.lit("kind"), "kind"), MIN_MS, 2, WINDOW_MS, 9, rows=20_000)
+
+
+@query(_one_stream(_confirm_sql(True)) + f" SELECT {', '.join(SHOWN)} FROM ev")
+def t1_hot_stream_by_time(t: Tables) -> DataFrame:
+    return one_stream(t, True).select(*SHOWN)
+
+
+@query(_one_stream(_confirm_sql(False)) + f" SELECT {', '.join(SHOWN)} FROM ev")
+def t2_hot_stream_by_frames(t: Tables) -> DataFrame:
+    return one_stream(t, False).select(*SHOWN)
+
+
 @query(_confirm_sql(True) + " SELECT event_id, stream, timestamp_ms FROM ev WHERE confirmed_result AND NOT duplicate")
 def f1_save_candidates(t: Tables) -> DataFrame:
     return E.save_candidates(confirmed(t)).select("event_id", "stream", "timestamp_ms")

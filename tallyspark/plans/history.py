@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.scores import clear_class, goal_score, grade, ordinal, CLEAR_ORDER, GRADE_ORDER
 from tallyspark.operators import analytics as A
+from tallyspark.operators import ranges
 from tallyspark.plans.registry import Tables, query
 
 IDS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -90,6 +91,12 @@ def w1_w2_previous_best(t: Tables) -> DataFrame:
     return previous(t).select(*SHOWN)
 
 
+@query(f"WITH {PLAYS_SQL}, {PREVIOUS.replace('PARTITION BY l_partkey', 'PARTITION BY 1')} SELECT {', '.join(SHOWN)} FROM prev")
+def w2_hot_entity(t: Tables) -> DataFrame:
+    """All plays as those of one entity, which no single task holds."""
+    return ranges.previous_best(plays(t).withColumn("_all", F.lit(1)), ["_all"], ["score", "extra"], rows=100_000).select(*SHOWN)
+
+
 @query(f"WITH {PLAYS_SQL}, {PREVIOUS} SELECT {', '.join(SHOWN)} FROM prev WHERE score > previous_score OR extra > previous_extra")
 def f5_best_updates(t: Tables) -> DataFrame:
     return A.best_updates(previous(t), ["score", "extra"]).select(*SHOWN)
