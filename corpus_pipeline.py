@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import bpe, exact_dedup, jaccard, mixing, quality
-from tallyspark.llm.common import spill
+from tallyspark.llm.common import spent, spill
 from tallyspark.llm.queries import RANKS
 
 
@@ -52,5 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = spill(stage(spark, docs, sf_dir), f"stage-{name}")
+        with spent(spark) as keep:  # what a stage wrote on its way goes once its result stands
+            docs = keep(spill(stage(spark, docs, sf_dir), f"stage-{name}"))
     return docs

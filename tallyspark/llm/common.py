@@ -11,6 +11,7 @@ import contextlib
 import ctypes
 import hashlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,6 +55,46 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_OPEN = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = []
+    return _OPEN.scopes
+
+
+@contextlib.contextmanager
+def spent(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are spilled inside are deleted at the end, but for those given to the function that this yields.
+
+    For what stands between two results: once the later one is written nothing reads the
+    others again.  After an error all stay, as what fails may be tried again.
+    """
+    written: list[str] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scopes().append(written)
+    try:
+        yield keep
+    finally:
+        _scopes().pop()  # scopes are nested
+    stays = {_folder(f) for df in kept for f in df.inputFiles()}
+    for path in written:
+        if _folder(path + "/part") not in stays:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _folder(file: str) -> str:
+    """Name of a written table's folder, whichever way its path is spelled."""
+    return file.rstrip("/").split("/")[-2]
+
+
 @contextlib.contextmanager
 def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
     """Settings of the session for a while; what they were is put back."""
@@ -79,6 +120,8 @@ def spill(df: DataFrame, tag: str, narrow: bool = False, batch: int = 0) -> Data
     if narrow:
         df = df.coalesce(max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for scope in _scopes():
+        scope.append(path)
     with _settings(spark, {CLEAN_SHUFFLES: "true"} | ({BATCH_ROWS: str(batch)} if batch else {})):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import spill
+from tallyspark.llm.common import spent, spill
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -26,6 +26,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     Links may repeat and run either way; self-links are dropped; no links give no rows.
     Each round is written to the shared folder, so a lost executor costs one round.
     """
+    with spent(links.sparkSession) as keep:
+        edges = keep(_settled(links, a, b, rounds))
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _settled(links: DataFrame, a: str, b: str, rounds: int) -> DataFrame:
+    """Edges (u, v) from each node to the smallest of its component."""
     edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = spill(edges, "links", narrow=True)
     for _ in range(rounds):
@@ -40,5 +48,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         edges = spill(small.unionByName(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), "small-star", narrow=True)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return edges

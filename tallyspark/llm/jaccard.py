@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import BitFilter, GAMMA, KeyFilter, U, Words, bucket_count, buffer_of, dealt, lean, mix, row_key, slices, spans, spill, text_bytes, unused, wide_rows
+from tallyspark.llm.common import BitFilter, GAMMA, KeyFilter, U, Words, bucket_count, buffer_of, dealt, lean, mix, row_key, slices, spans, spent, spill, text_bytes, unused, wide_rows
 from tallyspark.llm.components import components
 
 GROWTH = 1.4
@@ -277,6 +277,7 @@ class Sets:
 
     def __init__(self, texts: DataFrame, nodes: DataFrame, width: int):
         self.texts, self.nodes, self.width, self.table = texts, nodes, width, None
+        self.tables: list[DataFrame] = []  # written ones that ``table`` is made of
 
     def of(self, ends: DataFrame) -> DataFrame:
         """A table that holds the sets of ``ends`` (set_id); texts are read again only where some are new."""
@@ -293,6 +294,7 @@ class Sets:
                 more = more.dropDuplicates(["set_id"])
             if rows != distinct or self.table is not None:
                 more = spill(more, "tokens")
+            self.tables.append(more)
             self.table = more if self.table is None else self.table.unionByName(more)
         return self.table
 
@@ -309,6 +311,14 @@ def _those(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, nodes: DataFrame, exact: Sets, low: int) -> DataFrame:
     """Those of (a, b) whose exact sets link."""
+    with spent(pairs.sparkSession) as keep:
+        found = keep(_verified(pairs, nodes, exact, low))
+        for table in exact.tables:
+            keep(table)
+    return found
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, exact: Sets, low: int) -> DataFrame:
     pairs = pairs.join(_side(nodes, "x", "a"), "a").join(_side(nodes, "y", "b"), "b").filter(_near(low)).select("a", "b")
     pairs = spill(pairs, "near", narrow=True)
     sets = _those(exact.of(_ends(pairs)), pairs)
@@ -424,6 +434,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts shorter than a shingle are one token; repeated rows are linked copies; a null
     id is never a component's name unless alone; an empty table gives no rows.
     """
+    with spent(docs.sparkSession) as keep:
+        placed, lowest = map(keep, _placed(docs, id_col, text_col, width, low))
+    joined = placed.join(lowest, F.col("component") == F.col("name"), "left")
+    return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, width: int, low: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, component) of every row, and the smallest id of each component of more than one."""
     texts = wide_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = bucket_count(text_bytes(docs, text_col))
     blocks = dealt(texts.mapInArrow(lean(_blocks(width, low, buckets)), BLOCK), buckets)
@@ -448,8 +466,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = facts.join(named, facts["set_id"] == named["node"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "set_id")).alias("component"))
     placed = spill(placed, "placed", narrow=True)
     lowest = spill(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("component").alias("name"), "first"), "lowest", narrow=True)
-    joined = placed.join(lowest, F.col("component") == F.col("name"), "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
+    return placed, lowest
+
+
+def _losers(keyed: DataFrame, key: str, id_col: str, text_col: str, width: int, low: int) -> tuple[DataFrame, DataFrame]:
+    """Keys of rows that go (_gone), and keys that several rows have (_again)."""
+    found = jaccard_components(keyed, key, text_col, width, low).filter("n_shingles > 0")
+    found = found.groupBy(F.col(key).alias("_of"), "component_id").agg(F.count(F.lit(1)).alias("_n"))
+    ids = keyed.groupBy(F.col(key).alias("_row")).agg(F.min(id_col).alias("_id"))
+    placed = spill(found.join(ids, F.col("_of") == F.col("_row")).drop("_row"), "near-placed", narrow=True)
+    order = F.struct(F.col("_id").isNull(), "_id", "_of")
+    stays = placed.groupBy(F.col("component_id").alias("_name")).agg(F.min_by("_of", order).alias("_stays"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    stays = spill(stays.select("_name", "_stays"), "near-stays", narrow=True)
+    gone = placed.join(stays, F.col("component_id") == F.col("_name")).filter("_of != _stays").select(F.col("_of").alias("_gone"))
+    return spill(gone, "near", narrow=True), spill(placed.filter("_n > 1").select(F.col("_of").alias("_again")), "near-again", narrow=True)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, low: int = 80) -> DataFrame:
@@ -461,17 +491,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     key = unused(docs, "tally_key")
     keyed = docs.withColumn(key, row_key(id_col, text_col))
-    found = jaccard_components(keyed, key, text_col, width, low).filter("n_shingles > 0")
-    found = found.groupBy(F.col(key).alias("_of"), "component_id").agg(F.count(F.lit(1)).alias("_n"))
-    ids = keyed.groupBy(F.col(key).alias("_row")).agg(F.min(id_col).alias("_id"))
-    placed = spill(found.join(ids, F.col("_of") == F.col("_row")).drop("_row"), "near-placed", narrow=True)
-    order = F.struct(F.col("_id").isNull(), "_id", "_of")
-    stays = placed.groupBy(F.col("component_id").alias("_name")).agg(F.min_by("_of", order).alias("_stays"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
-    stays = spill(stays.select("_name", "_stays"), "near-stays", narrow=True)
-    gone = placed.join(stays, F.col("component_id") == F.col("_name")).filter("_of != _stays").select(F.col("_of").alias("_gone"))
-    gone = spill(gone, "near", narrow=True)
+    with spent(docs.sparkSession) as keep:
+        gone, again = map(keep, _losers(keyed, key, id_col, text_col, width, low))
     left = keyed.join(gone, keyed[key] == gone["_gone"], "left_anti")
-    again = spill(placed.filter("_n > 1").select(F.col("_of").alias("_again")), "near-again", narrow=True)
     if again.limit(1).count():
         same = left[key] == again["_again"]
         left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([key]))

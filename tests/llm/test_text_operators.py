@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -426,3 +427,28 @@ def test_spill_puts_settings_back(spark):
     before = spark.conf.get(common.CLEAN_SHUFFLES), spark.conf.get(common.BATCH_ROWS)
     assert common.spill(spark.range(5).repartition(2), "t", batch=7).count() == 5
     assert before == (spark.conf.get(common.CLEAN_SHUFFLES), spark.conf.get(common.BATCH_ROWS))
+
+
+def test_spent_tables_go(spark):
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with common.spent(spark) as keep:
+        a = common.spill(spark.range(4), "spent-a")
+        with common.spent(spark) as inner:
+            b = inner(common.spill(a.filter("id > 1"), "spent-b"))
+        c = keep(common.spill(b, "spent-c"))
+    assert c.count() == 2 and len(set(os.listdir(folder)) - before) == 1
+    with pytest.raises(ZeroDivisionError):
+        with common.spent(spark):
+            common.spill(a.sparkSession.range(1), "spent-d")
+            raise ZeroDivisionError
+    assert len(set(os.listdir(folder)) - before) == 2
+
+
+def test_near_duplicates_leave_few_tables(spark):
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    docs = documents(spark)
+    n = jaccard.keep_one(docs).count()
+    assert 0 < n < docs.count()
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} <= {"near", "near-again"}
