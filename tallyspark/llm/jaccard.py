@@ -33,7 +33,10 @@ from tallyspark.llm.common import BitFilter, GAMMA, KeyFilter, U, Words, bucket_
 from tallyspark.llm.components import components
 
 GROWTH = 1.4
-FEW, FEW_HERE = 8, 4
+#: Sets of a key that are paired: the pairs grow with the square, what longer keys take grows with their members.
+FEW, FEW_HERE = 4, 4
+#: Members that a rare token has at most.
+RARE = 8
 #: Bytes of text that are shingled together.
 SLICE = 2 << 20
 POSITIONS = U((1 << 20) - 1)
@@ -379,7 +382,7 @@ def _neighbours(rest: DataFrame) -> DataFrame:
 def _rarest(members: DataFrame, exact: Sets, low: int) -> DataFrame:
     """Pairs of members in different components that share one of the rarest tokens of both.
 
-    All sets share one order of tokens: those of one member, then those of up to FEW, then
+    All sets share one order of tokens: those of one member, then those of up to RARE, then
     the others, each by value.  Two filters, bounded in size, tell them apart where the set
     is read, so only tokens of the front travel; a token that a filter takes for another kind
     has the same place in every set.  Of two sets that link, with sizes n <= m, the first
@@ -406,7 +409,7 @@ def _rarest(members: DataFrame, exact: Sets, low: int) -> DataFrame:
     held = sets.mapInArrow(lean(counted), "token long, held long").groupBy("token").agg(F.sum("held").alias("held")).filter("held > 1")
     held = spill(held, "member-tokens", batch=500)
     shared = context.broadcast(BitFilter.build(held, "token", "token"))
-    often = context.broadcast(BitFilter.build(held.filter(F.col("held") > FEW), "token", "token"))
+    often = context.broadcast(BitFilter.build(held.filter(F.col("held") > RARE), "token", "token"))
 
     def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
