@@ -23,7 +23,7 @@ from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.sources.tables import work_table
+from tallyspark.sources.scratch import work_table
 
 #: Bytes of references that may be broadcast; references of a block there, and of one that is dealt.
 SMALL, LOCAL_BLOCK, BLOCK = 32 << 20, 128, 2048

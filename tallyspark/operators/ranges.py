@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.analytics import ORDER
 from tallyspark.operators.events import MIN_FRAMES, MIN_MS, WINDOW_FRAMES, WINDOW_MS
-from tallyspark.sources.tables import work_table
+from tallyspark.sources.scratch import work_table
 
 #: Rows of a range, about.
 ROWS = 1_000_000

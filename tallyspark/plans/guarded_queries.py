@@ -12,7 +12,7 @@ from tallyspark.operators import guarded as G
 from tallyspark.plans.registry import Tables, query
 from tallyspark.sources import html as H
 from tallyspark.sources import tables as S
-from tallyspark.sources.tables import scratch
+from tallyspark.sources.scratch import scratch
 from tallyspark.sources.versions import VersionedTable
 
 # --- writes ----------------------------------------------------------------

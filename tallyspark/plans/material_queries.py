@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +15,7 @@ from tallyspark.functions import scores as S
 from tallyspark.functions import vectors as V
 from tallyspark.operators import nearest as N
 from tallyspark.plans.registry import Tables, query
+from tallyspark.sources import extract
 from tallyspark.sources import tables as R
 
 # --- vectors: 64 numbers, cut into parts; each vector meets the next one ----------------
@@ -121,3 +126,61 @@ def s14_export_restore(t: Tables) -> DataFrame:
     schema = T.StructType.fromDDL("play_id string, duplicate_key string, score int, ok int, calories double")
     restored, _ = R.restore_plays(plays.sparkSession, path, schema, plays.select("play_id"))
     return restored.drop("duplicate_key")
+
+
+@query("""WITH p AS (SELECT page_id AS page, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS h, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages)
+    SELECT page, unnest(range(0, len(h))) AS position, unnest(t) AS text, origin || unnest(h) AS link, true AS same_origin, NULL::VARCHAR AS error FROM p""")
+def x3_s5_lateral_rows(t: Tables) -> DataFrame:
+    """The links of all pages by a table function in SQL."""
+    pages = t.pages
+    extract.register(pages.sparkSession)
+    return pages.sparkSession.sql("SELECT p.page_id AS page, r.* FROM {pages} p, LATERAL html_rows(p.html, p.url, 'a', 'href') r", pages=pages)
+
+
+@query("""WITH r AS (SELECT page_id AS page, unnest(range(0, 3)) AS row_no FROM pages) SELECT page, 0 AS table_no, row_no, CASE row_no WHEN 0 THEN 'page|n|' WHEN 1 THEN 'p' || page || '|1|x' ELSE 'p' || page || '|2|2' END AS cells FROM r""")
+def x3_s6_lateral_cells(t: Tables) -> DataFrame:
+    """Tables put behind each page, by a table function in SQL."""
+    made = F.concat(F.lit("<table><tr><th>page</th><th>n</th></tr><tr><td rowspan=2>p"), "page_id", F.lit("<a>*1</a></td><td>1</td><td> x </td></tr><tr><td colspan=2>2</td></tr></table>"))
+    pages = t.pages.withColumn("html", F.concat("html", made))
+    extract.register(pages.sparkSession)
+    rows = pages.sparkSession.sql("SELECT p.page_id AS page, r.* FROM {pages} p, LATERAL html_cells(p.html) r", pages=pages)
+    return rows.withColumn("cells", F.array_join("cells", "|"))
+
+
+def _first(pattern: str, group: int, sure: float):
+    """An extractor of the first match, whose confidence falls with where it stands."""
+
+    def read(texts: pd.Series) -> pd.DataFrame:
+        found = [re.search(pattern, x) for x in texts]
+        return pd.DataFrame({"value": [m.group(group) if m else None for m in found], "confidence": [round(sure - 0.5 * min(1.0, m.start(group) / 1000), 6) if m else 0.0 for m in found], "status": ["ok" if m else "not_found" for m in found]})
+
+    return extract.extractor(read)
+
+
+PROFILES = {"digits": _first(r"([0-9]+)", 1, 1.0), "capital": _first(r"([A-Z][a-z]+)", 1, 0.9), "mail": _first(r"([a-z0-9]+)@", 1, 0.95)}
+FOUND = """v AS (SELECT doc_id, unnest(['digits', 'capital', 'mail']) AS profile, unnest([1.0, 0.9, 0.95]) AS sure, text, unnest([regexp_extract(text, '[0-9]+'), regexp_extract(text, '[A-Z][a-z]+'), regexp_extract(text, '([a-z0-9]+)@', 1)]) AS value, unnest(['', '', '@']) AS tail FROM documents),
+    x AS (SELECT doc_id, profile, nullif(value, '') AS value, CASE WHEN text IS NULL OR value = '' THEN 0.0 ELSE round(sure - 0.5 * least(1.0, (strpos(text, value || tail) - 1) / 1000), 6) END::DOUBLE AS confidence, CASE WHEN text IS NULL THEN 'missing' WHEN value = '' THEN 'not_found' ELSE 'ok' END AS status FROM v)"""
+
+
+@query(f"WITH {FOUND} SELECT * FROM x")
+def x1_extract(t: Tables) -> DataFrame:
+    """Three profiles of a user's extractor over every text."""
+    return extract.extract(t.documents, "doc_id", "text", PROFILES)
+
+
+@query(f"""WITH {FOUND}, b AS (SELECT * FROM x WHERE status = 'ok' AND confidence >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, list_position(['mail', 'digits', 'capital'], profile)) = 1)
+    SELECT d.doc_id, b.profile, b.value, coalesce(b.confidence, 0.0) AS confidence, CASE WHEN b.doc_id IS NULL THEN 'none' ELSE 'ok' END AS status FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id""")
+def x1_best_profile(t: Tables) -> DataFrame:
+    return extract.best_profile(extract.extract(t.documents, "doc_id", "text", PROFILES), "doc_id", ["mail", "digits", "capital"], 0.6)
+
+
+@query("""WITH e AS (SELECT event_id, user_id % 4 + 1 AS attempt, CASE WHEN event_type = 'error' THEN 'retry' WHEN value < 20 THEN 'skip' ELSE 'done' END AS disposition FROM events)
+    SELECT event_id, disposition, CASE disposition WHEN 'done' THEN 'resolved' WHEN 'skip' THEN 'skipped' ELSE CASE WHEN attempt >= 3 THEN 'unresolved' ELSE 'retry' END END AS outcome FROM e""")
+def x2_process(t: Tables) -> DataFrame:
+    """A user's processor over every event, with its dispositions checked and turned into outcomes."""
+
+    def judge(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(np.where(rows["event_type"] == "error", "retry", np.where(rows["value"] < 20, "skip", "done")))
+
+    events = t.events.withColumn("attempt", F.col("user_id") % 4 + 1)
+    return extract.process(events, judge, ["event_type", "value"], "attempt", 3).select("event_id", "disposition", "outcome")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.operators.evaluate import fingerprint, table_fingerprint
+from tallyspark.sources.scratch import scratch, work_table  # noqa: F401  part of this module
 
 
 def read_csv_required(spark: SparkSession, path: str, required: list[str], schema: T.StructType | None = None) -> DataFrame:
@@ -58,23 +58,6 @@ def write_report(df: DataFrame, path: str, order: list[str], fmt: str = "csv") -
     rows.write.mode("errorifexists").format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where that is unset a local session gets one of this machine."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def work_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that what follows doesn't compute it anew."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def publish(df: DataFrame, path: str, inputs: list[DataFrame] | None = None) -> str:
     """Write beside the target, read back, compare with what was written, then move; refuse to overwrite.  Gives the fingerprint.
 

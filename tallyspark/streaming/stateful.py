@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyspark.operators.events import MIN_MS, WINDOW_MS
 from tallyspark.operators.guarded import insert_once, validate
-from tallyspark.sources.tables import work_table
+from tallyspark.sources.scratch import work_table
 from tallyspark.sources.versions import FAN, VersionedTable
 
 
