@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.vectors import l1
+
 MIN_MS, MIN_FRAMES = 1000, 2
 WINDOW_MS, WINDOW_FRAMES = 90_000, 90
 
@@ -139,3 +141,27 @@ def classify(df: DataFrame, signals: list[str], needed: list[str], shaping: list
         "result_candidate": result, "result_shape_candidate": every & (some | result), "transition_kind": kind, "expected_result_candidate": wanted,
         "correct": result == wanted, "reason": F.coalesce(F.nullif(F.concat_ws(",", *held), F.lit("")), F.lit("no_signals")),
     })
+
+
+def stable_values(df: DataFrame, key: str, ts: str, order: str, vector: str, vector_hash: str, change: float = 0.08, frames: int = 3, ms: int = 100) -> DataFrame:
+    """Adds state (invalid, change, settling, stable, repeat) and difference: vectors that stay put, in order of arrival.
+
+    A row behind the latest time so far is invalid.  A mean absolute difference above
+    ``change`` from the row before, or an invalid row before, starts anew; ``frames`` rows
+    and ``ms`` after that the vector is stable, or a repeat if its hash was stable before
+    in the stream.  The batch form of ``streaming.stateful.Stability``.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    latest = F.max(ts).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = df.withColumn("_bad", F.coalesce(F.col(ts) < latest, F.lit(False)))
+    out = out.withColumns({"_before": F.when(~F.lag("_bad").over(w), F.lag(vector).over(w))})
+    gap = F.coalesce(l1(F.col("_before"), F.col(vector)), F.lit(1.0))
+    out = out.withColumn("difference", F.when(~F.col("_bad"), gap))
+    anew = F.col("_bad") | F.col("_before").isNull() | (F.col("difference") > change)
+    out = out.withColumn("_run", F.sum(anew.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_anew", anew)
+    run = Window.partitionBy(key, "_run").orderBy(order)
+    settled = ~F.col("_anew") & (F.row_number().over(run) >= frames) & (F.col(ts) - F.first(ts).over(run) >= ms)
+    out = out.withColumn("_settled", settled)
+    again = F.row_number().over(Window.partitionBy(key, vector_hash, "_settled").orderBy(order)) > 1
+    state = F.when(F.col("_bad"), "invalid").when(F.col("_anew"), "change").when(~F.col("_settled"), "settling").when(again, "repeat").otherwise("stable")
+    return out.withColumn("state", state).drop("_bad", "_before", "_run", "_anew", "_settled")

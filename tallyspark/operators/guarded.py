@@ -346,6 +346,58 @@ def check_master(songs: DataFrame, charts: DataFrame, metadata: DataFrame, snaps
     return out.unionByName(wrong.select(F.lit("snapshot_hash_mismatch").alias("code"), F.col("snapshot_id").cast("string").alias("detail")))
 
 
+#: What a row of a supplement manifest has, in order of name, and which difficulty it adds.
+SUPPLEMENT_KEYS = ("acquired_on", "chart_id", "level", "play_style", "song_id", "source_url", "title")
+SUPPLEMENT, SUPPLEMENT_NOTE = "CHALLENGE", "confirmed CHALLENGE supplement; source_url="
+
+
+def check_manifests(manifests: DataFrame, charts: DataFrame) -> DataFrame:
+    """Violations (master, code, detail) of supplement manifests (master, json, hash, declared) against each master's charts.
+
+    supplement_hash_mismatch, supplement_invalid_json and supplement_count_mismatch tell of
+    a manifest; supplement_row_keys (a row without exactly the keys), supplement_repeated,
+    supplement_not_in_charts (no such chart, or other values) and supplement_note_mismatch
+    of its rows.  Null texts are invalid JSON; masters without a manifest have no violations.
+    """
+    read = manifests.withColumn("_items", F.from_json("json", "array<string>"))
+    whole = reasons(
+        (~F.coalesce(F.sha2("json", 256) == F.col("hash"), F.lit(False)), "supplement_hash_mismatch"), (F.col("_items").isNull(), "supplement_invalid_json"),
+        (F.col("_items").isNotNull() & ~F.coalesce(F.col("declared") == F.size("_items"), F.lit(False)), "supplement_count_mismatch"),
+    )
+    out = read.select("master", F.explode(whole).alias("code"), F.lit("").alias("detail"))
+    rows = read.select("master", F.posexplode("_items").alias("at", "item"))
+    exact = F.coalesce(F.array_sort(F.json_object_keys("item")) == F.array(*[F.lit(k) for k in SUPPLEMENT_KEYS]), F.lit(False))
+    out = out.unionByName(rows.filter(~exact).select("master", F.lit("supplement_row_keys").alias("code"), F.col("at").cast("string").alias("detail")))
+    given = rows.filter(exact).withColumn("s", F.from_json("item", ", ".join(f"{k} string" for k in SUPPLEMENT_KEYS)))
+    given = given.select("master", "s.*").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("master", "chart_id")))
+    out = out.unionByName(given.filter("_n > 1").select("master", F.lit("supplement_repeated").alias("code"), F.col("chart_id").alias("detail")).distinct())
+    own = charts.select("master", F.col("chart_id").cast("string").alias("chart_id"), *[F.col(c).cast("string").alias(f"_{c}") for c in ("song_id", "title", "play_style", "difficulty", "level", "notes")])
+    met = given.filter("_n = 1").join(own, ["master", "chart_id"], "left")
+    same = (F.col("_difficulty") == SUPPLEMENT) & (F.col("_song_id") == F.col("song_id")) & (F.col("_title") == F.col("title")) & (F.col("_play_style") == F.col("play_style")) & (F.col("_level") == F.col("level"))
+    note = F.concat(F.lit(SUPPLEMENT_NOTE), "source_url", F.lit("; acquired_on="), "acquired_on")
+    code = F.when(~F.coalesce(same, F.lit(False)), "supplement_not_in_charts").when(~F.coalesce(F.endswith("_notes", note), F.lit(False)), "supplement_note_mismatch")
+    return out.unionByName(met.withColumn("code", code).filter("code IS NOT NULL").select("master", "code", F.col("chart_id").alias("detail")))
+
+
+def check_sources(masters: DataFrame, snapshots: DataFrame, required: str, optional: list[str]) -> DataFrame:
+    """Violations (master, code, detail) of declared sources: columns <name>_url and <name>_hash against snapshots (master, url, content_hash).
+
+    <name>_incomplete: a url without hash or the other way round (or, if ``required``,
+    neither); <name>_url_unknown; <name>_hash_mismatch; snapshot_count_mismatch: another
+    number of snapshots than sources that are declared.
+    """
+    given = lambda n, c: F.coalesce(F.col(f"{n}_{c}"), F.lit("")) != ""
+    sources = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(n == required).alias("must"), given(n, "url").alias("u"), given(n, "hash").alias("h"), F.col(f"{n}_url").alias("url"), F.col(f"{n}_hash").alias("hash")) for n in (required, *optional)])
+    each = masters.select("master", F.inline(sources))
+    known = snapshots.groupBy("master", "url").agg(F.max("content_hash").alias("_content"))
+    met = each.join(known, ["master", "url"], "left")
+    code = F.when((F.col("u") != F.col("h")) | (F.col("must") & ~F.col("u")), "incomplete").when(F.col("u") & F.col("_content").isNull(), "url_unknown").when(F.col("u") & (F.col("_content") != F.col("hash")), "hash_mismatch")
+    out = met.withColumn("code", F.concat_ws("_", "name", code)).filter(code.isNotNull()).select("master", "code", F.coalesce("url", F.lit("")).alias("detail"))
+    have = snapshots.groupBy("master").agg(F.count(F.lit(1)).alias("have"))
+    want = each.groupBy("master").agg(F.count_if(F.col("must") | F.col("u")).alias("want")).join(have, "master", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    return out.unionByName(want.filter("have != want").select("master", F.lit("snapshot_count_mismatch").alias("code"), F.concat_ws("/", "have", "want").alias("detail")))
+
+
 DOCUMENT = ("event struct<confirmation_mode: string, timestamp_ms: bigint, duplicate: boolean, status: string>, review struct<state: string>, material array<struct<kind: string, status: string, summary: string>>, retention struct<class: string, basis: date, expires: date>")
 DOCUMENT_KEYS = ("event", "material", "retention", "review")
 

@@ -154,7 +154,7 @@ ROUTE_SQL = """i AS (SELECT p_partkey AS k, p_partkey % 31 = 0 AS rejected, CASE
     p_partkey % 6 <> 1 AS in_top, p_partkey % 7 = 0 AS title_ambiguous, p_partkey % 11 = 0 AS pair_ambiguous, p_partkey % 2 = 0 AS pair_complete, p_partkey % 13 > 5 AS snapshot_title, p_partkey % 17 > 8 AS snapshot_pair FROM part),
     r AS (SELECT k, CASE WHEN rejected THEN 'rejected_capture_mismatch' WHEN gate IS NOT NULL THEN 'auto_jacket_gate' WHEN mismatch THEN 'manual_other' WHEN conflict THEN 'manual_jacket_ocr_conflict' WHEN one_title AND NOT title_ambiguous AND in_top THEN 'auto_jacket_top3_title_ocr'
     WHEN one_pair AND NOT pair_ambiguous AND NOT snapshot_pair THEN 'auto_ocr_title_artist_pair' WHEN pair_ambiguous THEN 'manual_ocr_pair_ambiguous' WHEN one_title AND NOT in_top AND NOT snapshot_title AND NOT pair_complete THEN 'manual_ocr_pair_incomplete' WHEN one_title AND NOT in_top THEN 'manual_jacket_top3_miss'
-    WHEN title_ambiguous THEN 'manual_jacket_ocr_unresolved' WHEN NOT pair_complete AND one_title AND NOT snapshot_title THEN 'manual_ocr_pair_incomplete' ELSE 'manual_jacket_ocr_unresolved' END AS route, one_title, in_top FROM i),
+    WHEN title_ambiguous THEN 'manual_jacket_ocr_unresolved' ELSE 'manual_jacket_ocr_unresolved' END AS route, one_title, in_top FROM i),
     m AS (SELECT k, route, CASE route WHEN 'auto_jacket_gate' THEN k WHEN 'auto_jacket_top3_title_ocr' THEN k WHEN 'auto_ocr_title_artist_pair' THEN k + 1 END AS matched FROM r)"""
 ROUTES = ["auto_jacket_gate", "auto_jacket_top3_title_ocr", "auto_ocr_title_artist_pair", "manual_jacket_ocr_conflict", "manual_jacket_ocr_unresolved", "manual_jacket_top3_miss", "manual_ocr_pair_ambiguous", "manual_ocr_pair_incomplete", "manual_other", "rejected_capture_mismatch", "never_taken"]
 
@@ -164,7 +164,7 @@ def route_rules() -> tuple[list[tuple[F.Column, str, F.Column | None, str]], tup
     c = F.col
     title, pair = F.get("title_ids", 0), F.get("pair_ids", 0)
     sole_title, sole_pair, near = F.size("title_ids") == 1, F.size("pair_ids") == 1, F.array_contains("top3", F.get("title_ids", 0))
-    # Names of routes and reasons.
+    # Names of routes are fixed values; a reason says which rule took the row.
     rules = [
         (c("rejected"), "rejected_capture_mismatch", None, "capture_review_rejected"),
         (c("gate_entity").isNotNull(), "auto_jacket_gate", c("gate_entity"), "jacket_gate"),
@@ -176,7 +176,6 @@ def route_rules() -> tuple[list[tuple[F.Column, str, F.Column | None, str]], tup
         (sole_title & ~near & ~(c("snapshot_title") | c("pair_complete")), "manual_ocr_pair_incomplete", None, "snapshot_missing_pair_incomplete"),
         (sole_title & ~near, "manual_jacket_top3_miss", None, "title_candidate_outside_jacket_top3"),
         (c("title_ambiguous"), "manual_jacket_ocr_unresolved", None, "title_ocr_ambiguous"),
-        (sole_title & ~(c("snapshot_title") | c("pair_complete")), "manual_ocr_pair_incomplete", None, "snapshot_missing_pair_incomplete"),
     ]
     return rules, ("manual_jacket_ocr_unresolved", "title_ocr_unresolved")
 

@@ -142,3 +142,20 @@ def p22_classify(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "event_type", (k % 2 == 0).alias("header"), (k % 3 != 0).alias("detail_panel"), F.when(k % 5 != 0, F.col("user_id") % 4 == 0).alias("score_area"), (k % 7 == 0).alias("rank"))
     out = E.classify(rows, ["header", "detail_panel", "score_area", "rank"], ["header", "detail_panel"], ["score_area", "rank"], F.when(k % 11 == 0, "countup"), F.col("event_type") == "purchase")
     return out.drop("event_type", "header", "detail_panel", "score_area", "rank")
+
+
+STABLE = """f AS (SELECT event_id, user_id::VARCHAR AS stream, epoch_us(ts) // 1000 - CASE WHEN event_id % 17 = 0 THEN 3000000000 ELSE 0 END AS timestamp_ms, [floor(value / 60) / 10, floor(value / 90) / 10]::DOUBLE[] AS v FROM events),
+    a AS (SELECT *, array_to_string(v, ',') AS h, coalesce(timestamp_ms < max(timestamp_ms) OVER (PARTITION BY stream ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS bad FROM f),
+    b AS (SELECT *, CASE WHEN NOT lag(bad) OVER w THEN lag(v) OVER w END AS p FROM a WINDOW w AS (PARTITION BY stream ORDER BY event_id)),
+    c AS (SELECT *, CASE WHEN NOT bad THEN coalesce((abs(v[1] - p[1]) + abs(v[2] - p[2])) / 2, 1.0) END AS difference FROM b),
+    d AS (SELECT *, bad OR p IS NULL OR difference > 0.08 AS anew FROM c),
+    e AS (SELECT *, sum(anew::INT) OVER (PARTITION BY stream ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM d),
+    g AS (SELECT *, NOT anew AND row_number() OVER w >= 2 AND timestamp_ms - first_value(timestamp_ms) OVER w >= 1000 AS settled FROM e WINDOW w AS (PARTITION BY stream, run ORDER BY event_id))"""
+
+
+@query(f"""WITH {STABLE} SELECT event_id, round(difference, 6) AS difference, CASE WHEN bad THEN 'invalid' WHEN anew THEN 'change' WHEN NOT settled THEN 'settling' WHEN row_number() OVER (PARTITION BY stream, h, settled ORDER BY event_id) > 1 THEN 'repeat' ELSE 'stable' END AS state FROM g""")
+def t7_stable_values(t: Tables) -> DataFrame:
+    """Coarse values of each user's events in order of id; every seventeenth is put back in time."""
+    rows = frames(t).withColumns({"timestamp_ms": F.col("timestamp_ms") - F.when(F.col("event_id") % 17 == 0, 3_000_000_000).otherwise(0), "v": F.array(F.floor(F.col("value") / 60) / 10, F.floor(F.col("value") / 90) / 10)})
+    out = E.stable_values(rows.withColumn("h", F.array_join("v", ",")), "stream", "timestamp_ms", "event_id", "v", "h", frames=2, ms=1000)
+    return out.select("event_id", F.round("difference", 6).alias("difference"), "state")

@@ -432,3 +432,57 @@ def s8_flag_table(t: Tables) -> DataFrame:
     row = lambda artist, on, mark: F.concat(F.lit("<tr><td>Page "), "page_id", F.lit(f"</td><td>{artist}</td><td>"), F.when(on, mark).otherwise("-"), F.lit("</td></tr>"))
     made = F.concat(F.lit("<table><tr><th>name</th><th>by</th><th>gp</th></tr>"), row("first", F.col("page_id") % 2 == 0, "○"), row("second", F.col("page_id") % 3 == 0, "〇"), F.lit("</table>"))
     return H.parse_flag_table(H.expand_tables(t.pages.withColumn("html", made), "page_id", "html"), "name", "by", "gp")
+
+
+# --- masters of twenty parts each, with a manifest of supplements and declared sources --------
+
+U5 = """u AS (SELECT p_partkey AS k, p_partkey // 20 AS master, p_name, p_brand, p_size, p_partkey % 4 = 0 AS given, p_partkey // 20 % 11 = 3 AS broken FROM part),
+    m AS (SELECT master, count(*) FILTER (given) AS n, any_value(broken) AS broken FROM u GROUP BY master)"""
+
+
+def supplements(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(manifests, charts): every fourth part is a supplement; by turns keys, values, notes, hashes and counts are off."""
+    k = F.col("p_partkey")
+    p = t.part.withColumns({"master": F.expr("p_partkey div 20"), "k": k})
+    charts = p.select(
+        "master", F.concat(F.lit("c"), k).alias("chart_id"), F.concat(F.lit("s"), k).alias("song_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("play_style"), F.when(k % 28 == 0, "EXPERT").otherwise("CHALLENGE").alias("difficulty"), F.col("p_size").alias("level"),
+        F.concat(F.lit("x confirmed CHALLENGE supplement; source_url=u"), k, F.lit("; acquired_on="), F.when(k % 36 == 0, "never").otherwise("d")).alias("notes"),
+    )
+    fields = {"acquired_on": F.lit("d"), "chart_id": F.concat(F.lit("c"), k), "level": F.col("p_size"), "play_style": F.col("p_brand"), "song_id": F.concat(F.lit("s"), k), "source_url": F.concat(F.lit("u"), k), "title": F.when(k % 44 == 0, "other").otherwise(F.col("p_name"))}
+    row = F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
+    less = F.to_json(F.struct(*[v.alias(n) for n, v in fields.items() if n != "title"]))
+    given = p.filter(k % 4 == 0).select("master", F.when(k % 52 == 0, less).otherwise(row).alias("item"), F.when(k % 60 == 0, 2).otherwise(1).alias("times"))
+    listed = given.select("master", F.explode(F.array_repeat("item", F.col("times"))).alias("item")).groupBy("master").agg(F.array_sort(F.collect_list("item")).alias("items"))  # twenty parts
+    text = F.when(F.col("master") % 11 == 3, "{not json").otherwise(F.concat(F.lit("["), F.array_join("items", ","), F.lit("]")))
+    out = listed.withColumn("json", text).select("master", "json", F.when(F.col("master") % 13 == 5, "x").otherwise(F.sha2("json", 256)).alias("hash"), (F.size("items") + F.when(F.col("master") % 17 == 2, 1).otherwise(0)).alias("declared"))
+    return out, charts
+
+
+@query(f"""WITH {U5}, g AS (SELECT *, 'c' || k AS chart FROM u WHERE given AND NOT broken), c AS (SELECT master, sum(CASE WHEN k % 60 = 0 THEN 2 ELSE 1 END) AS n FROM u WHERE given GROUP BY master),
+    i AS (SELECT master, k, row_number() OVER (PARTITION BY master ORDER BY item, copy) - 1 AS place FROM (SELECT master, k, unnest(range(0, CASE WHEN k % 60 = 0 THEN 2 ELSE 1 END)) AS copy,
+        '{{"acquired_on":"d","chart_id":"c' || k || '","level":' || p_size AS item FROM g))
+    SELECT master, 'supplement_hash_mismatch' AS code, '' AS detail FROM c WHERE master % 13 = 5 UNION ALL SELECT master, 'supplement_invalid_json', '' FROM c WHERE master % 11 = 3 UNION ALL SELECT master, 'supplement_count_mismatch', '' FROM c WHERE master % 17 = 2 AND master % 11 <> 3
+    UNION ALL SELECT master, 'supplement_row_keys', place::VARCHAR FROM i WHERE k % 52 = 0 UNION ALL SELECT master, 'supplement_repeated', chart FROM g WHERE k % 60 = 0 AND k % 52 <> 0
+    UNION ALL SELECT master, CASE WHEN k % 28 = 0 OR k % 44 = 0 THEN 'supplement_not_in_charts' ELSE 'supplement_note_mismatch' END, chart FROM g WHERE k % 52 <> 0 AND k % 60 <> 0 AND (k % 28 = 0 OR k % 44 = 0 OR k % 36 = 0)""")
+def u5_supplement_manifests(t: Tables) -> DataFrame:
+    return G.check_manifests(*supplements(t))
+
+
+@query("""WITH m AS (SELECT page_id AS master, 'a' || page_id AS au, CASE WHEN page_id % 7 = 0 THEN 'bad' ELSE 'h' || page_id END AS ah, CASE WHEN page_id % 3 = 0 THEN 'b' || page_id END AS bu, CASE WHEN page_id % 3 = 0 AND page_id % 5 <> 0 THEN 'h' || page_id END AS bh, CASE WHEN page_id % 11 = 0 THEN '' ELSE 'c' || page_id END AS cu, CASE WHEN page_id % 11 = 0 THEN '' ELSE 'h' || page_id END AS ch FROM pages),
+    s AS (SELECT page_id AS master, p || page_id AS url, 'h' || page_id AS h FROM pages, (SELECT unnest(['a', 'b', 'c']) AS p) WHERE (p <> 'b' OR page_id % 3 = 0) AND (p <> 'c' OR page_id % 13 <> 0)),
+    e AS (SELECT master, 'source' AS name, true AS must, au AS url, ah AS hash FROM m UNION ALL SELECT master, 'official_source', false, bu, bh FROM m UNION ALL SELECT master, 'new_song_source', false, cu, ch FROM m),
+    j AS (SELECT e.*, s.h, coalesce(e.url, '') <> '' AS u, coalesce(hash, '') <> '' AS k FROM e LEFT JOIN s ON s.master = e.master AND s.url = e.url),
+    w AS (SELECT master, count(*) FILTER (must OR u) AS want FROM j GROUP BY master), n AS (SELECT master, count(*) AS have FROM s GROUP BY master)
+    SELECT master, name || CASE WHEN u <> k THEN '_incomplete' WHEN h IS NULL THEN '_url_unknown' ELSE '_hash_mismatch' END AS code, coalesce(url, '') AS detail FROM j WHERE u <> k OR (u AND h IS NULL) OR (u AND h <> hash)
+    UNION ALL SELECT master, 'snapshot_count_mismatch', have || '/' || want FROM w JOIN n USING (master) WHERE have <> want""")
+def u5_declared_sources(t: Tables) -> DataFrame:
+    """A master for each page, with one to three declared sources and the snapshots that it holds."""
+    k = F.col("page_id")
+    mark = lambda p: F.concat(F.lit(p), k)
+    masters = t.pages.select(
+        k.alias("master"), mark("a").alias("source_url"), F.when(k % 7 == 0, "bad").otherwise(mark("h")).alias("source_hash"), F.when(k % 3 == 0, mark("b")).alias("official_source_url"), F.when((k % 3 == 0) & (k % 5 != 0), mark("h")).alias("official_source_hash"),
+        F.when(k % 11 == 0, "").otherwise(mark("c")).alias("new_song_source_url"), F.when(k % 11 == 0, "").otherwise(mark("h")).alias("new_song_source_hash"),
+    )
+    urls = F.array_compact(F.array(mark("a"), F.when(k % 3 == 0, mark("b")), F.when(k % 13 != 0, mark("c"))))
+    snapshots = t.pages.select(k.alias("master"), F.explode(urls).alias("url"), mark("h").alias("content_hash"))
+    return G.check_sources(masters, snapshots, "source", ["official_source", "new_song_source"])
