@@ -196,8 +196,8 @@ def map_values(col: Column, mapping: dict[str, str], squeeze: str = r"[\s_]+") -
 
 
 def first_int(col: Column) -> Column:
-    """First run of digits as a number; null without one."""
-    found = F.regexp_extract(col, r"(\d+)", 1)
+    """First run of digits of the compatible form (so full-width digits count) as a number; null without one."""
+    found = F.regexp_extract(compatible(col), r"(\d+)", 1)
     return F.when(found != "", found.try_cast("int"))
 
 

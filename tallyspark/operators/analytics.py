@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scores import CLEAR_ORDER, GRADE_ORDER, ordinal
+from tallyspark.sources.scratch import work_table
 
 ORDER = ("instant_ms", "_time", "_id")
 
@@ -185,9 +186,9 @@ def places(ordered: DataFrame, name: str = "place") -> DataFrame:
     """The 1-based place of every row of a sorted table.
 
     Rows are counted within each range of the sort, and the counts before a range are added,
-    so no task holds more than its range; the sort is kept, as both steps read it.
+    so no task holds more than its range; the sort is written out, as both steps read it.
     """
-    kept = ordered.withColumn("_at", F.monotonically_increasing_id()).persist()
+    kept = work_table(ordered.withColumn("_at", F.monotonically_increasing_id()), "places")
     part = F.shiftright("_at", 33)
     ahead = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

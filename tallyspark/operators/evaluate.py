@@ -294,12 +294,22 @@ def presence(songs: DataFrame, mapped: DataFrame, entity: str, available: str) -
     return songs.join(have, entity, "left").withColumn("presence", F.when(F.col("_in"), "present").when(F.col(available), "available_only").otherwise("absent")).drop("_in")
 
 
-def review_projection(refs: DataFrame, cands: DataFrame, history: DataFrame, ref_id: str, order: str) -> DataFrame:
-    """Per reference: its candidates by rank and its history in order, as arrays of structs."""
-    c = cands.groupBy(ref_id).agg(F.array_sort(F.collect_list(F.struct("rank", "entity"))).alias("candidates"))
-    h = history.groupBy(ref_id).agg(F.array_sort(F.collect_list(F.struct(order, "action"))).alias("history"))
+def review_projection(refs: DataFrame, cands: DataFrame, history: DataFrame, ref_id: str, order: str, listed: int = 1000) -> DataFrame:
+    """Per reference: its candidates by rank and its history in order, as arrays of structs, with how many there are.
+
+    The ``listed`` best candidates and latest entries are listed, so a row stays bounded;
+    the counts are those of all.
+    """
+
+    def gathered(rows: DataFrame, by: list[Column], entry: Column, name: str, count: str) -> DataFrame:
+        top = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(ref_id).orderBy(*by))).filter(F.col("_rn") <= listed)
+        lists = top.groupBy(ref_id).agg(F.array_sort(F.collect_list(entry)).alias(name))
+        return rows.groupBy(ref_id).agg(F.count(F.lit(1)).alias(count)).join(lists, ref_id)
+
+    c = gathered(cands, [F.col("rank"), F.col("entity")], F.struct("rank", "entity"), "candidates", "candidate_count")
+    h = gathered(history, [F.col(order).desc(), F.col("action").desc()], F.struct(order, "action"), "history", "revision_count")
     out = refs.join(c, ref_id, "left").join(h, ref_id, "left")
-    return out.withColumns({"candidate_count": F.coalesce(F.size("candidates"), F.lit(0)), "revision_count": F.coalesce(F.size("history"), F.lit(0))})
+    return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("candidate_count", "revision_count")})
 
 
 def coverage_summary(rows: DataFrame, confirmed: Column, auto: Column, false: Column, target: float = 0.90, stretch: float = 0.95) -> DataFrame:

@@ -192,10 +192,14 @@ def reuse_ids(base: DataFrame, extra: DataFrame, entity: str, keys: list[str]) -
 
 
 def merge_sources(base: DataFrame, extra: DataFrame, keys: list[str], level: str) -> tuple[DataFrame, DataFrame]:
-    """(merged, conflicts): rows of ``extra`` with new keys are added; the same key with another level is a conflict; the base's row stays."""
+    """(merged, conflicts): rows of ``extra`` with new keys are added; the same key with another level is a conflict; the base's row stays.
+
+    Of several new rows of one key that of the least level, then of the least other values, is added.
+    """
     both = base.select(*keys, F.col(level).alias("_base")).join(extra.select(*keys, F.col(level).alias("_extra")), keys)
     conflicts = both.filter(~F.col("_base").eqNullSafe(F.col("_extra"))).select(*keys, F.col("_base").alias("base_level"), F.col("_extra").alias("extra_level"))
-    new = extra.join(base.select(*keys), keys, "left_anti").dropDuplicates(keys)
+    rest = [c for c in base.columns if c not in (*keys, level)]
+    new = extra.join(base.select(*keys), keys, "left_anti").withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(level, *rest))).filter("_rn = 1")
     return base.unionByName(new.select(*base.columns)), conflicts
 
 

@@ -9,6 +9,7 @@ from tallyspark.functions.scores import clear_class, goal_score, grade, ordinal,
 from tallyspark.operators import analytics as A
 from tallyspark.operators import ranges
 from tallyspark.plans.registry import Tables, query
+from tallyspark.sources.scratch import work_table
 
 IDS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 #: Times as ISO text in both engines.
@@ -217,7 +218,7 @@ _PLACED_SQL = " UNION ALL ".join(
 @query(f"{BOTH} {_PLACED_SQL}")
 def l3_sort_modes(t: Tables) -> DataFrame:
     """The place of every row in each order; the bests are worked out once."""
-    out, rows = None, enriched(t).select("l_partkey", "title", "level", "best_score", "plays", "last_time").persist()
+    out, rows = None, work_table(enriched(t).select("l_partkey", "title", "level", "best_score", "plays", "last_time"), "bests")
     for mode in _SORT_SQL:
         placed = A.places(A.sort_bests(rows, mode, "l_partkey", 990_000).select("l_partkey")).select(F.lit(mode).alias("mode"), "l_partkey", "place")
         out = placed if out is None else out.unionByName(placed)

@@ -184,3 +184,12 @@ def x2_process(t: Tables) -> DataFrame:
 
     events = t.events.withColumn("attempt", F.col("user_id") % 4 + 1)
     return extract.process(events, judge, ["event_type", "value"], "attempt", 3).select("event_id", "disposition", "outcome")
+
+
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: least(255, greatest(0, round_even(abs(v)::DOUBLE * 255, 0)::INT))) AS u FROM embeddings)
+    SELECT vec_id, sha256('[' || array_to_string(u, ',') || ']') AS payload, vec_id % 3 <> 0 AS readable, CASE WHEN vec_id % 3 <> 0 THEN round(list_sum(list_transform(u, lambda x: x / 255.0)), 6) END AS total FROM p""")
+def v8_packed_payloads(t: Tables) -> DataFrame:
+    """Vectors packed to bytes, hashed, and unpacked again; every third one is said to have another length."""
+    packed = t.embeddings.select("vec_id", V.pack_u8(F.transform("embedding", lambda v: F.abs(v.cast("double")))).alias("u"))
+    back = V.unpack_u8(F.col("u"), F.when(F.col("vec_id") % 3 == 0, 63).otherwise(64))
+    return packed.select("vec_id", V.payload_hash(F.col("u")).alias("payload"), back.isNotNull().alias("readable"), F.round(F.aggregate(back, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))

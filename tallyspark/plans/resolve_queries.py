@@ -434,11 +434,12 @@ def j9_suffix_rerank(t: Tables) -> DataFrame:
 @query(f"""WITH {VEC}, s AS (SELECT vec_id, CASE WHEN distance > {MAX_D} THEN 'not_found' WHEN margin <= {DELTA} THEN 'ambiguous' ELSE 'matched' END AS st, entity FROM k WHERE rank = 1)
     SELECT vec_id, CASE st WHEN 'matched' THEN 'resolved_candidate' WHEN 'ambiguous' THEN CASE WHEN vec_id % 2 = 0 OR vec_id % 3 = 0 THEN 'composite_resolved_candidate' ELSE 'unresolved_ambiguous' END ELSE 'unresolved_not_found' END AS signal_status,
     CASE st WHEN 'matched' THEN 'primary' WHEN 'ambiguous' THEN CASE WHEN vec_id % 2 = 0 THEN 'even' WHEN vec_id % 3 = 0 THEN 'third' END END AS signal_source,
-    CASE WHEN st = 'matched' THEN entity WHEN st = 'ambiguous' AND vec_id % 2 = 0 THEN 1 WHEN st = 'ambiguous' AND vec_id % 3 = 0 THEN 2 END AS signal_entity FROM s""")
+    CASE WHEN st = 'matched' THEN entity WHEN st = 'ambiguous' AND vec_id % 2 = 0 THEN 1 WHEN st = 'ambiguous' AND vec_id % 3 = 0 THEN 2 END AS signal_entity,
+    CASE st WHEN 'matched' THEN 'unique_candidate' WHEN 'ambiguous' THEN CASE WHEN vec_id % 2 = 0 THEN 'ambiguous_even_resolved' WHEN vec_id % 3 = 0 THEN 'ambiguous_third_resolved' ELSE 'ambiguous_without_auxiliary_resolution' END ELSE CASE WHEN vec_id % 4 = 0 THEN 'blurred' ELSE 'not_found' END END AS signal_reason FROM s""")
 def j10_identity_signal(t: Tables) -> DataFrame:
     out = N.vector_match(vectors(t)[0].select("vec_id"), nearest(t), "vec_id", F.lit(True), F.lit(True), MAX_D, DELTA)
     aux = [(n, F.when(F.col("vec_id") % k == 0, "resolved_candidate").otherwise("missing"), F.lit(e)) for n, k, e in (("even", 2, 1), ("third", 3, 2))]
-    return out.select("vec_id", *N.identity_signal(F.col("match_status"), F.col("entity"), aux, F.lit("")))  .drop("signal_reason")
+    return out.select("vec_id", *N.identity_signal(F.col("match_status"), F.col("entity"), aux, F.when(F.col("vec_id") % 4 == 0, "blurred").otherwise("")))
 
 
 @query(f"""WITH r AS (SELECT label, embedding FROM embeddings WHERE vec_id % 5 <> 0), p AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM r), c AS (SELECT label, i, avg(x::DOUBLE) AS x FROM p GROUP BY ALL),

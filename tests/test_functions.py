@@ -86,7 +86,7 @@ def test_json_candidates(spark):
 
 def test_compatible_form_before_lookup(spark):
     rows = [("ＳＰ",), (" single ",), ("ｓｉｎｇｌｅ＿play",), ("ＬＶ．１２",), (None,)]
-    got = values(spark, rows, "t string", text.map_values(text.compatible("t"), text.STYLES), text.first_int(text.compatible("t")))
+    got = values(spark, rows, "t string", text.map_values(text.compatible("t"), text.STYLES), text.first_int(F.col("t")))
     assert got == [("SINGLE", None), ("SINGLE", None), ("SINGLE", None), ("LV.12", 12), (None, None)]
 
 
