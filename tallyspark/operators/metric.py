@@ -8,8 +8,9 @@ one block that is looked at first bound the k-th nearest entity; only blocks tha
 something within that bound are compared.
 
 References of up to ``small`` bytes are broadcast and observations stay where they are.
-Beyond that each reference lies in one block, and observations go to the blocks that they
-need: a block that many visit is copied for them, other references aren't.
+Beyond that blocks lie together in bins of GROUP bytes, each reference in one, and
+observations go once to each bin with a block that they need, where they meet these blocks
+only: a bin that many visit is copied for them, other references aren't.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from tallyspark.sources.scratch import work_table
 SMALL, LOCAL_BLOCK, BLOCK = 32 << 20, 128, 2048
 #: Candidates that are drawn for a pivot.
 SPREAD = 4
-#: Most pivots, blocks, observations that meet a block in one task, and bounds that are held at once.
-PIVOTS, BLOCKS, VISITORS, CELLS = 1024, 500_000, 4096, 1 << 22
+#: Most pivots, blocks, observations that meet a bin in one task, bounds that are held at once, and visits that leave a worker in one batch.
+PIVOTS, BLOCKS, VISITORS, CELLS, BATCH = 1024, 500_000, 1 << 14, 1 << 19, 1 << 13
+#: Bytes of the vectors, as doubles, of references that lie in one bin and of observations that meet them in one task.
+GROUP = 8 << 20
 #: Bounds are widened by this part, more than rounding can make of them.
 SLACK = 1e-9
 
@@ -139,18 +142,32 @@ class Local:
         names = refs.iloc[chosen]
         self.rings = Rings(w[chosen], names["ref"].to_numpy(), names["entity"].to_numpy(), np.arange(len(cut)), cell[order][cut], np.minimum.reduceat(r[order], cut), np.maximum.reduceat(r[order], cut))
 
-    def search(self, kind: str, obs: pd.DataFrame, k: int, within: float, leave_out: bool) -> tuple[list[pd.DataFrame], int]:
-        v, found, pairs = stacked(obs["v"]), [], 0
-        least, home, low, bound = self.rings.near(kind, v, obs["obs"].to_numpy(), k, leave_out)
+
+def search(kind: str, rings: Rings, parts: list[tuple[pd.DataFrame, np.ndarray]], obs: pd.DataFrame, k: int, within: float, leave_out: bool) -> tuple[pd.DataFrame, int, np.ndarray, np.ndarray]:
+    """Rows of all ``parts`` (the references and vectors of each ring) that may belong to the answer, pairs compared, and bounds of the nearest and the k-th.
+
+    ``obs`` may bring bounds (bound, low) that were found elsewhere.  Observations are taken a bounded number at a time.
+    """
+    found, pairs, lows, bounds = [], 0, [], []
+    step = max(1, CELLS // max(1, len(parts)))
+    for at in range(0, len(obs), step):
+        some = obs.iloc[at : at + step].reset_index(drop=True)
+        v = stacked(some["v"])
+        least, home, low, bound = rings.near(kind, v, some["obs"].to_numpy(), k, leave_out)
+        if "bound" in some:
+            low, bound = np.minimum(low, some["low"].to_numpy()), np.minimum(bound, some["bound"].to_numpy())
         for round_ in range(2):
-            for b, (refs, w) in enumerate(self.parts):
-                rows = np.flatnonzero((home == b) if round_ == 0 else (home != b) & (least[:, b] <= _reach(obs, low, bound, within)))
+            for b, (refs, w) in enumerate(parts):
+                rows = np.flatnonzero((home == b) if round_ == 0 else (home != b) & (least[:, b] <= _reach(some, low, bound, within)))
                 if len(rows):
-                    some, near, far = _compare(kind, obs.iloc[rows].assign(bound=bound[rows], low=low[rows]), v[rows], refs, w, k, within, leave_out)
-                    found.append(some)
+                    out, near, far = _compare(kind, some.iloc[rows].assign(bound=bound[rows], low=low[rows]), v[rows], refs, w, k, within, leave_out)
+                    if len(out):
+                        found.append(out)
                     low[rows], bound[rows] = np.minimum(low[rows], near), np.minimum(bound[rows], far)
                     pairs += len(rows) * len(w)
-        return found, pairs
+        lows.append(low)
+        bounds.append(bound)
+    return pd.concat(found, ignore_index=True) if found else nothing("obs", "entity", "ref", "distance"), pairs, np.concatenate(lows), np.concatenate(bounds)
 
 
 def pivot_count(rows: int) -> int:
@@ -205,7 +222,7 @@ def nearest_entities(
     if 8 * numbers + 64 * count <= small:
         found = _local(a, b, schema, k, within, kind, leave_out, block or LOCAL_BLOCK, compared)
     else:
-        found = _dealt(a, b, schema, count, k, within, kind, leave_out, block or BLOCK, compared)
+        found = _dealt(a, b, schema, count, -(-numbers // count), k, within, kind, leave_out, block or BLOCK, compared)
     best = found.groupBy("obs", "entity").agg(F.min(F.struct("distance", "ref")).alias("m")).select("obs", "entity", "m.distance", "m.ref")
     order = Window.partitionBy("obs").orderBy("distance", "entity")
     keep = F.col("_n") <= k
@@ -229,21 +246,19 @@ def _local(a: DataFrame, b: DataFrame, schema: str, k: int, within: float, kind:
         for batch in batches:
             lengths = batch["v"].map(len)
             for n in set(lengths) & set(known.value):
-                same = batch[lengths == n].reset_index(drop=True)
-                step = max(1, CELLS // max(1, len(known.value[n].parts)))
-                for at in range(0, len(same), step):
-                    found, pairs = known.value[n].search(kind, same.iloc[at : at + step].reset_index(drop=True), k, within, leave_out)
-                    if compared is not None:
-                        compared.add(pairs)
-                    if found:
-                        yield pd.concat(found, ignore_index=True)
+                found, pairs, _, _ = search(kind, known.value[n].rings, known.value[n].parts, batch[lengths == n], k, within, leave_out)
+                if compared is not None:
+                    compared.add(pairs)
+                yield found
 
     return a.mapInPandas(near, schema)
 
 
-def _dealt(a: DataFrame, b: DataFrame, schema: str, count: int, k: int, within: float, kind: str, leave_out: bool, block: int, compared: Accumulator | None) -> DataFrame:
+def _dealt(a: DataFrame, b: DataFrame, schema: str, count: int, width: int, k: int, within: float, kind: str, leave_out: bool, block: int, compared: Accumulator | None) -> DataFrame:
     spark = a.sparkSession
     block = max(block, -(-count // BLOCKS))
+    held = max(block, GROUP // (8 * width))  # references that lie together
+    visitors = max(1, min(VISITORS, held))
     b = work_table(b, "nearest-references")
     drawn = b.withColumn("size", F.size("w")).withColumn("_n", F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("w"), "entity", "ref"))).filter(F.col("_n") <= SPREAD * pivot_count(count)).drop("_n")
     drawn = drawn.toPandas().sort_values(["size", "entity", "ref"])  # a few times PIVOTS of each length
@@ -264,17 +279,17 @@ def _dealt(a: DataFrame, b: DataFrame, schema: str, count: int, k: int, within:
     kinds = dict(b.dtypes)
     placed = b.mapInPandas(place, ", ".join(f"{c} {kinds[c]}" for c in b.columns) + ", cell long, r double")
     # Ranges of (pivot, distance) split a cell however full it is; a task numbers its rows, and a block is a run of them in one cell.
-    tasks = max(1, -(-count // (16 * block)))
+    tasks = max(1, -(-count // (16 * held)))
     ordered = placed.repartitionByRange(tasks, "cell", "r", "ref").sortWithinPartitions("cell", "r", "ref").withColumn("_row", F.monotonically_increasing_id())
-    rings = work_table(ordered.withColumn("block", F.expr(f"_row div {block}")).drop("_row"), "nearest-rings")
-    ring = rings.groupBy("block", "cell").agg(F.min("r").alias("low"), F.max("r").alias("high")).toPandas().sort_values(["cell", "low", "block"])  # BLOCKS and a few more
+    ordered = ordered.withColumns({"block": F.expr(f"_row div {block}"), "bin": F.expr(f"_row div {held}"), "size": F.size("w")}).drop("_row")
+    rings = work_table(ordered, "nearest-rings")
+    ring = rings.groupBy("bin", "block", "cell").agg(F.min("r").alias("low"), F.max("r").alias("high")).toPandas().sort_values(["bin", "cell", "low", "block"])  # BLOCKS and a few more
     index = {}
     for n, part in pivots.groupby("size"):
         own = ring[ring["cell"].isin(part.index)].reset_index(drop=True)
-        keys = list(zip(own["block"], own["cell"]))
-        index[int(n)] = Rings(stacked(part["w"]), part["ref"].to_numpy(), part["entity"].to_numpy(), np.array(keys, np.int64).reshape(-1, 2), own["cell"].to_numpy() - part.index[0], own["low"].to_numpy(), own["high"].to_numpy())
+        index[int(n)] = Rings(stacked(part["w"]), part["ref"].to_numpy(), part["entity"].to_numpy(), own[["bin", "block"]].to_numpy(np.int64), own["cell"].to_numpy() - part.index[0], own["low"].to_numpy(), own["high"].to_numpy())
     known = spark.sparkContext.broadcast(index)
-    wide = f"obs {dict(a.dtypes)['obs']}, v {dict(a.dtypes)['v']}, reach double, bound double, low double, block long, cell long, salt long"
+    wide = f"obs {dict(a.dtypes)['obs']}, v {dict(a.dtypes)['v']}, reach double, bound double, low double, bin long, size int, salt long"
 
     def visits(first: bool, salts):
         def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,43 +297,56 @@ def _dealt(a: DataFrame, b: DataFrame, schema: str, count: int, k: int, within:
                 lengths = batch["v"].map(len)
                 for n in set(lengths) & set(known.value):
                     rings, same = known.value[n], batch[lengths == n].reset_index(drop=True)
+                    bins, start = np.unique(rings.block[:, 0], return_index=True)
                     step = max(1, CELLS // max(1, len(rings.block)))
                     for at in range(0, len(same), step):
                         part = same.iloc[at : at + step].reset_index(drop=True)
                         least, home, low, bound = rings.near(kind, stacked(part["v"]), part["obs"].to_numpy(), k, leave_out)
+                        own = np.searchsorted(bins, rings.block[home, 0])
                         if first:
-                            row, ring = np.arange(len(part)), home
+                            row, to = np.arange(len(part)), own
                         else:
                             low, bound = np.minimum(low, part["_low"].fillna(np.inf)), np.minimum(bound, part["_bound"].fillna(np.inf))
-                            ok = least <= np.asarray(_reach(part, low, bound, within))[:, None]
-                            ok[np.arange(len(part)), home] = False
-                            row, ring = np.nonzero(ok)
-                        out = part.iloc[row][["obs", "v", "reach"]].assign(bound=np.asarray(bound)[row], low=np.asarray(low)[row], block=rings.block[ring, 0], cell=rings.block[ring, 1])
-                        many = np.array([salts.value.get((x, y), 1) for x, y in zip(out["block"], out["cell"])], np.int64) if salts else 1
-                        yield out.assign(salt=pd.util.hash_array(out["obs"].to_numpy()).astype(np.int64) % many)
+                            ok = np.logical_or.reduceat(least <= np.asarray(_reach(part, low, bound, within))[:, None], start, axis=1)
+                            ok[np.arange(len(part)), own] = False
+                            row, to = np.nonzero(ok)
+                        bound, low = np.asarray(bound), np.asarray(low)
+                        # An observation may visit every bin: its vector is copied for a bounded number of visits at a time.
+                        for cut in range(0, len(row), BATCH):
+                            of, at_bin = row[cut : cut + BATCH], bins[to[cut : cut + BATCH]]
+                            out = part.iloc[of][["obs", "v", "reach"]].assign(bound=bound[of], low=low[of], bin=at_bin, size=np.int32(n))
+                            many = np.array([salts.value.get((b, n), 1) for b in at_bin.tolist()], np.int64) if salts else 1
+                            yield out.assign(salt=pd.util.hash_array(out["obs"].to_numpy()).astype(np.int64) % many)
 
         return visit
 
     def meet(rows: DataFrame, first: bool) -> DataFrame:
-        asked = rows.mapInPandas(visits(first, None), wide).groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n"))
-        many = {(r["block"], r["cell"]): -(-r["n"] // VISITORS) for r in asked.filter(F.col("n") > VISITORS).collect()}  # blocks that many visit: BLOCKS at most
+        asked = rows.mapInPandas(visits(first, None), wide).groupBy("bin", "size").agg(F.count(F.lit(1)).alias("n"))
+        many = {(r["bin"], r["size"]): -(-r["n"] // visitors) for r in asked.filter(F.col("n") > visitors).collect()}  # bins that many visit: BLOCKS at most
         salts = spark.sparkContext.broadcast(many)
-        copies = spark.createDataFrame([(int(x), int(y), int(n)) for (x, y), n in many.items()], "block long, cell long, n long")
+        copies = spark.createDataFrame([(int(b), int(n), int(m)) for (b, n), m in many.items()], "bin long, size int, n long")
         each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n", F.lit(1)) - 1))
-        held = rings.join(F.broadcast(copies), ["block", "cell"], "left").withColumn("salt", each)
+        met = rings.join(F.broadcast(copies), ["bin", "size"], "left").withColumn("salt", each)
 
         def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if not len(x) or not len(y):
                 return nothing("obs", "entity", "ref", "distance", "near", "far")
+            every = known.value[len(y["w"].iloc[0])]
+            here = np.flatnonzero(every.block[:, 0] == y["bin"].iloc[0])
+            cells = np.unique(every.pivot[here])  # pivots stay in order of entity
+            own = Rings(every.pivots[cells], every.ref[cells], every.entity[cells], every.block[here], np.searchsorted(cells, every.pivot[here]), every.low[here], every.high[here])
+            offset = y["cell"].min() - cells[0]
             y = y.sort_values(["entity", "ref"])
+            of = {key: rows for key, rows in y.groupby(["block", "cell"])}
+            parts = [of[b, int(c)] for b, c in zip(every.block[here, 1].tolist(), every.pivot[here] + offset)]
+            found, pairs, near, far = search(kind, own, [(rows[["ref", "entity"]], stacked(rows["w"])) for rows in parts], x, k, within, leave_out)
             if compared is not None:
-                compared.add(len(x) * len(y))
-            found, near, far = _compare(kind, x, stacked(x["v"]), y, stacked(y["w"]), k, within, leave_out)
-            of = pd.DataFrame({"obs": x["obs"], "near": near, "far": far}).groupby("obs", as_index=False).min()
-            return found.merge(of, on="obs")
+                compared.add(pairs)
+            best = pd.DataFrame({"obs": x["obs"].to_numpy(), "near": near, "far": far}).groupby("obs", as_index=False).min()
+            return found.merge(best, on="obs")
 
         asked = rows.mapInPandas(visits(first, salts), wide)
-        return asked.groupBy("block", "cell", "salt").cogroup(held.groupBy("block", "cell", "salt")).applyInPandas(compare, schema + ", near double, far double")
+        return asked.groupBy("bin", "size", "salt").cogroup(met.groupBy("bin", "size", "salt")).applyInPandas(compare, schema + ", near double, far double")
 
     home = work_table(meet(a, True), "nearest-home")
     bounds = home.groupBy("obs").agg(F.min("near").alias("_low"), F.min("far").alias("_bound"))

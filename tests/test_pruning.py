@@ -196,3 +196,29 @@ def test_a_hot_signature_runs_in_many_tasks(spark):
     each = spark.createDataFrame(rows, "e int, sig string, v array<double>").withColumn("size", F.lit(2))
     groups = N._close_in_rings(each, 0.01, 20)
     assert groups.count() == len(brute_pairs([(e, s, v) for e, s, v in rows], 0.01))
+
+
+def test_work_arrays_are_bounded(monkeypatch):
+    """Unstructured vectors, of which each observation must meet nearly every block: no array holds more than CELLS distances, and results are those of brute force."""
+    rng = np.random.default_rng(5)
+    w, v = rng.random((6000, 32)), rng.random((3000, 32))
+    refs = pd.DataFrame({"ref": np.arange(6000), "entity": np.arange(6000) % 7, "w": list(w)}).sort_values(["entity", "ref"])
+    largest, plain = [], M.distances
+    monkeypatch.setattr(M, "CELLS", 1 << 14)
+    known = M.Local("l1", refs, 16)
+    monkeypatch.setattr(M, "distances", lambda kind, a, b: largest.append(len(a) * max(len(b), len(known.parts))) or plain(kind, a, b))
+    found, _, low, _ = M.search("l1", known.rings, known.parts, pd.DataFrame({"obs": np.arange(3000), "v": list(v), "reach": -1.0}), 1, 0.0, False)
+    assert max(largest) <= M.CELLS
+    assert np.allclose(low, plain("l1", v, w).min(1)) and set(found["obs"]) == set(range(3000))
+
+
+def test_dealt_references_lie_in_bins(spark, monkeypatch):
+    """Several bins, two lengths of vectors, several tasks for a bin: the same as when all is broadcast."""
+    monkeypatch.setattr(M, "GROUP", 8 * 4 * 100)
+    monkeypatch.setattr(M, "VISITORS", 60)
+    rng = np.random.default_rng(6)
+    rows = lambda n, at: [(at + i, int(rng.integers(6)), rng.random(4 if i % 5 else 3).tolist()) for i in range(n)]
+    obs, refs = (spark.createDataFrame(r, "id long, e int, v array<double>") for r in (rows(90, 0), rows(400, 50)))
+    ask = lambda small: M.nearest_entities(obs, refs, "id", "id", "e", "v", 2, within=0.02, leave_out=True, small=small, block=8).toPandas()
+    far, near = (t.sort_values(["id", "distance", "entity"]).reset_index(drop=True) for t in (ask(0), ask(1 << 20)))
+    pd.testing.assert_frame_equal(far, near)
