@@ -175,3 +175,19 @@ def test_fuzzy_query_against_difflib(spark):
         assert got["match_status"] == ("not_found" if best < 0.92 else "ambiguous" if ties > 1 else "matched")
         assert got["top_chart"] == scored[0][3] and abs(got["top_score"] - best) < 1e-6
         assert got["top_candidates"] == " | ".join(f"{-s:.4f}:{title} / {artist} [{i}]" for s, title, artist, i in scored[:5])
+
+
+def test_coverage_comes_from_sums_by_block(spark):
+    """No pair of observation and candidate is moved or sorted, and the totals make none; the same as by pairs, also of observations of several rows."""
+    obs = spark.createDataFrame([(i % 70, f"s{i % 5}") for i in range(80)], "obs long, style string")
+    charts = spark.createDataFrame([(f"s{i % 4}", i) for i in range(40)], "style string, song long")
+    refs = spark.createDataFrame([(i,) for i in range(40) if i % 4 == 0 or i % 8 == 1], "song long")
+    rows = V.candidate_coverage(obs, charts, refs, "obs", "song", ["style"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") > plan.index("Join")  # the window is below the join that makes the pairs
+    by_pairs = {tuple(r) for r in V.coverage_totals(rows, "obs").collect()}
+    assert by_pairs == {tuple(r) for r in V.block_coverage_totals(obs, charts, refs, "obs", "song", ["style"]).collect()}
+    asked = obs.selectExpr("obs", "style", "obs % 45 AS expected", "'' AS failure", "'ready' AS block_status").distinct()
+    pairs = asked.join(charts, "style").select("obs", "song")
+    one, other = (V.expected_status(asked, c, refs, "obs", "song", b).select("obs", "style", "expected_status", "expected_reason") for c, b in ((pairs, None), (charts, ["style"])))
+    assert sorted(map(tuple, other.filter("obs >= 10").collect())) == sorted(map(tuple, one.filter("obs >= 10").collect()))
