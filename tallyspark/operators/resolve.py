@@ -13,6 +13,11 @@ from tallyspark.functions.text import similarity_bound, title_similarity
 FIRST = 4
 
 
+def by_sorting(df: DataFrame) -> DataFrame:
+    """``df`` for a join that may spill: rows of a catalog's keys are many times what its compressed file lets the planner expect, too many to broadcast."""
+    return df.hint("merge")
+
+
 def keyed(df: DataFrame, entity: str, steps: dict[int, Column | list[Column]]) -> DataFrame:
     """(step, key, entity) rows of a catalog; a step may have several keys; null and blank ones are left out."""
     listed = [(n, k) for n, keys in steps.items() for k in (keys if isinstance(keys, list) else [keys])]
@@ -34,7 +39,7 @@ def cascade(obs: DataFrame, obs_id: str, steps: dict[int, Column], catalog: Data
     is m rows, not n times m; a list is gathered once a key.
     """
     known = ["hits", "entity", "key"] + ["entities"] * lists
-    hits = keyed(obs, obs_id, steps).withColumnRenamed("entity", "_obs").join(key_summary(catalog, lists=lists), ["step", "key"])
+    hits = keyed(obs, obs_id, steps).withColumnRenamed("entity", "_obs").join(by_sorting(key_summary(catalog, lists=lists)), ["step", "key"])
     best = hits.groupBy("_obs").agg(F.min("step").alias("step"), F.min_by(F.struct(*known), "step").alias("_best"))
     return best.select(F.col("_obs").alias(obs_id), "step", *[F.col(f"_best.{c}").alias(c) for c in known])
 
@@ -45,7 +50,7 @@ def map_cascade(obs: DataFrame, obs_id: str, complete: Column, steps: dict[int,
     The first step with hits decides: one entity resolves, more are ambiguous.
     """
     found = cascade(obs.filter(complete), obs_id, steps, catalog)
-    out = obs.withColumn("_complete", F.coalesce(complete, F.lit(False))).join(found, obs_id, "left")
+    out = obs.withColumn("_complete", F.coalesce(complete, F.lit(False))).join(by_sorting(found), obs_id, "left")
     table = lambda k: F.element_at(F.create_map(*[F.lit(x) for n, v in labels.items() for x in (n, v[k])]), F.col("step"))
     one = F.col("hits") == 1
     status = F.when(one, table(0)).otherwise("unresolved")
@@ -56,7 +61,7 @@ def map_cascade(obs: DataFrame, obs_id: str, complete: Column, steps: dict[int,
 def strict_lookup(obs: DataFrame, obs_id: str, complete: Column, exact: Column, folded: Column, catalog: DataFrame) -> DataFrame:
     """Exact keys (canonical and alias together), then normalised ones: status exact, normalized, ambiguous, not_found, incomplete."""
     found = cascade(obs.filter(complete), obs_id, {1: exact, 2: folded}, catalog, lists=True)
-    out = obs.withColumn("_complete", F.coalesce(complete, F.lit(False))).join(found, obs_id, "left")
+    out = obs.withColumn("_complete", F.coalesce(complete, F.lit(False))).join(by_sorting(found), obs_id, "left")
     status = F.when(~F.col("_complete"), "incomplete").when(F.col("hits").isNull(), "not_found").when(F.col("hits") > 1, "ambiguous").when(F.col("step") == 1, "exact").otherwise("normalized")
     return out.withColumns({"status": status, "entities": F.coalesce("entities", F.array().cast("array<bigint>"))}).drop("_complete", "hits", "entity", "key", "step")
 
@@ -70,11 +75,11 @@ def resolve_title(obs: DataFrame, obs_id: str, title: Column, artist: Column | N
     """
     blank = F.coalesce(title == "", F.lit(True))
     found = cascade(obs.filter(~blank), obs_id, {1: title, 2: title}, catalog)
-    out = obs.withColumns({"_blank": blank, "_artist": artist if artist is not None else F.lit(None).cast("string")}).join(found, obs_id, "left")
+    out = obs.withColumns({"_blank": blank, "_artist": artist if artist is not None else F.lit(None).cast("string")}).join(by_sorting(found), obs_id, "left")
     if artists is not None:
-        owned = catalog.join(artists.select(F.col("entity"), F.col("artist").alias("_artist")), "entity").filter("_artist IS NOT NULL")
+        owned = catalog.join(by_sorting(artists.select(F.col("entity"), F.col("artist").alias("_artist"))), "entity").filter("_artist IS NOT NULL")
         sole = key_summary(owned, ("step", "key", "_artist")).filter("hits = 1").select("step", "key", "_artist", F.col("entity").alias("_broken"))
-        out = out.join(sole, ["step", "key", "_artist"], "left").withColumn("_broken", F.when(F.col("hits") > 1, F.col("_broken")))
+        out = out.join(by_sorting(sole), ["step", "key", "_artist"], "left").withColumn("_broken", F.when(F.col("hits") > 1, F.col("_broken")))
     else:
         out = out.withColumn("_broken", F.lit(None).cast("long"))
     by = F.when(F.col("step") == 1, "title").otherwise("alias")
@@ -92,7 +97,7 @@ def resolve_pair(obs: DataFrame, obs_id: str, ok: Column, has_feature: Column, p
     whole = F.coalesce(ok, F.lit(False)) & F.coalesce(pair != "", F.lit(False))
     found = cascade(obs.filter(whole), obs_id, {1: pair, 2: pair, 3: title}, catalog, lists=candidates)
     out = obs.withColumns({"_ok": F.coalesce(ok, F.lit(False)), "_pair": F.coalesce(pair != "", F.lit(False)), "_feature": F.coalesce(has_feature, F.lit(False))})
-    out = out.join(found, obs_id, "left").join(available.select(F.col("entity"), F.col("available").alias("_available")), "entity", "left")
+    out = out.join(by_sorting(found), obs_id, "left").join(by_sorting(available.select(F.col("entity"), F.col("available").alias("_available"))), "entity", "left")
     unique = (F.col("step") < 3) & (F.col("hits") == 1)
     kind = F.when(F.col("step") == 1, "canonical").otherwise("alias")
     status = F.when(~F.col("_ok") | ~F.col("_pair") | F.col("hits").isNull(), "unresolved").when(~unique, "needs_review").when(~F.col("_feature"), "unresolved").when(~F.coalesce("_available", F.lit(False)), "needs_review").otherwise("auto_confirmed")
@@ -162,7 +167,7 @@ def apply_availability(songs: DataFrame, entity: str, steps: dict[int, Column],
     """
     found = cascade(songs, entity, steps, official)
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("step"))
-    out = songs.join(found.withColumnRenamed("entity", "official"), entity, "left")
+    out = songs.join(by_sorting(found.withColumnRenamed("entity", "official")), entity, "left")
     status = F.when(F.col("hits").isNull(), "not_found").when(F.col("hits") == 1, label).otherwise(F.concat(F.lit("ambiguous_"), label))
     return out.withColumns({"availability": status, "available": F.coalesce(F.col("hits") == 1, F.lit(False)), "official": F.when(F.col("hits") == 1, F.col("official"))}).drop("step", "hits", "key")
 

@@ -191,3 +191,13 @@ def test_coverage_comes_from_sums_by_block(spark):
     pairs = asked.join(charts, "style").select("obs", "song")
     one, other = (V.expected_status(asked, c, refs, "obs", "song", b).select("obs", "style", "expected_status", "expected_reason") for c, b in ((pairs, None), (charts, ["style"])))
     assert sorted(map(tuple, other.filter("obs >= 10").collect())) == sorted(map(tuple, one.filter("obs >= 10").collect()))
+
+
+def test_a_catalog_of_a_small_file_is_not_broadcast(spark, tmp_path):
+    """Its keys are many times its compressed file, by which the planner judges."""
+    spark.range(3000).selectExpr("id AS song", "concat('t', id % 7) AS title").write.parquet(str(tmp_path / "songs"))
+    songs = spark.read.parquet(str(tmp_path / "songs"))
+    found = R.cascade(songs, "song", {1: F.col("title"), 2: F.col("title")}, R.keyed(songs, "song", {1: F.col("title"), 2: F.col("title")}))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {(r["step"], r["hits"]) for r in found.collect()} == {(1, 428), (1, 429)}
