@@ -38,10 +38,17 @@ def cascade(obs: DataFrame, obs_id: str, steps: dict[int, Column], catalog: Data
     catalog is summed up by key before, so a key that n entities and m observations share
     is m rows, not n times m; a list is gathered once a key.
     """
-    known = ["hits", "entity", "key"] + ["entities"] * lists
-    hits = keyed(obs, obs_id, steps).withColumnRenamed("entity", "_obs").join(by_sorting(key_summary(catalog, lists=lists)), ["step", "key"])
+    known = ["hits", "entity", "key"]
+    hits = keyed(obs, obs_id, steps).withColumnRenamed("entity", "_obs").join(by_sorting(key_summary(catalog)), ["step", "key"])
     best = hits.groupBy("_obs").agg(F.min("step").alias("step"), F.min_by(F.struct(*known), "step").alias("_best"))
-    return best.select(F.col("_obs").alias(obs_id), "step", *[F.col(f"_best.{c}").alias(c) for c in known])
+    found = best.select(F.col("_obs").alias(obs_id), "step", *[F.col(f"_best.{c}").alias(c) for c in known])
+    return with_lists(found, catalog) if lists else found
+
+
+def with_lists(found: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rows of a cascade with ``entities``, the list of their (step, key).  To come last: lists meet their rows once and aren't moved with them."""
+    gathered = key_summary(catalog, lists=True).select("step", "key", "entities")
+    return found.join(by_sorting(gathered), ["step", "key"], "left")
 
 
 def map_cascade(obs: DataFrame, obs_id: str, complete: Column, steps: dict[int, Column], catalog: DataFrame, labels: dict[int, tuple[str, str]]) -> DataFrame:
@@ -60,8 +67,8 @@ def map_cascade(obs: DataFrame, obs_id: str, complete: Column, steps: dict[int,
 
 def strict_lookup(obs: DataFrame, obs_id: str, complete: Column, exact: Column, folded: Column, catalog: DataFrame) -> DataFrame:
     """Exact keys (canonical and alias together), then normalised ones: status exact, normalized, ambiguous, not_found, incomplete."""
-    found = cascade(obs.filter(complete), obs_id, {1: exact, 2: folded}, catalog, lists=True)
-    out = obs.withColumn("_complete", F.coalesce(complete, F.lit(False))).join(by_sorting(found), obs_id, "left")
+    found = cascade(obs.filter(complete), obs_id, {1: exact, 2: folded}, catalog)
+    out = with_lists(obs.withColumn("_complete", F.coalesce(complete, F.lit(False))).join(by_sorting(found), obs_id, "left"), catalog)
     status = F.when(~F.col("_complete"), "incomplete").when(F.col("hits").isNull(), "not_found").when(F.col("hits") > 1, "ambiguous").when(F.col("step") == 1, "exact").otherwise("normalized")
     return out.withColumns({"status": status, "entities": F.coalesce("entities", F.array().cast("array<bigint>"))}).drop("_complete", "hits", "entity", "key", "step")
 
@@ -95,9 +102,10 @@ def resolve_pair(obs: DataFrame, obs_id: str, ok: Column, has_feature: Column, p
     Without ``candidates`` no list is gathered.
     """
     whole = F.coalesce(ok, F.lit(False)) & F.coalesce(pair != "", F.lit(False))
-    found = cascade(obs.filter(whole), obs_id, {1: pair, 2: pair, 3: title}, catalog, lists=candidates)
+    found = cascade(obs.filter(whole), obs_id, {1: pair, 2: pair, 3: title}, catalog)
     out = obs.withColumns({"_ok": F.coalesce(ok, F.lit(False)), "_pair": F.coalesce(pair != "", F.lit(False)), "_feature": F.coalesce(has_feature, F.lit(False))})
     out = out.join(by_sorting(found), obs_id, "left").join(by_sorting(available.select(F.col("entity"), F.col("available").alias("_available"))), "entity", "left")
+    out = with_lists(out, catalog) if candidates else out
     unique = (F.col("step") < 3) & (F.col("hits") == 1)
     kind = F.when(F.col("step") == 1, "canonical").otherwise("alias")
     status = F.when(~F.col("_ok") | ~F.col("_pair") | F.col("hits").isNull(), "unresolved").when(~unique, "needs_review").when(~F.col("_feature"), "unresolved").when(~F.coalesce("_available", F.lit(False)), "needs_review").otherwise("auto_confirmed")

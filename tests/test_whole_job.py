@@ -201,3 +201,13 @@ def test_a_catalog_of_a_small_file_is_not_broadcast(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert {(r["step"], r["hits"]) for r in found.collect()} == {(1, 428), (1, 429)}
+
+
+def test_lists_of_a_key_come_last(spark):
+    """No list is moved with an observation: above the join that adds the lists there is no exchange."""
+    songs = spark.range(400).selectExpr("id AS song", "concat('t', id % 7) AS title")
+    out = R.strict_lookup(songs, "song", F.lit(True), F.col("title"), F.col("title"), R.keyed(songs, "song", {1: F.col("title"), 2: F.col("title")}))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    lists = {r["song"]: r["entities"] for r in out.collect()}
+    assert all(lists[i] == [k for k in range(400) if k % 7 == i % 7] for i in range(400))
