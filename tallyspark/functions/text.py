@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
-from collections.abc import Callable
+from bisect import insort
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -186,6 +188,92 @@ def similarity_bound(seen: Column, known: Column) -> Column:
     return F.pandas_udf(bound, "double")(seen, known)
 
 
+#: Letters of a known text for which common letters are counted; longer ones are bounded by their lengths.
+WIDE = 256
+
+
+def common_table(seen: list[str], known: list[str]) -> np.ndarray:
+    """``common_letters`` of every seen text with every known one, or for long texts the shorter length, which is no less."""
+    m, n = np.array([len(a) for a in seen], np.int64), np.array([len(b) for b in known], np.int64)
+    out = np.minimum(m[:, None], n[None, :])
+    rows, cols = np.flatnonzero((m > 0) & (m <= WORD_BITS)), np.flatnonzero((n > 0) & (n <= WIDE))
+    if not len(rows) or not len(cols):
+        return out
+    letters = {c: i + 1 for i, c in enumerate(sorted({c for i in rows for c in seen[i]}))}
+    code = np.zeros((int(n[cols].max()), len(cols)), np.int64)
+    for k, j in enumerate(cols):
+        code[: n[j], k] = [letters.get(c, 0) for c in known[j]]
+    step = max(1, MASK_CELLS // (len(letters) + len(cols)) // 8)
+    for at in range(0, len(rows), step):
+        some = rows[at : at + step]
+        mask = np.zeros((len(some), len(letters) + 1), np.uint64)
+        for k, i in enumerate(some):
+            for place, c in enumerate(seen[i]):
+                mask[k, letters[c]] |= np.uint64(1 << place)
+        v = np.full((len(some), len(cols)), np.iinfo(np.uint64).max, np.uint64)
+        for places in code:
+            hit = v & mask[:, places]
+            v = (v + hit) | (v - hit)
+        inside = np.array([(1 << int(k)) - 1 for k in m[some]], np.uint64)
+        out[np.ix_(some, cols)] = np.bitwise_count(~v & inside[:, None])
+    return out
+
+
+def similarity_table(seen: list[str], known: list[str]) -> np.ndarray:
+    """No less than ``similarity`` of every seen text with every known one."""
+    common = common_table(seen, known)
+    m, n = np.array([len(a) for a in seen], np.int64), np.array([len(b) for b in known], np.int64)
+    held = (n >= CONTAINED_FROM) & (common >= n)  # what lies inside is common whole
+    return np.where(held & (m[:, None] > 0), 1.0, 2.0 * common / np.maximum(m[:, None] + n, 1))
+
+
+def six_digits(score: float) -> Decimal:
+    """A score rounded as Spark's ``round`` does."""
+    return Decimal(repr(score)).quantize(Decimal("0.000001"), ROUND_HALF_UP)
+
+
+def best_titles(seen: list[str], known: list[str], count: list[int], best: int) -> Iterator[tuple[list[tuple[float, int]], int]]:
+    """For each seen text the ``best`` known ones as (score, place), by score and place, and how many tie with the first to six digits, each counted ``count`` times.
+
+    Known texts are scored by falling bound until no bound reaches what was found.
+    """
+    step, matchers = max(1, MASK_CELLS // max(1, len(known))), {}
+    for at in range(0, len(seen), step):
+        some = seen[at : at + step]
+        for text, bounds in zip(some, similarity_table(some, known)):
+            found, last = [], (-1.0, 0)  # (score, -place), rising
+            tied, top, near = [], -1.0, -1.0
+            for j in np.argsort(-bounds, kind="stable").tolist():
+                bound = float(bounds[j])
+                if bound < near and bound < last[0]:
+                    break
+                if bound < near and (bound, -j) < last:
+                    continue
+                score = _score(text, known[j], bound, matchers, j)
+                if score >= near:
+                    top = max(top, score)
+                    near = top - 0.000001
+                    tied.append((score, j))
+                if len(found) < best or (score, -j) > found[0]:
+                    insort(found, (score, -j))
+                    found = found[-best:]
+                    last = found[0] if len(found) == best else last
+            first = six_digits(top) if tied else None
+            yield [(s, -j) for s, j in reversed(found)], sum(count[j] for s, j in tied if s == top or (s >= near and six_digits(s) == first))
+
+
+def _score(seen: str, known: str, bound: float, matchers: dict[int, SequenceMatcher], j: int) -> float:
+    """``similarity``; what is known of ``known`` is kept from text to text."""
+    if not bound or not seen or not known:
+        return 0.0
+    if len(known) >= CONTAINED_FROM and known in seen:
+        return 1.0
+    if (m := matchers.get(j)) is None:
+        m = matchers[j] = SequenceMatcher(None, "", known)
+    m.set_seq1(seen)
+    return m.ratio()
+
+
 def map_values(col: Column, mapping: dict[str, str], squeeze: str = r"[\s_]+") -> Column:
     """Look up the lower-cased, squeezed text; unknown values become the trimmed upper case.
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.ids import reasons
-from tallyspark.functions.text import similarity_bound, title_similarity
+from tallyspark.functions.text import best_titles, similarity_bound, title_similarity
+from tallyspark.sources.scratch import work_table
 
 
 #: Times the wanted number of pairs are scored to find out which others can matter.
@@ -146,26 +151,96 @@ def best_scored(cands: DataFrame, obs_id: str, seen: str, known: str, best: int
     return least.withColumn("score", F.coalesce("_score", again)).drop("_bound", "_first", "_score", "_least")
 
 
+#: Different known and seen texts of a block that are compared at once; rows of a catalog that are shown.
+KNOWN, SEEN, SHOWN = 2048, 512, 5
+#: Tasks that compare, for each core: bins are small and what takes time is comparing, so they aren't dealt by size.
+WAVES = 16
+
+
+def _packed(texts: DataFrame, block: list[str], item: Column, name: str, size: int) -> DataFrame:
+    """Rows (block, _bin, _bins, ``name``): the items of a block in bins of about ``size``, dealt by the hash of ``_text``; written out."""
+    texts = work_table(texts, name)
+    bins = texts.groupBy(*block).agg(F.expr(f"count(1) div {size} + 1").alias("_bins"))
+    dealt = texts.join(bins, block).withColumn("_bin", F.pmod(F.xxhash64("_text"), "_bins"))
+    return work_table(dealt.groupBy(*block, "_bin", "_bins").agg(F.array_sort(F.collect_list(item)).alias(name)), name)
+
+
+def best_in_block(seen: DataFrame, charts: DataFrame, block: list[str], title_key: str, chart_id: str) -> DataFrame:
+    """For each (block, ``_text``) of ``seen`` its best score, ``_ties`` (rows that tie with it to six digits) and ``_top``, the SHOWN best rows (negative score, title, artist, id).
+
+    Texts of a block that are equal are one, on both sides, and bins of texts meet: a pair of
+    texts is a number in an array and never a row.
+    """
+    row = F.struct("title", "artist", F.col(chart_id).alias("id"))
+    keyed = work_table(charts.select(*block, "title", "artist", chart_id, F.coalesce(title_key, F.lit("")).alias("_text")), "titles").withColumn("_row", row)
+    place = F.row_number().over(Window.partitionBy(*block, "_text").orderBy("title", "artist", chart_id))
+    some = keyed.withColumn("_rn", place).filter(f"_rn <= {SHOWN}").groupBy(*block, "_text").agg(F.array_sort(F.collect_list("_row")).alias("rows"))
+    known = some.join(keyed.groupBy(*block, "_text").agg(F.count(F.lit(1)).alias("n")), [*block, "_text"])
+    known = _packed(known, block, F.struct("rows", F.col("_text").alias("text"), "n"), "known", KNOWN)
+    asked = _packed(seen.select(*block, "_text").distinct(), block, F.col("_text"), "seen", SEEN)
+    # A bin of seen texts goes to each bin of known ones, so a block of many is many tasks.
+    bins = known.groupBy(*block).agg(F.max("_bins").alias("_known"))
+    asked = asked.join(bins, block).select(*block, "seen", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_known") - 1)).alias("_bin"))
+    met = asked.join(by_sorting(known), [*block, "_bin"]).select(*block, "seen", "known").repartition(WAVES * charts.sparkSession.sparkContext.defaultParallelism)
+    kinds = [met.schema[c].dataType.simpleString() for c in block]
+    top = known.schema["known"].dataType.elementType["rows"].dataType.elementType
+    top = "array<struct<score:double," + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in top) + ">>"
+    shape = ", ".join([*[f"`{c}` {k}" for c, k in zip(block, kinds)], "_text string", "best double", "ties long", f"top {top}"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield _compared(batch.slice(i, 1), block)
+
+    found = met.mapInArrow(compare, shape)
+    order = F.flatten(F.transform(F.collect_list("top"), lambda t: F.transform(t, lambda r: F.struct((-r["score"]).alias("low"), r["title"].alias("title"), r["artist"].alias("artist"), r["id"].alias("id")))))
+    merged = found.groupBy(*block, "_text").agg(F.max("best").alias("top_score"), F.collect_list(F.struct("best", "ties")).alias("_each"), F.slice(F.array_sort(order), 1, SHOWN).alias("_top"))
+    same = F.filter("_each", lambda e: F.round(e["best"], 6) == F.round("top_score", 6))
+    return merged.withColumn("_ties", F.aggregate(same, F.lit(0).cast("long"), lambda total, e: total + e["ties"])).drop("_each")
+
+
+def _compared(pair: pa.RecordBatch, block: list[str]) -> pa.RecordBatch:
+    """A bin of seen texts against a bin of known ones: for each seen text its best rows."""
+    seen, known = pair.column("seen").flatten(), pair.column("known").flatten()
+    lists = known.field("rows")
+    ends, rows = np.asarray(lists.offsets), lists.values
+    take, scores, size, best, ties = [], [], [], [], []
+    for top, tied in best_titles(seen.to_pylist(), known.field("text").to_pylist(), known.field("n").to_pylist(), SHOWN):
+        level, mine = None, 0
+        for score, j in top:
+            if score != level:
+                if mine >= SHOWN:
+                    break
+                level = score
+            take += range(ends[j], ends[j + 1])
+            scores += [score] * int(ends[j + 1] - ends[j])
+            mine += int(ends[j + 1] - ends[j])
+        size.append(mine)
+        best.append(top[0][0])
+        ties.append(tied)
+    chosen = rows.take(pa.array(take, pa.int64()))
+    row = pa.StructArray.from_arrays([pa.array(scores, pa.float64()), *chosen.flatten()], names=["score", *[f.name for f in chosen.type]])
+    top = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), row)
+    again = pa.array(np.zeros(len(seen), np.int64))
+    return pa.RecordBatch.from_arrays([*[pair.column(c).take(again) for c in block], seen, pa.array(best, pa.float64()), pa.array(ties, pa.int64()), top], names=[*block, "_text", "best", "ties", "top"])
+
+
 def fuzzy_match(obs: DataFrame, obs_id: str, seen: str, ready: Column, charts: DataFrame, block: list[str], title_key: str, chart_id: str, threshold: float = 0.92) -> DataFrame:
     """Best title in the block: status matched, ambiguous (equal best to 6 digits), not_found, insufficient_input.
 
     Adds top_score, top_chart, match_reason and the five best candidates as text.  Catalog
-    rows need title and artist; keys are folded before, once per row.  A pair of a block is
-    one row with a bound of its score; see ``best_scored`` for those that are scored.
+    rows need title and artist; keys are folded before, once per row.  ``obs_id`` tells
+    observations apart; each is judged by its own text and block, see ``best_in_block``.
     """
     good = F.coalesce(ready & (F.col(seen) != ""), F.lit(False))
-    cands = best_scored(block_candidates(obs.filter(good).select(obs_id, seen, *block), charts, block), obs_id, seen, title_key)
-    order = Window.partitionBy(obs_id).orderBy(F.col("score").desc(), "title", "artist", chart_id)
-    ranked = cands.withColumns({"_rn": F.row_number().over(order), "_best": F.max("score").over(Window.partitionBy(obs_id))})
-    shown = F.format_string("%.4f:%s / %s [%s]", "score", "title", "artist", F.col(chart_id).cast("string"))
-    top = ranked.groupBy(obs_id).agg(
-        F.max("_best").alias("top_score"), F.max(F.when(F.col("_rn") == 1, F.col(chart_id))).alias("top_chart"), F.count_if(F.round("score", 6) == F.round("_best", 6)).alias("_ties"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_rn") <= 5, F.struct("_rn", shown.alias("text"))))), lambda s: s["text"]), " | ").alias("top_candidates"),
-    )
-    out = obs.withColumn("_good", good).join(top, obs_id, "left")
+    asked = obs.withColumns({"_good": good, "_text": F.when(good, F.col(seen))})
+    top = best_in_block(asked.filter("_good"), charts, block, title_key, chart_id)
+    out = asked.join(by_sorting(top), [*block, "_text"], "left").select(*[F.col(c) for c in obs.columns], "_good", "top_score", "_ties", "_top")
+    shown = F.transform("_top", lambda r: F.format_string("%.4f:%s / %s [%s]", -r["low"], r["title"], r["artist"], r["id"].cast("string")))
+    out = out.withColumns({"top_chart": F.try_element_at("_top", F.lit(1))["id"], "top_candidates": F.array_join(shown, " | ")})
     status = F.when(~F.col("_good"), "insufficient_input").when(F.col("top_score").isNull() | (F.col("top_score") < threshold), "not_found").when(F.col("_ties") > 1, "ambiguous").otherwise("matched")
     reason = F.when(~F.col("_good"), "missing_input").when(F.col("top_score").isNull(), "no_candidates").when(F.col("top_score") < threshold, "below_threshold").when(F.col("_ties") > 1, "tied_top_score").otherwise("")
-    return out.withColumns({"match_status": status, "match_reason": reason}).drop("_good", "_ties")
+    return out.withColumns({"match_status": status, "match_reason": reason}).drop("_good", "_ties", "_top")
 
 
 def apply_availability(songs: DataFrame, entity: str, steps: dict[int, Column], official: DataFrame, names: tuple[str, ...] = ("pair", "alias_pair", "unique_title", "alias_unique_title")) -> DataFrame:

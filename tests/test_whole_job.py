@@ -211,3 +211,24 @@ def test_lists_of_a_key_come_last(spark):
     assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
     lists = {r["song"]: r["entities"] for r in out.collect()}
     assert all(lists[i] == [k for k in range(400) if k % 7 == i % 7] for i in range(400))
+
+
+def test_fuzzy_pairs_are_never_rows(spark, monkeypatch):
+    """Bins of texts meet, equal texts are one: the same best rows and ties as by loops, whatever the bins."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 7)))
+    charts = [(k, f"{word()}", f"artist{k % 3}", k % 2) for k in range(120)] + [(200 + k, "abcdab", "same", 0) for k in range(9)] + [(300, "x" * 300, "long", 1)]
+    seen = [(k, word() if k % 9 else "abcdab", k % 3) for k in range(90)] + [(400, "x" * 290 + "y", 1)]
+    c = spark.createDataFrame(charts, "id int, title string, artist string, block int").withColumn("known", F.col("title"))
+    o = spark.createDataFrame(seen, "obs int, seen string, block int")
+    for known, asked in ((2048, 512), (7, 4)):
+        monkeypatch.setattr(R, "KNOWN", known)
+        monkeypatch.setattr(R, "SEEN", asked)
+        found = {r["_text"] + str(r["block"]): r for r in R.best_in_block(o.withColumn("_text", F.col("seen")), c, ["block"], "known", "id").collect()}
+        assert len(found) == len({(s, b) for _, s, b in seen if b < 2})
+        for _, text, block in seen:
+            scored = sorted((-X.similarity(text, t), t, a, i) for i, t, a, b in charts if b == block)
+            if scored:
+                got = found[text + str(block)]
+                assert [tuple(r) for r in got["_top"]] == scored[:5] and got["top_score"] == -scored[0][0]
+                assert got["_ties"] == sum(round(s[0], 6) == round(scored[0][0], 6) for s in scored)
