@@ -26,9 +26,14 @@ def in_ranges(df: DataFrame, part: list[str], order: list[str], rows: int = ROWS
 
     Rows that are equal in part and order stay in one range, so ``order`` should tell rows apart.
     """
+    return _in_ranges(df, part, order, rows)[0]
+
+
+def _in_ranges(df: DataFrame, part: list[str], order: list[str], rows: int) -> tuple[DataFrame, int]:
+    """``in_ranges`` and the number of tasks for what is done inside the ranges: with as many as ranges a task holds a few ranges at most, whatever the input."""
     n = max(1, -(-df.count() // rows))
     dealt = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in [*part, *order]])
-    return work_table(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    return work_table(dealt.withColumn("_range", F.spark_partition_id()), "ranges"), n
 
 
 def _carried(ranges: DataFrame, part: list[str], carry: dict[str, Column]) -> DataFrame:
@@ -48,13 +53,16 @@ def _join(rows: DataFrame, carried: DataFrame, part: list[str]) -> DataFrame:
 def previous_best(df: DataFrame, part: list[str], measures: list[str], rows: int = ROWS) -> DataFrame:
     """``analytics.previous_best`` for entities of any size: adds previous_<measure>, the best of strictly earlier events."""
     timed = F.col("instant_ms").isNotNull()
-    ranged = in_ranges(df, part, list(ORDER), rows)
+    ranged, n = _in_ranges(df, part, list(ORDER), rows)
     best = ranged.groupBy(*part, "_range").agg(*[F.max(F.when(timed, F.col(m))).alias(f"_b_{m}") for m in measures])
     earlier = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    joined = _join(ranged, _carried(best, part, {f"_c_{m}": F.max(f"_b_{m}").over(earlier) for m in measures}), part)
-    here = Window.partitionBy(*part, "_range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    out = joined.withColumns({f"previous_{m}": F.when(timed, F.greatest(F.max(F.when(timed, F.col(m))).over(here), F.col(f"_c_{m}"))) for m in measures})
-    return out.drop("_range", *[f"_c_{m}" for m in measures])
+    carried = _carried(best, part, {f"_b_{m}": F.max(f"_b_{m}").over(earlier) for m in measures})
+    # What is carried is the first row of its range, so rows needn't be moved for a join and moved again.
+    marked = ranged.withColumns({f"_b_{m}": F.when(timed, F.col(m)) for m in measures}).withColumn("_first", F.lit(False))
+    both = marked.unionByName(carried.withColumn("_first", F.lit(True)), allowMissingColumns=True).repartition(n, *part, "_range")
+    here = Window.partitionBy(*part, "_range").orderBy(F.desc("_first"), *ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumns({f"previous_{m}": F.when(timed, F.max(f"_b_{m}").over(here)) for m in measures}).filter("NOT _first")
+    return out.drop("_range", "_first", *[f"_b_{m}" for m in measures])
 
 
 def confirm_events(
@@ -68,7 +76,8 @@ def confirm_events(
     by = [ts, order] if ts else [order]
     marked = df.withColumns({"_transition": F.coalesce(transition, F.lit(False)), "_dup": dup})
     marked = marked.withColumn("_run", F.coalesce(candidate, F.lit(False)) & ~F.col("_transition"))
-    ranged = in_ranges(marked, [key], by, rows)
+    ranged, n = _in_ranges(marked, [key], by, rows)
+    ranged = ranged.repartition(n, key, "_range")
     local = Window.partitionBy(key, "_range").orderBy(*by)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = ranged.withColumns({"_i": F.row_number().over(local), "_island": F.sum((~F.col("_run")).cast("long")).over(upto)})

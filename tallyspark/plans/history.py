@@ -95,7 +95,8 @@ def w1_w2_previous_best(t: Tables) -> DataFrame:
 @query(f"WITH {PLAYS_SQL}, {PREVIOUS.replace('PARTITION BY l_partkey', 'PARTITION BY 1')} SELECT {', '.join(SHOWN)} FROM prev")
 def w2_hot_entity(t: Tables) -> DataFrame:
     """All plays as those of one entity, which no single task holds."""
-    return ranges.previous_best(plays(t).withColumn("_all", F.lit(1)), ["_all"], ["score", "extra"], rows=100_000).select(*SHOWN)
+    rows = plays(t).select(*IDS, "played_at", "score", "extra", *A.ORDER, F.lit(1).alias("_all"))
+    return ranges.previous_best(rows, ["_all"], ["score", "extra"], rows=100_000).select(*SHOWN)
 
 
 @query(f"WITH {PLAYS_SQL}, {PREVIOUS} SELECT {', '.join(SHOWN)} FROM prev WHERE score > previous_score OR extra > previous_extra")

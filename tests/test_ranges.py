@@ -43,3 +43,12 @@ def test_no_task_above_its_range(spark):
     df = A.with_order(spark.range(5000).select(F.lit("hot").alias("e"), "id", F.timestamp_seconds("id").alias("at")), "at", "id")
     held = ranges.in_ranges(df, ["e"], list(A.ORDER), 500).groupBy("_range").count().collect()
     assert len(held) >= 9 and max(r["count"] for r in held) < 1500
+
+
+def test_tasks_are_as_many_as_ranges(spark):
+    """Rows are moved once to be dealt and once to their range, to a task for each range; none is moved for a join."""
+    df = A.with_order(spark.range(5000).select(F.lit("hot").alias("e"), "id", F.timestamp_seconds("id").alias("at"), (F.col("id") % 7).alias("score")), "at", "id")
+    out = ranges.previous_best(df, ["e"], ["score"], 250)
+    assert out.rdd.getNumPartitions() == 20
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    same(out, A.previous_best(df, ["e"], ["score"]))
