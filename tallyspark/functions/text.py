@@ -76,14 +76,29 @@ def norm_ws(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, _SPACES, " "))
 
 
+#: Bytes of text that are Python strings at once.
+FOLDED = 1 << 20
+
+
+def fold_all(kind: str, texts: pa.Array) -> pa.Array:
+    """``fold`` of a column, FOLDED bytes of text after the other, once for each different text of these."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(ends // FOLDED)) + 1
+    out = []
+    for a, b in zip([0, *cuts], [*cuts, len(texts)]):
+        part = texts.slice(a, b - a).to_pylist()
+        found = {t: fold(kind, t) for t in set(part) if t is not None}
+        out.append(pa.array([found.get(t) for t in part], pa.string()))
+    return pa.concat_arrays(out)
+
+
 def _folded(kind: str, col: Column | str) -> Column:
-    """``fold`` over Arrow batches, once for each different text of a batch.  Made on use: workers import this module too."""
+    """``fold_all`` over Arrow batches.  Made on use: workers import this module too."""
 
-    def key(texts: pd.Series) -> pd.Series:
-        found = {t: fold(kind, t) for t in texts.dropna().unique()}
-        return texts.map(found.get)
+    def key(texts: pa.Array) -> pa.Array:
+        return fold_all(kind, texts)
 
-    return F.pandas_udf(key, "string")(col)
+    return F.arrow_udf(key, "string")(col)
 
 
 def compatible(col: Column | str) -> Column:

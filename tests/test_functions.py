@@ -4,6 +4,7 @@ import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,15 @@ def test_folds_against_plain_steps():
         bare = [c for c in unicodedata.normalize("NFKD", t).casefold() if unicodedata.category(c) != "Mn"]
         assert text.fold("loose", t) == text.fold("strict", "".join(text.LOOK_ALIKES.get(c, c) for c in bare))
         assert text.fold("title", t) == "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if not c.isspace() and c not in text.TITLE_PUNCTUATION)
+
+
+def test_folding_holds_a_slice_of_the_texts(monkeypatch):
+    """Few texts are Python strings at once, whatever the batch; long ones, nulls and empty ones keep their place."""
+    texts = ["Ａb c", None, "", "é" * 50, "x", "Ａb c", None, "tail"] * 3
+    want = [None if t is None else text.fold("loose", t) for t in texts]
+    held = []
+    monkeypatch.setattr(text, "FOLDED", 20)
+    monkeypatch.setattr(text, "set", lambda part: held.append(len(part)) or set(part), raising=False)
+    assert text.fold_all("loose", pa.array(texts)).to_pylist() == want
+    assert len(held) > 3 and max(held) < len(texts)
+    assert text.fold_all("loose", pa.array([], pa.string())).to_pylist() == []
