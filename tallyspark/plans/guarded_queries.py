@@ -12,7 +12,7 @@ from tallyspark.operators import guarded as G
 from tallyspark.plans.registry import Tables, query
 from tallyspark.sources import html as H
 from tallyspark.sources import tables as S
-from tallyspark.sources.scratch import scratch
+from tallyspark.sources.scratch import scratch, work_table
 from tallyspark.sources.versions import VersionedTable
 
 # --- writes ----------------------------------------------------------------
@@ -195,6 +195,7 @@ def g4_g9_reviewed_versions(t: Tables) -> DataFrame:
     table.publish(references(t), 0)
     new = G.apply_reviews(table.read(), requests(t), receipts(t), "batch")[0]
     changed = new.join(table.read().select("ref_id", F.col("revision").alias("_was")), "ref_id").filter("revision > _was").drop("_was")
+    changed = work_table(changed, "reviewed")  # read five times below
     table.upsert(changed, 1)
     table.delete(changed.filter("status = 'rejected' AND ref_id % 4 = 1").select("ref_id"), 2)
     return table.read().join(table.read(1).select("ref_id", F.col("revision").alias("revision_before")), "ref_id")

@@ -232,3 +232,17 @@ def test_fuzzy_pairs_are_never_rows(spark, monkeypatch):
                 got = found[text + str(block)]
                 assert [tuple(r) for r in got["_top"]] == scored[:5] and got["top_score"] == -scored[0][0]
                 assert got["_ties"] == sum(round(s[0], 6) == round(scored[0][0], 6) for s in scored)
+
+
+def test_reviews_are_judged_once(spark, monkeypatch):
+    """What upsert and delete read again and again is a written table, not the judging of all requests."""
+    from tallyspark.sources.versions import VersionedTable
+
+    given, upsert, delete = [], VersionedTable.upsert, VersionedTable.delete
+    monkeypatch.setattr(VersionedTable, "upsert", lambda self, df, *a: given.append(df) or upsert(self, df, *a))
+    monkeypatch.setattr(VersionedTable, "delete", lambda self, df, *a: given.append(df) or delete(self, df, *a))
+    plans.queries()["g4_g9_reviewed_versions"](spark, SF)
+    assert len(given) == 2
+    for df in given:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
