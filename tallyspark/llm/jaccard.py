@@ -6,9 +6,11 @@ of the symmetric difference.  Where two sets link, with sizes n <= m, that diffe
 at most 3 (n + m) / 37 (for 85 of 100).  Sizes fall in bands, and a set also enters the next
 band if a partner may be there.  The sketch of a band is cut into parts, a third more than
 the largest difference in it, so most sets have tokens in more parts than can differ.  Such
-a set's keys are (band, part, parity bits) of one part more than can differ for its own
-size, the first ones in an order that all sets share: two linked sets agree in one key at
-least (pigeonhole).  The few sets with tokens in too few parts have all parts as keys.
+a set's keys are (band, part, tokens in it, parity bits) of one part more than can differ
+for its own size, the first ones in an order that all sets share: two linked sets agree in
+one key at least (pigeonhole).  The order goes by falling number of tokens, as texts that
+share a passage only agree in a part of one token often and in one of three seldom.  The
+few sets with tokens in too few parts have all parts as keys.
 
 Keys travel in packed blocks to buckets, whose number grows with the input.  A key of up
 to ``FEW`` sets gives all its pairs; a longer one links its members to one hub, and what
@@ -110,14 +112,13 @@ def sketch_keys(sets: list[np.ndarray], ids: np.ndarray, low: int = 85) -> tuple
         new = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         bits = np.zeros(first[-1], U)
         bits[cell[new]] = np.bitwise_xor.reduceat(flips[at][order], new)
-        held = np.zeros(first[-1], bool)
-        held[cell[new]] = True
+        held = np.bincount(cell, minlength=first[-1])
         owner = np.repeat(np.arange(len(use)), parts)
-        enough = np.add.reduceat(held.astype(np.int64), first[:-1]) > own_most
+        enough = np.add.reduceat((held > 0).astype(np.int64), first[:-1]) > own_most
         part = np.arange(first[-1]) - first[:-1][owner]
-        key = mix(bits + mix(part.astype(U) * GAMMA + band[use][owner].astype(U)))
-        rows = np.flatnonzero(held | ~enough[owner])
-        rows = rows[np.lexsort((key[rows], owner[rows]))]
+        key = mix(bits + mix(part.astype(U) * GAMMA + band[use][owner].astype(U) + (held.astype(U) << U(32))))
+        rows = np.flatnonzero((held > 0) | ~enough[owner])
+        rows = rows[np.lexsort((key[rows], -held[rows], owner[rows]))]  # by what the key holds alone, so all sets share the order
         place = np.arange(len(rows)) - np.searchsorted(owner[rows], owner[rows])
         rows = rows[(place <= own_most[owner[rows]]) | ~enough[owner[rows]]]
         found.append((key[rows], ids[use][owner[rows]]))

@@ -412,6 +412,35 @@ def test_rarest_tokens_lose_no_link(spark, monkeypatch):
     assert by_id(got, "component_id") == sorted(((i, root(i)) for i in range(len(rows))), key=str) and called
 
 
+@pytest.mark.parametrize("low", [80, 85])
+def test_sets_with_a_common_passage_share_few_keys(low):
+    """A tenth of each set stands in all of them: parts of that passage alone must not bring the sets together."""
+    rng = np.random.default_rng(5)
+    token = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    passage = token(40)
+    sets = [np.sort(np.concatenate((passage, token(360)))) for _ in range(600)]
+    keys, ids = jaccard.sketch_keys(sets, np.arange(600), low)
+    often = [k for k, n in collections.Counter(keys.tolist()).items() if n > jaccard.FEW]
+    assert len(set(ids[np.isin(keys, np.array(often, np.uint64))].tolist())) < 200  # parts in an order without their size: 598 and 461
+
+
+@pytest.mark.parametrize("low", [80, 85])
+def test_sets_that_link_share_a_key(low):
+    """Sets just at the threshold, the smaller inside the larger or both with tokens of their own, over all sizes of two bands."""
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 60), *range(60, 400, 7), 1500]:
+        most = (100 - low) * n // low  # tokens that a larger set may have besides
+        for more in {0, most // 2, most}:
+            a = rng.integers(0, 1 << 64, n, np.uint64)
+            b = np.concatenate((a, rng.integers(0, 1 << 64, more, np.uint64)))
+            gone = 0
+            while 100 * (n - gone - 1) >= low * (n + more) and gone < n - 1:
+                gone += 1
+            for drop in {0, gone}:
+                keys, ids = jaccard.sketch_keys([np.sort(a), np.sort(b[drop:])], np.arange(2), low)
+                assert set(keys[ids == 0].tolist()) & set(keys[ids == 1].tolist()), (n, more, drop)
+
+
 def test_string_ids_and_nulls_in_either_place(spark):
     """Ids that aren't numbers, and rows that share a key where nulls are passed over."""
     rows = [("a", WORDS), (None, WORDS), (WORDS, None), ("b", "x y"), ("c", "xy "), ("B", "x y")]
