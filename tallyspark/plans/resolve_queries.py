@@ -245,7 +245,7 @@ def nearest_and_truth(t: Tables) -> DataFrame:
     """The two nearest entities of each observation and all that are as near as its own label."""
     obs, refs = vectors(t)
     known = N.truth_reach(obs, refs, "vec_id", "vec_id", "label", "embedding", "label")
-    return N.nearest_entities(known, refs, "vec_id", "vec_id", "label", "embedding", 2, reach="reach")
+    return N.nearest_entities(known, refs, "vec_id", "vec_id", "label", "embedding", 2, reach="reach", truth="label")
 
 
 def _r(df: DataFrame) -> DataFrame:

@@ -222,3 +222,52 @@ def test_dealt_references_lie_in_bins(spark, monkeypatch):
     ask = lambda small: M.nearest_entities(obs, refs, "id", "id", "e", "v", 2, within=0.02, leave_out=True, small=small, block=8).toPandas()
     far, near = (t.sort_values(["id", "distance", "entity"]).reset_index(drop=True) for t in (ask(0), ask(1 << 20)))
     pd.testing.assert_frame_equal(far, near)
+
+
+@pytest.mark.parametrize("kind", ["l1", "l2", "rmse"])
+def test_bounds_hold_for_odd_numbers(kind, monkeypatch):
+    """Bounds of sums enclose the distances, whatever the numbers, and what they leave open holds the nearest."""
+    monkeypatch.setattr(M, "FEW", 8)
+    rng = np.random.default_rng(8)
+    plain = rng.standard_normal((80, 5))
+    tables = [plain, plain * 1e-20, plain + 1e9, plain * 1e16, np.ones((80, 5)), rng.standard_normal((80, 1)), np.where(rng.random((80, 5)) < 0.05, 1e6, plain)]
+    for w in tables:
+        v = np.concatenate([w[:20] + 0.01 * rng.standard_normal((20, w.shape[1])), 3 * w[:20], w[:5]])
+        part = M.Part(kind, np.arange(80), np.arange(80) // 9, w)
+        got, d, row = part.asked(v), M.distances(kind, v, w), np.arange(len(v))[:, None]
+        assert (got.low(got.sums, row) <= d).all() and (d <= got.high(got.sums, row)).all()
+        row, group = (x.ravel() for x in np.indices((len(v), len(part.first))))
+        place, least = part.least(got, v, row, group, None)
+        for r, g, p, x in zip(row, group, place, least):
+            own = d[r, part.first[g] : part.first[g] + 9]
+            assert x == own.min() and p == part.first[g] + own.argmin()
+
+
+def test_true_entities_are_ranked_with_few_rows(spark):
+    """Unstructured vectors, of which every block holds every entity: an observation's reach shrinks to its true entity's distance."""
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(5)), rng.random(24 if i % 40 else 23).tolist()) for i in range(900)]
+    obs, refs = [r for r in rows if r[0] % 5 == 0], [r for r in rows if r[0] % 5]
+    want = brute("l1", obs, refs)
+    seen, table = (spark.createDataFrame(x, SCHEMA) for x in (obs, refs))
+    known = N.truth_reach(seen, table, "id", "id", "e", "v", "e")
+    for small in (M.SMALL, 0):
+        got = found(M.nearest_entities(known, table, "id", "id", "e", "v", 2, reach="reach", truth="e", small=small, block=64))
+        assert got == {i: want[i][: max(2, 1 + [x for _, x, _ in want[i]].index(e))] if e in [x for _, x, _ in want[i]] else want[i][:2] for i, e, _ in obs if i in want}
+    whole = pd.DataFrame([r for r in refs if len(r[2]) == 24], columns=["ref", "entity", "w"]).sort_values(["entity", "ref"])
+    asked = pd.DataFrame([(i, v, 9.0, e) for i, e, v in obs if len(v) == 24], columns=["obs", "v", "reach", "truth"])
+    local = M.Local("l1", whole, 16)
+    out = M.search("l1", local.rings, local.parts, asked, 2, 0.0, False)[0]
+    assert len(out) <= sum(max(2, 1 + [x for _, x, _ in want[i]].index(e)) for i, e in zip(asked["obs"], asked["truth"])) + len(asked)
+
+
+def test_vectors_are_searched_once(spark):
+    """A rerank asks several times for the nearest entities, which are found once."""
+    rows = vectors(spark, 60, 10, clusters=4)
+    table, count = spark.createDataFrame(rows, SCHEMA), spark.sparkContext.accumulator(0)
+    near = M.nearest_entities(table, table, "id", "id", "e", "v", 2, within=0.5, leave_out=True, compared=count)
+    near.count()
+    once = count.value
+    again = N.rerank(near, N.entity_distances(table, table, "id", "id", "e", "v", "l2", True), "id", 0.02, 0.5)
+    assert again.count() == near.groupBy("id").count().filter("count > 1").count()
+    assert count.value == once > 0
