@@ -10,66 +10,89 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.vectors import l1
-from tallyspark.operators.metric import SLACK, distances, nearest_entities, nothing
+from tallyspark.operators.metric import ALONE, GROUP, SLACK, Part, distances, nearest_entities, nothing, stacked
 
 MAX_DISTANCE, DELTA = 0.24, 0.015
 #: Names of how close a pair is.
 RISK_BANDS, OTHER_BAND = ((0.05, "A: extremely close"), (0.10, "B: high"), (0.11, "C: elevated")), "D: watch"
-#: Rows of one block of a distance matrix; distances that are held at once; bytes of references that may be broadcast.
-BLOCK, CELLS, SMALL_REFS = 2048, 1 << 22, 32 << 20
-
-
-def _nearest_of_entities(kind: str, obs: pd.DataFrame, refs: pd.DataFrame, leave_out: bool) -> pd.DataFrame:
-    """Least distance and reference of each observation (obs, v) to each entity of ``refs`` (ref, entity, w), ties by reference."""
-    out = [pd.DataFrame({"obs": obs["obs"][:0], "entity": refs["entity"][:0], "ref": refs["ref"][:0], "distance": np.zeros(0)})]
-    lengths = refs["w"].map(len)
-    for size in set(obs["v"].map(len)) & set(lengths):
-        q = refs[lengths == size].sort_values(["entity", "ref"])
-        w, first = np.stack(q["w"].to_list()).astype(float), np.flatnonzero(~q["entity"].duplicated().to_numpy())
-        same = obs[obs["v"].map(len) == size]
-        for at in range(0, len(same), max(1, CELLS // len(q))):
-            p = same.iloc[at : at + max(1, CELLS // len(q))]
-            d = distances(kind, np.stack(p["v"].to_list()).astype(float), w)
-            if leave_out:
-                d[p["obs"].to_numpy()[:, None] == q["ref"].to_numpy()[None, :]] = np.inf
-            best = np.stack([a + d[:, a:b].argmin(1) for a, b in zip(first, np.append(first[1:], len(q)))], 1)
-            least = np.take_along_axis(d, best, 1)
-            row, group = np.nonzero(np.isfinite(least))
-            chosen = q.iloc[best[row, group]]
-            out.append(pd.DataFrame({"obs": p["obs"].to_numpy()[row], "entity": chosen["entity"].to_numpy(), "ref": chosen["ref"].to_numpy(), "distance": least[row, group]}))
-    return pd.concat(out, ignore_index=True)[["obs", "entity", "ref", "distance"]]
-
-
-def entity_distances(obs: DataFrame, refs: DataFrame, obs_id: str, ref_id: str, entity: str, vector: str, kind: str = "l1", leave_out: bool = False, block: int = BLOCK, small: int = SMALL_REFS) -> DataFrame:
+#: References that are compared at once; distances that are held at once; bytes of references that may be broadcast; most tasks of pairs of blocks for a core.
+BLOCK, CELLS, SMALL_REFS, TASKS = 2048, 1 << 19, 32 << 20, 8
+
+
+class Every:
+    """References (ref, entity, w) in order of entity, in parts of one vector length each, for the least distance to each entity."""
+
+    def __init__(self, kind: str, refs: pd.DataFrame):
+        self.of = {}
+        for size, q in refs.groupby(refs["w"].map(len)):
+            q = q.sort_values(["entity", "ref"])
+            ref, entity, w = q["ref"].to_numpy(), q["entity"].to_numpy(), stacked(q["w"])
+            parts = [Part(kind, ref[at : at + BLOCK], entity[at : at + BLOCK], w[at : at + BLOCK]) for at in range(0, len(q), BLOCK)]
+            names = entity[np.flatnonzero(np.append(True, entity[1:] != entity[:-1]))]
+            # Parts follow each other, so a part's first entity is the last one of the part before, or the next.
+            same = np.array([False, *[y.entity[0] == x.entity[-1] for x, y in zip(parts, parts[1:])]])
+            begin = np.cumsum([0, *[len(x.names) for x in parts[:-1]]]) - np.cumsum(same)
+            self.of[int(size)] = names, list(zip(begin.tolist(), parts))
+
+    def least(self, obs: pd.DataFrame, leave_out: bool) -> Iterator[pd.DataFrame]:
+        """Least distance and reference of each observation (obs, v) to each entity, ties by reference."""
+        lengths = obs["v"].map(len)
+        for size in set(lengths) & set(self.of):
+            names, parts = self.of[size]
+            same = obs[lengths == size]
+            for at in range(0, len(same), max(1, CELLS // len(names))):
+                p = same.iloc[at : at + max(1, CELLS // len(names))]
+                ids, v = p["obs"].to_numpy(), stacked(p["v"])
+                least, ref = np.full((len(p), len(names)), np.inf), np.empty((len(p), len(names)), parts[0][1].ref.dtype)
+                for begin, part in parts:
+                    to = slice(begin, begin + len(part.names))
+                    for cut in range(0, len(p), max(1, CELLS // len(part.ref))):
+                        some = slice(cut, cut + max(1, CELLS // len(part.ref)))
+                        row, group, place, d = part.nearer(v[some], ids[some] if leave_out else None, least[some, to])
+                        least[some, to][row, group], ref[some, to][row, group] = d, part.ref[place]
+                row, group = np.nonzero(np.isfinite(least))
+                yield pd.DataFrame({"obs": ids[row], "entity": names[group], "ref": ref[row, group], "distance": least[row, group]})
+
+
+def entity_distances(obs: DataFrame, refs: DataFrame, obs_id: str, ref_id: str, entity: str, vector: str, kind: str = "l1", leave_out: bool = False, block: int | None = None, small: int = SMALL_REFS) -> DataFrame:
     """(obs_id, entity, distance, ref_id): the least distance of each observation to *each* entity, exactly.
 
     The complete table, for few entities or where every one is wanted: see
     ``nearest_entities`` for the k nearest, which compares a part of the pairs only.
     References of up to ``small`` bytes are broadcast and the observations stay where they
-    are.  Beyond that both sides are cut into blocks of about ``block`` rows and each pair of
-    blocks is one matrix, so a task's memory stays the same at any size.  ``leave_out``
+    are.  Beyond that both sides are cut into blocks, of GROUP bytes of references or about ``block`` rows, and each pair of
+    blocks is a task's matrix, so a task's memory stays the same at any size.  ``leave_out``
     skips a reference with the observation's own id.  Null vectors and other lengths match
     nothing; rows of one observation id are one observation.
     """
     a = obs.filter(F.col(vector).isNotNull()).select(F.col(obs_id).alias("obs"), F.col(vector).alias("v"))
-    b = refs.filter(F.col(vector).isNotNull()).select(F.col(ref_id).alias("ref"), F.col(entity).alias("entity"), F.col(vector).alias("w"))
+    b = refs.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.col(entity).isNotNull()).select(F.col(ref_id).alias("ref"), F.col(entity).alias("entity"), F.col(vector).alias("w"))
     kinds = {**dict(a.dtypes), **dict(b.dtypes)}
     schema = f"obs {kinds['obs']}, entity {kinds['entity']}, ref {kinds['ref']}, distance double"
     count, numbers = b.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("w")), F.lit(0))).first()
     if 8 * numbers + 64 * count <= small:
-        known = obs.sparkSession.sparkContext.broadcast(b.toPandas())
+        known = obs.sparkSession.sparkContext.broadcast(Every(kind, b.toPandas()))
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:
-                yield _nearest_of_entities(kind, rows, known.value, leave_out)
+                yield from known.value.least(rows, leave_out)
 
         part = a.mapInPandas(near, schema)
     else:
-        rows, cols = max(1, -(-a.count() // block)), max(1, -(-count // block))
+        held = block or max(1, GROUP * count // (8 * numbers))
+        seen, cols, cores = a.count(), max(1, -(-count // held)), obs.sparkSession.sparkContext.defaultParallelism
+        # Enough blocks for all cores, but none of so few observations that references are copied for little.
+        rows = max(1, -(-seen // (block or max(1, min(held // 4, max(ALONE, seen * cols // (4 * cores)))))))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-        a = a.withColumn("r", F.pmod(F.xxhash64("obs"), F.lit(rows))).withColumn("c", every(cols))
-        b = b.withColumn("c", F.pmod(F.xxhash64("ref"), F.lit(cols))).withColumn("r", every(rows))
-        part = a.groupBy("r", "c").cogroup(b.groupBy("r", "c")).applyInPandas(lambda x, y: _nearest_of_entities(kind, x, y, leave_out), schema)
+        cell, tasks = F.col("r") * cols + F.col("c"), min(4 * rows * cols, TASKS * cores)
+        a = a.withColumn("r", F.pmod(F.xxhash64("obs"), F.lit(rows))).withColumn("c", every(cols)).select("obs", "v", cell.alias("cell")).repartition(tasks, "cell")
+        b = b.withColumn("c", F.pmod(F.xxhash64("ref"), F.lit(cols))).withColumn("r", every(rows)).select("ref", "entity", "w", cell.alias("cell")).repartition(tasks, "cell")
+
+        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            found = list(Every(kind, y).least(x, leave_out)) if len(x) and len(y) else []
+            return pd.concat(found, ignore_index=True) if found else nothing("obs", "entity", "ref", "distance")
+
+        part = a.groupBy("cell").cogroup(b.groupBy("cell")).applyInPandas(meet, schema)
     best = part.groupBy("obs", "entity").agg(F.min(F.struct("distance", "ref")).alias("m"))
     return best.select(F.col("obs").alias(obs_id), "entity", F.col("m.distance").alias("distance"), F.col("m.ref").alias("ref_id"))
 
@@ -87,9 +110,10 @@ def truth_reach(obs: DataFrame, refs: DataFrame, obs_id: str, ref_id: str, entit
 
     ``nearest_entities`` with this reach holds all entities that are nearer than the true one, and so its rank.
     """
-    ends = refs.filter(F.col(vector).isNotNull()).groupBy(F.col(entity).alias("_e")).agg(F.min(F.struct(F.col(ref_id).alias("id"), F.col(vector).alias("v"))).alias("_a"), F.max(F.struct(F.col(ref_id).alias("id"), F.col(vector).alias("v"))).alias("_b"))
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda c: c.isNull() | F.isnan(c))
+    ends = refs.filter(whole).groupBy(F.col(entity).alias("_e"), F.size(vector).alias("_size")).agg(F.min(F.struct(F.col(ref_id).alias("id"), F.col(vector).alias("v"))).alias("_a"), F.max(F.struct(F.col(ref_id).alias("id"), F.col(vector).alias("v"))).alias("_b"))
     far = [F.when(~F.col(f"{c}.id").eqNullSafe(F.col(obs_id)) if leave_out else F.lit(True), pair_distance(kind, F.col(vector), F.col(f"{c}.v"))) for c in ("_a", "_b")]
-    return obs.join(ends, obs[truth] == F.col("_e"), "left").withColumn(reach, F.coalesce(F.least(*far), *far) * (1 + SLACK)).drop("_e", "_a", "_b")
+    return obs.join(ends, (obs[truth] == F.col("_e")) & (F.size(obs[vector]) == F.col("_size")), "left").withColumn(reach, F.coalesce(F.least(*far), *far) * (1 + SLACK)).drop("_e", "_size", "_a", "_b")
 
 
 def bit_masks(candidates: DataFrame, group: str, bits: str) -> DataFrame:
